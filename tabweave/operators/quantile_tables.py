@@ -1,0 +1,220 @@
+"""Quantile tables for gamma, beta and chi-squared laws, built as a Spark job.
+
+Neither engine nor Python here has incomplete gamma or beta functions.  The
+density is integrated over a smooth axis (ln x for gamma, logit x for beta), the
+running integral becomes a normal percentile, and the curve is read off at
+evenly spaced z.  A table holds one curve per knot of the shape parameter, so a
+shape that moves with the indeterminacy is one more linear interpolation.
+
+What is stored is a *score* that changes little with the shape:
+``(ln x - ln k) * sqrt(k)`` for gamma(k) and ``logit x * sqrt(a + b)`` for beta.
+"""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass
+from statistics import NormalDist
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tabweave.functions.normal import normal_quantile
+from tabweave.functions.repair import PERCENTILE_FLOOR
+
+Z_KNOTS = 1025       # points of a curve
+GRID = 2400          # integration steps of a curve
+SHAPE_KNOTS = 17     # curves of a table whose shape varies
+MAX_TABLE_BYTES = 256 << 20
+
+KNOT_SCHEMA = (
+    "level_no int, table_no int, knot int, family string, a double, b double, "
+    "t_low double, t_high double"
+)
+
+
+@dataclass(frozen=True)
+class Axis:
+    """Evenly spaced shape values: first, first + step, ... (count of them)."""
+
+    first: float
+    step: float
+    count: int
+
+    @classmethod
+    def spanning(cls, low: float, high: float, count: int) -> Axis:
+        if high <= low or count < 2:
+            return cls(low, 0.0, 1)
+        return cls(low, (high - low) / (count - 1), count)
+
+    def values(self) -> list[float]:
+        return [self.first + i * self.step for i in range(self.count)]
+
+
+def locate(x: Column, first: Column, per_step: Column, last: Column) -> tuple[Column, Column]:
+    """Index of the axis knot at or below x, and the weight of the next one.
+
+    ``per_step`` is knots per unit of x (0 for a fixed shape) and ``last`` the
+    index of the last knot.
+    """
+    at = F.greatest(F.least((x - first) * per_step, last.cast("double")), F.lit(0.0))
+    index = F.greatest(F.least(at.cast("int"), last - F.lit(1)), F.lit(0))
+    return index, at - index
+
+
+def z_limit(floor: float = PERCENTILE_FLOOR) -> float:
+    """The normal score at which percentiles are clipped."""
+    return NormalDist().inv_cdf(1.0 - floor)
+
+
+def gamma_limits(k: float, floor: float) -> tuple[float, float]:
+    """A range of ln x that holds all but a negligible share of gamma(k)."""
+    share = math.log(floor * 1e-3)
+    low = (share + math.lgamma(k + 1.0)) / k
+    reach = z_limit(floor) + 1.7
+    cube = 1.0 - 1.0 / (9.0 * k) - reach / (3.0 * math.sqrt(k))
+    if cube > 0.2:
+        low = max(low, math.log(k) + 3.0 * math.log(cube))
+    high = 1.0 - 1.0 / (9.0 * k) + reach / (3.0 * math.sqrt(k))
+    return low, math.log(k) + 3.0 * math.log(high)
+
+
+def beta_limits(a: float, b: float, floor: float) -> tuple[float, float]:
+    """A range of logit x that holds all but a negligible share of beta(a, b)."""
+    share = math.log(floor * 1e-3)
+    ln_beta = math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+    return (
+        min((share + math.log(a) + ln_beta) / a, -1.0),
+        max(-(share + math.log(b) + ln_beta) / b, 1.0),
+    )
+
+
+def knot_row(level_no, table_no, knot, family, a, b=0.0, floor=PERCENTILE_FLOOR):
+    """One curve to tabulate; ``a`` is the shape k for family 'gamma'."""
+    low, high = beta_limits(a, b, floor) if family == "beta" else gamma_limits(a, floor)
+    return (level_no, table_no, knot, family, float(a), float(b), low, high)
+
+
+def curves(knots: DataFrame, floor: float = PERCENTILE_FLOOR) -> DataFrame:
+    """Scores at the z knots for each row of ``knots``.
+
+    Groups are single curves (a few thousand points), never data.
+    """
+    a, b = F.col("a"), F.col("b")
+    t = F.col("t")
+    is_beta = F.col("family") == "beta"
+    step = (F.col("t_high") - F.col("t_low")) / F.lit(float(GRID))
+    points = (
+        knots.withColumn("h", step)
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(GRID))))
+        .withColumn("t", F.col("t_low") + F.col("i") * F.col("h"))
+    )
+    # log density up to a constant (zero at the mode) and its slope
+    beta_log = (
+        -a * F.ln(F.lit(1.0) + F.exp(-t)) - b * F.ln(F.lit(1.0) + F.exp(t))
+        - a * F.ln(a / (a + b)) - b * F.ln(b / (a + b))
+    )
+    gamma_log = a * (t - F.ln(a)) - (F.exp(t) - a)
+    beta_slope = a - (a + b) / (F.lit(1.0) + F.exp(-t))
+    points = (
+        points.withColumn("f", F.exp(F.when(is_beta, beta_log).otherwise(gamma_log)))
+        .withColumn("slope", F.when(is_beta, beta_slope).otherwise(a - F.exp(t)))
+    )
+    curve = ("level_no", "table_no", "knot")
+    along = Window.partitionBy(*curve).orderBy("i")
+    whole = Window.partitionBy(*curve)
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    f, h, slope = F.col("f"), F.col("h"), F.col("slope")
+    f0, slope0 = F.first(f).over(upto), F.first(slope).over(upto)
+    # trapezoids with the first Euler-Maclaurin correction; the mass outside the
+    # grid is f / |slope| at either end
+    mass = (
+        f0 / slope0
+        + h * (F.sum(f).over(upto) - F.lit(0.5) * (f0 + f))
+        - h * h / F.lit(12.0) * (f * slope - f0 * slope0)
+    )
+    last = F.col("i") == GRID
+    score = F.when(is_beta, t * F.sqrt(a + b)).otherwise((t - F.ln(a)) * F.sqrt(a))
+    points = (
+        points.withColumn("mass", mass)
+        .withColumn("score", score)
+        .withColumn("total", F.max(F.when(last, F.col("mass") - f / slope)).over(whole))
+        .withColumn("p", F.col("mass") / F.col("total"))
+        .where((F.col("p") > 0.0) & (F.col("p") < 1.0))
+        .withColumn("z", normal_quantile(F.col("p")))
+    )
+    segments = points.select(
+        *curve, "z",
+        F.struct(
+            "z", "score",
+            F.lead("z").over(along).alias("z_next"),
+            F.lead("score").over(along).alias("score_next"),
+        ).alias("segment"),
+        F.lit(None).cast("int").alias("z_knot"),
+    )
+    limit = z_limit(floor)
+    spacing = 2.0 * limit / (Z_KNOTS - 1)
+    wanted = (
+        knots.select(*curve, F.explode(F.sequence(F.lit(0), F.lit(Z_KNOTS - 1))).alias("z_knot"))
+        .withColumn("z", F.lit(-limit) + F.col("z_knot") * F.lit(spacing))
+        .select(*curve, "z", F.lit(None).cast(segments.schema["segment"].dataType).alias("segment"), "z_knot")
+    )
+    before = Window.partitionBy(*curve).orderBy("z", F.col("z_knot").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    s = F.col("at")
+    weight = F.try_divide(F.col("z") - s["z"], s["z_next"] - s["z"])
+    return (
+        segments.unionByName(wanted)
+        .withColumn("at", F.last("segment", ignorenulls=True).over(before))
+        .where(F.col("z_knot").isNotNull())
+        .select(*curve, "z_knot", (s["score"] + weight * (s["score_next"] - s["score"])).alias("score"))
+    )
+
+
+def score_arrays(spark: SparkSession, rows: list[tuple], floor: float = PERCENTILE_FLOOR) -> DataFrame:
+    """All tables of a job: one row per level, one array column per table.
+
+    The size is known before the job starts and is checked, because the result
+    is meant to be broadcast.
+    """
+    size = len(rows) * Z_KNOTS * 8
+    if size > MAX_TABLE_BYTES:
+        raise ValueError(f"quantile tables would take {size} bytes; use fewer levels per job")
+    tables = sorted({r[1] for r in rows})
+    knots = spark.createDataFrame(rows, KNOT_SCHEMA)
+    by_curve = (
+        curves(knots, floor)
+        .groupBy("level_no", "table_no", "knot")
+        .agg(F.sort_array(F.collect_list(F.struct("z_knot", "score")))["score"].alias("curve"))
+    )
+    by_table = by_curve.groupBy("level_no", "table_no").agg(
+        F.flatten(F.sort_array(F.collect_list(F.struct("knot", "curve")))["curve"]).alias("scores")
+    )
+    return by_table.groupBy("level_no").agg(*(
+        F.first(F.when(F.col("table_no") == t, F.col("scores")), ignorenulls=True).alias(f"table_{t}")
+        for t in tables
+    ))
+
+
+def score_position(z: Column, floor: float = PERCENTILE_FLOOR) -> Column:
+    """Where a clipped z falls on the curve, in knots."""
+    limit = z_limit(floor)
+    return (z + F.lit(limit)) * F.lit((Z_KNOTS - 1) / (2.0 * limit))
+
+
+def read_score(table: Column, position: Column, corners: list[tuple[Column, Column]]) -> Column:
+    """Interpolate: along z within each curve, then between the curves.
+
+    ``corners`` lists (curve number, weight); weights add up to one.
+    """
+    left = F.least(position.cast("int"), F.lit(Z_KNOTS - 2))
+    part = position - left
+    total = None
+    for curve, weight in corners:
+        at = curve * F.lit(Z_KNOTS) + left
+        low = F.get(table, at)
+        value = low + part * (F.get(table, at + F.lit(1)) - low)
+        value = value if weight is None else weight * value
+        total = value if total is None else total + value
+    return total
