@@ -1,4 +1,4 @@
-"""The standard normal CDF and quantile function as Column expressions.
+"""The standard normal CDF and quantile function.
 
 Both are built from arithmetic only, so they stay inside generated JVM code.
 Pass a plain column (not a long expression): the argument is used many times.
@@ -6,8 +6,7 @@ Pass a plain column (not a long expression): the argument is used many times.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from tabweave.functions.text import Sql, double
 
 # Hart's rational approximation of the normal tail (Hart 1968,
 # as published by West 2005), highest power first.
@@ -53,37 +52,49 @@ TAIL_DENOMINATOR = (
 )
 
 
-def horner(coefficients, x: Column) -> Column:
+def horner(coefficients, x: Sql) -> Sql:
     """Polynomial in x, coefficients from the highest power down."""
-    total = F.lit(float(coefficients[0]))
+    total = double(coefficients[0])
     for c in coefficients[1:]:
-        total = total * x + F.lit(float(c))
+        total = f"({total} * {x} + {double(c)})"
     return total
 
 
-def ratio(top: Column, bottom: Column) -> Column:
+def ratio(top: Sql, bottom: Sql) -> Sql:
     """Quotient by a denominator known to be nonzero, typed as never null."""
-    return F.coalesce(top / bottom, F.lit(0.0))
+    return f"coalesce({top} / {bottom}, 0.0D)"
 
 
-def normal_cdf(z: Column) -> Column:
+def normal_cdf(z: Sql) -> Sql:
     """P(Z <= z); absolute error below 1e-14 for |z| < 7."""
-    y = F.abs(z)
-    tail = F.exp(F.lit(-0.5) * z * z) * ratio(
+    y = f"abs({z})"
+    tail = f"exp(-0.5D * {z} * {z}) * " + ratio(
         horner(CDF_NUMERATOR, y), horner(CDF_DENOMINATOR, y)
     )
-    return F.when(z <= 0.0, tail).otherwise(F.lit(1.0) - tail)
-
-
-def normal_quantile(p: Column) -> Column:
-    """Inverse of :func:`normal_cdf`; ``p`` must lie strictly inside (0, 1)."""
-    q = p - F.lit(0.5)
-    s = F.lit(0.180625) - q * q
-    centre = q * ratio(horner(CENTRE_NUMERATOR, s), horner(CENTRE_DENOMINATOR, s))
-    r = F.sqrt(-F.coalesce(F.ln(F.least(p, F.lit(1.0) - p)), F.lit(0.0)))
-    m = r - F.lit(1.6)
-    t = r - F.lit(5.0)
-    outer = F.when(
-        r <= 5.0, ratio(horner(MIDDLE_NUMERATOR, m), horner(MIDDLE_DENOMINATOR, m))
-    ).otherwise(ratio(horner(TAIL_NUMERATOR, t), horner(TAIL_DENOMINATOR, t)))
-    return F.when(F.abs(q) <= 0.425, centre).when(q < 0.0, -outer).otherwise(outer)
+    return f"if({z} <= 0.0D, {tail}, 1.0D - {tail})"
+
+
+def quantile_parts(p: Sql, name: str) -> list[Sql]:
+    """Named intermediate columns for :func:`normal_quantile`; 0 < p < 1.
+
+    They belong in a projection of their own, below the one that uses them.
+    Written as one expression they would be repeated dozens of times.
+    """
+    return [
+        f"{p} - 0.5D as {name}_q",
+        f"0.180625D - ({p} - 0.5D) * ({p} - 0.5D) as {name}_s",
+        f"sqrt(-coalesce(ln(least({p}, 1.0D - {p})), 0.0D)) as {name}_r",
+    ]
+
+
+def normal_quantile(name: str) -> Sql:
+    """Inverse of :func:`normal_cdf`, over the columns of :func:`quantile_parts`."""
+    q, s, r = f"{name}_q", f"{name}_s", f"{name}_r"
+    m, t = f"({r} - 1.6D)", f"({r} - 5.0D)"
+    centre = f"{q} * " + ratio(horner(CENTRE_NUMERATOR, s), horner(CENTRE_DENOMINATOR, s))
+    middle = ratio(horner(MIDDLE_NUMERATOR, m), horner(MIDDLE_DENOMINATOR, m))
+    tail = ratio(horner(TAIL_NUMERATOR, t), horner(TAIL_DENOMINATOR, t))
+    return (
+        f"if(abs({q}) <= 0.425D, {centre},"
+        f" if({q} < 0.0D, -1.0D, 1.0D) * if({r} <= 5.0D, {middle}, {tail}))"
+    )

@@ -1,73 +1,72 @@
-"""Quantile functions of the eight families as Column expressions.
+"""Quantile functions of the eight families.
 
-Every function maps one draw (a standard normal ``z`` and its percentile ``u``,
-or a tabulated ``score``) and the parameters to a value.  The three families
-without a closed form read a score table made by
-``tabweave.operators.quantile_tables``.
+Every function maps one draw (a standard normal ``z``, a percentile ``u`` or a
+tabulated ``score``) and the parameters to a value.  The three families without
+a closed form read a score table made by ``tabweave.operators.quantile_tables``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Any
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from tabweave.functions.text import Sql, double
+
+Params = dict[str, Sql]
 
 
 @dataclass(frozen=True)
 class Draw:
     """What a quantile function may use; unused parts may be None."""
 
-    z: Column | None = None
-    u: Column | None = None
-    score: Column | None = None
+    z: Sql | None = None
+    u: Sql | None = None
+    score: Sql | None = None
 
 
-def log1m(u: Column) -> Column:
+def log1m(u: Sql) -> Sql:
     """ln(1 - u) for u in [0, 1), typed as never null."""
-    return F.coalesce(F.ln(F.lit(1.0) - u), F.lit(0.0))
+    return f"coalesce(ln(1.0D - {u}), 0.0D)"
 
 
-def normal(draw: Draw, p: dict[str, Any]) -> Column:
-    return p["loc"] + p["scale"] * draw.z
+def normal(draw: Draw, p: Params) -> Sql:
+    return f"{p['loc']} + {p['scale']} * {draw.z}"
 
 
-def lognormal(draw: Draw, p: dict[str, Any]) -> Column:
-    return p["scale"] * F.exp(p["s"] * draw.z)
+def lognormal(draw: Draw, p: Params) -> Sql:
+    return f"{p['scale']} * exp({p['s']} * {draw.z})"
 
 
-def exponential(draw: Draw, p: dict[str, Any]) -> Column:
-    return -p["scale"] * log1m(draw.u)
+def exponential(draw: Draw, p: Params) -> Sql:
+    return f"-{p['scale']} * {log1m(draw.u)}"
 
 
-def weibull(draw: Draw, p: dict[str, Any]) -> Column:
-    return p["scale"] * F.pow(-log1m(draw.u), F.try_divide(F.lit(1.0), p["c"]))
+def weibull(draw: Draw, p: Params) -> Sql:
+    return f"{p['scale']} * power(-{log1m(draw.u)}, try_divide(1.0D, {p['c']}))"
 
 
-def uniform(draw: Draw, p: dict[str, Any]) -> Column:
-    return p["loc"] + p["scale"] * draw.u
+def uniform(draw: Draw, p: Params) -> Sql:
+    return f"{p['loc']} + {p['scale']} * {draw.u}"
 
 
-def beta_2_2(u: Column) -> Column:
+def beta_2_2(u: Sql) -> Sql:
     """Quantile of beta(2, 2): the root of 3x^2 - 2x^3 = u."""
-    return F.lit(0.5) - F.sin(F.asin(F.lit(1.0) - F.lit(2.0) * u) * F.lit(1.0 / 3.0))
+    return f"(0.5D - sin(asin(1.0D - 2.0D * {u}) * {double(1.0 / 3.0)}))"
 
 
-def beta(draw: Draw, p: dict[str, Any]) -> Column:
+def beta(draw: Draw, p: Params) -> Sql:
     if draw.score is None:
-        return p["loc"] + p["scale"] * beta_2_2(draw.u)
-    logit = draw.score * F.pow(p["a"] + p["b"], F.lit(-0.5))
-    return p["loc"] + p["scale"] * F.pow(F.lit(1.0) + F.exp(-logit), F.lit(-1.0))
+        return f"{p['loc']} + {p['scale']} * {beta_2_2(draw.u)}"
+    logit = f"{draw.score} * power({p['a']} + {p['b']}, -0.5D)"
+    return f"{p['loc']} + {p['scale']} * power(1.0D + exp(-({logit})), -1.0D)"
 
 
-def _gamma_shape(score: Column, shape: Column) -> Column:
-    return shape * F.exp(score * F.pow(shape, F.lit(-0.5)))
+def _unit_gamma(score: Sql, shape: Sql) -> Sql:
+    return f"{shape} * exp({score} * power({shape}, -0.5D))"
 
 
-def gamma(draw: Draw, p: dict[str, Any]) -> Column:
-    return p["scale"] * _gamma_shape(draw.score, p["shape"])
+def gamma(draw: Draw, p: Params) -> Sql:
+    return f"{p['scale']} * {_unit_gamma(draw.score, p['shape'])}"
 
 
-def chi2(draw: Draw, p: dict[str, Any]) -> Column:
-    return F.lit(2.0) * _gamma_shape(draw.score, p["df"] * F.lit(0.5))
+def chi2(draw: Draw, p: Params) -> Sql:
+    return f"2.0D * {_unit_gamma(draw.score, f'({p['df']} * 0.5D)')}"

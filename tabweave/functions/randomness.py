@@ -11,15 +11,14 @@ import hashlib
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from tabweave.functions.text import Sql, double, sql, string
 
 TWO_52 = float(1 << 52)
 
 
 @dataclass(frozen=True)
 class Rng:
-    """Uniform and normal draws as Columns.
+    """Uniform and normal draws as SQL text.
 
     ``portable=True`` hashes with MD5, which any SQL engine can reproduce;
     the default uses xxhash64 and is several times faster.
@@ -28,39 +27,37 @@ class Rng:
     seed: int = 42
     portable: bool = False
 
-    def uniform(self, key: Column, tag: str) -> Column:
+    def uniform(self, key: Sql, tag: str) -> Sql:
         """A double strictly inside (0, 1), independent for each (seed, tag, key)."""
         if self.portable:
-            digest = F.md5(F.concat(F.lit(f"{self.seed}:{tag}:"), key.cast("string")))
-            bits = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
+            text = f"concat({string(f'{self.seed}:{tag}:')}, cast({key} as string))"
+            bits = f"cast(conv(substring(md5({text}), 1, 13), 16, 10) as double)"
         else:
             salt = hashlib.md5(f"{self.seed}:{tag}".encode()).digest()[:8]
             salt = int.from_bytes(salt, "big", signed=True)
-            bits = F.shiftrightunsigned(F.xxhash64(F.lit(salt), key), 12).cast("double")
-        return (bits + F.lit(0.5)) * F.lit(1.0 / TWO_52)
+            bits = f"shiftrightunsigned(xxhash64({salt}L, {key}), 12)"
+            if salt == -(1 << 63):  # has no literal of its own
+                bits = bits.replace(f"{salt}L", f"({salt + 1}L - 1L)")
+        return f"(({bits} + 0.5D) * {double(1.0 / TWO_52)})"
 
-    def polar(self, key: Column, tag: str) -> tuple[Column, Column]:
+    def polar(self, key: Sql, tag: str) -> tuple[Sql, Sql]:
         """Radius and angle of a bivariate standard normal (Box-Muller).
 
         ``radius * cos(angle)`` and ``radius * sin(angle)`` are two independent
         standard normals, so d columns cost d uniforms.
         """
-        # ln of a number in (0, 1) is never null; coalesce tells Catalyst so and
-        # keeps null checks out of the generated code.
-        log_u = F.coalesce(F.ln(self.uniform(key, tag + "/r")), F.lit(0.0))
-        return (
-            F.sqrt(F.lit(-2.0) * log_u),
-            self.uniform(key, tag + "/a") * F.lit(2.0 * math.pi),
-        )
+        # ln of a number in (0, 1) is never null; coalesce says so and keeps
+        # null checks out of the generated code
+        radius = f"sqrt(-2.0D * coalesce(ln({self.uniform(key, tag + '/r')}), 0.0D))"
+        return radius, f"{self.uniform(key, tag + '/a')} * {double(2.0 * math.pi)}"
 
-    def normal(self, key: Column, tag: str) -> Column:
+    def normal(self, key: Sql, tag: str) -> Sql:
         """One standard normal."""
         radius, angle = self.polar(key, tag)
-        return radius * F.cos(angle)
+        return f"({radius} * cos({angle}))"
 
 
-def between(u: Column, low: float | Column, high: float | Column) -> Column:
+def between(u: Sql, low: float | Sql, high: float | Sql) -> Sql:
     """Rescale a (0, 1) uniform to (low, high)."""
-    low = low if isinstance(low, Column) else F.lit(float(low))
-    high = high if isinstance(high, Column) else F.lit(float(high))
-    return low + (high - low) * u
+    low, high = sql(low), sql(high)
+    return f"({low} + ({high} - {low}) * {u})"

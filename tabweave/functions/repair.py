@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from tabweave.functions.text import Sql, double, sql
 
 PERCENTILE_FLOOR = 1e-6   # fixed value: clip of copula percentiles
 ZERO_RATIO_MIN = 0.01     # fixed value: no zero injection at or below this share
@@ -11,50 +10,47 @@ RANGE_LOW = 0.9           # fixed value: lower range clip as a share of the mini
 RANGE_HIGH = 1.1          # fixed value: upper range clip as a share of the maximum
 
 
-def nan_to_null(x: Column) -> Column:
+def nan_to_null(x: Sql) -> Sql:
     """Treat NaN like a missing value, as aggregates should."""
-    return F.when(~F.isnan(x), x)
+    return f"nullif({x}, double('NaN'))"
 
 
-def positive(x: Column) -> Column:
+def positive(x: Sql) -> Sql:
     """x where x > 0, else null.  NaN counts as not positive."""
-    return F.when((x > 0) & ~F.isnan(x.cast("double")), x)
+    return f"if({x} > 0 and not isnan({x}), {x}, null)"
 
 
-def clip(x: Column, low: Column, high: Column) -> Column:
+def clip(x: Sql, low: float | Sql, high: float | Sql) -> Sql:
     """Clip where the upper bound wins when the bounds cross."""
-    return F.least(F.greatest(x, low), high)
+    return f"least(greatest({x}, {sql(low)}), {sql(high)})"
 
 
-def clip_percentile(u: Column, floor: float = PERCENTILE_FLOOR) -> Column:
+def clip_percentile(u: Sql, floor: float = PERCENTILE_FLOOR) -> Sql:
     """Keep a percentile inside [floor, 1 - floor]."""
-    return clip(u, F.lit(floor), F.lit(1.0 - floor))
+    return clip(u, floor, 1.0 - floor)
 
 
-def clip_range(x: Column, low: Column | float | None, high: Column | float | None) -> Column:
+def clip_range(x: Sql, low: float | Sql | None, high: float | Sql | None) -> Sql:
     """Clip to [0.9 * min, 1.1 * max]; a missing bound leaves that side open."""
-    low = low if isinstance(low, Column) or low is None else F.lit(float(low))
-    high = high if isinstance(high, Column) or high is None else F.lit(float(high))
     if low is not None:
-        x = F.greatest(x, low * F.lit(RANGE_LOW))
+        x = f"greatest({x}, {sql(low)} * {double(RANGE_LOW)})"
     if high is not None:
-        x = F.least(x, high * F.lit(RANGE_HIGH))
+        x = f"least({x}, {sql(high)} * {double(RANGE_HIGH)})"
     return x
 
 
-def repair(x: Column, if_nan: Column, if_high: Column | None = None,
-           if_low: Column | None = None) -> Column:
+def repair(x: Sql, if_nan: float | Sql, if_high: float | Sql | None = None,
+           if_low: float | Sql | None = None) -> Sql:
     """Replace null/NaN, +Infinity and -Infinity; run this before the range clip."""
-    out = F.when(x.isNull() | F.isnan(x), if_nan)
+    cases = [f"when {x} is null or isnan({x}) then {sql(if_nan)}"]
     if if_high is not None:
-        out = out.when(x == F.lit(float("inf")), if_high)
+        cases.append(f"when {x} = double('Infinity') then {sql(if_high)}")
     if if_low is not None:
-        out = out.when(x == F.lit(float("-inf")), if_low)
-    return out.otherwise(x)
+        cases.append(f"when {x} = double('-Infinity') then {sql(if_low)}")
+    return f"case {' '.join(cases)} else {x} end"
 
 
-def inject_zero(x: Column, u: Column, zero_ratio: Column | float) -> Column:
+def inject_zero(x: Sql, u: Sql, zero_ratio: float | Sql) -> Sql:
     """Set x to 0 with probability zero_ratio, if that share exceeds 1 %."""
-    zero_ratio = zero_ratio if isinstance(zero_ratio, Column) else F.lit(float(zero_ratio))
-    hit = (zero_ratio > ZERO_RATIO_MIN) & (u < zero_ratio)
-    return F.when(hit, F.lit(0.0)).otherwise(x)
+    share = sql(zero_ratio)
+    return f"if({share} > {double(ZERO_RATIO_MIN)} and {u} < {share}, 0.0D, {x})"

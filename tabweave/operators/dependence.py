@@ -3,39 +3,40 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.functions.normal import normal_quantile
-from tabweave.operators.profile import long_values, name_of, quoted
+from tabweave.functions.normal import normal_quantile, quantile_parts
+from tabweave.functions.text import ident
+from tabweave.operators.profile import named, tall
 from tabweave.sources.scratch import cut_lineage
 
 HOT_SHARE = 1000  # a value on more than 1/1000 of a column's rows is 'hot'
 
 
-def _score(rank, n):
-    return normal_quantile((rank - F.lit(0.5)) / n)
-
-
 def normal_scores(df: DataFrame, cols: list[str]) -> DataFrame:
     """Average-rank normal scores of a bounded sample, one column per input.
 
     Ranks are taken within a column in one task, so the input must be bounded
     (``bounded_sample``).  For whole tables use :func:`normal_scores_at_scale`.
     """
-    tall = long_values(df.withColumn("__row", F.monotonically_increasing_id()), cols, F.col("__row"))
-    by_column = Window.partitionBy("position")
-    ties = F.count("*").over(Window.partitionBy("position", "value"))
-    rank = F.rank().over(by_column.orderBy("value")) + (ties - 1) / F.lit(2.0)
+    numbered = df.withColumn("__row", F.monotonically_increasing_id())
+    ties = "count(*) over (partition by position, value)"
     scored = (
-        tall.withColumn("rank", rank)
-        .withColumn("n", F.count("*").over(by_column))
-        .select("__row", "position", _score(F.col("rank"), F.col("n")).alias("z"))
+        tall(numbered, cols, ["__row"]).where("value is not null")
+        .selectExpr(
+            "__row", "position",
+            f"rank() over (partition by position order by value) + ({ties} - 1) / 2.0D as rank",
+            "count(*) over (partition by position) as n",
+        )
+        .selectExpr("__row", "position", "coalesce((rank - 0.5D) / n, 0.5D) as p")
+        .selectExpr("__row", "position", *quantile_parts("p", "p"))
+        .selectExpr("__row", "position", f"{normal_quantile('p')} as z")
     )
-    return _widen(scored, cols, ["__row"]).drop("__row")
+    return _wide(scored, cols, ["__row"]).drop("__row")
 
 
-def average_ranks(tall: DataFrame) -> DataFrame:
+def average_ranks(cells: DataFrame) -> DataFrame:
     """Average rank of each distinct (position, value), at any table size.
 
     Equal values are counted on the map side, so a hot value is one row.  The
@@ -44,30 +45,27 @@ def average_ranks(tall: DataFrame) -> DataFrame:
     written to the shared checkpoint folder first, so that a lost task cannot
     see another split than the offsets were made for.
     """
-    counts = tall.groupBy("position", "value").agg(F.count("*").alias("ties"))
+    counts = cells.groupBy("position", "value").agg(F.count("*").alias("ties"))
     split = cut_lineage(
         counts.repartitionByRange("position", "value")
         .withColumn("part", F.spark_partition_id())
     )
-    # one row per partition and column: small, and the sum runs over it alone
-    parts = split.groupBy("position", "part").agg(F.sum("ties").alias("rows"))
-    earlier = Window.partitionBy("position").orderBy("part")
-    offsets = parts.select(
+    # one row per partition and column: small, and these sums run over it alone
+    offsets = split.groupBy("position", "part").agg(F.sum("ties").alias("size")).selectExpr(
         "position", "part",
-        F.coalesce(
-            F.sum("rows").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("offset"),
-        F.sum("rows").over(Window.partitionBy("position")).alias("n"),
-    )
-    within = Window.partitionBy("position", "part").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+        "coalesce(sum(size) over (partition by position order by part"
+        " rows between unbounded preceding and 1 preceding), 0L) as offset",
+        "sum(size) over (partition by position) as n",
     )
     return (
-        split.withColumn("upto", F.sum("ties").over(within))
+        split.selectExpr(
+            "*",
+            "sum(ties) over (partition by position, part order by value rows unbounded preceding)"
+            " as upto",
+        )
         .join(F.broadcast(offsets), ["position", "part"])
-        .select(
-            "position", "value", "ties", "n",
-            (F.col("offset") + F.col("upto") - (F.col("ties") - 1) / F.lit(2.0)).alias("rank"),
+        .selectExpr(
+            "position", "value", "ties", "n", "offset + upto - (ties - 1) / 2.0D as rank"
         )
     )
 
@@ -78,33 +76,31 @@ def normal_scores_at_scale(df: DataFrame, cols: list[str], key_cols: list[str])
     Hot values (at most HOT_SHARE of them per column) are joined by broadcast,
     all others by a shuffle in which no key has more than n / HOT_SHARE rows.
     """
-    keys = [quoted(k).alias(f"__key_{i}") for i, k in enumerate(key_cols)]
-    key_names = [f"__key_{i}" for i in range(len(key_cols))]
-    tall = long_values(df, cols, *keys)
+    keys = [f"__key_{i}" for i in range(len(key_cols))]
+    cells = tall(
+        df, cols, [f"{ident(k)} as {name}" for k, name in zip(key_cols, keys)]
+    ).where("value is not null")
     scores = cut_lineage(
-        average_ranks(tall).select(
-            "position", "value", _score(F.col("rank"), F.col("n")).alias("z"),
-            (F.col("ties") * HOT_SHARE > F.col("n")).alias("hot"),
-        )
-    )
-    hot = scores.where("hot").select("position", "value", F.col("z").alias("z_hot"))
-    cold = scores.where(~F.col("hot")).select("position", "value", "z")
-    marked = tall.join(F.broadcast(hot), ["position", "value"], "left")
-    done = marked.where(F.col("z_hot").isNotNull()).select(
-        *key_names, "position", F.col("z_hot").alias("z")
+        average_ranks(cells)
+        .selectExpr("*", f"ties * {HOT_SHARE}L > n as hot", "coalesce((rank - 0.5D) / n, 0.5D) as p")
+        .selectExpr("position", "value", "hot", *quantile_parts("p", "p"))
+        .selectExpr("position", "value", "hot", f"{normal_quantile('p')} as z")
     )
+    hot = scores.where("hot").selectExpr("position", "value", "z as z_hot")
+    cold = scores.where("not hot").select("position", "value", "z")
+    marked = cells.join(F.broadcast(hot), ["position", "value"], "left")
+    done = marked.where("z_hot is not null").selectExpr(*keys, "position", "z_hot as z")
     rest = (
-        marked.where(F.col("z_hot").isNull()).drop("z_hot")
+        marked.where("z_hot is null").drop("z_hot")
         .join(cold, ["position", "value"])
-        .select(*key_names, "position", "z")
+        .select(*keys, "position", "z")
     )
-    return _widen(done.unionByName(rest), cols, key_names).drop(*key_names)
+    return _wide(done.unionByName(rest), cols, keys).drop(*keys)
 
 
-def _widen(scored: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
+def _wide(scored: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
     return scored.groupBy(*keys).agg(*(
-        F.first(F.when(F.col("position") == i, F.col("z")), ignorenulls=True).alias(c)
-        for i, c in enumerate(cols)
+        F.expr(f"first(if(position = {i}, z, null), true)").alias(c) for i, c in enumerate(cols)
     ))
 
 
@@ -115,18 +111,13 @@ def pairwise_correlation(df: DataFrame, cols: list[str]) -> DataFrame:
     one partial aggregate per pair and task is shuffled.
     """
     d = len(cols)
-    x = F.col("x")
     return (
-        df.select(F.array(*(quoted(c) for c in cols)).alias("x"))
-        .select("x", F.explode(F.sequence(F.lit(0), F.lit(d - 2))).alias("i"))
-        .select("x", "i", F.explode(F.sequence(F.col("i") + 1, F.lit(d - 1))).alias("j"))
+        df.selectExpr(f"array({', '.join(map(ident, cols))}) as x")
+        .selectExpr("x", f"explode(sequence(0, {d - 2})) as i")
+        .selectExpr("x", "i", f"explode(sequence(i + 1, {d - 1})) as j")
         .groupBy("i", "j")
-        .agg(F.corr(F.get(x, F.col("i")), F.get(x, F.col("j"))).alias("rho"))
-        .select(
-            name_of(cols, F.col("i")).alias("col_i"),
-            name_of(cols, F.col("j")).alias("col_j"),
-            "rho",
-        )
+        .agg(F.expr("corr(get(x, i), get(x, j))").alias("rho"))
+        .selectExpr(f"{named(cols, 'i')} as col_i", f"{named(cols, 'j')} as col_j", "rho")
     )
 
 

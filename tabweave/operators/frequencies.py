@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabweave.operators.profile import long_values, name_of
+from tabweave.functions.text import Sql, double
+from tabweave.operators.profile import named, tall
 
 SMOOTHING = 0.01  # fixed value: added to every category share
 
@@ -16,22 +17,24 @@ def category_frequencies(df: DataFrame, cols: list[str]) -> DataFrame:
     Counts collapse on the map side; the totals have one row per column, so the
     join back to them is a broadcast of at most ``len(cols)`` rows.
     """
-    counts = long_values(df, cols).groupBy("position", "value").agg(F.count("*").alias("n"))
+    counts = (
+        tall(df, cols).where("value is not null")
+        .groupBy("position", "value").agg(F.count("*").alias("n"))
+    )
     totals = counts.groupBy("position").agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(totals), "position").select(
-        name_of(cols, F.col("position")).alias("col_name"),
-        "value",
-        (F.col("n") / F.col("total")).alias("p"),
+    return counts.join(F.broadcast(totals), "position").selectExpr(
+        f"{named(cols)} as col_name", "value", "n / total as p"
     )
 
 
 def smooth(frequencies: DataFrame, epsilon: float = SMOOTHING) -> DataFrame:
     """Laplace smoothing of the shares within each column."""
+    e = double(epsilon)
     totals = frequencies.groupBy("col_name").agg(
-        (F.sum("p") + F.lit(epsilon) * F.count("*")).alias("total")
+        F.expr(f"sum(p) + {e} * count(*)").alias("total")
     )
-    return frequencies.join(F.broadcast(totals), "col_name").select(
-        "col_name", "value", ((F.col("p") + F.lit(epsilon)) / F.col("total")).alias("p")
+    return frequencies.join(F.broadcast(totals), "col_name").selectExpr(
+        "col_name", "value", f"(p + {e}) / total as p"
     )
 
 
@@ -43,18 +46,15 @@ def cumulate(smoothed: DataFrame) -> DataFrame:
     return smoothed.withColumn("cum", F.sum("p").over(order))
 
 
-def draw_category(u: Column, categories: list[tuple[float, float]]) -> Column:
+def draw_category(u: Sql, categories: list[tuple[float, float]]) -> Sql:
     """Pick a value by inverse CDF; ``categories`` is [(value, cumulative share)].
 
     The last category takes whatever rounding leaves above its running share.
     """
     if not categories:
-        return F.lit(None).cast("double")
+        return "cast(null as double)"
     *head, (last, _) = categories
     if not head:
-        return F.lit(float(last))
-    chain = None
-    for value, cum in head:
-        hit = u < F.lit(float(cum))
-        chain = (F.when if chain is None else chain.when)(hit, F.lit(float(value)))
-    return chain.otherwise(F.lit(float(last)))
+        return double(last)
+    cases = " ".join(f"when {u} < {double(cum)} then {double(v)}" for v, cum in head)
+    return f"case {cases} else {double(last)} end"

@@ -5,65 +5,61 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.functions import quantiles as Q
 from tabweave.functions.repair import positive
-from tabweave.operators.profile import as_doubles, one_row_per_column
+from tabweave.functions.text import Sql, string
+from tabweave.operators.profile import per_column
 
 MIN_POSITIVES = 10   # fixed value: fewer positive values than this give a normal law
 
 # Model parameters, in the order of the law table's columns.
 PARAMETERS = ("loc", "scale", "shape", "s", "c", "a", "b", "df")
-LAW_FIELDS = ", ".join(
+LAW_SCHEMA = "col_name string, family string, " + ", ".join(
     f"p_{p} {'int' if p == 'df' else 'double'}" for p in PARAMETERS
 )
-LAW_SCHEMA = f"col_name string, family string, {LAW_FIELDS}"
 
 
-def law(family: str, **params: Column) -> Column:
+def law(family: str, **params: Sql) -> Sql:
     """A law as a struct whose fields are the law table's columns."""
-    fields = [F.lit(family).alias("family")]
+    fields = ["'family'", string(family)]
     for p in PARAMETERS:
         kind = "int" if p == "df" else "double"
-        fields.append(params.get(p, F.lit(None)).cast(kind).alias(f"p_{p}"))
-    return F.struct(*fields)
+        fields += [f"'p_{p}'", f"cast({params.get(p, 'null')} as {kind})"]
+    return f"named_struct({', '.join(fields)})"
 
 
 def moments(df: DataFrame, cols: list[str], *, positive_only: bool = False) -> DataFrame:
     """n, mean, population std, min, max and log moments per column, one pass."""
-
-    def measures(x: Column) -> dict[str, Column]:
-        x = positive(x) if positive_only else x
-        shifted = x + F.lit(1e-10)
-        logs = F.ln(F.when(shifted > 0, shifted))
-        return {
-            "n": F.count(x),
-            "mean": F.avg(x),
-            "std": F.stddev_pop(x),
-            "min": F.min(x),
-            "max": F.max(x),
-            "log_mean": F.avg(logs),
-            "log_std": F.stddev_pop(logs),
-        }
-
-    return one_row_per_column(as_doubles(df, cols), cols, measures)
+    x = positive("value") if positive_only else "value"
+    logs = f"ln(if({x} + 1e-10D > 0, {x} + 1e-10D, null))"
+    return per_column(df, cols, {
+        "n": f"count({x})",
+        "mean": f"avg({x})",
+        "std": f"stddev_pop({x})",
+        "min": f"min({x})",
+        "max": f"max({x})",
+        "log_mean": f"avg({logs})",
+        "log_std": f"stddev_pop({logs})",
+    })
 
 
 @dataclass(frozen=True)
 class Family:
     """A distribution family.
 
-    ``fit`` returns parameters as Columns over the columns of :func:`moments`.
-    ``quantile(draw, params)`` turns a draw into a value.  ``uses`` names the
-    part of the draw it reads: ``"z"`` (standard normal), ``"u"`` (percentile)
-    or ``"score"`` (a quantile table over the parameters in ``table``).
+    ``fit`` gives parameters as SQL over the columns of :func:`moments`.
+    ``quantile(draw, params)`` turns a draw into a value, also as SQL.  ``uses``
+    names the part of the draw it reads: ``"z"`` (standard normal), ``"u"``
+    (percentile) or ``"score"`` (a quantile table over the parameters in
+    ``table``).
     """
 
     name: str
-    fit: Callable[[], dict[str, Column]]
-    quantile: Callable[[Q.Draw, dict[str, Column]], Column]
+    fit: dict[str, Sql]
+    quantile: Callable[[Q.Draw, Q.Params], Sql]
     uses: str = "u"
     table: tuple[str, ...] = ()
 
@@ -73,69 +69,49 @@ FAMILIES: dict[str, Family] = {}
 
 def register_family(
     name: str,
-    quantile: Callable[[Q.Draw, dict[str, Column]], Column],
-    fit: Callable[[], dict[str, Column]],
+    quantile: Callable[[Q.Draw, Q.Params], Sql],
+    fit: dict[str, Sql],
     uses: str = "u",
 ) -> None:
-    """Add a family from Column-valued functions; parameters as in PARAMETERS."""
+    """Add a family; its parameters must be among PARAMETERS."""
     if uses not in ("u", "z"):
         raise ValueError("a registered family reads 'u' or 'z'")
+    if not set(fit) <= set(PARAMETERS):
+        raise ValueError(f"parameters must be among {PARAMETERS}")
     FAMILIES[name] = Family(name, fit, quantile, uses)
 
 
-def _floor(x: Column, low: float) -> Column:
-    return F.greatest(x, F.lit(low))
-
-
-def _whole(mean: Column) -> Column:
-    """Degrees of freedom: the mean cut to a whole number, at least 1."""
-    return F.greatest(mean.cast("int"), F.lit(1))
-
-
-def _range() -> dict[str, Column]:
-    return {"loc": F.col("min"), "scale": F.col("max") - F.col("min")}
-
-
-def _gamma_fit() -> dict[str, Column]:
-    mean, std = F.col("mean"), F.col("std")
-    return {
-        "shape": _floor(F.pow(F.try_divide(mean, _floor(std, 1e-6)), F.lit(2.0)), 0.1),
-        "scale": _floor(F.try_divide(std * std, _floor(mean, 1e-6)), 0.1),
-    }
-
+_SPAN = {"loc": "min", "scale": "max - min"}
+_WHOLE_MEAN = "greatest(cast(mean as int), 1)"
 
 # Fixed values inside the fits: the floors 1e-6 and 0.1, weibull c = 1.5 and
 # beta a = b = 2.
 for _family in (
+    Family("normal", {"loc": "mean", "scale": "greatest(std, 1e-6D)"}, Q.normal, "z"),
+    Family("lognormal", {"s": "log_std", "scale": "exp(log_mean)"}, Q.lognormal, "z"),
     Family(
-        "normal",
-        lambda: {"loc": F.col("mean"), "scale": _floor(F.col("std"), 1e-6)},
-        Q.normal, "z",
+        "gamma",
+        {
+            "shape": "greatest(power(mean / greatest(std, 1e-6D), 2.0D), 0.1D)",
+            "scale": "greatest(std * std / greatest(mean, 1e-6D), 0.1D)",
+        },
+        Q.gamma, "score", ("shape",),
     ),
-    Family(
-        "lognormal",
-        lambda: {"s": F.col("log_std"), "scale": F.exp("log_mean")},
-        Q.lognormal, "z",
-    ),
-    Family("gamma", _gamma_fit, Q.gamma, "score", ("shape",)),
-    Family("exponential", lambda: {"scale": F.col("mean")}, Q.exponential),
-    Family("weibull", lambda: {"c": F.lit(1.5), "scale": F.col("mean")}, Q.weibull),
-    Family(
-        "beta",
-        lambda: {"a": F.lit(2.0), "b": F.lit(2.0), **_range()},
-        Q.beta, "score", ("a", "b"),
-    ),
-    Family("uniform", _range, Q.uniform),
-    Family("chi2", lambda: {"df": _whole(F.col("mean"))}, Q.chi2, "score", ("df",)),
+    Family("exponential", {"scale": "mean"}, Q.exponential),
+    Family("weibull", {"c": "1.5D", "scale": "mean"}, Q.weibull),
+    Family("beta", {"a": "2.0D", "b": "2.0D", **_SPAN}, Q.beta, "score", ("a", "b")),
+    Family("uniform", _SPAN, Q.uniform),
+    Family("chi2", {"df": _WHOLE_MEAN}, Q.chi2, "score", ("df",)),
 ):
     FAMILIES[_family.name] = _family
 
 
 def fit_family(df: DataFrame, cols: list[str], family: str) -> DataFrame:
     """Fit one given family to every column: a law table."""
-    fitted = law(family, **FAMILIES[family].fit())
-    return moments(df, cols).select("position", "col_name", fitted.alias("law")).select(
-        "position", "col_name", "law.*"
+    return (
+        moments(df, cols)
+        .selectExpr("position", "col_name", f"{law(family, **FAMILIES[family].fit)} as law")
+        .select("position", "col_name", "law.*")
     )
 
 
@@ -146,43 +122,30 @@ def choose_laws(profile: DataFrame, positives: DataFrame, kurtosis: str = "exces
     The thresholds compare the profile's excess kurtosis as it is;
     ``kurtosis="raw"`` adds 3 first, as they were meant for.
     """
-    mean, std = F.col("mean_s"), F.col("std_s")
-    low, spread = F.col("min_s"), F.col("max_s") - F.col("min_s")
-    skew = F.col("skewness")
-    kurt = F.col("kurtosis") + (3.0 if kurtosis == "raw" else 0.0)
-    few = F.col("n_s") < MIN_POSITIVES
-    normal = law("normal", loc=mean, scale=std)
-    rules = (
-        (few, law("normal", loc=F.col("mean_nonzero"), scale=F.col("std_nonzero"))),
-        (F.col("max_s") <= 1, law("beta", a=F.lit(2.0), b=F.lit(2.0), loc=low, scale=spread)),
-        (skew > 2, law("exponential", scale=mean)),
-        (
-            (skew > 0.5) & (kurt > 3),
-            law("lognormal", s=_floor(F.try_divide(std, mean), 0.1), scale=mean),
-        ),
-        (
-            skew > 0.5,
-            law(
-                "gamma",
-                shape=F.when(std > 0, _floor(F.pow(F.try_divide(mean, std), F.lit(2.0)), 0.1)),
-                scale=_floor(F.try_divide(std * std, mean), 0.1),
-            ),
-        ),
-        ((F.abs(skew) < 0.5) & (F.abs(kurt - 3) < 1), normal),
-        (kurt < 1.5, law("uniform", loc=low, scale=spread)),
-        (kurt > 5, law("chi2", df=_whole(mean))),
-    )
-    chosen = F
-    for condition, outcome in rules:
-        chosen = chosen.when(condition, outcome)
-    chosen = chosen.otherwise(normal)
-    s = positives.select(
-        "col_name", *(F.col(c).alias(c + "_s") for c in ("n", "mean", "std", "min", "max"))
-    )
+    k = "(p.kurtosis + 3)" if kurtosis == "raw" else "p.kurtosis"
+    normal = law("normal", loc="s.mean", scale="s.std")
+    span = {"loc": "s.min", "scale": "s.max - s.min"}
+    gamma = {
+        "shape": "if(s.std > 0, greatest(power(try_divide(s.mean, s.std), 2.0D), 0.1D), null)",
+        "scale": "greatest(try_divide(s.std * s.std, s.mean), 0.1D)",
+    }
+    lognormal = {"s": "greatest(try_divide(s.std, s.mean), 0.1D)", "scale": "s.mean"}
+    rules = [
+        (f"coalesce(s.n, 0) < {MIN_POSITIVES}",
+         law("normal", loc="p.mean_nonzero", scale="p.std_nonzero")),
+        ("s.max <= 1", law("beta", a="2.0D", b="2.0D", **span)),
+        ("p.skewness > 2", law("exponential", scale="s.mean")),
+        (f"p.skewness > 0.5 and {k} > 3", law("lognormal", **lognormal)),
+        ("p.skewness > 0.5", law("gamma", **gamma)),
+        (f"abs(p.skewness) < 0.5 and abs({k} - 3) < 1", normal),
+        (f"{k} < 1.5", law("uniform", **span)),
+        (f"{k} > 5", law("chi2", df="greatest(cast(s.mean as int), 1)")),
+    ]
+    cases = " ".join(f"when {condition} then {outcome}" for condition, outcome in rules)
     # both sides hold one row per modelled column
     return (
-        profile.where(~F.col("is_binary"))
-        .join(F.broadcast(s), "col_name")
-        .select("position", "col_name", chosen.alias("law"))
+        profile.where("not is_binary").alias("p")
+        .join(F.broadcast(positives.alias("s")), "col_name")
+        .selectExpr("p.position", "col_name", f"case {cases} else {normal} end as law")
         .select("position", "col_name", "law.*")
     )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.functions.repair import nan_to_null, positive
+from tabweave.functions.text import Sql, ident, string
 
 # The column types that count as numeric, by Spark type name.
 NUMERIC_TYPES = ("integer", "long", "double", "float")
@@ -14,6 +15,12 @@ NARROW_TYPES = ("byte", "short", "decimal")
 DISCRETE_MAX = 10  # fixed value: at most this many distinct values = discrete
 SURELY_MANY = 1000  # estimates above this cannot belong to a discrete column
 
+PROFILE_SCHEMA = (
+    "position int, col_name string, mean double, std double, mean_nonzero double, "
+    "std_nonzero double, skewness double, kurtosis double, min double, max double, "
+    "is_binary boolean, unique_count bigint, zero_ratio double, n_rows bigint"
+)
+
 
 def numeric_columns(df: DataFrame, numeric_types: str = "standard") -> list[str]:
     """Names of the numeric columns in source order.
@@ -33,100 +40,87 @@ def column_roles(df: DataFrame, numeric_types: str = "standard") -> list[tuple[s
     ]
 
 
-def quoted(name: str) -> Column:
-    """A column by its exact name, dots and blanks included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+def number(col_name: str) -> Sql:
+    """A source column as a double, NaN turned to null."""
+    return nan_to_null(f"cast({ident(col_name)} as double)")
 
 
-def as_doubles(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Only the given columns, as doubles with NaN turned to null."""
-    return df.select(*(nan_to_null(quoted(c).cast("double")).alias(c) for c in cols))
+def tall(df: DataFrame, cols: list[str], keep: list[Sql] = []) -> DataFrame:
+    """Unpivot to (kept columns, position, value double), one row per cell.
 
+    Tall rows keep the generated code the same size for 5 columns and for 500.
+    Followed by an aggregate they never leave their task: what is shuffled is
+    one partial row per column (or distinct value) and task.
+    """
+    cells = ", ".join(f"{i}, {number(c)}" for i, c in enumerate(cols))
+    return df.selectExpr(*keep, f"stack({len(cols)}, {cells}) as (position, value)")
 
-def one_row_per_column(df: DataFrame, cols: list[str], measures) -> DataFrame:
-    """Aggregate every column in a single pass and turn the one wide row tall.
 
-    ``measures(x)`` maps a column to {measure name: aggregate}.  No data row is
-    shuffled: each task sends one partial row.
-    """
-    aggregates, rows = [], []
-    for i, c in enumerate(cols):
-        named = measures(quoted(c))
-        aggregates += [agg.alias(f"{name}_{i}") for name, agg in named.items()]
-        rows.append(
-            F.struct(
-                F.lit(i).alias("position"),
-                F.lit(c).alias("col_name"),
-                *(F.col(f"{name}_{i}").alias(name) for name in named),
-            )
-        )
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
-
-
-def long_values(df: DataFrame, cols: list[str], *keep: Column) -> DataFrame:
-    """Unpivot to (kept columns, position, value double), nulls dropped."""
-    pairs = []
-    for i, c in enumerate(cols):
-        pairs += [F.lit(i), nan_to_null(quoted(c).cast("double"))]
-    tall = df.select(*keep, F.stack(F.lit(len(cols)), *pairs).alias("position", "value"))
-    return tall.where(F.col("value").isNotNull())
+def named(cols: list[str], position: Sql = "position") -> Sql:
+    """Column name for a position, by lookup in a literal array."""
+    return f"get(array({', '.join(map(string, cols))}), {position})"
 
 
-def name_of(cols: list[str], position: Column) -> Column:
-    """Column name for a position, as a lookup in a literal array."""
-    return F.get(F.array(*(F.lit(c) for c in cols)), position)
+def per_column(df: DataFrame, cols: list[str], measures: dict[str, Sql]) -> DataFrame:
+    """Aggregates over ``value`` for every column: (position, col_name, measures).
+
+    Columns without any row get a row of nulls, so an empty table still has a
+    profile.  Both sides of the join hold one row per column.
+    """
+    found = tall(df, cols).groupBy("position").agg(
+        *(F.expr(agg).alias(name) for name, agg in measures.items())
+    )
+    every = df.sparkSession.createDataFrame(list(enumerate(cols)), "position int, col_name string")
+    return every.join(F.broadcast(found), "position", "left")
 
 
 def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Exact distinct non-null values per column: (position, unique_count).
+    """Exact distinct non-null values per column: (col_name, unique_count).
 
     One shuffle of the distinct (column, value) pairs.  A value that fills a
     third of the table collapses on the map side, so there is no hot task.
     Whole numbers are compared as bigint: a double would merge large ids.
     """
     types = {f.name: f.dataType.typeName() for f in df.schema.fields}
-    triples = []
+    cells = []
     for i, c in enumerate(cols):
-        x = quoted(c)
         if types[c] in ("byte", "short", "integer", "long"):
-            whole, real = x.cast("bigint"), F.lit(None).cast("double")
+            cells.append(f"{i}, cast({ident(c)} as bigint), cast(null as double)")
         else:
-            whole, real = F.lit(None).cast("bigint"), nan_to_null(x.cast("double"))
-        triples += [F.lit(i), whole, real]
+            cells.append(f"{i}, cast(null as bigint), {number(c)}")
     return (
-        df.select(F.stack(F.lit(len(cols)), *triples).alias("position", "whole", "real"))
-        .where(F.col("whole").isNotNull() | F.col("real").isNotNull())
+        df.selectExpr(f"stack({len(cols)}, {', '.join(cells)}) as (position, whole, real)")
+        .where("whole is not null or real is not null")
         .distinct()
         .groupBy("position")
         .agg(F.count("*").alias("unique_count"))
+        .selectExpr(f"{named(cols)} as col_name", "unique_count")
     )
 
 
-def _measures(x: Column) -> dict[str, Column]:
-    pos = positive(x)
-    return {
-        "n_rows": F.count("*"),
-        "n": F.count(x),
-        "avg_all": F.avg(x),
-        "std_all": F.stddev_samp(x),
-        "skew_pop": F.skewness(x),
-        "kurt_pop": F.kurtosis(x),
-        "min": F.min(x),
-        "max": F.max(x),
-        "n_pos": F.count(pos),
-        "avg_pos": F.avg(pos),
-        "std_pos": F.stddev_pop(pos),
-        "n_zero": F.count(F.when(x == 0, 1)),
-    }
-
-
-def _bias_corrected(n: Column, skew: Column, kurt: Column) -> tuple[Column, Column]:
+_POS = positive("value")
+MEASURES: dict[str, Sql] = {
+    "n_rows": "count(*)",
+    "n": "count(value)",
+    "avg_all": "avg(value)",
+    "std_all": "stddev_samp(value)",
+    "skew_pop": "skewness(value)",
+    "kurt_pop": "kurtosis(value)",
+    "min": "min(value)",
+    "max": "max(value)",
+    "n_pos": f"count({_POS})",
+    "avg_pos": f"avg({_POS})",
+    "std_pos": f"stddev_pop({_POS})",
+    "n_zero": "count(if(value = 0, 1, null))",
+}
+
+
+def _bias_corrected() -> tuple[Sql, Sql]:
     """Sample skewness and excess kurtosis from the population ones."""
-    n = n.cast("double")
-    g1 = F.when(n > 2, skew * F.try_divide(F.sqrt(n * (n - 1)), n - 2))
-    g2 = F.when(
-        n > 3,
-        F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * kurt + 6),
+    g1 = "if(n > 2, skew_pop * try_divide(sqrt(double(n) * (n - 1)), double(n - 2)), null)"
+    g2 = (
+        "if(n > 3, try_divide(double(n - 1), double(n - 2) * (n - 3))"
+        " * ((n + 1) * kurt_pop + 6), null)"
     )
     return g1, g2
 
@@ -147,9 +141,9 @@ def profile(
 
     ``distinct="exact"`` counts distinct values exactly, at the price of
     shuffling them.  ``distinct="adaptive"`` (for very large tables) takes a
-    fixed-size sketch in the same pass and counts exactly only the columns
-    whose estimate is small, so ``is_binary`` stays exact and no high-cardinality
-    column is shuffled; the ``unique_count`` of the others is an estimate.
+    fixed-size sketch first and counts exactly only the columns whose estimate
+    is small, so ``is_binary`` stays exact and no high-cardinality column is
+    shuffled; the ``unique_count`` of the others is an estimate.
     """
     if bias not in ("population", "sample"):
         raise ValueError(f"bias must be 'population' or 'sample', not {bias!r}")
@@ -158,75 +152,43 @@ def profile(
     cols = numeric_columns(df, numeric_types) if cols is None else list(cols)
     if not cols:
         return df.sparkSession.createDataFrame([], PROFILE_SCHEMA)
-
-    def measures(x):
-        out = _measures(x)
-        if distinct == "adaptive":
-            out["sketch"] = F.approx_count_distinct(x, 0.02)
-        return out
-
-    moments = one_row_per_column(as_doubles(df, cols), cols, measures)
+    moments = per_column(df, cols, MEASURES)
     if distinct == "exact":
-        moments = _with_counts(moments, distinct_counts(df, cols))
+        counts = distinct_counts(df, cols)
     else:
-        # d rows come to the driver: the sketch says which columns need counting
-        small_first = moments.collect()
-        moments = df.sparkSession.createDataFrame(small_first, moments.schema)
-        few = [r["col_name"] for r in small_first if r["sketch"] <= SURELY_MANY]
-        if few:
-            counts = distinct_counts(df, few).select(
-                F.get(
-                    F.array(*(F.lit(cols.index(c)) for c in few)), F.col("position")
-                ).alias("position"),
-                "unique_count",
-            )
-            moments = _with_counts(moments, counts, F.when(
-                F.col("sketch") > SURELY_MANY, F.col("sketch")))
-        else:
-            moments = moments.withColumn("unique_count", F.col("sketch"))
-
-    skew, kurt = F.col("skew_pop"), F.col("kurt_pop")
-    std_pos = F.col("std_pos")
+        counts = _adaptive_counts(df, cols)
+    # one row per column on either side
+    moments = moments.join(F.broadcast(counts), "col_name", "left")
+    skew, kurt, std_pos = "skew_pop", "kurt_pop", "std_pos"
     if bias == "sample":
-        skew, kurt = _bias_corrected(F.col("n"), skew, kurt)
-        n_pos = F.col("n_pos").cast("double")
-        std_pos = std_pos * F.sqrt(F.try_divide(n_pos, n_pos - 1))
-    zero = F.lit(0.0)
-    has_positive = F.col("n_pos") > 0
-    return moments.select(
+        skew, kurt = _bias_corrected()
+        std_pos = "std_pos * sqrt(try_divide(double(n_pos), double(n_pos - 1)))"
+    return moments.selectExpr(
         "position",
         "col_name",
-        F.coalesce("avg_all", zero).alias("mean"),
-        F.coalesce("std_all", zero).alias("std"),
-        F.when(has_positive, F.col("avg_pos"))
-        .otherwise(F.coalesce("avg_all", zero)).alias("mean_nonzero"),
-        F.when(has_positive, std_pos)
-        .otherwise(F.coalesce("std_all", zero)).alias("std_nonzero"),
-        F.coalesce(skew, zero).alias("skewness"),
-        F.coalesce(kurt, zero).alias("kurtosis"),
+        "coalesce(avg_all, 0.0D) as mean",
+        "coalesce(std_all, 0.0D) as std",
+        "if(n_pos > 0, avg_pos, coalesce(avg_all, 0.0D)) as mean_nonzero",
+        f"if(n_pos > 0, {std_pos}, coalesce(std_all, 0.0D)) as std_nonzero",
+        f"coalesce({skew}, 0.0D) as skewness",
+        f"coalesce({kurt}, 0.0D) as kurtosis",
         "min",
         "max",
-        (F.col("unique_count") <= discrete_max).alias("is_binary"),
-        "unique_count",
-        F.try_divide(F.col("n_zero").cast("double"), F.col("n_rows").cast("double"))
-        .alias("zero_ratio"),
-        "n_rows",
+        f"coalesce(unique_count, 0L) <= {int(discrete_max)} as is_binary",
+        "coalesce(unique_count, 0L) as unique_count",
+        "try_divide(double(n_zero), double(n_rows)) as zero_ratio",
+        "coalesce(n_rows, 0L) as n_rows",
     )
 
 
-def _with_counts(moments: DataFrame, counts: DataFrame, known: Column | None = None) -> DataFrame:
-    """Attach distinct counts; both sides have one row per column."""
-    found = F.coalesce(F.col("unique_count"), F.lit(0).cast("bigint"))
-    if known is not None:
-        found = F.coalesce(known, found)
-    return (
-        moments.join(F.broadcast(counts), "position", "left")
-        .withColumn("unique_count", found)
-    )
-
-
-PROFILE_SCHEMA = (
-    "position int, col_name string, mean double, std double, mean_nonzero double, "
-    "std_nonzero double, skewness double, kurtosis double, min double, max double, "
-    "is_binary boolean, unique_count bigint, zero_ratio double, n_rows bigint"
-)
+def _adaptive_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Sketch every column (d numbers to the driver), then count the small ones."""
+    sketch = df.agg(
+        *(F.expr(f"approx_count_distinct({number(c)})").alias(f"c{i}") for i, c in enumerate(cols))
+    ).first()
+    many = [(c, sketch[i]) for i, c in enumerate(cols) if sketch[i] > SURELY_MANY]
+    few = [c for i, c in enumerate(cols) if sketch[i] <= SURELY_MANY]
+    estimates = df.sparkSession.createDataFrame(many, "col_name string, unique_count bigint")
+    if not few:
+        return estimates
+    return distinct_counts(df, few).unionByName(estimates)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.functions.randomness import Rng
-from tabweave.operators.profile import quoted
+from tabweave.functions.text import double, ident
 
 SAMPLE_LIMIT = 100_000   # fixed value: default sample size for model fitting
 COPIES_PER_TASK = 100_000
@@ -20,15 +20,16 @@ def _numbered_copies(df: DataFrame) -> DataFrame:
     Copies are counted on the map side.  A row that occurs many times comes back
     as many chunks of at most COPIES_PER_TASK copies, spread over the cluster.
     """
-    cols = [quoted(c) for c in df.columns]
-    chunk = F.lit(COPIES_PER_TASK).cast("bigint")
-    chunks = (
+    cols = [ident(c) for c in df.columns]
+    return (
         df.groupBy(*cols).agg(F.count("*").alias("__n"))
-        .withColumn("__from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1, chunk)))
+        .selectExpr(*cols, "__n", f"explode(sequence(0L, __n - 1, {COPIES_PER_TASK}L)) as __from")
         .repartition("__from", *cols)
+        .selectExpr(
+            *cols,
+            f"explode(sequence(__from, least(__from + {COPIES_PER_TASK}L, __n) - 1)) as __copy",
+        )
     )
-    last = F.least(F.col("__from") + chunk, F.col("__n")) - 1
-    return chunks.select(*cols, F.explode(F.sequence("__from", last)).alias("__copy"))
 
 
 def bounded_sample(
@@ -47,23 +48,22 @@ def bounded_sample(
     table.  The number that passed is checked, and if it falls short the
     threshold is lifted, so the result is always the exact k smallest.
     """
-    source = df
+    source = [ident(c) for c in df.columns]
+    n = df.agg(F.expr("double(count(*))")).scalar()
     if key_cols is None:
         df = _numbered_copies(df)
-        key = [quoted(c) for c in df.columns]
-    else:
-        key = [quoted(c) for c in key_cols]
-    text = F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("~")) for c in key))
-    hashed = rng.uniform(text, "sample")
-    n = source.agg(F.count("*").cast("double")).scalar()
-    share = F.try_divide(F.lit(k + 6.0 * math.sqrt(k) + 10.0), n)
-    # one-row aggregates, evaluated before the main scan
+        key_cols = df.columns
+    key = [ident(c) for c in key_cols]
+    text = "concat_ws('|', " + ", ".join(f"coalesce(cast({c} as string), '~')" for c in key) + ")"
+    hashed = F.expr(rng.uniform(text, "sample"))
+    share = F.try_divide(F.expr(double(k + 6.0 * math.sqrt(k) + 10.0)), n)
+    # one-row aggregates over the key columns, evaluated before the main scan
     passed = df.agg(F.count(F.when(hashed < share, 1)).cast("double")).scalar()
-    enough = passed >= F.least(F.lit(float(k)), n)
+    enough = passed >= F.least(F.expr(double(k)), n)
     return (
         df.withColumn("__u", hashed)
         .where((F.col("__u") < share) | ~enough)
         .orderBy("__u", *key)
         .limit(k)
-        .select(*(quoted(c) for c in source.columns))
+        .selectExpr(*source)
     )

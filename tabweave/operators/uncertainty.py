@@ -8,49 +8,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from tabweave.functions.randomness import Rng, between
+from tabweave.functions.text import Sql, double, sql
 
 BLOCK_ROWS = 10_000   # fixed value: rows that share one draw, at most
 MIN_BLOCKS = 200      # fixed value: a table is cut into at least this many blocks
 POSITIVE_FLOOR = 1e-6  # fixed value: lower limit of scale-like parameters
 FLOORED = ("scale", "shape", "c", "s", "a", "b")
 
+FactorOf = Callable[[str], Sql]
+
 
 def default_block_rows(n: int) -> int:
     """Rows per block; depends on the table size only, never on partitioning."""
     return max(1, min(BLOCK_ROWS, -(-n // MIN_BLOCKS)))
 
 
-def factor(rng: Rng, block: Column, in_level: Column | float, tag: str) -> Column:
+def factor(rng: Rng, block: Sql, in_level: float | Sql, tag: str) -> Sql:
     """A draw from [1 - IN, 1 + IN] for one block."""
-    in_level = in_level if isinstance(in_level, Column) else F.lit(float(in_level))
-    one = F.lit(1.0)
-    return between(rng.uniform(block, tag), one - in_level, one + in_level)
+    level = sql(in_level)
+    return between(rng.uniform(block, tag), f"(1.0D - {level})", f"(1.0D + {level})")
 
 
-def widen(params: dict[str, Column], factor_of: Callable[[str], Column]) -> dict[str, Column]:
+def widen(params: dict[str, Sql], factor_of: FactorOf) -> dict[str, Sql]:
     """Multiply each parameter by its factor and keep it in its valid range."""
     out = {}
     for name, value in params.items():
-        moved = value * factor_of(name)
+        moved = f"{value} * {factor_of(name)}"
         if name == "df":
-            moved = F.greatest(moved.cast("int"), F.lit(1))
+            moved = f"greatest(cast({moved} as int), 1)"
         elif name in FLOORED:
-            moved = F.greatest(moved, F.lit(POSITIVE_FLOOR))
+            moved = f"greatest({moved}, {double(POSITIVE_FLOOR)})"
         out[name] = moved
     return out
 
 
-def shared(rng: Rng, block: Column, in_level: Column | float, col_name: str):
+def shared(rng: Rng, block: Sql, in_level: float | Sql, col_name: str) -> FactorOf:
     """One factor for all parameters of a column."""
-    g = factor(rng, block, in_level, f"{col_name}/g")
-    return lambda name: g
+    return lambda name: factor(rng, block, in_level, f"{col_name}/g")
 
 
-def independent(rng: Rng, block: Column, in_level: Column | float, col_name: str):
+def independent(rng: Rng, block: Sql, in_level: float | Sql, col_name: str) -> FactorOf:
     """One factor per parameter."""
     return lambda name: factor(rng, block, in_level, f"{col_name}/g/{name}")
 
@@ -59,12 +57,11 @@ MODES = {"shared": shared, "independent": independent}
 
 
 def fallback_normal(
-    mean_nonzero: float | Column, std_nonzero: float | Column, factor_of
-) -> dict[str, Column]:
+    mean_nonzero: float | Sql, std_nonzero: float | Sql, factor_of: FactorOf
+) -> dict[str, Sql]:
     """Parameters for a column without a law: a normal with both moved apart."""
-    mean = mean_nonzero if isinstance(mean_nonzero, Column) else F.lit(float(mean_nonzero))
-    std = std_nonzero if isinstance(std_nonzero, Column) else F.lit(float(std_nonzero))
+    std = f"greatest({sql(std_nonzero)}, {double(POSITIVE_FLOOR)})"
     return {
-        "loc": mean * factor_of("loc"),
-        "scale": F.greatest(std, F.lit(POSITIVE_FLOOR)) * factor_of("scale"),
+        "loc": f"{sql(mean_nonzero)} * {factor_of('loc')}",
+        "scale": f"{std} * {factor_of('scale')}",
     }

@@ -1,68 +1,79 @@
 """Generation: a shuffle-free projection over row ids.
 
-    block numbers -> one indeterminacy factor per block and column
-                  -> row ids of the block -> normals -> correlated normals
-                  -> percentiles -> values -> repair, clip, zeros
+    row id -> its block's indeterminacy factors, and independent normals
+           -> correlated normals -> percentiles (or scores)
+           -> values -> repair, clip, zeros
 
-Each arrow is one ``select`` whose outputs the next one uses several times;
-Catalyst therefore keeps them apart and none is evaluated twice.
+Each arrow is one projection whose outputs the next one uses several times;
+Catalyst therefore keeps them apart and evaluates none of them twice.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from tabweave.functions.normal import normal_cdf, normal_quantile
+from tabweave.functions.normal import normal_cdf, normal_quantile, quantile_parts
 from tabweave.functions.quantiles import Draw
 from tabweave.functions.randomness import Rng, between
-from tabweave.functions.repair import PERCENTILE_FLOOR, clip, clip_range, inject_zero, repair
+from tabweave.functions.repair import (
+    PERCENTILE_FLOOR, ZERO_RATIO_MIN, clip, clip_range, inject_zero, repair,
+)
+from tabweave.functions.scores import ScorePolynomial, z_limit
+from tabweave.functions.text import Sql, double, ident
 from tabweave.operators.dependence import correlation_factor
-from tabweave.operators.frequencies import cumulate, draw_category, smooth
+from tabweave.operators.frequencies import draw_category
 from tabweave.operators.laws import FAMILIES
-from tabweave.operators.quantile_tables import (
-    SHAPE_KNOTS, Axis, knot_row, locate, read_score, score_arrays, score_position, z_limit,
-)
 from tabweave.operators.uncertainty import (
-    MODES, default_block_rows, fallback_normal, widen,
+    BLOCK_ROWS, MODES, FactorOf, default_block_rows, fallback_normal, widen,
 )
 from tabweave.plans.model import Model
 
 ROWS_PER_PARTITION = 4_000_000
-OUTSIDE_LOW, OUTSIDE_HIGH = 0.001, 0.999  # fixed values: range of percentiles outside the copula
+HUGE_METHOD = "spark.sql.codegen.hugeMethodLimit"
+OUTSIDE_LOW, OUTSIDE_HIGH = 0.001, 0.999  # fixed values: percentiles outside the copula
 
 
 @dataclass
-class _Modelled:
+class _Column:
     """A modelled column on its way through the plan."""
 
     name: str
     no: int
     family: str | None
-    params: dict[str, float]
+    params: dict[str, float | None]
     stats: dict
-    in_copula: bool
-    table_no: int | None = None
-    axes: list[list[Axis]] = field(default_factory=list)  # per level, per shape parameter
+    score: ScorePolynomial | None = None
+    factor_of: FactorOf = lambda name: "1.0D"
 
     @property
     def uses(self) -> str:
+        """The part of the draw its quantile function reads."""
+        if self.score is not None:
+            return "score"
         if self.family is None:
             return "z"
-        if self.table_no is None and self.family == "beta":
-            return "u"
-        return FAMILIES[self.family].uses
+        uses = FAMILIES[self.family].uses
+        return "u" if uses == "score" else uses
 
-    def col(self, label: str) -> Column:
-        return F.col(self.label(label))
+    @property
+    def undefined(self) -> bool:
+        """A law whose shape could not be fitted: every value gets repaired."""
+        return self.family is not None and any(v is None for v in self.params.values())
 
-    def label(self, label: str) -> str:
+    def __call__(self, label: str) -> Sql:
         return f"__{label}_{self.no}"
 
 
+def _per_level(levels: list[float]) -> Sql:
+    """The level of a row, from its level number."""
+    if len(levels) == 1:
+        return double(levels[0])
+    cases = " ".join(f"when {i} then {double(v)}" for i, v in enumerate(levels[:-1]))
+    return f"(case __level {cases} else {double(levels[-1])} end)"
+
+
 def _check_levels(in_levels) -> list[float]:
     levels = [float(x) for x in in_levels]
     if not levels or any(not 0.0 <= x < 1.0 for x in levels):
@@ -72,120 +83,6 @@ def _check_levels(in_levels) -> list[float]:
     return levels
 
 
-def _per_level(values: list, level_no: Column) -> Column:
-    """A value that depends on the level; one literal if it does not."""
-    if all(v == values[0] for v in values):
-        return F.lit(values[0])
-    return F.coalesce(F.get(F.array(*(F.lit(v) for v in values)), level_no), F.lit(values[0]))
-
-
-def _shape_axes(column: _Modelled, level: float, independent: bool) -> list[Axis]:
-    """The shape values a column can take at one level."""
-    if column.family == "beta" and not independent:
-        names = ["a"]
-    else:
-        names = list(FAMILIES[column.family].table)
-    axes = []
-    for name in names:
-        value = column.params[name]
-        if name == "df":
-            low = max(int(value * (1.0 - level)), 1)
-            high = max(int(value * (1.0 + level)), 1)
-            axes.append(Axis.spanning(low / 2.0, high / 2.0, min(high - low + 1, 4 * SHAPE_KNOTS)))
-        else:
-            low, high = max(value * (1.0 - level), 1e-6), max(value * (1.0 + level), 1e-6)
-            axes.append(Axis.spanning(low, high, SHAPE_KNOTS))
-    return axes
-
-
-def _plan_tables(columns: list[_Modelled], levels: list[float], independent: bool, floor: float):
-    """Knots of all quantile tables; columns with equal shapes share one."""
-    rows, known = [], {}
-    for column in columns:
-        if column.family is None or FAMILIES[column.family].uses != "score":
-            continue
-        shapes = [column.params.get(p) for p in FAMILIES[column.family].table]
-        if any(s is None for s in shapes):
-            # no spread in the sample: the shape is undefined, the value gets repaired
-            continue
-        if column.family == "beta" and max(levels) == 0.0 and shapes == [2.0, 2.0]:
-            continue  # closed form
-        key = (column.family, *shapes)
-        axes = [_shape_axes(column, x, independent) for x in levels]
-        column.axes = axes
-        if key in known:
-            column.table_no = known[key]
-            continue
-        column.table_no = known[key] = len(known)
-        for level_no, per_level in enumerate(axes):
-            kind = "beta" if column.family == "beta" else "gamma"
-            if kind == "beta" and len(per_level) == 2:
-                grid = [(a, b) for a in per_level[0].values() for b in per_level[1].values()]
-            elif kind == "beta":
-                ratio = column.params["b"] / column.params["a"]
-                grid = [(a, a * ratio) for a in per_level[0].values()]
-            else:
-                grid = [(k, 0.0) for k in per_level[0].values()]
-            for knot, (a, b) in enumerate(grid):
-                rows.append(knot_row(level_no, column.table_no, knot, kind, a, b, floor))
-    return rows, len(known)
-
-
-def _block_columns(column: _Modelled, level_no: Column, factors, mode: str) -> dict[str, Column]:
-    """Parameters of one column for one block of rows."""
-    if column.family is None:
-        return fallback_normal(
-            column.stats["mean_nonzero"], column.stats["std_nonzero"], factors
-        )
-    # whole numbers stay whole: df is cut to an integer after widening
-    exact = {n: F.lit(v if n == "df" else float(v)) for n, v in column.params.items()}
-    return widen(exact, factors)
-
-
-def _corners(column: _Modelled, level_no: Column, params: dict[str, Column]):
-    """Curve numbers and weights for the block's shape."""
-    names = list(FAMILIES[column.family].table)[: len(column.axes[0])]
-    found = []
-    for i, name in enumerate(names):
-        axes = [per_level[i] for per_level in column.axes]
-        x = params[name] * F.lit(0.5) if name == "df" else params[name]
-        index, weight = locate(
-            x,
-            _per_level([a.first for a in axes], level_no),
-            _per_level([1.0 / a.step if a.step else 0.0 for a in axes], level_no),
-            _per_level([a.count - 1 for a in axes], level_no),
-        )
-        counts = _per_level([a.count for a in axes], level_no)
-        found.append((index, weight, counts, all(a.count == 1 for a in axes)))
-    return found
-
-
-def _id_source(spark, n, ids, levels, block_rows, num_partitions, need_blocks):
-    """(id, block, level_no) rows, or (block, level_no, first, last) blocks."""
-    if ids is not None:
-        block = F.floor(F.col("id") / F.lit(block_rows)).cast("bigint")
-        rows = ids.select("id", block.alias("__block"))
-        if len(levels) > 1:
-            every = F.array(*(F.lit(i) for i in range(len(levels))))
-            return rows.withColumn("__level", F.explode(every)), False
-        return rows.withColumn("__level", F.lit(0)), False
-    if not need_blocks and len(levels) == 1:
-        rows = spark.range(0, n, 1, num_partitions)
-        return rows.withColumn("__block", F.lit(0)).withColumn("__level", F.lit(0)), False
-    # blocks of one level are neighbours, so a task writes one or two levels
-    per_level = -(-n // block_rows)
-    total = per_level * len(levels)
-    blocks = spark.range(0, total, 1, max(1, min(num_partitions, total)))
-    number = F.col("id")
-    return (
-        blocks.select(
-            F.expr(f"cast(id div {per_level} as int)").alias("__level"),
-            (number % per_level).alias("__block"),
-        ),
-        True,
-    )
-
-
 def default_partitions(spark: SparkSession, rows: int) -> int:
     """Enough partitions to fill the cluster and to keep each one moderate."""
     return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_PARTITION))
@@ -211,221 +108,196 @@ def generate(
 
     The result depends on (model, n, level, seed, block_rows) only: not on the
     number of partitions, the cluster or retries.  ``ids`` replaces the row ids
-    0..n-1 by those of a table.  ``copula=False`` draws columns independently.
+    0..n-1 by the ``id`` column of a table.  ``copula=False`` draws the columns
+    independently.  Columns come back as doubles in source order.
     """
     levels = _check_levels(in_levels)
     if (n is None) == (ids is None):
         raise ValueError("give either n or ids")
     if fuzz not in MODES:
         raise ValueError(f"fuzz must be one of {sorted(MODES)}")
-    keep_level = len(levels) > 1 if keep_level is None else keep_level
-    n = 0 if n is None else int(n)
-    if block_rows is None:
-        block_rows = default_block_rows(n) if ids is None else 10_000
-    if num_partitions is None:
-        num_partitions = default_partitions(spark, n * len(levels))
-
-    stats, laws = model.statistics(), model.law_of()
-    modelled = []
+    columns = []
     for no, name in enumerate(model.columns):
-        if not stats[name]["is_binary"]:
-            family, params = laws.get(name, (None, {}))
-            modelled.append(_Modelled(name, no, family, params, stats[name], copula))
-    table_rows, n_tables = _plan_tables(modelled, levels, fuzz == "independent", percentile_floor)
-    moving = max(levels) > 0.0
-    rows, blocked = _id_source(
-        spark, n, ids, levels, block_rows, num_partitions, moving or n_tables > 0
+        if not model.statistics[name]["is_binary"]:
+            family, params = model.law_of.get(name, (None, {}))
+            columns.append(_Column(name, no, family, params, model.statistics[name]))
+    _attach_scores(columns, max(levels), fuzz == "independent", percentile_floor)
+
+    tune(spark)
+    if ids is not None:
+        rows = _rows_of(ids, len(levels), block_rows or BLOCK_ROWS)
+    else:
+        n = int(n)
+        parts = num_partitions or default_partitions(spark, n * len(levels))
+        rows = _rows(spark, n, len(levels), block_rows or default_block_rows(n), parts)
+    in_level = _per_level(levels)
+    factors = _factors(columns, rng, fuzz, in_level if max(levels) > 0.0 else None)
+    rows = _draws(rows, factors, columns, model, rng, percentile_floor, copula)
+    keep_level = len(levels) > 1 if keep_level is None else keep_level
+    head = (["id"] if keep_id else []) + ([f"{in_level} as in_level"] if keep_level else [])
+    return _values(rows, columns, model, rng, head)
+
+
+def tune(spark: SparkSession) -> None:
+    """Let Spark split the code of wide projections.
+
+    HotSpot does not compile methods above 8000 bytes and then interprets them,
+    an order of magnitude slower.  Spark's own default allows 65535.  A session
+    that sets the limit itself keeps its value.
+    """
+    if spark.conf.get(HUGE_METHOD, "65535") == "65535":
+        spark.conf.set(HUGE_METHOD, "8000")
+
+
+def _rows(spark, n: int, n_levels: int, size: int, parts: int) -> DataFrame:
+    """(id, level, block).  The rows of a level are neighbours, so that a task,
+    and hence its output files, sees one or two levels."""
+    numbers = spark.range(0, n * n_levels, 1, max(1, min(parts, n * n_levels)))
+    if n_levels == 1:
+        return numbers.selectExpr("id", "0 as __level", f"id div {size}L as __block")
+    per_level = max(n, 1)
+    return numbers.selectExpr(
+        f"id % {per_level}L as id",
+        f"cast(id div {per_level}L as int) as __level",
+        f"(id % {per_level}L) div {size}L as __block",
     )
-    level_no, block = F.col("__level"), F.col("__block")
-    if n_tables:
-        # one row per level, its size checked when the knots were laid out
-        tables = score_arrays(spark, table_rows, percentile_floor)
-        rows = rows.join(
-            F.broadcast(tables.withColumnRenamed("level_no", "__level")), "__level"
-        )
-    table_cols = [f"table_{i}" for i in range(n_tables)]
-    in_level = _per_level(levels, level_no)
-
-    # factors and parameters, once per block
-    factors = {}
-    factor_cols = []
-    for column in modelled:
-        if not moving:
-            factors[column.no] = lambda name: F.lit(1.0)
+
+
+def _rows_of(ids: DataFrame, n_levels: int, size: int) -> DataFrame:
+    """The same for the ids of a table."""
+    every = ", ".join(map(str, range(n_levels)))
+    level = f"explode(array({every}))" if n_levels > 1 else "0"
+    return ids.selectExpr("id", f"{level} as __level", f"cast(id as bigint) div {size}L as __block")
+
+
+def _attach_scores(columns, top_level: float, independent: bool, floor: float) -> None:
+    """Fit the score polynomials the model needs; equal shapes share one."""
+    known = {}
+    for c in columns:
+        if c.family is None or FAMILIES[c.family].uses != "score" or c.undefined:
             continue
-        make = MODES["independent" if column.family is None else fuzz](
-            rng, block, in_level, column.name
-        )
-        names = ["loc", "scale"] if column.family is None else list(column.params)
-        if fuzz == "shared" and column.family is not None:
-            factor_cols.append(make("").alias(column.label("g")))
-            factors[column.no] = lambda name, c=column: c.col("g")
-        else:
-            for p in names:
-                factor_cols.append(make(p).alias(column.label(f"g_{p}")))
-            factors[column.no] = lambda name, c=column: c.col(f"g_{name}")
-    base = [c for c in rows.columns]
-    if factor_cols:
-        rows = rows.select(*base, *factor_cols)
-    params: dict[int, dict[str, Column]] = {}
-    param_cols = []
-    for column in modelled:
-        made = _block_columns(column, level_no, factors[column.no], fuzz)
-        if moving:
-            param_cols += [v.alias(column.label(f"p_{k}")) for k, v in made.items()]
-            params[column.no] = {k: column.col(f"p_{k}") for k in made}
+        shape = [c.params[p] for p in FAMILIES[c.family].table]
+        if c.family == "beta" and top_level == 0.0 and shape == [2.0, 2.0]:
+            continue  # closed form
+        ranges = []
+        for value in shape:
+            low, high = value * (1.0 - top_level), value * (1.0 + top_level)
+            if c.family == "chi2":  # the shape is half the whole degrees of freedom
+                low, high = max(int(low), 1) / 2.0, max(int(high), 1) / 2.0
+            ranges.append((low, high))
+        if c.family == "beta" and not independent and shape[0] == shape[1]:
+            ranges = ranges[:1]
+        key = (c.family, *ranges)
+        if key not in known:
+            known[key] = ScorePolynomial.of(c.family, ranges, floor)
+        c.score = known[key]
+
+
+def _factors(columns, rng, fuzz: str, in_level: Sql | None) -> list[Sql]:
+    """One column per indeterminacy factor; sets each column's ``factor_of``."""
+    out = []
+    if in_level is None:
+        return out
+    for c in columns:
+        if c.family is not None and fuzz == "shared":
+            g = MODES["shared"](rng, "__block", in_level, c.name)("")
+            out.append(f"{g} as {c('g')}")
+            c.factor_of = lambda name, c=c: c("g")
         else:
-            params[column.no] = made
-    if param_cols:
-        rows = rows.select(*base, *param_cols)
-    carried = base + [c for c in rows.columns if c.startswith("__p_")]
-
-    corner_cols, corners = [], {}
-    for column in modelled:
-        if column.table_no is None:
-            continue
-        found = _corners(column, level_no, params[column.no])
-        if len(found) == 1 and found[0][3]:
-            corners[column.no] = [(F.lit(0), None)]
-            continue
-        for i, (index, weight, _, _) in enumerate(found):
-            corner_cols += [index.alias(column.label(f"k{i}")), weight.alias(column.label(f"w{i}"))]
-        corners[column.no] = _corner_list(column, found)
-    if corner_cols:
-        rows = rows.select(*carried, *corner_cols)
-        carried = rows.columns
-
-    if blocked:
-        size, top = F.lit(block_rows).cast("bigint"), F.lit(n).cast("bigint")
-        first = block * size
-        row_ids = F.sequence(first, F.least(first + size, top) - 1)
-        carried = [c for c in carried if c != "__block"]
-        rows = rows.select(*carried, F.explode(row_ids).alias("id"))
-        carried = rows.columns
-    else:
-        carried = [c for c in carried if c != "__block"]
+            factor_of = MODES["independent"](rng, "__block", in_level, c.name)
+            out += [f"{factor_of(p)} as {c('g_' + p)}" for p in c.params or ("loc", "scale")]
+            c.factor_of = lambda name, c=c: c("g_" + name)
+    return out
 
-    rows = _draws(rows, carried, modelled, corners, model, rng, percentile_floor, copula)
-    return _values(
-        rows, modelled, params, stats, model, rng, in_level, keep_id, keep_level
-    )
+
+def _parameters(c: _Column) -> dict[str, Sql]:
+    """The column's widened parameters."""
+    if c.family is None:
+        p = fallback_normal(c.stats["mean_nonzero"], c.stats["std_nonzero"], c.factor_of)
+    else:
+        p = widen({
+            k: "cast(null as double)" if v is None else str(int(v)) if k == "df" else double(v)
+            for k, v in c.params.items()
+        }, c.factor_of)
+    return {k: f"({v})" for k, v in p.items()}
 
 
-def _corner_list(column: _Modelled, found) -> list[tuple[Column, Column]]:
-    k0, w0 = column.col("k0"), column.col("w0")
-    one = F.lit(1.0)
-    if len(found) == 1:
-        return [(k0, one - w0), (k0 + F.lit(1), w0)]
-    k1, w1, width = column.col("k1"), column.col("w1"), found[1][2]
-    return [
-        (k0 * width + k1, (one - w0) * (one - w1)),
-        (k0 * width + k1 + F.lit(1), (one - w0) * w1),
-        ((k0 + F.lit(1)) * width + k1, w0 * (one - w1)),
-        ((k0 + F.lit(1)) * width + k1 + F.lit(1), w0 * w1),
-    ]
-
-
-def _draws(rows, carried, modelled, corners, model, rng, floor, copula) -> DataFrame:
-    """Attach each column's draw: z, u or a tabulated score."""
-    key = F.col("id")
-    limit = F.lit(z_limit(floor))
-    if copula and modelled:
-        d = len(modelled)
-        factor = correlation_factor(model.correlation_matrix([c.name for c in modelled]))
+def _draws(rows, factors, columns, model, rng, floor, copula) -> DataFrame:
+    """Attach each column's draw: z, u, or the variables of its score."""
+    carried = ["id", "__level"] + [f.rsplit(" as ", 1)[1] for f in factors]
+    if copula and columns:
         polar, normals = [], []
-        for pair in range((d + 1) // 2):
-            radius, angle = rng.polar(key, f"copula/{pair}")
-            polar += [radius.alias(f"__r{pair}"), angle.alias(f"__a{pair}")]
-            r, a = F.col(f"__r{pair}"), F.col(f"__a{pair}")
-            normals += [(r * F.cos(a)).alias(f"__e{2 * pair}"), (r * F.sin(a)).alias(f"__e{2 * pair + 1}")]
-        rows = rows.select(*carried, *polar).select(*carried, *normals[:d])
+        for i in range((len(columns) + 1) // 2):
+            radius, angle = rng.polar("id", f"copula/{i}")
+            polar += [f"{radius} as __r{i}", f"{angle} as __a{i}"]
+            normals += [f"__r{i} * cos(__a{i}) as __e{2 * i}", f"__r{i} * sin(__a{i}) as __e{2 * i + 1}"]
+        factor = correlation_factor(model.correlation_matrix([c.name for c in columns]))
+        limit = z_limit(floor)
         mixed = []
-        for i, column in enumerate(modelled):
-            z = None
-            for j in range(i + 1):
-                weight = float(factor[i, j])
-                if weight != 0.0:
-                    term = F.lit(weight) * F.col(f"__e{j}")
-                    z = term if z is None else z + term
-            mixed.append(clip(z, -limit, limit).alias(column.label("z")))
-        rows = rows.select(*carried, *mixed)
+        for i, c in enumerate(columns):
+            terms = [f"{double(w)} * __e{j}" for j, w in enumerate(factor[i]) if w != 0.0]
+            mixed.append(f"{clip(' + '.join(terms), -limit, limit)} as {c('z')}")
+        rows = (
+            rows.selectExpr("id", "__level", *factors, *polar)
+            .selectExpr(*carried, *normals[: len(columns)])
+            .selectExpr(*carried, *mixed)
+        )
     else:
-        rows = rows.select(*carried, *(
-            between(rng.uniform(key, f"{c.name}/u"), OUTSIDE_LOW, OUTSIDE_HIGH).alias(c.label("u"))
-            for c in modelled
-        ))
-        rows = rows.select(*carried, *(
-            (c.col("u") if c.uses == "u" else normal_quantile(c.col("u")).alias(c.label("z")))
-            for c in modelled
+        from_u = [c for c in columns if c.uses != "u"]
+        plain = [c("u") for c in columns if c.uses == "u"]
+        rows = rows.selectExpr("id", "__level", *factors, *(
+            f"{between(rng.uniform('id', c.name + '/u'), OUTSIDE_LOW, OUTSIDE_HIGH)} as {c('u')}"
+            for c in columns
+        )).selectExpr(*carried, *plain, *(
+            part for c in from_u for part in quantile_parts(c("u"), c("u"))
+        )).selectExpr(*carried, *plain, *(
+            f"{normal_quantile(c('u'))} as {c('z')}" for c in from_u
         ))
-    if not modelled:
-        return rows
-
-    def step(column: _Modelled) -> Column:
-        if column.table_no is not None:
-            return score_position(column.col("z"), floor).alias(column.label("at"))
-        if column.uses == "u" and copula:
-            return normal_cdf(column.col("z")).alias(column.label("u"))
-        return column.col("u" if column.uses == "u" else "z")
-
-    rows = rows.select(*carried, *(step(c) for c in modelled))
+    parts = []
+    for c in columns:
+        if c.uses == "score":
+            p = _parameters(c)
+            names = FAMILIES[c.family].table[: len(c.score.axes)]
+            shapes = [f"({p[x]} * 0.5D)" if x == "df" else p[x] for x in names]
+            found = c.score.variables(c("z"), shapes)
+            parts += [f"{v} as {c(f'v{i}')}" for i, v in enumerate(found)]
+        elif c.uses == "u" and copula:
+            parts.append(f"{normal_cdf(c('z'))} as {c('u')}")
+        else:
+            parts.append(c(c.uses))
+    return rows.selectExpr(*carried, *parts)
 
-    def read(column: _Modelled) -> Column:
-        if column.table_no is None:
-            return column.col("u" if column.uses == "u" else "z")
-        table = F.col(f"table_{column.table_no}")
-        return read_score(table, column.col("at"), corners[column.no]).alias(column.label("s"))
 
-    if corners:
-        kept = [c for c in carried if not c.startswith(("table_", "__k", "__w"))]
-        rows = rows.select(*kept, *(read(c) for c in modelled))
-    return rows
+def _quantile(c: _Column) -> Sql:
+    if c.undefined:
+        return "cast(null as double)"
+    quantile, p = FAMILIES[c.family or "normal"].quantile, _parameters(c)
+    if c.score is None:
+        return quantile(Draw(**{c.uses: c(c.uses)}), p)
+    count = 1 + sum(half > 0 for _, half in c.score.axes)
+    return quantile(Draw(score=c.score.score([c(f"v{i}") for i in range(count)])), p)
 
 
-def _values(rows, modelled, params, stats, model, rng, in_level, keep_id, keep_level) -> DataFrame:
+def _values(rows, columns, model, rng, head) -> DataFrame:
     """Quantiles, then repair, range clip and zero injection, then assembly."""
-    key = F.col("id")
-    head = [c for c in ("id", "__level") if c in rows.columns]
-    raw = []
-    for column in modelled:
-        raw.append(_quantile(column, params[column.no]).alias(column.label("x")))
-        if column.family is None:
-            raw.append(params[column.no]["loc"].alias(column.label("mu")))
-    rows = rows.select(*head, *raw)
-
-    shares = {}
-    for r in cumulate(smooth(model.frequencies)).orderBy("col_name", "value").collect():
-        shares.setdefault(r["col_name"], []).append((r["value"], r["cum"]))
-    by_name = {c.name: c for c in modelled}
-    out = [key] if keep_id else []
-    if keep_level:
-        out.append(in_level.alias("in_level"))
+    raw = [f"{_quantile(c)} as {c('x')}" for c in columns]
+    raw += [f"{_parameters(c)['loc']} as {c('mu')}" for c in columns if c.family is None]
+    rows = rows.selectExpr("id", "__level", *raw)
+
+    by_name = {c.name: c for c in columns}
+    out = list(head)
     for name in model.columns:
-        s = stats[name]
+        s = model.statistics[name]
         if name not in by_name:
-            x = draw_category(rng.uniform(key, f"{name}/category"), shares.get(name, []))
+            x = draw_category(rng.uniform("id", f"{name}/category"), model.categories.get(name, []))
         else:
-            column = by_name[name]
-            x = column.col("x")
-            if column.family is None:
-                x = repair(x, column.col("mu"))
+            c = by_name[name]
+            if c.family is None:
+                x = repair(c("x"), c("mu"))
             else:
-                bound = [None if s[b] is None else F.lit(float(s[b])) for b in ("max", "min")]
-                x = repair(x, F.lit(float(s["mean_nonzero"])), *bound)
+                x = repair(c("x"), s["mean_nonzero"], s["max"], s["min"])
                 x = clip_range(x, s["min"], s["max"])
-            if s["zero_ratio"] is not None and s["zero_ratio"] > 0.01:
-                x = inject_zero(x, rng.uniform(key, f"{name}/zero"), s["zero_ratio"])
-        out.append(x.cast("double").alias(name))
-    return rows.select(*out)
-
-
-def _quantile(column: _Modelled, p: dict[str, Column]) -> Column:
-    if column.family is None:
-        return FAMILIES["normal"].quantile(Draw(z=column.col("z")), p)
-    family = FAMILIES[column.family]
-    if column.table_no is not None:
-        return family.quantile(Draw(score=column.col("s")), p)
-    if family.uses == "score" and column.family != "beta":
-        return F.lit(None).cast("double")
-    part = column.uses
-    return family.quantile(Draw(**{part: column.col(part)}), p)
+            if s["zero_ratio"] is not None and s["zero_ratio"] > ZERO_RATIO_MIN:
+                x = inject_zero(x, rng.uniform("id", f"{name}/zero"), s["zero_ratio"])
+        out.append(f"{x} as {ident(name)}")
+    return rows.selectExpr(*out)

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tabweave.functions.randomness import Rng
+from tabweave.functions.text import ident
 from tabweave.operators.dependence import normal_scores, pairwise_correlation
-from tabweave.operators.frequencies import category_frequencies
-from tabweave.operators.laws import LAW_SCHEMA, PARAMETERS, choose_laws, moments
-from tabweave.operators.profile import DISCRETE_MAX, numeric_columns, profile, quoted
+from tabweave.operators.frequencies import category_frequencies, cumulate, smooth
+from tabweave.operators.laws import FAMILIES, LAW_SCHEMA, choose_laws, moments
+from tabweave.operators.profile import DISCRETE_MAX, numeric_columns, profile
 from tabweave.operators.sample import SAMPLE_LIMIT, bounded_sample
 from tabweave.sources.scratch import freeze
 
@@ -35,27 +36,39 @@ class Model:
     frequencies: DataFrame
     correlation: DataFrame
 
+    @cached_property
     def statistics(self) -> dict[str, dict]:
         return {r["col_name"]: r.asDict() for r in self.profile.collect()}
 
+    @cached_property
     def law_of(self) -> dict[str, tuple[str, dict[str, float]]]:
-        """column -> (family, its parameters without the unused ones)."""
+        """column -> (family, its parameters; None where undefined)."""
         return {
             r["col_name"]: (
-                r["family"],
-                {p: r[f"p_{p}"] for p in PARAMETERS if r[f"p_{p}"] is not None},
+                r["family"], {p: r[f"p_{p}"] for p in FAMILIES[r["family"]].fit}
             )
             for r in self.laws.collect()
         }
 
+    @cached_property
+    def categories(self) -> dict[str, list[tuple[float, float]]]:
+        """discrete column -> [(value, cumulative smoothed share)]."""
+        found: dict[str, list] = {}
+        for r in cumulate(smooth(self.frequencies)).orderBy("col_name", "value").collect():
+            found.setdefault(r["col_name"], []).append((r["value"], r["cum"]))
+        return found
+
+    @cached_property
+    def pairs(self) -> dict[tuple[str, str], float]:
+        return {(r["col_i"], r["col_j"]): r["rho"] for r in self.correlation.collect()}
+
     def correlation_matrix(self, cols: list[str]) -> np.ndarray:
         """The d x d matrix; missing or undefined pairs count as uncorrelated."""
         at = {c: i for i, c in enumerate(cols)}
         rho = np.eye(len(cols))
-        for r in self.correlation.collect():
-            if r["col_i"] in at and r["col_j"] in at and r["rho"] is not None:
-                i, j = at[r["col_i"]], at[r["col_j"]]
-                rho[i, j] = rho[j, i] = r["rho"]
+        for (a, b), value in self.pairs.items():
+            if a in at and b in at and value is not None:
+                rho[at[a], at[b]] = rho[at[b], at[a]] = value
         return rho
 
 
@@ -98,7 +111,7 @@ def fit_model(
     discrete = [r["col_name"] for r in rows if r["is_binary"]]
     sampled = rows[0]["n_rows"] > sample_limit
     sample = bounded_sample(df, sample_limit, key_cols, rng) if sampled else df
-    sample = sample.select(*(quoted(c) for c in cols))
+    sample = sample.select(*(ident(c) for c in cols))
     if sampled:
         sample = sample.persist()
     try:
