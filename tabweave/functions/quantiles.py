@@ -28,6 +28,11 @@ def log1m(u: Sql) -> Sql:
     return f"coalesce(ln(1.0D - {u}), 0.0D)"
 
 
+def over(top: Sql, positive: Sql) -> Sql:
+    """A quotient whose denominator is positive, typed as never null."""
+    return f"coalesce({top} / {positive}, 0.0D)"
+
+
 def normal(draw: Draw, p: Params) -> Sql:
     return f"{p['loc']} + {p['scale']} * {draw.z}"
 
@@ -56,12 +61,12 @@ def beta_2_2(u: Sql) -> Sql:
 def beta(draw: Draw, p: Params) -> Sql:
     if draw.score is None:
         return f"{p['loc']} + {p['scale']} * {beta_2_2(draw.u)}"
-    logit = f"{draw.score} * power({p['a']} + {p['b']}, -0.5D)"
-    return f"{p['loc']} + {p['scale']} * power(1.0D + exp(-({logit})), -1.0D)"
+    logit = over(draw.score, f"sqrt({p['a']} + {p['b']})")
+    return f"{p['loc']} + " + over(p["scale"], f"(1.0D + exp(-{logit}))")
 
 
 def _unit_gamma(score: Sql, shape: Sql) -> Sql:
-    return f"{shape} * exp({score} * power({shape}, -0.5D))"
+    return f"{shape} * exp({over(score, f'sqrt({shape})')})"
 
 
 def gamma(draw: Draw, p: Params) -> Sql:

@@ -23,7 +23,8 @@ from tabweave.functions.text import Sql, double
 GRID = 20_000        # integration steps of a density
 Z_NODES = 45         # Chebyshev points along z
 SHAPE_NODES = 10     # Chebyshev points along a shape that varies
-TOLERANCE = 2e-7     # relative size of the Chebyshev terms that are dropped
+WIDE = 3.0           # shapes that vary by more than this ratio are taken in logs
+TOLERANCE = 5e-7     # relative size of the Chebyshev terms that are dropped
 
 
 def z_limit(floor: float = PERCENTILE_FLOOR) -> float:
@@ -75,26 +76,51 @@ def curve(family: str, shape: tuple[float, ...], z: np.ndarray, floor: float) ->
     return np.where(z < 0.0, from_low, from_high)
 
 
+@dataclass(frozen=True)
+class Axis:
+    """A shape parameter, normalised to [-1, 1]; in logs if it varies widely."""
+
+    low: float
+    high: float
+
+    @property
+    def fixed(self) -> bool:
+        return self.high <= self.low
+
+    @property
+    def logs(self) -> bool:
+        return self.high > WIDE * self.low
+
+    def nodes(self) -> np.ndarray:
+        if self.fixed:
+            return np.array([self.low])
+        at = chebyshev.chebpts1(SHAPE_NODES)
+        low, high = (math.log(self.low), math.log(self.high)) if self.logs else (self.low, self.high)
+        points = (low + high) / 2.0 + (high - low) / 2.0 * at
+        return np.exp(points) if self.logs else points
+
+    def normalise(self, shape: Sql) -> Sql:
+        low, high = self.low, self.high
+        if self.logs:
+            low, high, shape = math.log(low), math.log(high), f"coalesce(ln({shape}), 0.0D)"
+        return f"({shape} - {double((low + high) / 2.0)}) * {double(2.0 / (high - low))}"
+
+
 @dataclass(frozen=True)
 class ScorePolynomial:
     """score(z, shape...) as a polynomial; powers of z come first."""
 
     coefficients: np.ndarray
     limit: float
-    axes: tuple[tuple[float, float], ...]  # (centre, half width) of each ln shape
+    axes: tuple[Axis, ...]
 
     @classmethod
     def of(cls, family: str, ranges: list[tuple[float, float]], floor: float = PERCENTILE_FLOOR):
         """Fit for shapes inside the given (low, high) ranges."""
         limit = z_limit(floor)
         z = limit * chebyshev.chebpts1(Z_NODES)
-        logs = [(math.log(lo), math.log(hi)) for lo, hi in ranges]
-        axes = tuple(((a + b) / 2.0, (b - a) / 2.0) for a, b in logs)
-        nodes = [
-            np.exp(centre + half * chebyshev.chebpts1(SHAPE_NODES if half > 0 else 1))
-            for centre, half in axes
-        ]
-        grid = np.meshgrid(*nodes, indexing="ij")
+        axes = tuple(Axis(*r) for r in ranges)
+        grid = np.meshgrid(*(axis.nodes() for axis in axes), indexing="ij")
         values = np.empty((Z_NODES, *grid[0].shape))
         for at in np.ndindex(grid[0].shape):
             shape = tuple(float(g[at]) for g in grid)
@@ -102,22 +128,19 @@ class ScorePolynomial:
                 shape = shape * 2
             values[(slice(None), *at)] = curve(family, shape, z, floor)
         # a score of gamma(k) or beta(k, .) moves the value by about its 1/sqrt(k)th
-        scale = max(1.0, math.exp(axes[0][0] / 2.0))
+        scale = math.sqrt(max(1.0, axes[0].low))
         return cls(_to_powers(values, TOLERANCE * scale), limit, axes)
 
     def variables(self, z: Sql, shapes: list[Sql]) -> list[Sql]:
         """z and the shapes that vary, normalised; to be kept as columns."""
-        out = [f"{z} * {double(1.0 / self.limit)}"]
-        for shape, (centre, half) in zip(shapes, self.axes):
-            if half > 0:
-                log = f"coalesce(ln({shape}), 0.0D)"
-                out.append(f"({log} - {double(centre)}) * {double(1.0 / half)}")
-        return out
+        return [f"{z} * {double(1.0 / self.limit)}"] + [
+            axis.normalise(shape) for shape, axis in zip(shapes, self.axes) if not axis.fixed
+        ]
 
     def score(self, variables: list[Sql]) -> Sql:
         """The polynomial over the columns made from :meth:`variables`."""
         varying = iter(variables[1:])
-        named = [variables[0]] + [next(varying) if half > 0 else "0.0D" for _, half in self.axes]
+        named = [variables[0]] + ["0.0D" if axis.fixed else next(varying) for axis in self.axes]
         return _nested(self.coefficients, named)
 
 

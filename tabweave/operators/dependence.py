@@ -21,15 +21,17 @@ def normal_scores(df: DataFrame, cols: list[str]) -> DataFrame:
     (``bounded_sample``).  For whole tables use :func:`normal_scores_at_scale`.
     """
     numbered = df.withColumn("__row", F.monotonically_increasing_id())
-    ties = "count(*) over (partition by position, value)"
+    by_value = "over (partition by position order by value"
+    everything = f"{by_value} rows between unbounded preceding and unbounded following)"
+    # the average rank is half way between the rows below a value and those up to it
     scored = (
         tall(numbered, cols, ["__row"]).where("value is not null")
         .selectExpr(
             "__row", "position",
-            f"rank() over (partition by position order by value) + ({ties} - 1) / 2.0D as rank",
-            "count(*) over (partition by position) as n",
+            f"(rank() {by_value}) - 1.0D) / count(*) {everything} as below",
+            f"cume_dist() {by_value}) as upto",
         )
-        .selectExpr("__row", "position", "coalesce((rank - 0.5D) / n, 0.5D) as p")
+        .selectExpr("__row", "position", "coalesce((below + upto) / 2.0D, 0.5D) as p")
         .selectExpr("__row", "position", *quantile_parts("p", "p"))
         .selectExpr("__row", "position", f"{normal_quantile('p')} as z")
     )

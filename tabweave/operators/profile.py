@@ -13,7 +13,7 @@ NUMERIC_TYPES = ("integer", "long", "double", "float")
 NARROW_TYPES = ("byte", "short", "decimal")
 
 DISCRETE_MAX = 10  # fixed value: at most this many distinct values = discrete
-SURELY_MANY = 1000  # estimates above this cannot belong to a discrete column
+FIRST_ROWS = 1000  # rows looked at to rule out columns that are surely not discrete
 
 PROFILE_SCHEMA = (
     "position int, col_name string, mean double, std double, mean_nonzero double, "
@@ -70,7 +70,9 @@ def per_column(df: DataFrame, cols: list[str], measures: dict[str, Sql]) -> Data
     found = tall(df, cols).groupBy("position").agg(
         *(F.expr(agg).alias(name) for name, agg in measures.items())
     )
-    every = df.sparkSession.createDataFrame(list(enumerate(cols)), "position int, col_name string")
+    every = df.sparkSession.range(0, len(cols), 1, 1).selectExpr(
+        "cast(id as int) as position", f"{named(cols, 'cast(id as int)')} as col_name"
+    )
     return every.join(F.broadcast(found), "position", "left")
 
 
@@ -111,6 +113,8 @@ MEASURES: dict[str, Sql] = {
     "n_pos": f"count({_POS})",
     "avg_pos": f"avg({_POS})",
     "std_pos": f"stddev_pop({_POS})",
+    "min_pos": f"min({_POS})",
+    "max_pos": f"max({_POS})",
     "n_zero": "count(if(value = 0, 1, null))",
 }
 
@@ -139,26 +143,46 @@ def profile(
     ``bias="sample"`` gives bias-corrected skewness and kurtosis and an n-1
     standard deviation of the positive values.
 
-    ``distinct="exact"`` counts distinct values exactly, at the price of
-    shuffling them.  ``distinct="adaptive"`` (for very large tables) takes a
-    fixed-size sketch first and counts exactly only the columns whose estimate
-    is small, so ``is_binary`` stays exact and no high-cardinality column is
-    shuffled; the ``unique_count`` of the others is an estimate.
+    ``distinct="exact"`` counts distinct values, which shuffles them.
+    ``distinct="flags"`` (for very large tables) leaves out the columns that
+    show more than ``discrete_max`` values in a handful of rows already: they
+    cannot be discrete, and their ``unique_count`` is null.  ``is_binary`` is
+    exact either way.
     """
+    return with_positives(
+        df, cols, bias=bias, distinct=distinct, discrete_max=discrete_max,
+        numeric_types=numeric_types,
+    ).drop("n_pos", "avg_pos", "std_pos", "min_pos", "max_pos")
+
+
+def with_positives(
+    df: DataFrame,
+    cols: list[str] | None = None,
+    *,
+    bias: str = "population",
+    distinct: str = "exact",
+    discrete_max: int = DISCRETE_MAX,
+    numeric_types: str = "standard",
+) -> DataFrame:
+    """:func:`profile` with the moments of the positive values from the same pass."""
     if bias not in ("population", "sample"):
         raise ValueError(f"bias must be 'population' or 'sample', not {bias!r}")
-    if distinct not in ("exact", "adaptive"):
-        raise ValueError(f"distinct must be 'exact' or 'adaptive', not {distinct!r}")
+    if distinct not in ("exact", "flags"):
+        raise ValueError(f"distinct must be 'exact' or 'flags', not {distinct!r}")
     cols = numeric_columns(df, numeric_types) if cols is None else list(cols)
     if not cols:
-        return df.sparkSession.createDataFrame([], PROFILE_SCHEMA)
+        extra = "".join(f", {c} double" for c in ("n_pos", "avg_pos", "std_pos", "min_pos", "max_pos"))
+        return df.sparkSession.createDataFrame([], PROFILE_SCHEMA + extra)
+    many = _surely_many(df, cols, discrete_max) if distinct == "flags" else []
+    rest = [c for c in cols if c not in many]
     moments = per_column(df, cols, MEASURES)
-    if distinct == "exact":
-        counts = distinct_counts(df, cols)
+    if rest:
+        # one row per column on either side
+        moments = moments.join(F.broadcast(distinct_counts(df, rest)), "col_name", "left")
     else:
-        counts = _adaptive_counts(df, cols)
-    # one row per column on either side
-    moments = moments.join(F.broadcast(counts), "col_name", "left")
+        moments = moments.withColumn("unique_count", F.lit(None).cast("bigint"))
+    unknown = f"col_name in ({', '.join(map(string, many))})" if many else "false"
+    unique = f"if({unknown}, null, coalesce(unique_count, 0L))"
     skew, kurt, std_pos = "skew_pop", "kurt_pop", "std_pos"
     if bias == "sample":
         skew, kurt = _bias_corrected()
@@ -174,21 +198,18 @@ def profile(
         f"coalesce({kurt}, 0.0D) as kurtosis",
         "min",
         "max",
-        f"coalesce(unique_count, 0L) <= {int(discrete_max)} as is_binary",
-        "coalesce(unique_count, 0L) as unique_count",
+        f"coalesce({unique} <= {int(discrete_max)}, false) as is_binary",
+        f"{unique} as unique_count",
         "try_divide(double(n_zero), double(n_rows)) as zero_ratio",
         "coalesce(n_rows, 0L) as n_rows",
+        "n_pos", "avg_pos", "std_pos", "min_pos", "max_pos",
     )
 
 
-def _adaptive_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Sketch every column (d numbers to the driver), then count the small ones."""
-    sketch = df.agg(
-        *(F.expr(f"approx_count_distinct({number(c)})").alias(f"c{i}") for i, c in enumerate(cols))
-    ).first()
-    many = [(c, sketch[i]) for i, c in enumerate(cols) if sketch[i] > SURELY_MANY]
-    few = [c for i, c in enumerate(cols) if sketch[i] <= SURELY_MANY]
-    estimates = df.sparkSession.createDataFrame(many, "col_name string, unique_count bigint")
-    if not few:
-        return estimates
-    return distinct_counts(df, few).unionByName(estimates)
+def _surely_many(df: DataFrame, cols: list[str], discrete_max: int) -> list[str]:
+    """Columns proved not discrete by the first rows; reads as few as it can."""
+    rows = df.selectExpr(*(f"{number(c)} as c{i}" for i, c in enumerate(cols))).take(FIRST_ROWS)
+    return [
+        c for i, c in enumerate(cols)
+        if len({r[i] for r in rows if r[i] is not None}) > discrete_max
+    ]

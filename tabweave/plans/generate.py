@@ -274,7 +274,7 @@ def _quantile(c: _Column) -> Sql:
     quantile, p = FAMILIES[c.family or "normal"].quantile, _parameters(c)
     if c.score is None:
         return quantile(Draw(**{c.uses: c(c.uses)}), p)
-    count = 1 + sum(half > 0 for _, half in c.score.axes)
+    count = 1 + sum(not axis.fixed for axis in c.score.axes)
     return quantile(Draw(score=c.score.score([c(f"v{i}") for i in range(count)])), p)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -13,7 +14,7 @@ from tabweave.functions.text import ident
 from tabweave.operators.dependence import normal_scores, pairwise_correlation
 from tabweave.operators.frequencies import category_frequencies, cumulate, smooth
 from tabweave.operators.laws import FAMILIES, LAW_SCHEMA, choose_laws, moments
-from tabweave.operators.profile import DISCRETE_MAX, numeric_columns, profile
+from tabweave.operators.profile import DISCRETE_MAX, numeric_columns, profile, with_positives
 from tabweave.operators.sample import SAMPLE_LIMIT, bounded_sample
 from tabweave.sources.scratch import freeze
 
@@ -80,7 +81,7 @@ def fit_model(
     key_cols: list[str] | None = None,
     rng: Rng = Rng(),
     bias: str = "population",
-    distinct: str = "adaptive",
+    distinct: str = "flags",
     kurtosis: str = "excess",
     discrete_max: int = DISCRETE_MAX,
     numeric_types: str = "standard",
@@ -103,9 +104,10 @@ def fit_model(
             spark.createDataFrame([], "col_name string, value double, p double"),
             spark.createDataFrame([], "col_i string, col_j string, rho double"),
         )
-    stats = freeze(
-        profile(df, cols, bias=bias, distinct=distinct, discrete_max=discrete_max), len(cols)
+    wide = freeze(
+        with_positives(df, cols, bias=bias, distinct=distinct, discrete_max=discrete_max), len(cols)
     )
+    stats = wide.drop("n_pos", "avg_pos", "std_pos", "min_pos", "max_pos")
     rows = stats.orderBy("position").collect()
     modelled = [r["col_name"] for r in rows if not r["is_binary"]]
     discrete = [r["col_name"] for r in rows if r["is_binary"]]
@@ -114,27 +116,37 @@ def fit_model(
     sample = sample.select(*(ident(c) for c in cols))
     if sampled:
         sample = sample.persist()
-    try:
-        laws = spark.createDataFrame([], LAW_SCHEMA)
-        if modelled:
-            laws = freeze(
-                choose_laws(
-                    stats, moments(sample, modelled, positive_only=True), kurtosis
-                ).orderBy("position").drop("position"),
-                len(modelled),
-            )
-        frequencies = spark.createDataFrame([], "col_name string, value double, p double")
-        if discrete:
-            frequencies = freeze(
-                category_frequencies(sample, discrete).orderBy("col_name", "value"),
-                discrete_max * len(discrete),
-            )
-        correlation = spark.createDataFrame([], "col_i string, col_j string, rho double")
-        if len(modelled) > 1:
-            correlation = freeze(
-                pairwise_correlation(normal_scores(sample, modelled), modelled),
-                len(modelled) * (len(modelled) - 1) // 2,
+
+    def fit_laws():
+        if not modelled:
+            return spark.createDataFrame([], LAW_SCHEMA)
+        if sampled:
+            positives = moments(sample, modelled, positive_only=True)
+        else:  # the profile pass has seen the same rows
+            positives = wide.selectExpr(
+                "col_name", "n_pos as n", "avg_pos as mean", "std_pos as std",
+                "min_pos as min", "max_pos as max",
             )
+        chosen = choose_laws(stats, positives, kurtosis).orderBy("position").drop("position")
+        return freeze(chosen, len(modelled))
+
+    def fit_frequencies():
+        if not discrete:
+            return spark.createDataFrame([], "col_name string, value double, p double")
+        shares = category_frequencies(sample, discrete).orderBy("col_name", "value")
+        return freeze(shares, discrete_max * len(discrete))
+
+    def fit_correlation():
+        if len(modelled) < 2:
+            return spark.createDataFrame([], "col_i string, col_j string, rho double")
+        pairs = pairwise_correlation(normal_scores(sample, modelled), modelled)
+        return freeze(pairs, len(modelled) * (len(modelled) - 1) // 2)
+
+    try:
+        # three small independent jobs; Spark runs them side by side
+        with ThreadPoolExecutor(3) as pool:
+            parts = [pool.submit(f) for f in (fit_laws, fit_frequencies, fit_correlation)]
+            laws, frequencies, correlation = (p.result() for p in parts)
     finally:
         if sampled:
             sample.unpersist()

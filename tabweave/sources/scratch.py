@@ -46,7 +46,7 @@ def freeze(df: DataFrame, max_rows: int) -> DataFrame:
 
     Raises instead of pulling an unexpectedly large table to the driver.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         raise ValueError(f"a model table has more than {max_rows} rows")
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return df.sparkSession.createDataFrame(rows)

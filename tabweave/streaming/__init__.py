@@ -1,0 +1 @@
+"""Nothing here streams: models are fitted on tables and rows made in batches."""
