@@ -175,10 +175,14 @@ def _nested(c: np.ndarray, variables: list[Sql]) -> Sql:
 
 def _horner(terms: list[Sql | None], x: Sql) -> Sql:
     """Sum of term i times x**i, where None is a missing term."""
-    while terms and terms[-1] is None:
-        terms = terms[:-1]
-    if not terms:
+    present = [i for i, term in enumerate(terms) if term is not None]
+    if not present:
         return "0.0D"
+    # a symmetric law has odd powers only: work in x * x
+    if len(present) > 1 and all(i % 2 == present[0] % 2 for i in present):
+        inner = _horner(terms[present[0] % 2 :: 2], f"({x} * {x})")
+        return f"({inner} * {x})" if present[0] % 2 else inner
+    terms = terms[: present[-1] + 1]
     total = terms[-1]
     for term in terms[-2::-1]:
         total = f"{total} * {x}" if term is None else f"({total} * {x} + {term})"

@@ -115,7 +115,9 @@ def fit_model(
     sample = bounded_sample(df, sample_limit, key_cols, rng) if sampled else df
     sample = sample.select(*(ident(c) for c in cols))
     if sampled:
-        sample = sample.persist()
+        # spread the rows again, and draw them once before three jobs read them
+        sample = sample.repartition(spark.sparkContext.defaultParallelism).persist()
+        sample.count()
 
     def fit_laws():
         if not modelled:

@@ -45,7 +45,7 @@ def presentation(summary: DataFrame) -> DataFrame:
     """A two-phase summary as text: sizes with separators, times as 'm ± s'."""
 
     def shown(phase: str, missing: str, title: str) -> str:
-        std = f"coalesce(format_string('%.2f', {phase}_std), 'nan')"
+        std = f"if({phase}_std is null, 'nan', format_string('%.2f', {phase}_std))"
         text = f"concat(format_string('%.2f', {phase}_mean), ' ± ', {std})"
         return f"if({phase}_mean is null, '{missing}', {text}) as `{title}`"
 
