@@ -72,12 +72,23 @@ def average_ranks(cells: DataFrame) -> DataFrame:
     )
 
 
-def normal_scores_at_scale(df: DataFrame, cols: list[str], key_cols: list[str]) -> DataFrame:
-    """:func:`normal_scores` of a whole table; ``key_cols`` must identify a row.
+def normal_scores_at_scale(
+    df: DataFrame, cols: list[str], key_cols: list[str] | None = None
+) -> DataFrame:
+    """:func:`normal_scores` of a whole table of any size.
+
+    ``key_cols`` must identify a row.  Without them rows are numbered, and the
+    numbers written to the shared checkpoint folder with the columns, so that
+    every later stage sees the same ones.
 
     Hot values (at most HOT_SHARE of them per column) are joined by broadcast,
     all others by a shuffle in which no key has more than n / HOT_SHARE rows.
     """
+    if key_cols is None:
+        df = cut_lineage(
+            df.select(*map(ident, cols)).withColumn("__row", F.monotonically_increasing_id())
+        )
+        key_cols = ["__row"]
     keys = [f"__key_{i}" for i in range(len(key_cols))]
     cells = tall(
         df, cols, [f"{ident(k)} as {name}" for k, name in zip(key_cols, keys)]

@@ -283,7 +283,7 @@ def ranks(spark, folder):
 def normal_score_corr(spark, folder):
     """Correlation of normal scores over the whole table."""
     df = table(spark, folder, "lineitem")
-    scores = normal_scores_at_scale(df, LINEITEM_MODELLED, LINEITEM_KEY)
+    scores = normal_scores_at_scale(df, LINEITEM_MODELLED)
     return rounded(pairwise_correlation(scores, LINEITEM_MODELLED), {"rho": 7})
 
 

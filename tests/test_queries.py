@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from compare import differences, sql_engine
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")

@@ -66,8 +66,13 @@ def test_scores_at_scale_match_the_bounded_ones(spark):
         (r[0], r[1]): r[2]
         for r in pairwise_correlation(normal_scores_at_scale(df, cols, ["id"]), cols).collect()
     }
-    assert a.keys() == b.keys() and len(a) == 3
+    c = {
+        (r[0], r[1]): r[2]
+        for r in pairwise_correlation(normal_scores_at_scale(df, cols), cols).collect()
+    }
+    assert a.keys() == b.keys() == c.keys() and len(a) == 3
     assert all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
+    assert all(a[k] == pytest.approx(c[k], abs=1e-12) for k in a)
     df.unpersist()
 
 
