@@ -251,7 +251,7 @@ def _heavy(power: float) -> str:
     return f"100 + CASE WHEN s < 0.5 THEN -1 ELSE 1 END * power(-ln(e), {d(power)})"
 
 
-DERIVED = f"""(SELECT CASE WHEN o_orderkey < 5 THEN 1 + o_orderkey ELSE -f END AS fewpos, f AS frac, expo,
+DERIVED = f"""(SELECT o_orderkey, CASE WHEN o_orderkey < 5 THEN 1 + o_orderkey ELSE -f END AS fewpos, f AS frac, expo,
       10 * exp({d(0.4)} * z) AS lognorm, -ln(a) - ln(b) - ln(c) - ln(d) AS erlang4,
       {_heavy(1.0)} AS laplace, z + 10 AS gauss, {_heavy(1.3)} AS heavy, {_heavy(0.9)} AS mid,
       CASE WHEN q < 0.3 THEN 0 ELSE expo END AS zeroinfl, floor(5 * f) AS disc
@@ -446,11 +446,43 @@ def cholesky(d_: int) -> list[str]:
     return out
 
 
-def generated(table: str, keys, modelled, discrete, levels, copula=True, digits: int | None = 3) -> str:
+def curve(i: int, family: str) -> list[str]:
+    """CTEs that integrate one law's density for every block's shape."""
+    shape = {"beta": "a", "gamma": "shape", "chi2": "df"}[family]
+    if family == "chi2":
+        k = f"greatest(trunc(law_{i}.df * g_{i}), 1) / 2::DOUBLE"
+    else:
+        k = f"greatest(law_{i}.{shape} * g_{i}, 1e-6)"
+    if family == "beta":
+        ends = "-24 / k AS low, 24 / k AS high"
+        f, slope = "exp(-k * ln(1 + exp(-t)) - k * ln(1 + exp(t)))", "k"
+    else:
+        ends = "(ln(1e-13) + lgamma(k + 1)) / k AS low, ln(k + 12 * sqrt(k) + 40) AS high"
+        f, slope = "exp(k * (t - ln(k)) - (exp(t) - k))", "k"
+    part = "PARTITION BY k ORDER BY j"
+    return [
+        f"shapes_{i} AS MATERIALIZED (SELECT k, row_number() OVER (ORDER BY k) AS no, {ends}"
+        f" FROM (SELECT DISTINCT {k} AS k FROM values_of, law_{i}))",
+        f"grid_{i} AS (SELECT k, j, low + j * (high - low) / {CURVE_STEPS} AS t,"
+        f" (high - low) / {CURVE_STEPS} AS h FROM shapes_{i}, range({CURVE_STEPS} + 1) r(j))",
+        f"sums_{i} AS (SELECT k, j, t, h, f, sum(f) OVER ({part}) AS s, first_value(f) OVER ({part}) AS f0"
+        f" FROM (SELECT *, {f} AS f FROM grid_{i}))",
+        f"mass_{i} AS (SELECT k, j, t, f0 / {slope} + h * (s - (f0 + f) / 2) AS m FROM sums_{i})",
+        f"cdf_{i} AS MATERIALIZED (SELECT no + p AS spot, t, p, lead(t) OVER ({part}) AS t2, lead(p) OVER ({part}) AS p2"
+        f" FROM (SELECT *, m / max(m) OVER (PARTITION BY k) AS p FROM mass_{i} JOIN shapes_{i} USING (k)))",
+    ]
+
+
+CURVE_STEPS = 20_000
+
+
+def generated(table: str, keys, modelled, discrete, levels, copula=True, digits: int | None = 3,
+              tabled=(), before: str = "", block: int = BLOCK) -> str:
     """A synthetic table: laws, scores, factor, draws, values; closed forms only."""
     n = len(modelled)
     moving = max(levels) > 0
-    ctes = [f"fit AS MATERIALIZED {sample_of(table, keys)}"]
+    ctes = [before] if before else []
+    ctes.append(f"fit AS MATERIALIZED {sample_of(table, keys)}")
     for i, c in enumerate(modelled):
         ctes.append(f"law_{i} AS MATERIALIZED ({chosen(table, c, 'fit')})")
     for i, c in enumerate(discrete):
@@ -462,7 +494,7 @@ def generated(table: str, keys, modelled, discrete, levels, copula=True, digits:
     ctes += cholesky(n)
     values = ", ".join(f"({d(x)})" for x in levels)
     ctes.append(
-        f"ids AS (SELECT range AS id, range // {BLOCK} AS block, in_level"
+        f"ids AS (SELECT range AS id, range // {block} AS block, in_level"
         f" FROM range((SELECT count(*) FROM {table})), (VALUES {values}) levels(in_level))"
     )
     limit = 4.753424308817089
@@ -498,6 +530,7 @@ def generated(table: str, keys, modelled, discrete, levels, copula=True, digits:
     out = ["id"] + (["in_level"] if len(levels) > 1 else [])
     joins = []
     shown = {}
+    key = "values_of.id" if tabled else "id"
     for i, c in enumerate(modelled):
         g = factor(f"{c}/g", "block", "in_level") if moving else "1::DOUBLE"
         law = f"law_{i}"
@@ -507,19 +540,57 @@ def generated(table: str, keys, modelled, discrete, levels, copula=True, digits:
           WHEN 'normal' THEN {loc} + {scale} * z_{i} WHEN 'lognormal' THEN {scale} * exp({s} * z_{i})
           WHEN 'exponential' THEN -{scale} * ln(1 - u_{i})
           WHEN 'beta' THEN {loc} + {scale} * (0.5 - sin(asin(1 - 2 * u_{i}) / 3)) END"""
+        if c in tabled:
+            t = f"(cdf_{i}.t + (u_{i} - cdf_{i}.p) / (cdf_{i}.p2 - cdf_{i}.p) * (cdf_{i}.t2 - cdf_{i}.t))"
+            x = {"beta": f"{loc} + {scale} / (1 + exp(-{t}))", "gamma": f"{scale} * exp({t})",
+                 "chi2": f"2 * exp({t})"}[tabled[c]]
         x = f"least(greatest({x}, {law}.min * 0.9::DOUBLE), {law}.max * 1.1::DOUBLE)"
-        x = f"CASE WHEN {law}.zero_ratio > 0.01 AND {uniform(f'{c}/zero', 'id')} < {law}.zero_ratio THEN 0 ELSE {x} END"
+        x = f"CASE WHEN {law}.zero_ratio > 0.01 AND {uniform(f'{c}/zero', key)} < {law}.zero_ratio THEN 0 ELSE {x} END"
         shown[c] = x
         joins.append(law)
         ctes.append(f"moved_{i} AS (SELECT *, {g} AS g_{i} FROM {'percentiles' if i == 0 else f'moved_{i - 1}'})")
     for i, c in enumerate(discrete):
-        u = uniform(f"{c}/category", "id")
+        u = uniform(f"{c}/category", key)
         shown[c] = (
             f"coalesce((SELECT min(value) FROM shares_{i} WHERE {u} < cum), (SELECT max(value) FROM shares_{i}))"
         )
-    order = [c for c in NUMERIC[table] if c in shown]
+    order = [c for c in NUMERIC.get(table, DERIVED_COLUMNS) if c in shown]
     out += [f"{rnd(shown[c], digits) if digits is not None else shown[c]} AS {c}" for c in order]
-    return f"WITH {', '.join(ctes)} SELECT {', '.join(out)} FROM moved_{n - 1}, {', '.join(joins)}"
+    source = f"moved_{n - 1}"
+    if tabled:
+        ctes.append(f"values_of AS MATERIALIZED (SELECT * FROM {source})")
+        source = f"values_of, {', '.join(joins)}"
+        for i, c in enumerate(modelled):
+            if c in tabled:
+                ctes += curve(i, tabled[c])
+                shape = f"greatest(trunc(law_{i}.df * g_{i}), 1) / 2::DOUBLE" if tabled[c] == "chi2" else (
+                    f"greatest(law_{i}.{'a' if tabled[c] == 'beta' else 'shape'} * g_{i}, 1e-6)")
+                ctes.append(
+                    f"step_{i} AS MATERIALIZED (SELECT id, in_level, no + u AS spot FROM (SELECT values_of.id,"
+                    f" values_of.in_level, {shape} AS k, u_{i} AS u FROM values_of, law_{i})"
+                    f" JOIN shapes_{i} USING (k))"
+                )
+                ctes.append(
+                    f"spots_{i} AS MATERIALIZED (SELECT id, in_level, spot, max(CASE WHEN id IS NULL THEN spot END)"
+                    " OVER (ORDER BY spot, id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS at_spot FROM ("
+                    f"SELECT NULL AS id, NULL AS in_level, spot FROM cdf_{i} UNION ALL"
+                    f" SELECT id, in_level, spot FROM step_{i}))"
+                )
+                ctes.append(
+                    f"found_{i} AS MATERIALIZED (SELECT s.id, s.in_level, c.p, c.t,"
+                    f" c.p2, c.t2 FROM spots_{i} s JOIN cdf_{i} c ON s.at_spot = c.spot WHERE s.id IS NOT NULL)"
+                )
+        # the looked-up segments under the names the value expressions use
+        for i, c in enumerate(modelled):
+            if c in tabled:
+                source += f" , found_{i} AS cdf_{i}"
+        same = " AND ".join(
+            f"values_of.id = cdf_{i}.id AND values_of.in_level = cdf_{i}.in_level"
+            for i, c in enumerate(modelled) if c in tabled
+        )
+        out = [f"values_of.{x}" if x in ("id", "in_level") else x for x in out]
+        return f"WITH {', '.join(ctes)} SELECT {', '.join(out)} FROM {source} WHERE {same}"
+    return f"WITH {', '.join(ctes)} SELECT {', '.join(out)} FROM {source}, {', '.join(joins)}"
 
 
 CUSTOMER = ("customer", ["c_custkey"], NUMERIC["customer"], [])
@@ -530,6 +601,29 @@ SQL["generate_orders"] = generated("orders", ["o_orderkey"], NUMERIC["orders"],
 SQL["generate_lineitem"] = generated(
     "lineitem", LINEITEM_KEY, MODELLED, ["l_linenumber", "l_tax"], [0.0]
 )
+
+
+def summary(source: str, groups, digits: dict[str, int]) -> str:
+    cells = ", ".join(
+        f"{rnd(f'avg({c})', n)} AS avg_{c}, {rnd(f'stddev_pop({c})', n)} AS std_{c}"
+        for c, n in digits.items()
+    )
+    by = ", ".join(groups)
+    return f"SELECT {by}, count(*) AS n_rows, {cells} FROM ({source}) GROUP BY {by}"
+
+
+SQL["generate_lineitem_summary"] = summary(
+    generated("lineitem", LINEITEM_KEY, MODELLED, ["l_linenumber", "l_tax"], [0.1], digits=None,
+              tabled={"l_discount": "beta"}, block=10_000),
+    ["l_tax"], {"l_orderkey": 3, "l_quantity": 5, "l_extendedprice": 2, "l_discount": 6},
+)
+SKEWED = ["frac", "expo", "lognorm", "erlang4", "heavy"]
+SQL["generate_derived_summary"] = summary(
+    generated("derived", ["o_orderkey"], SKEWED, ["disc"], [0.0, 0.1], digits=None,
+              tabled={"frac": "beta", "erlang4": "gamma", "heavy": "chi2"},
+              before=f"derived AS MATERIALIZED {DERIVED}", block=1000),
+    ["in_level", "disc"], dict.fromkeys(SKEWED, 3),
+)
 SQL["csv_sweep_roundtrip"] = f"""SELECT in_level, count(*) AS n_rows,
     {', '.join(f"{rnd(f'avg({c})', 3)} AS avg_{c}" for c in NUMERIC['customer'])}
     FROM ({generated(*CUSTOMER, LEVELS, digits=None)}) GROUP BY in_level"""
