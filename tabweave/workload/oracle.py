@@ -446,13 +446,17 @@ def cholesky(d_: int) -> list[str]:
     return out
 
 
-def curve(i: int, family: str) -> list[str]:
-    """CTEs that integrate one law's density for every block's shape."""
+def moved_shape(i: int, family: str) -> str:
+    """The shape after widening; any valid one if the column has another law."""
     shape = {"beta": "a", "gamma": "shape", "chi2": "df"}[family]
     if family == "chi2":
-        k = f"greatest(trunc(law_{i}.df * g_{i}), 1) / 2::DOUBLE"
-    else:
-        k = f"greatest(law_{i}.{shape} * g_{i}, 1e-6)"
+        return f"greatest(trunc(coalesce(law_{i}.df, 2) * g_{i}), 1) / 2::DOUBLE"
+    return f"greatest(coalesce(law_{i}.{shape}, 2) * g_{i}, 1e-6)"
+
+
+def curve(i: int, family: str) -> list[str]:
+    """CTEs that integrate one law's density for every block's shape."""
+    k = moved_shape(i, family)
     if family == "beta":
         ends = "-24 / k AS low, 24 / k AS high"
         f, slope = "exp(-k * ln(1 + exp(-t)) - k * ln(1 + exp(t)))", "k"
@@ -542,8 +546,9 @@ def generated(table: str, keys, modelled, discrete, levels, copula=True, digits:
           WHEN 'beta' THEN {loc} + {scale} * (0.5 - sin(asin(1 - 2 * u_{i}) / 3)) END"""
         if c in tabled:
             t = f"(cdf_{i}.t + (u_{i} - cdf_{i}.p) / (cdf_{i}.p2 - cdf_{i}.p) * (cdf_{i}.t2 - cdf_{i}.t))"
-            x = {"beta": f"{loc} + {scale} / (1 + exp(-{t}))", "gamma": f"{scale} * exp({t})",
-                 "chi2": f"2 * exp({t})"}[tabled[c]]
+            found = {"beta": f"{loc} + {scale} / (1 + exp(-{t}))", "gamma": f"{scale} * exp({t})",
+                     "chi2": f"2 * exp({t})"}[tabled[c]]
+            x = f"CASE WHEN {law}.family = '{tabled[c]}' THEN {found} ELSE {x} END"
         x = f"least(greatest({x}, {law}.min * 0.9::DOUBLE), {law}.max * 1.1::DOUBLE)"
         x = f"CASE WHEN {law}.zero_ratio > 0.01 AND {uniform(f'{c}/zero', key)} < {law}.zero_ratio THEN 0 ELSE {x} END"
         shown[c] = x
@@ -563,8 +568,7 @@ def generated(table: str, keys, modelled, discrete, levels, copula=True, digits:
         for i, c in enumerate(modelled):
             if c in tabled:
                 ctes += curve(i, tabled[c])
-                shape = f"greatest(trunc(law_{i}.df * g_{i}), 1) / 2::DOUBLE" if tabled[c] == "chi2" else (
-                    f"greatest(law_{i}.{'a' if tabled[c] == 'beta' else 'shape'} * g_{i}, 1e-6)")
+                shape = moved_shape(i, tabled[c])
                 ctes.append(
                     f"step_{i} AS MATERIALIZED (SELECT id, in_level, no + u AS spot FROM (SELECT values_of.id,"
                     f" values_of.in_level, {shape} AS k, u_{i} AS u FROM values_of, law_{i})"
@@ -620,7 +624,7 @@ SQL["generate_lineitem_summary"] = summary(
 SKEWED = ["frac", "expo", "lognorm", "erlang4", "heavy"]
 SQL["generate_derived_summary"] = summary(
     generated("derived", ["o_orderkey"], SKEWED, ["disc"], [0.0, 0.1], digits=None,
-              tabled={"frac": "beta", "erlang4": "gamma", "heavy": "chi2"},
+              tabled={"frac": "beta", "lognorm": "gamma", "erlang4": "gamma", "heavy": "chi2"},
               before=f"derived AS MATERIALIZED {DERIVED}", block=1000),
     ["in_level", "disc"], dict.fromkeys(SKEWED, 3),
 )
