@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import differences, sql_engine
+from tabweave.workload import oracle, queries as registered
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -13,12 +14,12 @@ def engine():
     return sql_engine(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registered.QUERIES))
 def test_query(spark, engine, name):
-    frame = entry.queries()[name](spark, FOLDER).toPandas()
+    frame = registered.QUERIES[name](spark, FOLDER).toPandas()
     assert len(frame) > 0
-    if name in entry.oracle_sql():
-        assert differences(frame, engine.sql(entry.oracle_sql()[name]).df()) is None
+    if name in oracle.SQL:
+        assert differences(frame, engine.sql(oracle.SQL[name]).df()) is None
 
 
 def test_every_oracle_has_a_query():
