@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabweave.llm.common import park, table
 from tabweave.llm.lines import dedup_lines
+from tabweave.llm.simhash import keep_one
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -18,8 +19,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Four-word shingles, at most four differing bits; one document of each group stays."""
+    return keep_one(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("line dedup", line_dedup),
+    ("SimHash near-dedup", simhash_near_dedup),
 ]
 
 #: Some stages have no SQL form; tests hold the rows against brute force.
