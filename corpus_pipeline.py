@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.llm.common import park, table
+from tabweave.llm.contamination import drop_contaminated
 from tabweave.llm.lines import dedup_lines
 from tabweave.llm.simhash import keep_one
 
@@ -24,9 +25,15 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return keep_one(docs)
 
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a window of ten words of a benchmark item occurs go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("line dedup", line_dedup),
     ("SimHash near-dedup", simhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
 ]
 
 #: Some stages have no SQL form; tests hold the rows against brute force.

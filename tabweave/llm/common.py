@@ -27,9 +27,14 @@ def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def utf8(text: Column) -> Column:
+    """A text as UTF-8 bytes; null becomes empty."""
+    return F.coalesce(text.cast("string").cast("binary"), F.lit(b""))
+
+
 def as_bytes(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with the text as UTF-8 bytes; null becomes empty."""
-    return docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    return docs.select("doc_id", utf8(F.col("text")).alias("text"))
 
 
 def lower_ascii(text: Column) -> Column:
