@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.llm.common import park, table
 from tabweave.llm.contamination import drop_contaminated
 from tabweave.llm.lines import dedup_lines
+from tabweave.llm.piece_merge import decode, encode
 from tabweave.llm.simhash import keep_one
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -30,10 +32,20 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each whole text, and the text that they decode to.  All documents stay."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = docs.withColumn("ids", encode(F.col("text"), model))
+    return coded.select(
+        "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
+        decode(F.col("ids"), model).alias("text"))
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("line dedup", line_dedup),
     ("SimHash near-dedup", simhash_near_dedup),
     ("benchmark decontamination", benchmark_decontamination),
+    ("SentencePiece encoding and decoding", sentencepiece),
 ]
 
 #: Some stages have no SQL form; tests hold the rows against brute force.

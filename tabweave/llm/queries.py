@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import contamination, lines, simhash
+from tabweave.llm import contamination, lines, piece_merge, simhash
 from tabweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +58,17 @@ def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    ids = narrow(spark, folder, "documents", "doc_id", "text").select(
+        "doc_id", piece_merge.encode(F.col("text"), model).alias("ids"))
+    return ids.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(piece_merge.decode(F.col("ids"), model).cast("binary"), 256).alias("decoded_sha256"))
+
+
 @query
 def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = contamination.scan_documents(
