@@ -13,10 +13,16 @@ from tabweave.llm.contamination import drop_contaminated
 from tabweave.llm.lines import dedup_lines
 from tabweave.llm.piece_merge import decode, encode
 from tabweave.llm.simhash import keep_one
+from tabweave.llm.toxicity import drop_toxic, learn
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score at the threshold or above go; labels train the network only."""
+    return drop_toxic(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shared lines stay in one document; n_chars follows the new text.  All documents stay."""
     return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
@@ -42,6 +48,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
     ("line dedup", line_dedup),
     ("SimHash near-dedup", simhash_near_dedup),
     ("benchmark decontamination", benchmark_decontamination),

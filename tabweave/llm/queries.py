@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import contamination, lines, piece_merge, simhash
+from tabweave.llm import contamination, language, lines, piece_merge, simhash, toxicity
 from tabweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,11 @@ def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(narrow(spark, folder, "documents", "doc_id", "text", "lang"))
+
+
 @query
 def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -107,3 +112,11 @@ SELECT f.doc_id, len(f.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit,
        coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM folded f LEFT JOIN hit h USING (doc_id) LEFT JOIN items i USING (doc_id)
 """
+
+
+@query
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.rate(
+        narrow(spark, folder, "documents", "doc_id", "text"),
+        narrow(spark, folder, "labels", "doc_id", "toxic"),
+    ).select("doc_id", "held_out", "score", "predicted")
