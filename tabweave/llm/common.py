@@ -57,6 +57,12 @@ def fold_of(doc_id: int | None, folds: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder when the driver ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def park(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
@@ -66,8 +72,7 @@ def park(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tabweave.llm.common import binary_column, utf8
+from tabweave.llm.memory import WordMemory
 
 SPACE = "▁"             # fixed value: the mark that stands for a space
 NONE = np.int32(2**31 - 1)   # rank of a pair that is no piece
@@ -220,49 +221,17 @@ class Pieces:
         return [chr(c) for c in codes[np.argsort(self.symbol_of[codes])]]
 
 
-class _Known(dict):
-    """Numbers words as they come and lists the new ones."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        self.fresh.append(word)
-        return n
-
-
 class Encoder:
     """Encodes texts; remembers up to MAX_WORDS words between calls."""
 
     def __init__(self, path: str):
         self.pieces = Pieces(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known = _Known()
-        self.known.fresh = []
-        self.flat, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.memory = WordMemory(
+            lambda words: self.pieces.to_ids(*self.pieces.merge_all(words)), MAX_WORDS)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of each."""
-        if len(self.known) > MAX_WORDS:
-            self.forget()
-        places, sizes = [], np.zeros(len(texts), np.int64)
-        for n, text in enumerate(texts):
-            words = self.pieces.words(text)
-            sizes[n] = len(words)
-            places.append(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
-        if self.known.fresh:
-            flat, counts = self.pieces.to_ids(*self.pieces.merge_all(self.known.fresh))
-            self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
-            self.counts = np.concatenate([self.counts, counts])
-            self.known.fresh = []
-        place = np.concatenate([*places, np.zeros(0, np.int64)])
-        starts = np.cumsum(self.counts) - self.counts
-        length = self.counts[place]
-        ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.arange(total) + np.repeat(starts[place] - (ends - length), length)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-        return ids, np.diff(bounds)
+        return self.memory.ids(list(map(self.pieces.words, texts)))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids that ``encode`` gave, in UTF-8; the mark put in front goes."""

@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import contamination, language, lines, piece_merge, simhash, toxicity
-from tabweave.llm.common import table
+from tabweave.llm import contamination, language, lines, piece_merge, simhash, token_store, toxicity
+from tabweave.llm.common import drop_at_exit, table
+from tabweave.sources.scratch import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -63,6 +64,16 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(narrow(spark, folder, "documents", "doc_id", "text", "lang"))
 
 
+@query
+def op7_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    store = fresh_path(spark, "tokens")
+    files = token_store.write_tokens(
+        narrow(spark, folder, "documents", "doc_id", "text"), store,
+        public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    drop_at_exit(spark, store)
+    return token_store.read_tokens(spark, store, files)
+
+
 @query
 def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")

@@ -21,7 +21,7 @@ PREFIXES = (3, 4, 5, 6)     # lengths of the character features; the whole word
 FEATURES = len(PREFIXES) + 1
 SAMPLE_TEXTS = {1: 3000, 0: 6000}   # labelled training texts of each class, at most
 SAMPLE_CHARS = 8000         # letters of each, from a place that its hash chooses
-NET_TEXTS = {1: 700, 0: 1400}       # of these, the network's weights are trained on so many
+NET_TEXTS = {1: 1200, 0: 3600}      # of these, the weights are trained on so many
 CLEAN_WINDOWS = 6           # windows of a clean text that an update reads
 TABLE_ROWS = 200_000        # word and character features that keep a value of their own
 MAX_WORDS = 200_000         # words whose inputs a worker remembers at a time

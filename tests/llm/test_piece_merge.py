@@ -62,7 +62,7 @@ def test_memory_of_words_is_bounded(library, monkeypatch):
         texts = [f"word{n}x{i} and more" for i in range(40)]
         ids, _ = coder.encode(texts)
         assert ids.tolist() == [i for t in texts for i in library.encode(t)]
-    assert len(coder.known) < 200
+    assert len(coder.memory.known) < 200
 
 
 def test_table_and_odd_rows(spark, library):
