@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import contamination, language, lines, piece_merge, simhash, token_store, toxicity
+from tabweave.llm import contamination, language, lines, piece_merge, secret_scan, simhash, token_store, toxicity
 from tabweave.llm.common import drop_at_exit, table
 from tabweave.sources.scratch import fresh_path
 
@@ -59,6 +59,20 @@ def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.find_secrets(narrow(spark, folder, "documents", "doc_id", "text"))
+
+    def count(kind: int):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secret_scan.spans_text(base).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.spans_text(F.col("spans")).alias("spans"))
+
+
 @query
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(narrow(spark, folder, "documents", "doc_id", "text", "lang"))
