@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import contamination, language, lines, piece_merge, secret_scan, simhash, token_store, toxicity
+from tabweave.llm import contamination, hidden_markov, language, lines, piece_merge, secret_scan, simhash, token_store, toxicity
 from tabweave.llm.common import drop_at_exit, table
 from tabweave.sources.scratch import fresh_path
 
@@ -59,6 +59,11 @@ def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return hidden_markov.score_documents(narrow(spark, folder, "documents", "doc_id", "text"))
+
+
 @query
 def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_scan.find_secrets(narrow(spark, folder, "documents", "doc_id", "text"))
