@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tabweave.llm.common import binary_column, utf8
-from tabweave.llm.memory import WordMemory
+from tabweave.llm.memory import WordMemory, ordered
 
 SPACE = "▁"             # fixed value: the mark that stands for a space
 NONE = np.int32(2**31 - 1)   # rank of a pair that is no piece
@@ -179,24 +179,14 @@ class Pieces:
             lengths = lengths - merges
             ending = np.zeros(len(symbols), bool)
             ending[np.cumsum(lengths) - 1] = True
-            touched = np.unique(np.concatenate([now, now - 1]))
-            touched = touched[touched >= 0]
-            touched = touched[~ending[touched]]
+            beside = np.zeros(len(symbols), bool)
+            beside[now] = beside[np.maximum(now - 1, 0)] = True
+            touched = np.flatnonzero(beside & ~ending)
             places[touched] = self.find(symbols[touched], symbols[touched + 1])
             places[ending] = len(self.keys) - 1
-        counts = np.zeros(len(words), np.int64)
-        for which, length, _ in out:
-            counts[which] = length
-        for w, each in done.items():
-            counts[w] = len(each)
-        flat = np.empty(int(counts.sum()), np.int64)
-        begin = np.cumsum(counts) - counts
-        for which, length, values in out:
-            inner = np.arange(len(values)) - np.repeat(np.cumsum(length) - length, length)
-            flat[np.repeat(begin[which], length) + inner] = values
-        for w, each in done.items():
-            flat[begin[w]:begin[w] + len(each)] = each
-        return flat, counts
+        parts = [(which, values, length) for which, length, values in out]
+        parts += [(np.array([w]), np.array(each, np.int64), np.array([len(each)])) for w, each in done.items()]
+        return ordered(parts, len(words))
 
     def to_ids(self, flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Letters that are no piece become the pieces of their UTF-8 bytes."""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import contamination, hidden_markov, language, lines, piece_merge, secret_scan, simhash, token_store, toxicity
+from tabweave.llm import contamination, hidden_markov, language, lines, piece_merge, secret_scan, simhash, token_store, toxicity, vector_graph
 from tabweave.llm.common import drop_at_exit, table
 from tabweave.sources.scratch import fresh_path
 
@@ -78,6 +78,11 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         secret_scan.spans_text(F.col("spans")).alias("spans"))
 
 
+@query
+def op5_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_graph.near_duplicates(narrow(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
 @query
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(narrow(spark, folder, "documents", "doc_id", "text", "lang"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,15 +19,18 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tabweave.llm.common import binary_column, identified, park, utf8
-from tabweave.llm.memory import WordMemory
+from tabweave.llm.memory import WordMemory, ordered
 
 MAGIC = b"DACIDS01"          # fixed values: the format's mark and layout
 CHUNK = 8                    # bits of an id in a level
 BLOCK = 512                  # bits of a bitmap between two entries of its rank directory
 FILE_TOKENS = 4_000_000      # a file is closed after so many ids
 MAX_WORDS = 300_000          # encoded words that a worker remembers at a time
+GROUP = 2000                 # words in a text that the library encodes
 SLICE = 4 << 20              # bytes of text that a step holds at once
 NO_ID = -(2**63)             # stands for a null doc_id in a file
+MANY_FILES = 500_000         # the starts of more files are joined rather than broadcast
+_MARK = re.compile(rb"(?<=[a-z])([.,;:!?])(?=[ \n])")
 
 
 class Level:
@@ -131,42 +135,69 @@ class TokenFile:
 class WordTokenizer:
     """A word tokenizer of the library; words between ASCII white space are encoded once.
 
-    Holds for tokenizers that treat white space as a border and drop it.
+    Holds for tokenizers that lower-case texts, treat white space as a border, drop it, keep
+    runs of letters in one piece of their own and mark the last id of a piece.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         self.library = Tokenizer.from_file(path)
         special = self.library.get_added_tokens_decoder()
-        self.mark_id, mark = max((i, t.content) for i, t in special.items())
-        self.mark = mark
+        self.border_id, self.border = max((i, t.content) for i, t in special.items())
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + len(special) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.memory = WordMemory(self._encode, MAX_WORDS)
 
-    def _plain(self, words: list[str]) -> Iterator[list[int]]:
-        """Many words in one text, with the last special token between them."""
-        size = 2000
-        groups = [self.mark.join(words[i:i + size]) for i in range(0, len(words), size)]
-        for group in self.library.encode_batch_fast(groups, add_special_tokens=False):
-            ids = np.array(group.ids, np.int64)
-            yield from (part.tolist() for part in np.split(
-                ids[ids != self.mark_id],
-                np.cumsum(np.diff(np.concatenate([[-1], np.flatnonzero(ids == self.mark_id)])) - 1)))
+    def _joined(self, words: list[str], between: str) -> list[np.ndarray]:
+        groups = [between.join(words[i:i + GROUP]) for i in range(0, len(words), GROUP)]
+        return [np.array(e.ids, np.int64) for e in
+                self.library.encode_batch_fast(groups, add_special_tokens=False)]
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of Latin letters go as one text and end where the library marks an end.
+
+        Others, and those if the marks do not add up, are joined by a special token;
+        words that may hold one go alone.
+        """
         texts = [w.decode() for w in words]
-        special = [i for i, t in enumerate(texts) if "<|" in t or self.mark in t]
-        plain = sorted(set(range(len(texts))) - set(special))
-        ids: list[list[int]] = [[]] * len(texts)
-        for i, found in zip(plain, self._plain([texts[i] for i in plain])):
-            ids[i] = found
-        for i in special:
-            ids[i] = self.library.encode(texts[i], add_special_tokens=False).ids
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.array([x for each in ids for x in each], np.int64), counts
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        plain, mixed = [], []
+        for i, text in enumerate(texts):
+            if text.lower().isalpha() and max(text) < "\u0250":
+                plain.append(i)
+            elif "<|" in text or self.border in text:
+                ids = np.array(self.library.encode(text, add_special_tokens=False).ids, np.int64)
+                parts.append((np.array([i]), ids, np.array([len(ids)])))
+            else:
+                mixed.append(i)
+        for n, ids in enumerate(self._joined([texts[i] for i in plain], " ")):
+            here = np.array(plain[n * GROUP:(n + 1) * GROUP])
+            sizes = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+            if len(sizes) == len(here):
+                parts.append((here, ids, sizes))
+            else:
+                mixed += here.tolist()
+        for n, ids in enumerate(self._joined([texts[i] for i in mixed], self.border)):
+            here = np.array(mixed[n * GROUP:(n + 1) * GROUP])
+            borders = np.flatnonzero(ids == self.border_id)
+            sizes = np.diff(np.concatenate([[-1], borders, [len(ids)]])) - 1
+            parts.append((here, ids[ids != self.border_id], sizes))
+        return ordered(parts, len(words))
+
+    def words(self, text: bytes) -> list[bytes]:
+        """Parts that are encoded alike wherever they stand.
+
+        A mark behind a letter and before a space is a part of its own.  A-Z become
+        small, unless that could make a special token.
+        """
+        if b"<|" in text:
+            return text.split()
+        return _MARK.sub(rb" \1 ", text.lower()).split()
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of each."""
-        return self.memory.ids([t.split() for t in texts])
+        return self.memory.ids(list(map(self.words, texts)))
 
 
 @lru_cache(maxsize=2)
@@ -253,6 +284,8 @@ def read_tokens(spark: SparkSession, folder: str, files: DataFrame, with_ids: bo
         return spark.createDataFrame([], kind + (", ids array<int>" if with_ids else ""))
     begin = dict(zip((f for f, _ in known), np.cumsum([0] + [n for _, n in known]).tolist()))
     starts = spark.createDataFrame(list(begin.items()), "file string, start long")
+    if len(known) <= MANY_FILES:  # 50 bytes each
+        starts = F.broadcast(starts)
     content = spark.read.format("binaryFile").option("pathGlobFilter", "*.dac").load(folder).select(
         F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
