@@ -336,23 +336,22 @@ def _search(dealt: DataFrame, adjacency: DataFrame, cosine: float) -> DataFrame:
         if indexed.all():
             found |= found.T
             found[np.arange(len(home)), np.arange(len(home))] = False
-        count, least = np.zeros(len(asks), np.int64), nodes[asks].copy()
+        count = np.zeros(len(asks), np.int64)
         source, target = np.nonzero(found)
         for i in range(0, len(source), 1 << 18):
             a, b = source[i:i + (1 << 18)], target[i:i + (1 << 18)]
             # Verified in double precision on unit vectors; links below the bound do not pass.
             true = np.einsum("ed,ed->e", units[asks[a]], own[b]) >= cosine
+            found[a[~true], b[~true]] = False
             a, b = a[true], b[true]
-            np.minimum.at(least, a, nodes[home[b]])
-            pa_, pb = places[asks[a]], places[home[b]]
-            earlier = ((pa_[:, :, None] == pb[:, None, :]) & (pa_ >= 0)[:, :, None]
-                       & (pa_ < shard)[:, :, None]).any(axis=(1, 2))
+            mine, theirs = places[asks[a]], places[home[b]]
+            before = (mine >= 0) & (mine < shard)
+            earlier = ((mine[:, :, None] == theirs[:, None, :]) & before[:, :, None]).any(axis=(1, 2))
             count += np.bincount(a[~earlier], copies[home[b[~earlier]]], len(asks)).astype(np.int64)
-        # An edge to each vector's smallest neighbour leaves local components apart; the
-        # roots of the found graph join them, one edge for each vector.
-        root = _roots(len(nodes), asks[source], home[target]) if len(source) else np.arange(len(nodes))
-        linked = least != nodes[asks]
-        linked |= root[asks] != asks
+        # One edge for each vector, to the root of its component in this group.
+        source, target = np.nonzero(found)
+        root = _roots(len(nodes), asks[source], home[target])
+        linked = (count > 0) | (root[asks] != asks)
         return pa.table({"node": nodes[asks[linked]], "n_links": count[linked],
                          "other": nodes[root[asks[linked]]]})
 
