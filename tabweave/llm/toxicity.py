@@ -19,10 +19,11 @@ BUCKETS = 1 << 13           # rows of the learned character table
 WIDTH = 6                   # numbers in one of its rows
 PREFIXES = (3, 4, 5, 6)     # lengths of the character features; the whole word is one more
 FEATURES = len(PREFIXES) + 1
-SAMPLE_TEXTS = {1: 3000, 0: 6000}   # labelled training texts of each class, at most
-SAMPLE_CHARS = 8000         # letters of each, from a place that its hash chooses
+SAMPLE_TEXTS = {1: 1500, 0: 3500}   # labelled training texts of each class, at most
+SAMPLE_CHARS = 20_000       # only texts of at most so many letters are sampled
 NET_TEXTS = {1: 1200, 0: 3600}      # of these, the weights are trained on so many
 CLEAN_WINDOWS = 6           # windows of a clean text that an update reads
+LEAST_EVIDENCE = 1.5        # standard errors that a feature's evidence is reduced by
 TABLE_ROWS = 200_000        # word and character features that keep a value of their own
 MAX_WORDS = 200_000         # words whose inputs a worker remembers at a time
 BLOCK = 4096                # windows that a step of inference holds at once
@@ -44,8 +45,9 @@ def features(word: str) -> list[int]:
 class Evidence:
     """How much more often a feature occurs in texts of one class than of the other.
 
-    A value is a smoothed log odds ratio divided by its standard error, from numbers of
-    texts; features in one text only have none.  At most TABLE_ROWS of the strongest stay.
+    A value is the end nearer to 0 of an interval of LEAST_EVIDENCE standard errors around
+    the smoothed log odds ratio, from numbers of texts: 0 for what chance may explain, and
+    small for common words however sure.  At most TABLE_ROWS of the strongest stay.
     """
 
     def __init__(self, found: list[np.ndarray], labels: np.ndarray):
@@ -57,12 +59,12 @@ class Evidence:
         many = max(int(labels.sum()), 1), max(int((1 - labels).sum()), 1)
         a, b = with_one + 0.5, with_any - with_one + 0.5
         odds = np.log(a / (many[0] - with_one + 0.5)) - np.log(b / (many[1] - with_any + with_one + 0.5))
-        value = odds / np.sqrt(1 / a + 1 / b)
-        strong = np.flatnonzero((with_any > 1) & (np.abs(value) > 1.0))
+        value = np.sign(odds) * np.maximum(np.abs(odds) - LEAST_EVIDENCE * np.sqrt(1 / a + 1 / b), 0)
+        strong = np.flatnonzero(value)
         strong = strong[np.argsort(-np.abs(value[strong]), kind="stable")[:TABLE_ROWS]]
         strong.sort()
         self.keys = np.concatenate([keys[strong], [2**63 - 1]])
-        self.values = np.concatenate([np.clip(value[strong] / 3, -3, 3), [0]]).astype(F32)
+        self.values = np.concatenate([np.clip(value[strong] / 2, -3, 3), [0]]).astype(F32)
 
     def look_up(self, hashes: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.keys, hashes)
@@ -138,7 +140,8 @@ class WordNet:
 
 def _hashes(words: list[str]) -> np.ndarray:
     """Features of words; the first row, of no word, is all zero."""
-    return np.array([[0] * FEATURES, *map(features, words)], np.int64)
+    each = np.fromiter((h for w in words for h in features(w)), np.int64, len(words) * FEATURES)
+    return np.concatenate([np.zeros((1, FEATURES), np.int64), each.reshape(-1, FEATURES)])
 
 
 def _places(sequence: np.ndarray) -> np.ndarray:
@@ -172,7 +175,11 @@ def fit(sample: list[tuple[int, str]], epochs: int = 3, batch: int = 32) -> Word
     looked = [e.look_up(hashes) for e in halves]
     net.evidence = Evidence(found, labels)
     windows = [_places(s) for s in sequences]
+    # A toxic text in which the other half knows nothing telling would teach noise.
+    telling = np.array([labels[i] == 0 or not len(found[i]) or
+                        halves[1 - half[i]].look_up(found[i]).max() > 0.5 for i in range(len(sample))])
     mixed = rng.permutation(len(sample))
+    mixed = mixed[telling[mixed]]
     useful = np.array([i for k in (0, 1) for i in mixed[labels[mixed] == k][:NET_TEXTS[k]]
                        if len(windows[i])], np.int64)
     epochs = max(epochs, min(30, 6000 // max(len(useful), 1)))
@@ -275,7 +282,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     # The chosen rows are few by the bound above.
     rows = texts.where(F.length("text") > 0).join(F.broadcast(chosen.drop("nth")), "doc_id").select(
         "label", F.substr("text", place.cast("int"), F.lit(SAMPLE_CHARS)).alias("excerpt"))
-    return [(r.label, r.excerpt) for r in rows.collect()]
+    found = rows.toArrow()
+    return list(zip(found["label"].to_pylist(), found["excerpt"].to_pylist()))
 
 
 def learn(

@@ -1,4 +1,5 @@
 import sys
 from pathlib import Path
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+for folder in (Path(__file__).resolve().parents[1], Path(__file__).resolve().parent):
+    sys.path.insert(0, str(folder))
