@@ -2,7 +2,7 @@
 
 Every function maps one draw (a standard normal ``z``, a percentile ``u`` or a
 tabulated ``score``) and the parameters to a value.  The three families without
-a closed form read a score table made by ``tabweave.operators.quantile_tables``.
+a closed form read a score from the polynomials of ``tabweave.functions.scores``.
 """
 
 from __future__ import annotations

@@ -33,18 +33,21 @@ def z_limit(floor: float = PERCENTILE_FLOOR) -> float:
 
 
 def _gamma_density(k: float, floor: float):
-    """Grid over ln x, density up to a factor, slope of its logarithm, scores."""
+    """Grid over ln(x / k), density up to a factor, slope of its logarithm, scores.
+
+    Written with expm1, so that nothing cancels however large k is.
+    """
     share = math.log(floor * 1e-3)
     reach = z_limit(floor) + 1.7
     side = reach / (3.0 * math.sqrt(k))
     middle = 1.0 - 1.0 / (9.0 * k)
-    low = (share + math.lgamma(k + 1.0)) / k
+    low = (share + math.lgamma(k + 1.0)) / k - math.log(k)
     if middle - side > 0.2:
-        low = max(low, math.log(k) + 3.0 * math.log(middle - side))
-    high = math.log(k) + 3.0 * math.log(max(middle, 0.0) + side)
+        low = max(low, 3.0 * math.log(middle - side))
+    high = 3.0 * math.log(max(middle, 0.0) + side)
     t = np.linspace(low, high, GRID + 1)
-    f = np.exp(k * (t - math.log(k)) - (np.exp(t) - k))
-    return t, f, k - np.exp(t), (t - math.log(k)) * math.sqrt(k)
+    excess = np.where(np.abs(t) < 1e-4, t * t * (0.5 + t * (1 / 6 + t / 24)), np.expm1(t) - t)
+    return t, np.exp(-k * excess), -k * np.expm1(t), t * math.sqrt(k)
 
 
 def _beta_density(a: float, b: float, floor: float):

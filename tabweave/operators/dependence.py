@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from tabweave.functions.text import ident
 from tabweave.operators.profile import named, tall
 from tabweave.sources.scratch import cut_lineage
 
-HOT_SHARE = 1000  # a value on more than 1/1000 of a column's rows is 'hot'
+CELLS_PER_PARTITION = 4_000_000
 
 
 def normal_scores(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -38,20 +41,20 @@ def normal_scores(df: DataFrame, cols: list[str]) -> DataFrame:
     return _wide(scored, cols, ["__row"]).drop("__row")
 
 
-def average_ranks(cells: DataFrame) -> DataFrame:
+def average_ranks(
+    cells: DataFrame, parts: int | None = None, keep: Callable[[DataFrame], DataFrame] = cut_lineage
+) -> DataFrame:
     """Average rank of each distinct (position, value), at any table size.
 
     Equal values are counted on the map side, so a hot value is one row.  The
     distinct values are range-partitioned; the ranks within a partition start
     from the total of all partitions before it.  The partition numbers are
-    written to the shared checkpoint folder first, so that a lost task cannot
+    written to the shared folder first (by ``keep``), so that a lost task cannot
     see another split than the offsets were made for.
     """
     counts = cells.groupBy("position", "value").agg(F.count("*").alias("ties"))
-    split = cut_lineage(
-        counts.repartitionByRange("position", "value")
-        .withColumn("part", F.spark_partition_id())
-    )
+    ranges = ([parts] if parts else []) + ["position", "value"]
+    split = keep(counts.repartitionByRange(*ranges).withColumn("part", F.spark_partition_id()))
     # one row per partition and column: small, and these sums run over it alone
     offsets = split.groupBy("position", "part").agg(F.sum("ties").alias("size")).selectExpr(
         "position", "part",
@@ -73,42 +76,43 @@ def average_ranks(cells: DataFrame) -> DataFrame:
 
 
 def normal_scores_at_scale(
-    df: DataFrame, cols: list[str], key_cols: list[str] | None = None
+    df: DataFrame, cols: list[str], keep: Callable[[DataFrame], DataFrame] = cut_lineage
 ) -> DataFrame:
     """:func:`normal_scores` of a whole table of any size.
 
-    ``key_cols`` must identify a row.  Without them rows are numbered, and the
-    numbers written to the shared checkpoint folder with the columns, so that
-    every later stage sees the same ones.
+    Rows are numbered, and the numbers written to the shared folder (by ``keep``)
+    with the columns, so that every later stage sees the same ones and equal rows
+    stay apart.  The number of partitions follows the number of cells.
 
-    Hot values (at most HOT_SHARE of them per column) are joined by broadcast,
-    all others by a shuffle in which no key has more than n / HOT_SHARE rows.
+    A value on more rows than a partition's fair share is hot.  Hot values, for each
+    column fewer than there are partitions, are joined by broadcast; all others by a
+    shuffle in which no key is larger than a partition.
     """
-    if key_cols is None:
-        df = cut_lineage(
-            df.select(*map(ident, cols)).withColumn("__row", F.monotonically_increasing_id())
+    df = keep(df.select(*map(ident, cols)).withColumn("__row", F.monotonically_increasing_id()))
+    n = df.count()
+    parts = max(
+        int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+        -(-n * len(cols) // CELLS_PER_PARTITION),
+    )
+    cells = tall(df, cols, ["__row"]).where("value is not null")
+    scores = keep(
+        average_ranks(cells, parts, keep)
+        .selectExpr(
+            "*", f"ties * {parts}L > n * {len(cols)}L as hot", "coalesce((rank - 0.5D) / n, 0.5D) as p"
         )
-        key_cols = ["__row"]
-    keys = [f"__key_{i}" for i in range(len(key_cols))]
-    cells = tall(
-        df, cols, [f"{ident(k)} as {name}" for k, name in zip(key_cols, keys)]
-    ).where("value is not null")
-    scores = cut_lineage(
-        average_ranks(cells)
-        .selectExpr("*", f"ties * {HOT_SHARE}L > n as hot", "coalesce((rank - 0.5D) / n, 0.5D) as p")
         .selectExpr("position", "value", "hot", *quantile_parts("p", "p"))
         .selectExpr("position", "value", "hot", f"{normal_quantile('p')} as z")
     )
     hot = scores.where("hot").selectExpr("position", "value", "z as z_hot")
     cold = scores.where("not hot").select("position", "value", "z")
     marked = cells.join(F.broadcast(hot), ["position", "value"], "left")
-    done = marked.where("z_hot is not null").selectExpr(*keys, "position", "z_hot as z")
+    done = marked.where("z_hot is not null").selectExpr("__row", "position", "z_hot as z")
     rest = (
-        marked.where("z_hot is null").drop("z_hot")
+        marked.where("z_hot is null").drop("z_hot").repartition(parts, "position", "value")
         .join(cold, ["position", "value"])
-        .select(*keys, "position", "z")
+        .select("__row", "position", "z")
     )
-    return _wide(done.unionByName(rest), cols, keys).drop(*keys)
+    return _wide(done.unionByName(rest), cols, ["__row"]).drop("__row")
 
 
 def _wide(scored: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
@@ -120,17 +124,42 @@ def _wide(scored: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
 def pairwise_correlation(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation of every column pair i < j: (col_i, col_j, rho).
 
-    Each row meets the d(d-1)/2 column pairs in the task that holds it; only
-    one partial aggregate per pair and task is shuffled.
+    Each task multiplies its rows, batch by batch, into sums of products over the
+    rows where both columns have a value, and sends one row for each pair.  The
+    columns should lie around zero, as normal scores do.
     """
     d = len(cols)
+    first, second = np.triu_indices(d, 1)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, d, d))
+        for batch in batches:
+            x = np.column_stack([
+                np.asarray(c.cast(pa.float64()).to_numpy(zero_copy_only=False)) for c in batch.columns
+            ])
+            seen = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x, nan=0.0)
+            square = x * x
+            total += np.stack([
+                seen.T @ seen, x.T @ seen, seen.T @ x, square.T @ seen, seen.T @ square, x.T @ x
+            ])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(first.astype(np.int32)), pa.array(second.astype(np.int32)),
+             *(pa.array(t[first, second]) for t in total)],
+            ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"],
+        )
+
+    sums = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    numbers = [f"cast({ident(c)} as double) as c{i}" for i, c in enumerate(cols)]
+    spread = "(n * sxx - sx * sx) * (n * syy - sy * sy)"
     return (
-        df.selectExpr(f"array({', '.join(map(ident, cols))}) as x")
-        .selectExpr("x", f"explode(sequence(0, {d - 2})) as i")
-        .selectExpr("x", "i", f"explode(sequence(i + 1, {d - 1})) as j")
-        .groupBy("i", "j")
-        .agg(F.expr("corr(get(x, i), get(x, j))").alias("rho"))
-        .selectExpr(f"{named(cols, 'i')} as col_i", f"{named(cols, 'j')} as col_j", "rho")
+        df.selectExpr(*numbers)
+        .mapInArrow(products, "i int, j int, " + ", ".join(f"{s} double" for s in sums))
+        .groupBy("i", "j").agg(*(F.sum(s).alias(s) for s in sums))
+        .selectExpr(
+            f"{named(cols, 'i')} as col_i", f"{named(cols, 'j')} as col_j",
+            f"if({spread} > 0, try_divide(n * sxy - sx * sy, sqrt({spread})), null) as rho",
+        )
     )
 
 

@@ -18,7 +18,7 @@ MIN_POSITIVES = 10   # fixed value: fewer positive values than this give a norma
 # Model parameters, in the order of the law table's columns.
 PARAMETERS = ("loc", "scale", "shape", "s", "c", "a", "b", "df")
 LAW_SCHEMA = "col_name string, family string, " + ", ".join(
-    f"p_{p} {'int' if p == 'df' else 'double'}" for p in PARAMETERS
+    f"p_{p} {'bigint' if p == 'df' else 'double'}" for p in PARAMETERS
 )
 
 
@@ -26,7 +26,7 @@ def law(family: str, **params: Sql) -> Sql:
     """A law as a struct whose fields are the law table's columns."""
     fields = ["'family'", string(family)]
     for p in PARAMETERS:
-        kind = "int" if p == "df" else "double"
+        kind = "bigint" if p == "df" else "double"
         fields += [f"'p_{p}'", f"cast({params.get(p, 'null')} as {kind})"]
     return f"named_struct({', '.join(fields)})"
 
@@ -53,7 +53,7 @@ class Family:
     ``fit`` gives parameters as SQL over the columns of :func:`moments`.
     ``quantile(draw, params)`` turns a draw into a value, also as SQL.  ``uses``
     names the part of the draw it reads: ``"z"`` (standard normal), ``"u"``
-    (percentile) or ``"score"`` (a quantile table over the parameters in
+    (percentile) or ``"score"`` (a score polynomial over the parameters in
     ``table``).
     """
 
@@ -82,7 +82,7 @@ def register_family(
 
 
 _SPAN = {"loc": "min", "scale": "max - min"}
-_WHOLE_MEAN = "greatest(cast(mean as int), 1)"
+_WHOLE_MEAN = "greatest(cast(mean as bigint), 1L)"
 
 # Fixed values inside the fits: the floors 1e-6 and 0.1, weibull c = 1.5 and
 # beta a = b = 2.
@@ -122,6 +122,7 @@ def choose_laws(profile: DataFrame, positives: DataFrame, kurtosis: str = "exces
     The thresholds compare the profile's excess kurtosis as it is;
     ``kurtosis="raw"`` adds 3 first, as they were meant for.
     """
+    # The thresholds of the rules below, in the order they are tried.
     k = "(p.kurtosis + 3)" if kurtosis == "raw" else "p.kurtosis"
     normal = law("normal", loc="s.mean", scale="s.std")
     span = {"loc": "s.min", "scale": "s.max - s.min"}
@@ -139,7 +140,7 @@ def choose_laws(profile: DataFrame, positives: DataFrame, kurtosis: str = "exces
         ("p.skewness > 0.5", law("gamma", **gamma)),
         (f"abs(p.skewness) < 0.5 and abs({k} - 3) < 1", normal),
         (f"{k} < 1.5", law("uniform", **span)),
-        (f"{k} > 5", law("chi2", df="greatest(cast(s.mean as int), 1)")),
+        (f"{k} > 5", law("chi2", df="greatest(cast(s.mean as bigint), 1L)")),
     ]
     cases = " ".join(f"when {condition} then {outcome}" for condition, outcome in rules)
     # both sides hold one row per modelled column

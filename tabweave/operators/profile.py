@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.repair import nan_to_null, positive
 from tabweave.functions.text import Sql, ident, string
+from tabweave.sources.scratch import freeze
 
 # The column types that count as numeric, by Spark type name.
 NUMERIC_TYPES = ("integer", "long", "double", "float")
 NARROW_TYPES = ("byte", "short", "decimal")
 
 DISCRETE_MAX = 10  # fixed value: at most this many distinct values = discrete
-FIRST_ROWS = 1000  # rows looked at to rule out columns that are surely not discrete
+SURELY_MANY = 8    # an estimate this many times DISCRETE_MAX cannot be a discrete column
 
 PROFILE_SCHEMA = (
     "position int, col_name string, mean double, std double, mean_nonzero double, "
@@ -144,10 +145,10 @@ def profile(
     standard deviation of the positive values.
 
     ``distinct="exact"`` counts distinct values, which shuffles them.
-    ``distinct="flags"`` (for very large tables) leaves out the columns that
-    show more than ``discrete_max`` values in a handful of rows already: they
-    cannot be discrete, and their ``unique_count`` is null.  ``is_binary`` is
-    exact either way.
+    ``distinct="approximate"`` (for very large tables) estimates the counts in the
+    profile pass and counts exactly only the columns that may be discrete: those
+    estimated at up to SURELY_MANY times ``discrete_max``.  Estimates have a
+    standard error of 5 %; ``is_binary`` is exact either way.
     """
     return with_positives(
         df, cols, bias=bias, distinct=distinct, discrete_max=discrete_max,
@@ -167,22 +168,28 @@ def with_positives(
     """:func:`profile` with the moments of the positive values from the same pass."""
     if bias not in ("population", "sample"):
         raise ValueError(f"bias must be 'population' or 'sample', not {bias!r}")
-    if distinct not in ("exact", "flags"):
-        raise ValueError(f"distinct must be 'exact' or 'flags', not {distinct!r}")
+    if distinct not in ("exact", "approximate"):
+        raise ValueError(f"distinct must be 'exact' or 'approximate', not {distinct!r}")
     cols = numeric_columns(df, numeric_types) if cols is None else list(cols)
     if not cols:
         extra = "".join(f", {c} double" for c in ("n_pos", "avg_pos", "std_pos", "min_pos", "max_pos"))
         return df.sparkSession.createDataFrame([], PROFILE_SCHEMA + extra)
-    many = _surely_many(df, cols, discrete_max) if distinct == "flags" else []
-    rest = [c for c in cols if c not in many]
-    moments = per_column(df, cols, MEASURES)
+    if distinct == "exact":
+        counts, rest = "unique_count", cols
+        moments = per_column(df, cols, MEASURES)
+    else:
+        # a model table of one row per column, pinned to choose the columns to count
+        moments = freeze(
+            per_column(df, cols, MEASURES | {"estimate": "approx_count_distinct(value)"}), len(cols))
+        counts = "coalesce(unique_count, estimate)"
+        rest = [r["col_name"] for r in moments.collect()
+                if (r["estimate"] or 0) <= SURELY_MANY * discrete_max]
     if rest:
         # one row per column on either side
         moments = moments.join(F.broadcast(distinct_counts(df, rest)), "col_name", "left")
     else:
         moments = moments.withColumn("unique_count", F.lit(None).cast("bigint"))
-    unknown = f"col_name in ({', '.join(map(string, many))})" if many else "false"
-    unique = f"if({unknown}, null, coalesce(unique_count, 0L))"
+    unique = f"coalesce({counts}, 0L)"
     skew, kurt, std_pos = "skew_pop", "kurt_pop", "std_pos"
     if bias == "sample":
         skew, kurt = _bias_corrected()
@@ -205,11 +212,3 @@ def with_positives(
         "n_pos", "avg_pos", "std_pos", "min_pos", "max_pos",
     )
 
-
-def _surely_many(df: DataFrame, cols: list[str], discrete_max: int) -> list[str]:
-    """Columns proved not discrete by the first rows; reads as few as it can."""
-    rows = df.selectExpr(*(f"{number(c)} as c{i}" for i, c in enumerate(cols))).take(FIRST_ROWS)
-    return [
-        c for i, c in enumerate(cols)
-        if len({r[i] for r in rows if r[i] is not None}) > discrete_max
-    ]

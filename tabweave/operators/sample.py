@@ -9,24 +9,30 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.randomness import Rng
 from tabweave.functions.text import double, ident
+from tabweave.sources.scratch import cut_lineage
 
-SAMPLE_LIMIT = 100_000   # fixed value: default sample size for model fitting
+SAMPLE_LIMIT = 100_000   # fixed value: default sample size
 COPIES_PER_TASK = 100_000
 
 
-def _numbered_copies(df: DataFrame) -> DataFrame:
+def _text(cols: list[str]) -> str:
+    return "concat_ws('|', " + ", ".join(f"coalesce(cast({ident(c)} as string), '~')" for c in cols) + ")"
+
+
+def _numbered_copies(df: DataFrame, text: str = "to_json(struct(*))") -> DataFrame:
     """Give equal rows distinct numbers, without gathering them in one task.
 
-    Copies are counted on the map side.  A row that occurs many times comes back
-    as many chunks of at most COPIES_PER_TASK copies, spread over the cluster.
+    ``text`` spells a row out; types that cannot be compared, like maps, can be
+    spelled.  Copies are counted on the map side.  A row that occurs many times comes
+    back as many chunks of at most COPIES_PER_TASK copies, spread over the cluster.
     """
-    cols = [ident(c) for c in df.columns]
     return (
-        df.groupBy(*cols).agg(F.count("*").alias("__n"))
-        .selectExpr(*cols, "__n", f"explode(sequence(0L, __n - 1, {COPIES_PER_TASK}L)) as __from")
-        .repartition("__from", *cols)
+        df.selectExpr(f"{text} as __text", "struct(*) as __row")
+        .groupBy("__text").agg(F.count("*").alias("__n"), F.any_value("__row").alias("__row"))
+        .selectExpr("*", f"explode(sequence(0L, __n - 1, {COPIES_PER_TASK}L)) as __from")
+        .repartition("__from", "__text")
         .selectExpr(
-            *cols,
+            "__row.*", "__text",
             f"explode(sequence(__from, least(__from + {COPIES_PER_TASK}L, __n) - 1)) as __copy",
         )
     )
@@ -40,30 +46,32 @@ def bounded_sample(
 ) -> DataFrame:
     """min(k, n) rows: those whose hashed key is smallest.
 
-    ``key_cols`` should identify a row.  Without them all columns are hashed
-    together with a copy number, so that repeated rows are drawn one by one.
+    ``key_cols`` should identify a row.  If they do not, or without them, all columns
+    are hashed with a copy number, so that repeated rows are drawn one by one.  Select
+    the wanted columns first: all of them are carried.
 
     A plain ``orderBy(hash).limit(k)`` would send k rows from every task to one.
-    Here rows first pass a threshold that keeps about k of them in the whole
-    table.  The number that passed is checked, and if it falls short the
-    threshold is lifted, so the result is always the exact k smallest.
+    Here rows first pass a threshold that keeps about k of them in the whole table;
+    what passed is written to the shared folder, so that the source is read once, and
+    counted.  If it falls short, the threshold is raised and the rows pass again, so
+    the result is always the exact k smallest.
     """
-    source = [ident(c) for c in df.columns]
-    n = df.agg(F.expr("double(count(*))")).scalar()
+    names = df.columns
+    if key_cols is not None:
+        text = _text(key_cols)
+        repeated = df.selectExpr(f"{text} as key").groupBy("key").count().where("count > 1")
+        if not repeated.isEmpty():
+            key_cols = None
     if key_cols is None:
-        df = _numbered_copies(df)
-        key_cols = df.columns
-    key = [ident(c) for c in key_cols]
-    text = "concat_ws('|', " + ", ".join(f"coalesce(cast({c} as string), '~')" for c in key) + ")"
-    hashed = F.expr(rng.uniform(text, "sample"))
-    share = F.try_divide(F.expr(double(k + 6.0 * math.sqrt(k) + 10.0)), n)
-    # one-row aggregates over the key columns, evaluated before the main scan
-    passed = df.agg(F.count(F.when(hashed < share, 1)).cast("double")).scalar()
-    enough = passed >= F.least(F.expr(double(k)), n)
-    return (
-        df.withColumn("__u", hashed)
-        .where((F.col("__u") < share) | ~enough)
-        .orderBy("__u", *key)
-        .limit(k)
-        .selectExpr(*source)
-    )
+        df, text, order = _numbered_copies(df), _text(["__text", "__copy"]), ["__text", "__copy"]
+    else:
+        order = [ident(c) for c in key_cols]
+    hashed = df.withColumn("__u", F.expr(rng.uniform(text, "sample")))
+    n = df.count()
+    share = (k + 6.0 * math.sqrt(k) + 10.0) / max(n, 1)
+    while True:
+        passed = cut_lineage(hashed.where(f"__u < {double(share)}") if share < 1.0 else hashed)
+        if share >= 1.0 or passed.count() >= min(k, n):
+            break
+        share *= 4.0
+    return passed.orderBy("__u", *order).limit(k).selectExpr(*(ident(c) for c in names))

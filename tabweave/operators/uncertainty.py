@@ -11,19 +11,13 @@ from collections.abc import Callable
 from tabweave.functions.randomness import Rng, between
 from tabweave.functions.text import Sql, double, sql
 
-BLOCK_ROWS = 10_000   # fixed value: rows that share one draw, at most
-MIN_BLOCKS = 200      # fixed value: a table is cut into at least this many blocks
+BLOCK_ROWS = 10_000   # rows by id that share one draw, unless the caller says otherwise
 POSITIVE_FLOOR = 1e-6  # fixed value: lower limit of scale-like parameters
 FLOORED = ("scale", "shape", "c", "s", "a", "b")
 
 FactorOf = Callable[[str], Sql]
 
 
-def default_block_rows(n: int) -> int:
-    """Rows per block; depends on the table size only, never on partitioning."""
-    return max(1, min(BLOCK_ROWS, -(-n // MIN_BLOCKS)))
-
-
 def factor(rng: Rng, block: Sql, in_level: float | Sql, tag: str) -> Sql:
     """A draw from [1 - IN, 1 + IN] for one block."""
     level = sql(in_level)
@@ -36,7 +30,7 @@ def widen(params: dict[str, Sql], factor_of: FactorOf) -> dict[str, Sql]:
     for name, value in params.items():
         moved = f"{value} * {factor_of(name)}"
         if name == "df":
-            moved = f"greatest(cast({moved} as int), 1)"
+            moved = f"greatest(cast({moved} as bigint), 1L)"
         elif name in FLOORED:
             moved = f"greatest({moved}, {double(POSITIVE_FLOOR)})"
         out[name] = moved

@@ -26,7 +26,7 @@ from tabweave.operators.dependence import correlation_factor
 from tabweave.operators.frequencies import draw_category
 from tabweave.operators.laws import FAMILIES
 from tabweave.operators.uncertainty import (
-    BLOCK_ROWS, MODES, FactorOf, default_block_rows, fallback_normal, widen,
+    BLOCK_ROWS, MODES, FactorOf, fallback_normal, widen,
 )
 from tabweave.plans.model import Model
 
@@ -99,16 +99,17 @@ def generate(
     fuzz: str = "shared",
     copula: bool = True,
     percentile_floor: float = PERCENTILE_FLOOR,
-    block_rows: int | None = None,
+    block_rows: int = BLOCK_ROWS,
     num_partitions: int | None = None,
     keep_id: bool = False,
     keep_level: bool | None = None,
 ) -> DataFrame:
     """n synthetic rows per indeterminacy level, lazily and without a shuffle.
 
-    The result depends on (model, n, level, seed, block_rows) only: not on the
+    A row depends on (model, id, level, seed, block_rows) only: not on n, the
     number of partitions, the cluster or retries.  ``ids`` replaces the row ids
-    0..n-1 by the ``id`` column of a table.  ``copula=False`` draws the columns
+    0..n-1 by the ``id`` column of a table.  ``block_rows`` rows in a row, by id,
+    share one indeterminacy draw.  ``copula=False`` draws the columns
     independently.  Columns come back as doubles in source order.
     """
     levels = _check_levels(in_levels)
@@ -125,11 +126,11 @@ def generate(
 
     tune(spark)
     if ids is not None:
-        rows = _rows_of(ids, len(levels), block_rows or BLOCK_ROWS)
+        rows = _rows_of(ids, len(levels), block_rows)
     else:
         n = int(n)
         parts = num_partitions or default_partitions(spark, n * len(levels))
-        rows = _rows(spark, n, len(levels), block_rows or default_block_rows(n), parts)
+        rows = _rows(spark, n, len(levels), block_rows, parts)
     in_level = _per_level(levels)
     factors = _factors(columns, rng, fuzz, in_level if max(levels) > 0.0 else None)
     rows = _draws(rows, factors, columns, model, rng, percentile_floor, copula)
@@ -145,7 +146,7 @@ def tune(spark: SparkSession) -> None:
     an order of magnitude slower.  Spark's own default allows 65535.  A session
     that sets the limit itself keeps its value.
     """
-    if spark.conf.get(HUGE_METHOD, "65535") == "65535":
+    if HUGE_METHOD not in spark.conf.getAll:
         spark.conf.set(HUGE_METHOD, "8000")
 
 
@@ -216,7 +217,7 @@ def _parameters(c: _Column) -> dict[str, Sql]:
         p = fallback_normal(c.stats["mean_nonzero"], c.stats["std_nonzero"], c.factor_of)
     else:
         p = widen({
-            k: "cast(null as double)" if v is None else str(int(v)) if k == "df" else double(v)
+            k: "cast(null as double)" if v is None else f"{int(v)}L" if k == "df" else double(v)
             for k, v in c.params.items()
         }, c.factor_of)
     return {k: f"({v})" for k, v in p.items()}

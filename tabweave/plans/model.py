@@ -7,16 +7,18 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tabweave.functions.randomness import Rng
-from tabweave.functions.text import ident
-from tabweave.operators.dependence import normal_scores, pairwise_correlation
+from tabweave.functions.text import ident, string
+from tabweave.operators.dependence import normal_scores_at_scale, pairwise_correlation
 from tabweave.operators.frequencies import category_frequencies, cumulate, smooth
-from tabweave.operators.laws import FAMILIES, LAW_SCHEMA, choose_laws, moments
+from tabweave.operators.laws import FAMILIES, LAW_SCHEMA, choose_laws, fit_family, moments
 from tabweave.operators.profile import DISCRETE_MAX, numeric_columns, profile, with_positives
-from tabweave.operators.sample import SAMPLE_LIMIT, bounded_sample
-from tabweave.sources.scratch import freeze
+from tabweave.operators.sample import bounded_sample
+from tabweave.sources.scratch import Workspace, cut_lineage, freeze
 
 MAX_COLUMNS = 5_000  # a wider table would make the d x d model itself large
 
@@ -77,25 +79,35 @@ def fit_model(
     df: DataFrame,
     cols: list[str] | None = None,
     *,
-    sample_limit: int = SAMPLE_LIMIT,
+    families: dict[str, str] | None = None,
+    sample_limit: int | None = None,
     key_cols: list[str] | None = None,
     rng: Rng = Rng(),
     bias: str = "population",
-    distinct: str = "flags",
+    distinct: str = "exact",
     kurtosis: str = "excess",
     discrete_max: int = DISCRETE_MAX,
     numeric_types: str = "standard",
 ) -> Model:
-    """Profile the whole table; fit laws, shares and dependence on a sample.
+    """Profile a whole table and fit laws, shares and dependence to all of it.
 
-    Jobs over the source: one profile pass and, if the table is larger than
-    ``sample_limit``, the passes of ``bounded_sample``.  Everything after that
-    runs on at most ``sample_limit`` rows.  Only model rows reach the driver.
+    ``families`` names the family of some columns; the others choose their own.  A
+    named column is modelled by its law even if it has few values, and fitted to all
+    its values.  Laws and profile come from one pass, shares from a second, ranks from a
+    copy of the modelled columns in the shared folder, which is removed at the end.
+    Only model rows reach the driver.
+
+    ``sample_limit`` asks for laws, shares and dependence from an exact sample of so
+    many rows (``bounded_sample``, by ``key_cols``) instead; the profile stays whole.
     """
     spark = df.sparkSession
+    families = dict(families or {})
     cols = numeric_columns(df, numeric_types) if cols is None else list(cols)
     if len(cols) > MAX_COLUMNS:
         raise ValueError(f"more than {MAX_COLUMNS} numeric columns")
+    for name, family in families.items():
+        if name not in cols or family not in FAMILIES:
+            raise ValueError(f"no column {name!r} or no family {family!r}")
     if not cols:
         stats = profile(df, cols)
         return Model(
@@ -107,49 +119,56 @@ def fit_model(
     wide = freeze(
         with_positives(df, cols, bias=bias, distinct=distinct, discrete_max=discrete_max), len(cols)
     )
+    if families:
+        named = ", ".join(map(string, families))
+        wide = freeze(wide.withColumn("is_binary", F.expr(f"is_binary and col_name not in ({named})")), len(cols))
     stats = wide.drop("n_pos", "avg_pos", "std_pos", "min_pos", "max_pos")
     rows = stats.orderBy("position").collect()
     modelled = [r["col_name"] for r in rows if not r["is_binary"]]
     discrete = [r["col_name"] for r in rows if r["is_binary"]]
-    sampled = rows[0]["n_rows"] > sample_limit
-    sample = bounded_sample(df, sample_limit, key_cols, rng) if sampled else df
-    sample = sample.select(*(ident(c) for c in cols))
+    sampled = sample_limit is not None and rows[0]["n_rows"] > sample_limit
+    source = df
     if sampled:
-        # spread the rows again, and draw them once before three jobs read them
-        sample = sample.repartition(spark.sparkContext.defaultParallelism).persist()
-        sample.count()
+        wanted = list(dict.fromkeys([*cols, *(key_cols or [])]))
+        source = cut_lineage(
+            bounded_sample(df.select(*map(ident, wanted)), sample_limit, key_cols, rng)
+        )
 
     def fit_laws():
-        if not modelled:
-            return spark.createDataFrame([], LAW_SCHEMA)
-        if sampled:
-            positives = moments(sample, modelled, positive_only=True)
-        else:  # the profile pass has seen the same rows
-            positives = wide.selectExpr(
-                "col_name", "n_pos as n", "avg_pos as mean", "std_pos as std",
-                "min_pos as min", "max_pos as max",
-            )
-        chosen = choose_laws(stats, positives, kurtosis).orderBy("position").drop("position")
-        return freeze(chosen, len(modelled))
+        chosen = None
+        own = [c for c in modelled if c not in families]
+        if own:
+            if sampled:
+                positives = moments(source, own, positive_only=True)
+            else:  # the profile pass has seen the same rows
+                positives = wide.selectExpr(
+                    "col_name", "n_pos as n", "avg_pos as mean", "std_pos as std",
+                    "min_pos as min", "max_pos as max",
+                )
+            chosen = choose_laws(stats, positives, kurtosis).drop("position")
+            chosen = chosen.where(F.col("col_name").isin(own))
+        for family in sorted(set(families.values())):
+            forced = [c for c, f in families.items() if f == family]
+            part = fit_family(source, forced, family).drop("position")
+            chosen = part if chosen is None else chosen.unionByName(part)
+        return spark.createDataFrame([], LAW_SCHEMA) if chosen is None else freeze(chosen, len(modelled))
 
     def fit_frequencies():
         if not discrete:
             return spark.createDataFrame([], "col_name string, value double, p double")
-        shares = category_frequencies(sample, discrete).orderBy("col_name", "value")
+        shares = category_frequencies(source, discrete).orderBy("col_name", "value")
         return freeze(shares, discrete_max * len(discrete))
 
     def fit_correlation():
         if len(modelled) < 2:
             return spark.createDataFrame([], "col_i string, col_j string, rho double")
-        pairs = pairwise_correlation(normal_scores(sample, modelled), modelled)
-        return freeze(pairs, len(modelled) * (len(modelled) - 1) // 2)
-
-    try:
-        # three small independent jobs; Spark runs them side by side
-        with ThreadPoolExecutor(3) as pool:
-            parts = [pool.submit(f) for f in (fit_laws, fit_frequencies, fit_correlation)]
-            laws, frequencies, correlation = (p.result() for p in parts)
-    finally:
-        if sampled:
-            sample.unpersist()
+        with Workspace(spark) as work:
+            pairs = pairwise_correlation(normal_scores_at_scale(source, modelled, work.keep), modelled)
+            return freeze(pairs, len(modelled) * (len(modelled) - 1) // 2)
+
+    # three independent jobs; Spark runs them side by side
+    with ThreadPoolExecutor(3) as pool:
+        parts = [pool.submit(inheritable_thread_target(spark)(f))
+                 for f in (fit_laws, fit_frequencies, fit_correlation)]
+        laws, frequencies, correlation = (p.result() for p in parts)
     return Model(cols, stats, laws, frequencies, correlation)

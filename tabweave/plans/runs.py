@@ -44,6 +44,7 @@ def two_phase_summary(runs: DataFrame) -> DataFrame:
 def presentation(summary: DataFrame) -> DataFrame:
     """A two-phase summary as text: sizes with separators, times as 'm ± s'."""
 
+    # The headings and the texts for missing times.
     def shown(phase: str, missing: str, title: str) -> str:
         std = f"if({phase}_std is null, 'nan', format_string('%.2f', {phase}_std))"
         text = f"concat(format_string('%.2f', {phase}_mean), ' ± ', {std})"
@@ -57,6 +58,14 @@ def presentation(summary: DataFrame) -> DataFrame:
     )
 
 
+def log_levels(log: DataFrame) -> DataFrame:
+    """One row per level of a sweep's log: its files, their total time, the first name."""
+    return log.groupBy("in_level").agg(
+        F.count("*").alias("files"), F.sum("time").alias("total_time"),
+        F.min("filename").alias("filename"),
+    )
+
+
 def level_log(log: DataFrame) -> DataFrame:
     """Files, total and average time over a sweep's log: in_level, time, filename."""
     return log.agg(

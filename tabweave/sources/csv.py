@@ -18,9 +18,15 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return reader.schema(schema).csv(path)
 
 
+def level_text(in_level: float) -> str:
+    """A level with three decimals, or with all of them if three do not give it back."""
+    short = f"{in_level:.3f}"
+    return short if float(short) == in_level else repr(float(in_level))
+
+
 def level_name(in_level: float, n: int) -> str:
     """Name of the data set of one level."""
-    return f"synthetic_IN_{in_level:.3f}_size_{n}.csv"
+    return f"synthetic_IN_{level_text(in_level)}_size_{n}.csv"
 
 
 def write_level(df: DataFrame, folder: str, in_level: float, n: int, mode: str = "errorifexists") -> str:
@@ -34,10 +40,12 @@ def write_sweep(df: DataFrame, folder: str, mode: str = "errorifexists") -> None
     """Write all levels of a sweep in one job, one ``in_level=0.100`` folder each.
 
     ``df`` must have an ``in_level`` column.  ``generate`` keeps the rows of a
-    level together, so a task opens one or two files.
+    level together, so a task opens one or two files.  A level that three decimals
+    do not give back is written with all its digits.
     """
+    short, level = F.format_string("%.3f", "in_level"), F.col("in_level")
     (
-        df.withColumn("in_level", F.format_string("%.3f", "in_level"))
+        df.withColumn("in_level", F.when(short.cast("double") == level, short).otherwise(level.cast("string")))
         .write.mode(mode).option("header", True).partitionBy("in_level").csv(folder)
     )
 

@@ -41,6 +41,30 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+class Workspace:
+    """Tables written to a folder of their own below the shared one, removed at the end.
+
+    Use it as a context manager around the work that reads them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.count = spark, fresh_path(spark, "work"), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write a table and read it back."""
+        self.count += 1
+        path = f"{self.folder}/{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def freeze(df: DataFrame, max_rows: int) -> DataFrame:
     """Pin a model table, small by construction, as literal rows.
 

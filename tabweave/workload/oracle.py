@@ -11,7 +11,6 @@ from tabweave.functions import normal as N
 
 SQL: dict[str, str] = {}
 SEED = 42
-SAMPLE = 100_000
 BLOCK = 100
 LEVELS = (0.0, 0.05, 0.1, 0.2, 0.3)
 NUMERIC = {
@@ -172,7 +171,7 @@ def key_text(keys) -> str:
     return f"concat_ws('|', {', '.join(f'{k}::VARCHAR' for k in keys)})"
 
 
-def sample_of(table: str, keys, k: int = SAMPLE) -> str:
+def sample_of(table: str, keys, k: int) -> str:
     order = ", ".join([uniform("sample", key_text(keys)), *keys])
     return f"(SELECT * FROM {table} ORDER BY {order} LIMIT {k})"
 
@@ -192,7 +191,7 @@ FITS = {
     "weibull": {"c": "1.5", "scale": "mean"},
     "beta": {"a": "2.0", "b": "2.0", "loc": "min", "scale": "max - min"},
     "uniform": {"loc": "min", "scale": "max - min"},
-    "chi2": {"df": "greatest(trunc(mean)::INTEGER, 1)"},
+    "chi2": {"df": "greatest(trunc(mean)::BIGINT, 1)"},
 }
 
 
@@ -226,7 +225,7 @@ def chosen(source: str, col: str, fit_source: str | None = None, raw: bool = Fal
         CASE rule WHEN 4 THEN greatest(power(s_mean / s_std, 2), 0.1) END AS shape,
         CASE rule WHEN 3 THEN greatest(s_std / s_mean, 0.1) END AS s,
         NULL AS c, CASE rule WHEN 1 THEN 2.0 END AS a, CASE rule WHEN 1 THEN 2.0 END AS b,
-        CASE rule WHEN 7 THEN greatest(trunc(s_mean)::INTEGER, 1) END AS df
+        CASE rule WHEN 7 THEN greatest(trunc(s_mean)::BIGINT, 1) END AS df
       FROM (SELECT p.*, s.n AS s_n, s.mean AS s_mean, s.std AS s_std, s.min AS s_min, s.max AS s_max,
           CASE WHEN s.n < 10 THEN 0 WHEN s.max <= 1 THEN 1 WHEN p.skewness > 2 THEN 2
             WHEN p.skewness > 0.5 AND {k} > 3 THEN 3 WHEN p.skewness > 0.5 THEN 4
@@ -306,7 +305,7 @@ def widened(params: dict[str, str], g) -> dict[str, str]:
     for p, value in params.items():
         moved = f"({value}) * {g(p)}"
         if p == "df":
-            out[p] = f"greatest(trunc({moved})::INTEGER, 1)"
+            out[p] = f"greatest(trunc({moved})::BIGINT, 1)"
         else:
             out[p] = moved if p == "loc" else f"greatest({moved}, 1e-6)"
     return out
@@ -486,7 +485,7 @@ def generated(table: str, keys, modelled, discrete, levels, copula=True, digits:
     n = len(modelled)
     moving = max(levels) > 0
     ctes = [before] if before else []
-    ctes.append(f"fit AS MATERIALIZED {sample_of(table, keys)}")
+    ctes.append(f"fit AS MATERIALIZED (SELECT * FROM {table})")
     for i, c in enumerate(modelled):
         ctes.append(f"law_{i} AS MATERIALIZED ({chosen(table, c, 'fit')})")
     for i, c in enumerate(discrete):
@@ -632,7 +631,15 @@ SQL["csv_sweep_roundtrip"] = f"""SELECT in_level, count(*) AS n_rows,
     {', '.join(f"{rnd(f'avg({c})', 3)} AS avg_{c}" for c in NUMERIC['customer'])}
     FROM ({generated(*CUSTOMER, LEVELS, digits=None)}) GROUP BY in_level"""
 SQL["csv_roundtrip"] = f"""SELECT o_orderstatus, count(*) AS n_rows, max(o_orderkey) AS max_key,
-    {rnd('sum(o_totalprice)', 2)} AS total FROM orders GROUP BY o_orderstatus"""
+    {rnd('sum(o_totalprice)', 2)} AS total, max(year(o_orderdate)) AS last_year,
+    (SELECT string_agg(kind, ',' ORDER BY place) FROM (VALUES
+      (1, CASE WHEN (SELECT max(o_orderkey) FROM orders) < 2147483648 THEN 'int' ELSE 'bigint' END),
+      (2, CASE WHEN (SELECT max(o_custkey) FROM orders) < 2147483648 THEN 'int' ELSE 'bigint' END),
+      (3, 'string'), (4, 'double'), (5, 'timestamp'), (6, 'string')) t(place, kind)) AS types
+    FROM orders GROUP BY o_orderstatus"""
+SQL["generate_files"] = f"""SELECT in_level, 1::BIGINT AS files, n AS n_rows,
+    'synthetic_IN_' || format('{{:.3f}}', in_level) || '_size_' || n || '.csv' AS filename
+    FROM (SELECT count(*) AS n FROM customer), (VALUES {', '.join(f"({d(x)})" for x in LEVELS)}) t(in_level)"""
 
 # --- run logs ----------------------------------------------------------------
 

@@ -23,14 +23,15 @@ from tabweave.operators.dependence import (
     average_ranks, correlation_factor, normal_scores, normal_scores_at_scale, pairwise_correlation,
 )
 from tabweave.operators.frequencies import category_frequencies, cumulate, draw_category, smooth
-from tabweave.operators.profile import numeric_columns, per_column, profile, tall
+from tabweave.operators.profile import numeric_columns, per_column, profile, tall, with_positives
 from tabweave.operators.sample import bounded_sample
 from tabweave.operators.uncertainty import MODES, factor, fallback_normal, widen
 from tabweave.plans import runs
+from tabweave.plans.files import write_levels
 from tabweave.plans.generate import generate
 from tabweave.plans.model import fit_model
 from tabweave.sources.csv import read_csv, read_sweep, write_sweep
-from tabweave.sources.scratch import fresh_path
+from tabweave.sources.scratch import fresh_path, freeze
 
 RNG = Rng(seed=42, portable=True)
 LINEITEM_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -71,14 +72,16 @@ def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
 def csv_roundtrip(spark, folder):
     """Write a table as CSV to the shared folder and read it with inferred types."""
     path = fresh_path(spark, "orders-csv")
-    table(spark, folder, "orders").drop("o_orderdate").write.option("header", True).csv(path)
+    table(spark, folder, "orders").write.option("header", True).csv(path)
     back = read_csv(spark, path)
+    types = F.lit(",".join(kind for _, kind in back.dtypes))
     return rounded(
         back.groupBy("o_orderstatus").agg(
             F.count("*").alias("n_rows"),
             F.max("o_orderkey").cast("bigint").alias("max_key"),
             F.sum("o_totalprice").alias("total"),
-        ),
+            F.max(F.year("o_orderdate")).cast("bigint").alias("last_year"),
+        ).withColumn("types", types),
         {"total": 2},
     )
 
@@ -102,6 +105,19 @@ def csv_sweep_roundtrip(spark, folder):
     )
 
 
+@query("generate_files")
+def generate_files(spark, folder):
+    """Read, fit, generate, write a data set for each level, and log it; rows as read back."""
+    source = table(spark, folder, "customer")
+    path = fresh_path(spark, "customer-files")
+    model = fit_model(source, rng=RNG)
+    log = write_levels(spark, model, source.count(), SWEEP, path, rng=RNG)
+    back = spark.read.option("header", True).csv(f"{path}/*.csv").select(
+        F.element_at(F.split(F.input_file_name(), "/"), -2).alias("filename")
+    ).groupBy("filename").agg(F.count("*").alias("n_rows"))
+    return runs.log_levels(log).join(back, "filename").select("in_level", "files", "n_rows", "filename")
+
+
 @query("row_ids")
 def row_ids(spark, folder):
     """As many consecutive ids as the table has rows."""
@@ -140,7 +156,7 @@ def profile_sample_bias(spark, folder):
 @query("profile_flags")
 def profile_flags(spark, folder):
     """The profile without the shuffle of most distinct values; flags stay exact."""
-    return profiled(table(spark, folder, "lineitem"), distinct="flags").drop("unique_count")
+    return profiled(table(spark, folder, "lineitem"), distinct="approximate").drop("unique_count")
 
 
 @query("positive_moments")
@@ -210,10 +226,12 @@ def fitted(spark, folder, family: str) -> DataFrame:
 
 
 def chosen(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    cols = numeric_columns(df) if cols is None else cols
-    return laws.choose_laws(
-        profile(df, cols), laws.moments(df, cols, positive_only=True)
-    ).drop("position")
+    """Statistics and moments of the positives come from one pass."""
+    found = freeze(with_positives(df, cols), 1000)
+    positives = found.selectExpr(
+        "col_name", "n_pos as n", "avg_pos as mean", "std_pos as std", "min_pos as min", "max_pos as max"
+    )
+    return laws.choose_laws(found, positives).drop("position")
 
 
 @query("choose_family")
@@ -315,12 +333,13 @@ def fuzzed(spark, folder, mode: str) -> DataFrame:
     orders = table(spark, folder, "orders")
     blocks = order_blocks(spark, folder)
     structs = []
-    for family in laws.FAMILIES.values():
-        if family.name not in EIGHT:
-            continue
-        row = laws.fit_family(orders, ["o_totalprice"], family.name).first()
+    known = freeze(laws.moments(orders, ["o_totalprice"]), 1)
+    fits = {f: laws.FAMILIES[f].fit for f in EIGHT}
+    row = known.selectExpr(*(f"{x} as {f}_{p}" for f in EIGHT for p, x in fits[f].items())).first()
+    for family in map(laws.FAMILIES.get, EIGHT):
         params = {
-            p: str(row["p_df"]) if p == "df" else double(row[f"p_{p}"]) for p in family.fit
+            p: str(row[f"{family.name}_{p}"]) if p == "df" else double(row[f"{family.name}_{p}"])
+            for p in family.fit
         }
         moved = widen(params, MODES[mode](RNG, "block", 0.1, family.name))
         structs.append(laws.law(family.name, **moved))
@@ -370,7 +389,7 @@ def correlated(spark, folder) -> DataFrame:
     """Two correlated normals per order, with the correlation of two of its columns."""
     orders = table(spark, folder, "orders")
     cols = ["o_custkey", "o_totalprice"]
-    rho = pairwise_correlation(normal_scores_at_scale(orders, cols, ["o_orderkey"]), cols).first()["rho"]
+    rho = pairwise_correlation(normal_scores_at_scale(orders, cols), cols).first()["rho"]
     factors = correlation_factor([[1.0, rho], [rho, 1.0]])
     radius, angle = RNG.polar("o_orderkey", "copula/0")
     return (

@@ -1,13 +1,18 @@
 """Generated tables: repeatability, laws, clips, levels and plans."""
 
 import math
+import os
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tabweave import Rng, fit_model, generate
+from tabweave import Rng, fit_model, generate, register_family
 from tabweave.operators.dependence import correlation_factor
+from tabweave.operators.draws import draw
+from tabweave.operators.laws import FAMILIES
+from tabweave.sources.scratch import shared_folder
 
 SF = "/root/testdata/sf0.01"
 
@@ -166,8 +171,63 @@ def test_factor_of_an_impossible_correlation():
     assert np.allclose(correlation_factor(undefined), np.eye(2))
 
 
+def test_first_rows_do_not_depend_on_the_number_of_rows(spark, model):
+    few = generate(spark, model, 1000, [0.1], keep_id=True)
+    many = generate(spark, model, 40_000, [0.1], keep_id=True)
+    ids = generate(spark, model, ids=spark.range(1000), in_levels=[0.1], keep_id=True)
+    assert same(few, many.where("id < 1000")) and same(few, ids)
+
+
+def test_a_large_table_is_fitted_whole(spark):
+    """More than 100000 rows, with one row of a rare category and one extreme value."""
+    df = spark.range(0, 200_000, 1, 4).selectExpr(
+        "if(id = 77, 2, int(id % 2)) as kind", "if(id = 99, 1e6, 5 + rand(1)) as x", "rand(2) * 10 as y"
+    ).persist()
+    model = fit_model(df)
+    shares = {r["value"]: r["p"] for r in model.frequencies.collect()}
+    assert set(shares) == {0.0, 1.0, 2.0} and shares[2.0] == 1 / 200_000
+    assert model.statistics["x"]["max"] == 1e6
+    assert all(s["unique_count"] for s in model.statistics.values())
+    want = df.select(F.percent_rank().over(Window.orderBy("x")).alias("a"), "y").agg(F.corr("a", "y")).first()[0]
+    assert model.correlation.first()["rho"] == pytest.approx(want, abs=0.01)
+    work = shared_folder(spark)
+    assert not [f for f in os.listdir(work) if f.startswith("work-")]
+    df.unpersist()
+
+
+def test_named_and_registered_families(spark):
+    df = spark.range(1, 4001).selectExpr("double(id) / 4 as x", "id % 7 as few", "id * 1.5D as y")
+    model = fit_model(df, families={"x": "weibull", "few": "gamma"})
+    assert {c: f for c, (f, _) in model.law_of.items()} == {"x": "weibull", "few": "gamma", "y": "uniform"}
+    assert model.law_of["x"][1]["scale"] == pytest.approx(500.125)
+    made = generate(spark, model, 40_000).agg(F.avg("x"), F.max("few")).first()
+    scale, gamma = 500.125, math.gamma(1 + 1 / 1.5)
+    assert made[0] == pytest.approx(scale * gamma, rel=0.02) and made[1] <= 6 * 1.1
+    with pytest.raises(ValueError):
+        fit_model(df, families={"x": "nothing"})
+    register_family("twice", lambda draw, p: f"{p['scale']} * {draw.u}", {"scale": "2 * mean"})
+    try:
+        again = fit_model(df, families={"x": "twice"})
+        assert generate(spark, again, 40_000).agg(F.avg("x")).first()[0] == pytest.approx(500, rel=0.02)
+    finally:
+        FAMILIES.pop("twice")
+
+
+def test_degrees_of_freedom_beyond_an_int(spark):
+    """Epochs in milliseconds: chi-squared with 1.7e12 degrees of freedom."""
+    df = spark.range(2000).selectExpr("1.7e12 + 1e6 * id as x")
+    model = fit_model(df, families={"x": "chi2"})
+    assert model.laws.first()["p_df"] == int(1.7e12 + 1e6 * 999.5)
+    for level in (0.0, 0.1):
+        made = generate(spark, model, 4000, [level]).agg(F.avg("x"), F.stddev("x"), F.count("x")).first()
+        assert made[0] == pytest.approx(1.7e12, rel=0.05) and made[2] == 4000
+    free = draw(spark.range(20_000), "id", "v", "chi2", {"df": 5_000_000_000})
+    mean, std = free.agg(F.avg("v"), F.stddev("v")).first()
+    assert mean == pytest.approx(5e9, rel=1e-5) and std == pytest.approx(1e5, rel=0.03)
+
+
 def test_model_of_a_sampled_table(spark):
-    """Above the limit the laws come from the sample, the profile from all rows."""
+    """If asked for, the laws come from a sample; the profile stays whole."""
     orders = spark.read.parquet(f"{SF}/orders.parquet")
     whole = fit_model(orders)
     part = fit_model(orders, sample_limit=4000, key_cols=["o_orderkey"])

@@ -87,10 +87,11 @@ def test_flags_are_exact_without_counting(spark):
     df = spark.range(0, 5000, 1, 4).selectExpr(
         "id as many", "id % 3 as few", "if(id < 4000, 0, id) as late"
     )
-    exact, flags = rows_of(profile(df)), rows_of(profile(df, distinct="flags"))
+    exact, near = rows_of(profile(df)), rows_of(profile(df, distinct="approximate"))
     for c in ("many", "few", "late"):
-        assert flags[c]["is_binary"] == exact[c]["is_binary"]
-    assert flags["many"]["unique_count"] is None and flags["late"]["unique_count"] == 1001
+        assert near[c]["is_binary"] == exact[c]["is_binary"]
+        assert near[c]["unique_count"] == pytest.approx(exact[c]["unique_count"], rel=0.2)
+    assert near["few"]["unique_count"] == 3
 
 
 def test_bias_corrected_moments(spark):

@@ -13,6 +13,8 @@ from tabweave.operators.dependence import (
     normal_scores, normal_scores_at_scale, pairwise_correlation,
 )
 from tabweave.operators.sample import _numbered_copies
+from tabweave.plans.files import write_levels
+from tabweave.plans.runs import log_levels
 from tabweave.sources import scratch
 
 
@@ -33,10 +35,24 @@ def test_sample_is_the_k_smallest(spark):
     assert {r["id"] for r in bounded_sample(df, 300, ["id"]).collect()} == want
 
 
-def test_sample_when_the_threshold_falls_short(spark):
-    """Rows that share a key pass or fail together; the size stays exact."""
-    df = spark.range(0, 4000).selectExpr("id", "0 as key")
-    assert bounded_sample(df, 100, ["key"]).count() == 100
+def test_sample_by_a_key_that_does_not_identify_rows(spark):
+    """Rows of one key are drawn one by one, so all keys take part."""
+    df = spark.range(0, 20_000, 1, 4).selectExpr("id", "id % 5 as key")
+    sample = bounded_sample(df, 100, ["key"])
+    assert sample.count() == 100 and sample.select("key").distinct().count() == 5
+
+
+def test_sample_of_maps_and_of_random_columns(spark):
+    maps = spark.range(0, 3000).selectExpr("id", "map('a', id % 7) as m")
+    assert bounded_sample(maps, 500).count() == 500
+    assert fit_model(maps, sample_limit=500).columns == ["id"]
+    drawn = bounded_sample(spark.range(0, 5000, 1, 3).selectExpr("id", "rand(3) as r"), 400, ["id"])
+    assert drawn.count() == 400 and drawn.exceptAll(drawn).isEmpty()
+
+
+def test_sample_raises_its_threshold(spark, monkeypatch):
+    monkeypatch.setattr("math.sqrt", lambda x: -x / 6.3)
+    assert bounded_sample(spark.range(0, 20_000), 1000, ["id"]).count() == 1000
 
 
 def test_sample_of_repeated_rows(spark):
@@ -64,7 +80,7 @@ def test_scores_at_scale_match_the_bounded_ones(spark):
     a = {(r[0], r[1]): r[2] for r in pairwise_correlation(normal_scores(df, cols), cols).collect()}
     b = {
         (r[0], r[1]): r[2]
-        for r in pairwise_correlation(normal_scores_at_scale(df, cols, ["id"]), cols).collect()
+        for r in pairwise_correlation(normal_scores_at_scale(df, cols), cols).collect()
     }
     c = {
         (r[0], r[1]): r[2]
@@ -84,7 +100,7 @@ def test_scores_by_brute_force(spark):
     df = spark.createDataFrame([(i, v, float(i)) for i, v in enumerate(values)], "k int, x double, y double")
     ranks = pandas.Series(values).rank(method="average")
     want = sorted(NormalDist().inv_cdf((r - 0.5) / len(values)) for r in ranks)
-    for scores in (normal_scores(df, ["x", "y"]), normal_scores_at_scale(df, ["x", "y"], ["k"])):
+    for scores in (normal_scores(df, ["x", "y"]), normal_scores_at_scale(df, ["x", "y"])):
         assert sorted(r["x"] for r in scores.collect()) == pytest.approx(want)
 
 
@@ -118,6 +134,18 @@ def test_level_files(spark, tmp_path):
         write_level(made, str(tmp_path), 0.1, 50)
 
 
+def test_close_levels_stay_apart(spark, tmp_path):
+    model = fit_model(spark.range(1, 200).selectExpr("double(id) as x"))
+    folder = str(tmp_path / "close")
+    write_sweep(generate(spark, model, 100, [0.1001, 0.1004, 0.1]), folder)
+    counts = read_sweep(spark, folder).groupBy("in_level").count().collect()
+    assert {r["in_level"]: r["count"] for r in counts} == {0.1001: 100, 0.1004: 100, 0.1: 100}
+    log = log_levels(write_levels(spark, model, 30, [0.1001, 0.1004], str(tmp_path / "files"))).collect()
+    assert {r["filename"] for r in log} == {
+        "synthetic_IN_0.1001_size_30.csv", "synthetic_IN_0.1004_size_30.csv"}
+    assert all(r["files"] == 1 and r["total_time"] > 0 for r in log)
+
+
 def test_csv_types_are_inferred(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text("a,b,c\n1,2.5,x\n,3.5,y\n3,,z\n")
