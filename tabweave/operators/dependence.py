@@ -116,9 +116,26 @@ def normal_scores_at_scale(
 
 
 def _wide(scored: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
-    return scored.groupBy(*keys).agg(*(
-        F.expr(f"first(if(position = {i}, z, null), true)").alias(c) for i, c in enumerate(cols)
-    ))
+    """One row per key with a column per position; a row's cells meet in one list."""
+    d, first = len(cols), len(keys)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column(first)
+            row = np.repeat(np.arange(len(cells)), cells.value_lengths().to_numpy(zero_copy_only=False))
+            position, z = (a.to_numpy(zero_copy_only=False) for a in cells.flatten().flatten())
+            wide = np.full((d, len(cells)), np.nan)
+            wide[position, row] = z
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i) for i in range(first)] + [pa.array(x, from_pandas=True) for x in wide],
+                names=[*keys, *cols],
+            )
+
+    kinds = [f"{ident(f.name)} {f.dataType.simpleString()}" for f in scored.select(*keys).schema]
+    return (
+        scored.groupBy(*keys).agg(F.collect_list(F.struct("position", "z")).alias("__cells"))
+        .mapInArrow(spread, ", ".join(kinds + [f"{ident(c)} double" for c in cols]))
+    )
 
 
 def pairwise_correlation(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -10,8 +10,11 @@ Catalyst therefore keeps them apart and evaluates none of them twice.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tabweave.functions.normal import normal_cdf, normal_quantile, quantile_parts
@@ -31,6 +34,7 @@ from tabweave.operators.uncertainty import (
 from tabweave.plans.model import Model
 
 ROWS_PER_PARTITION = 4_000_000
+LITERAL_COLUMNS = 40  # up to here the copula's weights are literals of the plan
 HUGE_METHOD = "spark.sql.codegen.hugeMethodLimit"
 OUTSIDE_LOW, OUTSIDE_HIGH = 0.001, 0.999  # fixed values: percentiles outside the copula
 
@@ -234,15 +238,19 @@ def _draws(rows, factors, columns, model, rng, floor, copula) -> DataFrame:
             normals += [f"__r{i} * cos(__a{i}) as __e{2 * i}", f"__r{i} * sin(__a{i}) as __e{2 * i + 1}"]
         factor = correlation_factor(model.correlation_matrix([c.name for c in columns]))
         limit = z_limit(floor)
-        mixed = []
-        for i, c in enumerate(columns):
-            terms = [f"{double(w)} * __e{j}" for j, w in enumerate(factor[i]) if w != 0.0]
-            mixed.append(f"{clip(' + '.join(terms), -limit, limit)} as {c('z')}")
         rows = (
             rows.selectExpr("id", "__level", *factors, *polar)
             .selectExpr(*carried, *normals[: len(columns)])
-            .selectExpr(*carried, *mixed)
         )
+        if len(columns) > LITERAL_COLUMNS:
+            rows = _multiplied(rows, carried, factor)
+            sums = [f"__e{i}" for i in range(len(columns))]
+        else:
+            sums = [" + ".join(f"{double(w)} * __e{j}" for j, w in enumerate(row) if w != 0.0)
+                    for row in factor]
+        rows = rows.selectExpr(*carried, *(
+            f"{clip(total, -limit, limit)} as {c('z')}" for c, total in zip(columns, sums)
+        ))
     else:
         from_u = [c for c in columns if c.uses != "u"]
         plain = [c("u") for c in columns if c.uses == "u"]
@@ -269,6 +277,29 @@ def _draws(rows, factors, columns, model, rng, floor, copula) -> DataFrame:
     return rows.selectExpr(*carried, *parts)
 
 
+def _multiplied(rows: DataFrame, carried: list[str], factor: np.ndarray) -> DataFrame:
+    """The normals __e0, __e1, ... times the factor, in batches outside the plan's text.
+
+    Written out, the weights of d columns are d * d / 2 literals.  Here they go to the
+    tasks as one matrix.  Terms are added in the same order, so values are the same.
+    """
+    d, first = len(factor), len(carried)
+    shared = rows.sparkSession.sparkContext.broadcast(factor)  # d * d doubles
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value
+        for batch in batches:
+            total = np.zeros((d, batch.num_rows))
+            for j in range(d):
+                total[j:] += weights[j:, j:j + 1] * batch.column(first + j).to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i) for i in range(first)] + [pa.array(z) for z in total],
+                schema=batch.schema,
+            )
+
+    return rows.mapInArrow(multiply, rows.schema)
+
+
 def _quantile(c: _Column) -> Sql:
     if c.undefined:
         return "cast(null as double)"

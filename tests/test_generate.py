@@ -146,6 +146,13 @@ def test_column_without_a_law_falls_back_to_a_normal(spark):
     assert got[1] == pytest.approx(math.hypot(288.7, 500.5 * 0.1 / math.sqrt(3)), rel=0.03)
 
 
+def test_wide_models_give_the_same_values(spark, model, monkeypatch):
+    """The matrix product in batches, used for many columns, against literal weights."""
+    few = generate(spark, model, 3000, [0.0, 0.2], keep_id=True)
+    monkeypatch.setattr("tabweave.plans.generate.LITERAL_COLUMNS", 1)
+    assert same(few, generate(spark, model, 3000, [0.0, 0.2], keep_id=True))
+
+
 def test_generation_neither_shuffles_nor_runs_python(spark, model):
     for levels in ([0.0], [0.0, 0.1]):
         plan = generate(spark, model, 1000, levels)._jdf.queryExecution().executedPlan().toString()
