@@ -12,6 +12,7 @@ from tabweave.functions.scores import ScorePolynomial, z_limit
 from tabweave.functions.text import Sql, double
 from tabweave.operators.laws import FAMILIES
 
+SMALLEST = 2.0 ** -53  # the smallest uniform that Rng gives; 1 minus it is the largest
 OVERSAMPLE = 2  # fixed value: values drawn per value wanted in the fallback
 
 
@@ -60,11 +61,8 @@ def draw(
     rng: Rng = Rng(),
     tag: str = "draw",
 ) -> DataFrame:
-    """Add ``out``, an independent draw per row.
-
-    Families without a closed form are cut at percentiles 1e-9 and 1 - 1e-9.
-    """
-    return evaluate(rows, rng.uniform(key, f"{tag}/{out}"), out, family, params, floor=1e-9)
+    """Add ``out``, an independent draw per row, from the whole range of the uniform."""
+    return evaluate(rows, rng.uniform(key, f"{tag}/{out}"), out, family, params, floor=SMALLEST)
 
 
 def empirical_quantile(
@@ -81,8 +79,8 @@ def empirical_quantile(
 
     Each block draws two values per row, sorts them, and a row at percentile p
     reads the value at position floor(p * (m - 1)) of the m drawn.  Sorting and
-    the equi-join run within blocks, which are bounded (``BLOCK_ROWS``).  There
-    is no clipping on this path.
+    the equi-join run within blocks, whose size is the caller's: give bounded ones, as
+    ``generate`` has them.  There is no clipping on this path.
     """
     source = rows.selectExpr(*rows.columns, f"{block} as __block", f"{percentile} as __p")
     keyed = source.selectExpr(f"{key} as __key", "__block")
