@@ -19,7 +19,7 @@ SYMBOLS = 16_384        # the commonest words are symbols of their own; one more
 LOCAL_WORDS = 250_000   # the commonest words whose counts every worker holds
 SAMPLE_TEXTS, SAMPLE_TOKENS = 1500, 400   # the start of training reads so much, at most
 WARM_ROUNDS, ROUNDS = 25, 4               # on that sample, and on all training documents
-GROUP = 1 << 17         # tokens of the texts that a step of the recursions holds at once
+GROUP = 1 << 18         # tokens of the texts that a step of the recursions holds at once
 SLICE = 8 << 20         # bytes of text that a step holds at once
 
 
@@ -51,21 +51,21 @@ class Model:
             yield np.array(part), symbols, running
 
     def forward(self, symbols: np.ndarray, running: np.ndarray, keep: bool):
-        """Log-likelihoods by the scaled forward recursion, and its states and scales if kept."""
-        width = symbols.shape[1]
-        total = np.zeros(width)
-        states = np.zeros((len(symbols), width, len(self.start))) if keep else None
-        scales = np.ones((len(symbols), width)) if keep else None
-        now = np.broadcast_to(self.start, (width, len(self.start)))
+        """Log-likelihoods by the scaled forward recursion, its scales, and its states if kept."""
+        width, ones = symbols.shape[1], np.ones(len(self.start))
+        states = np.empty((len(symbols), width, len(ones))) if keep else None
+        scales = np.ones((len(symbols), width))
+        now = np.broadcast_to(self.start, (width, len(ones)))
         for t, n in enumerate(running):
             ahead = now[:n] @ self.move if t else now[:n]
-            now = ahead * self.emit[symbols[t, :n]]
-            scale = now.sum(axis=1)
-            now /= scale[:, None]
-            total[:n] += np.log(scale)
+            now = self.emit[symbols[t, :n]]
+            now *= ahead
+            scale = now @ ones
+            now *= (1.0 / scale)[:, None]
+            scales[t, :n] = scale
             if keep:
-                states[t, :n], scales[t, :n] = now, scale
-        return total, states, scales
+                states[t, :n] = now
+        return np.log(scales).sum(axis=0), scales, states
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 of the exact likelihood of each text's symbols."""
@@ -78,22 +78,24 @@ class Model:
         """Expected counts of Baum-Welch over some texts."""
         total = Expected.zero(*self.emit.shape)
         for _, symbols, running in self.groups(texts):
-            likelihood, states, scales = self.forward(symbols, running, True)
+            likelihood, scales, states = self.forward(symbols, running, True)
             total.likelihood += float(likelihood.sum())
-            seen = np.zeros_like(states)
+            inverse, back = 1.0 / scales, np.ascontiguousarray(self.move.T)
             later = np.ones(states.shape[1:])
             for t in range(len(running) - 1, -1, -1):
                 n = running[t]
-                seen[t, :n] = states[t, :n] * later[:n]
+                states[t, :n] *= later[:n]  # from here on, the chances of each state given all
                 if t:
-                    coming = self.emit[symbols[t, :n]] * later[:n] / scales[t, :n, None]
+                    coming = self.emit[symbols[t, :n]]
+                    coming *= later[:n]
+                    coming *= inverse[t, :n, None]
                     total.move += self.move * (states[t - 1, :n].T @ coming)
-                    later[:n] = coming @ self.move.T
-            total.start += seen[0].sum(axis=0)
+                    np.matmul(coming, back, out=later[:n])
+            total.start += states[0].sum(axis=0)
             live = np.arange(symbols.shape[1]) < running[:, None]
-            which = symbols[live]
-            for k in range(len(self.start)):
-                total.emit[:, k] += np.bincount(which, seen[live, k], len(self.emit))
+            which, seen = symbols[live], states[live].T
+            for k, chances in enumerate(np.ascontiguousarray(seen)):
+                total.emit[:, k] += np.bincount(which, chances, len(self.emit))
         return total
 
 

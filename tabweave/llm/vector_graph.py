@@ -215,7 +215,9 @@ def overlapping_shards(nodes: DataFrame) -> DataFrame:
     Clusters of more than BLOCK vectors are split again, on centres fitted on a bounded
     sample of their own; what is still larger after LEVELS splits is searched in blocks.
     """
-    members = nodes.select("node", "unit", "copies", F.lit(0).cast("long").alias("shard"))
+    # All in shard 0 at first; not as a literal, which would leave the joins without a key.
+    start = F.when(F.col("copies") > 0, F.lit(0).cast("long"))
+    members = nodes.select("node", "unit", "copies", start.alias("shard"))
     settled = None
     for level in range(LEVELS):
         sizes = members.groupBy("shard").agg(F.count("*").alias("size"))
