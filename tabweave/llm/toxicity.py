@@ -170,16 +170,23 @@ def fit(sample: list[tuple[int, str]], epochs: int = 3, batch: int = 32) -> Word
     found = [np.unique(hashes[np.unique(s)]) if len(s) else np.zeros(0, np.int64) for s in sequences]
     rng = np.random.default_rng(3)
     half = rng.permutation(len(sample)) % 2
+    # A fifth of the texts teaches nothing and sets the threshold at the end.
+    aside = rng.random(len(sample)) < (0.2 if len(sample) >= 200 else 0.0)
     net = WordNet()
-    halves = [Evidence([found[i] for i in np.flatnonzero(half == k)], labels[half == k]) for k in (0, 1)]
+
+    def evidence_of(part: np.ndarray) -> Evidence:
+        part = part & ~aside
+        return Evidence([found[i] for i in np.flatnonzero(part)], labels[part])
+
+    halves = [evidence_of(half == k) for k in (0, 1)]
     looked = [e.look_up(hashes) for e in halves]
-    net.evidence = Evidence(found, labels)
+    net.evidence = evidence_of(np.ones(len(sample), bool))
     windows = [_places(s) for s in sequences]
     # A toxic text in which the other half knows nothing telling would teach noise.
     telling = np.array([labels[i] == 0 or not len(found[i]) or
                         halves[1 - half[i]].look_up(found[i]).max() > 0.5 for i in range(len(sample))])
     mixed = rng.permutation(len(sample))
-    mixed = mixed[telling[mixed]]
+    mixed = mixed[telling[mixed] & ~aside[mixed]]
     useful = np.array([i for k in (0, 1) for i in mixed[labels[mixed] == k][:NET_TEXTS[k]]
                        if len(windows[i])], np.int64)
     epochs = max(epochs, min(30, 6000 // max(len(useful), 1)))
@@ -221,9 +228,25 @@ def fit(sample: list[tuple[int, str]], epochs: int = 3, batch: int = 32) -> Word
             grads["letters"] = scatter_rows(
                 (which % BUCKETS).reshape(-1), np.repeat(back / FEATURES, FEATURES, axis=0), BUCKETS)
             adam.update(grads)
+    _set_threshold(net, [sample[i][1] for i in np.flatnonzero(aside)], labels[aside])
     return net
 
 
+def _set_threshold(net: WordNet, texts: list[str], labels: np.ndarray) -> None:
+    """Shift the scores so that THRESHOLD lies between toxic and clean texts not learned from.
+
+    The cut is half way between all but the lowest toxic and all but the highest clean
+    scores; where these overlap, it is above the clean ones.
+    """
+    if len(set(labels.tolist())) < 2:
+        return
+    top = np.clip(Scorer(net).score(texts)[0], 1e-9, 1 - 1e-9)
+    logits = np.log(top) - np.log1p(-top)
+    high, low = np.quantile(logits[labels == 0], 0.995), np.quantile(logits[labels == 1], 0.02)
+    cut = max((high + low) / 2, high)
+    net.params["out_bias"] += F32(np.log(THRESHOLD / (1 - THRESHOLD)) - cut)
+
+
 class Scorer:
     """Scores texts; remembers the projected inputs of up to MAX_WORDS words."""
 
