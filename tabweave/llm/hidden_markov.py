@@ -8,17 +8,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.llm.common import by_slices, fold, identified, park, utf8
+from tabweave.llm.common import by_slices, drop_at_exit, fold, identified, park, utf8
+from tabweave.sources.scratch import fresh_path
 
 END = b" "              # no word: words hold no white space
 STATES = 8
-SYMBOLS = 16_384        # the commonest words are symbols of their own; one more for all others
-LOCAL_WORDS = 250_000   # the commonest words whose counts every worker holds
-SAMPLE_TEXTS, SAMPLE_TOKENS = 1500, 400   # the start of training reads so much, at most
-WARM_ROUNDS, ROUNDS = 25, 4               # on that sample, and on all training documents
+LOCAL_WORDS = 250_000   # the commonest words whose counts and emissions every worker holds
+START_ROUNDS = 10       # from random states, the likelihood hardly rises in so many rounds
+ROUNDS = 4              # further rounds, at least; all rounds are over all training documents
+SETTLED = 1e-4          # training ends when a round raises the log-likelihood by less than this share
 GROUP = 1 << 18         # tokens of the texts that a step of the recursions holds at once
 SLICE = 8 << 20         # bytes of text that a step holds at once
 
@@ -28,7 +30,8 @@ class Model:
     """Distributions of the first state, of the next state, and of each state's symbols.
 
     ``emit`` is (symbols, states).  The last symbol is the end of a text, the one before
-    it any word that is no symbol.
+    it any word that is no symbol.  Words that workers do not hold have their emissions
+    in a table, which meets the texts in a join.
     """
 
     start: np.ndarray
@@ -119,11 +122,75 @@ class Expected:
         self.likelihood += other.likelihood
         return self
 
-    def model(self, shares: np.ndarray) -> Model:
-        """The next model; a little of the symbols' overall shares keeps every chance positive."""
-        emit = self.emit + 2.0 * shares[:, None]
+    def model(self, shares: np.ndarray, tail: Tail | None = None) -> Model:
+        """The next model; a little of the symbols' overall shares keeps every chance positive.
+
+        Each symbol has half a count more, as in the base score, split by how much a state
+        is used, so that a rare word is not tied to the state of its one occurrence.
+        """
+        used = self.emit.sum(axis=0) + (tail.sums if tail else 0.0)
+        even = 0.5 * used / used.sum()
+        emit = self.emit + 2.0 * shares[:, None] + even
+        total = emit.sum(axis=0)
+        if tail:
+            total = total + tail.sums + 2.0 * tail.share + even * tail.count
+            tail.even, tail.total = even, total
         move, start = self.move + 0.1, self.start + 0.1
-        return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+        return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / total)
+
+
+@dataclass
+class Tail:
+    """The training words that workers do not hold.
+
+    ``rows`` (token, s0, s1, ...) are their expected emissions by state, ``sums`` those of
+    all, ``count`` how many words they are, ``share`` their part of all smoothed counts,
+    which add up to ``whole``.
+    """
+
+    rows: DataFrame
+    path: str
+    sums: np.ndarray
+    count: int
+    share: float
+    whole: float
+    even: np.ndarray | None = None
+    total: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, rows: DataFrame, states: int, count: int, share: float, whole: float) -> Tail:
+        spark = rows.sparkSession
+        path = fresh_path(spark, "tail-emissions")
+        rows.write.parquet(path)
+        drop_at_exit(spark, path)
+        rows = spark.read.schema(rows.schema).parquet(path)
+        sums = rows.where("token is not null").agg(*[F.sum(f"s{k}") for k in range(states)]).first()
+        return cls(rows, path, np.array([x or 0.0 for x in sums]), count, share, whole)
+
+    def release(self) -> None:
+        spark = self.rows.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def emissions(self) -> DataFrame:
+        """(token, e): the chances of each word by state."""
+        names = [F.col(f"s{k}") for k in range(len(self.sums))]
+        if self.even is None:  # before the first round the rows are shares with noise
+            each = [s / float(t) for s, t in zip(names, self.total)]
+        else:
+            own = 2.0 / self.whole * (sum(names[1:], names[0]) + 0.5)  # the chances of states add up to 1
+            each = [(s + own + float(e)) / float(t) for s, e, t in zip(names, self.even, self.total)]
+        return self.rows.where("token is not null").select("token", F.array(*each).alias("e"))
+
+
+def noise(tokens: list[bytes], states: int) -> np.ndarray:
+    """(tokens, states) numbers above 0.2, exponential, from the tokens alone."""
+    hashes = np.array([xxhash.xxh64_intdigest(t) for t in tokens], np.uint64)[:, None]
+    mixed = hashes + np.arange(1, states + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    mixed ^= mixed >> np.uint64(31)
+    return 0.2 - np.log1p(-(mixed >> np.uint64(11)) * 2.0 ** -53)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -169,8 +236,12 @@ CODED = ("row long, doc_id long, held_out boolean, n_words long, symbols array<i
          "local_log double, other_log double, n_other long, tail array<struct<token:binary,n:bigint>>")
 
 
-def _coded(rows: DataFrame, words: list[tuple[bytes, int]], symbols: int) -> DataFrame:
-    """Texts as symbols, with what the base score needs of local words, and the other words."""
+def _coded(rows: DataFrame, words: list[tuple[bytes, int]], symbols: int, tail_symbols: bool) -> DataFrame:
+    """Texts as symbols, with what the base score needs of local words, and the other words.
+
+    If those are symbols too, they number on behind the model's own, by text, in the
+    order of its tail.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(words)  # at most LOCAL_WORDS
     places: dict[bytes, int] = {}
 
@@ -187,6 +258,9 @@ def _coded(rows: DataFrame, words: list[tuple[bytes, int]], symbols: int) -> Dat
             other = local[local >= symbols]
             coded = np.where((at < 0) | (at >= symbols), symbols, at)
             tail = Counter(w for w, a in zip(found, at.tolist()) if a < 0) if len(local) < len(at) else {}
+            if tail_symbols and tail:
+                nth = {w: symbols + 2 + i for i, w in enumerate(tail)}
+                coded[at < 0] = [nth[found[i]] for i in np.flatnonzero(at < 0).tolist()]
             out.append((len(found), np.append(coded, symbols + 1).astype(np.int32), len(local),
                         float(logs[local].sum()), float(logs[other].sum()), int((coded == symbols).sum()),
                         [{"token": w, "n": n} for w, n in tail.items()]))
@@ -206,78 +280,139 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
     return np.split(flat, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))[:-1])
 
 
-def _expected(training: DataFrame, model: Model) -> Expected:
+def _with_extra(coded: DataFrame, tail: Tail | None, model: Model) -> DataFrame:
+    """Adds extra, the emissions of a text's tail in its order, end to end; null without a tail."""
+    if tail is None:
+        return coded.withColumn("extra", F.lit(None).cast("array<double>"))
+    unseen = F.array(*[F.lit(float(x)) for x in model.emit[-2]])
+    found = coded.select("row", F.posexplode("tail").alias("at", "t")).select("row", "at", "t.token").join(
+        tail.emissions(), "token", "left").groupBy("row").agg(
+            F.sort_array(F.collect_list(F.struct("at", F.coalesce("e", unseen).alias("e")))).alias("each"))
+    return coded.join(found.select("row", F.flatten(F.col("each.e")).alias("extra")), "row", "left")
+
+
+def _widened(model: Model, texts: list[np.ndarray], extra: pa.Array) -> tuple[Model, list[np.ndarray]]:
+    """A model that holds the tails of these texts as well, and the texts in its symbols."""
+    size, states = model.emit.shape
+    rows = extra.flatten().to_numpy(zero_copy_only=False).reshape(-1, states)
+    if not len(rows):
+        return model, texts
+    counts = extra.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) // states
+    begins = np.cumsum(counts) - counts
+    texts = [np.where(t >= size, t + b, t) for t, b in zip(texts, begins)]
+    return Model(model.start, model.move, np.vstack([model.emit, rows])), texts
+
+
+def _expected(training: DataFrame, model: Model, tail: Tail | None = None) -> tuple[Expected, Tail | None]:
     """One round over all training documents; tasks send sums, a row for each symbol they saw.
 
-    Symbols below zero carry the moves, the starts and the likelihood.
+    Symbols below zero carry the moves, the starts and the likelihood.  Rows of words that
+    workers do not hold have their token and stay in a table.
     """
     shared = training.sparkSession.sparkContext.broadcast(model)
     states = len(model.start)
     names = [f"s{k}" for k in range(states)]
 
+    def made(keys: pa.Array, tokens: pa.Array, rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([keys, tokens, *map(pa.array, rows.T.copy())], ["symbol", "token", *names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = Expected.zero(*model_shape)
+        total, size = Expected.zero(*model_shape), model_shape[0]
         for batch in batches:
-            if batch.num_rows:
-                total += shared.value.expect(_arrays(batch.column(0)))
+            if not batch.num_rows:
+                continue
+            wide, texts = _widened(shared.value, _arrays(batch.column(0)), batch.column(1))
+            found = wide.expect(texts)
+            if len(found.emit) > size:
+                tokens = batch.column(2).flatten().field("token")
+                yield made(pa.nulls(len(tokens), pa.int32()), tokens, found.emit[size:])
+                found.emit = found.emit[:size]
+            total += found
         seen = np.flatnonzero(total.emit.sum(axis=1))
         extra = np.vstack([total.move, total.start, np.full(states, total.likelihood / states)])
-        rows = np.vstack([total.emit[seen], extra])
         keys = np.concatenate([seen, -1 - np.arange(len(extra))]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, rows.T.copy())], ["symbol", *names])
+        yield made(pa.array(keys), pa.nulls(len(keys), pa.binary()), np.vstack([total.emit[seen], extra]))
 
     model_shape = model.emit.shape
-    schema = "symbol int, " + ", ".join(f"{n} double" for n in names)
-    sums = training.select("symbols").mapInArrow(run, schema).groupBy("symbol").agg(
-        *[F.sum(n).alias(n) for n in names]).collect()  # SYMBOLS + STATES + 4 rows at most
+    schema = "symbol int, token binary, " + ", ".join(f"{n} double" for n in names)
+    sums = _with_extra(training, tail, model).select("symbols", "extra", "tail").mapInArrow(run, schema).groupBy(
+        "symbol", "token").agg(*[F.sum(n).alias(n) for n in names])
+    if tail is not None:
+        before, tail = tail, Tail.of(sums, states, tail.count, tail.share, tail.whole)
+        before.release()
+        sums = tail.rows.where("token is null")
+    sums = sums.drop("token").toArrow()  # LOCAL_WORDS + STATES + 4 rows at most
+    shared.destroy()
+    keys = sums["symbol"].to_numpy()
+    values = np.stack([sums[n].to_numpy() for n in names], axis=1)
     total = Expected.zero(*model_shape)
-    for row in sums:
-        values = np.array(row[1:])
-        if row.symbol >= 0:
-            total.emit[row.symbol] = values
-        elif row.symbol >= -states:
-            total.move[-1 - row.symbol] = values
-        elif row.symbol == -1 - states:
-            total.start = values
+    total.emit[keys[keys >= 0]] = values[keys >= 0]
+    for key, row in zip(keys[keys < 0].tolist(), values[keys < 0]):
+        if key >= -states:
+            total.move[-1 - key] = row
+        elif key == -1 - states:
+            total.start = row
         else:
-            total.likelihood = float(values.sum())
-    return total
-
-
-def train(coded: DataFrame, shares: np.ndarray, states: int, rounds: int) -> Model:
-    """Baum-Welch: a start on a bounded sample, then rounds over all training documents."""
-    training = coded.where("not held_out")
-    count = training.count()
-    share = min(1.0, 2 * SAMPLE_TEXTS / max(count, 1))
-    key = F.xxhash64("doc_id", "n_words")
-    near = training.where(F.pmod(key, F.lit(1_000_003)) / 1_000_003.0 < share)
-    sample = [np.array(r[0]) for r in near.orderBy(key, "doc_id").limit(SAMPLE_TEXTS)
-              .select(F.slice("symbols", 1, SAMPLE_TOKENS)).collect()]
-    rng = np.random.default_rng(7)
-    noise = rng.gamma(1.0, size=(len(shares), states)) + 0.2
-    emit = shares[:, None] * noise
+            total.likelihood = float(row.sum())
+    return total, tail
+
+
+def train(training: DataFrame, tokens: list[bytes], counts: np.ndarray, states: int, rounds: int,
+          tail: DataFrame | None = None) -> tuple[Model, Tail | None]:
+    """Baum-Welch over all training documents, from the symbols' shares, until the likelihood settles.
+
+    ``tokens`` and ``counts`` (smoothed) are the model's symbols, ``tail`` the (token, c) of
+    further ones.  At least START_ROUNDS and so many further rounds run.
+    """
+    whole, rest = float(counts.sum()), None
+    names = [f"s{k}" for k in range(states)]
+    if tail is not None:
+        count, c = tail.agg(F.count("*"), F.sum("c")).first()
+        share = c + 0.5 * count
+        whole += share
+
+        def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                each = (batch.column(1).to_numpy() + 0.5) / whole
+                rows = each[:, None] * noise(batch.column(0).to_pylist(), states)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, rows.T.copy())], ["token", *names])
+
+        rest = Tail.of(tail.select("token", "c").mapInArrow(
+            begin, "token binary, " + ", ".join(f"{n} double" for n in names)), states, count, share / whole, whole)
+    shares = counts / whole
+    emit = shares[:, None] * noise(tokens, states)
+    total = emit.sum(axis=0) + (rest.sums if rest else 0.0)
+    if rest:
+        rest.total = total
     stay = np.full((states, states), 0.3 / states) + 0.7 * np.eye(states)
-    model = Model(np.full(states, 1 / states), stay, emit / emit.sum(axis=0))
-    for _ in range(WARM_ROUNDS if sample else 0):
-        model = model.expect(sample).model(shares)
-    for _ in range(rounds if sample else 0):
-        model = _expected(training, model).model(shares)
-    return model
+    model, done, before = Model(np.full(states, 1 / states), stay, emit / total), 0, -np.inf
+    while True:
+        found, rest = _expected(training, model, rest)
+        if not found.start.sum():  # no training rows
+            return model, rest
+        model = found.model(shares, rest)
+        training.sparkSession._jvm.System.gc()  # lets Spark's cleaner delete the shuffles of past rounds
+        done += 1
+        if done >= START_ROUNDS + rounds and found.likelihood - before < SETTLED * abs(found.likelihood):
+            return model, rest
+        before = found.likelihood
 
 
 def score_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 1,
-    states: int = STATES, symbols: int = SYMBOLS, local_words: int = LOCAL_WORDS, rounds: int = ROUNDS,
+    states: int = STATES, symbols: int | None = None, local_words: int = LOCAL_WORDS, rounds: int = ROUNDS,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row.
 
     Tokens are the words and one end.  The model learns from rows outside the held-out
-    fold (crc32 of the id as text).  Its symbols are the commonest words, the end, and
-    all other words as one, of which each has its smoothed share; ``score`` is the log10
+    fold (crc32 of the id as text), in rounds over all of them until the likelihood settles.  Its
+    symbols are all their words, the end, and one for words never seen.  If ``symbols``
+    is given, only so many of the commonest (of those that workers hold) are symbols, and
+    all other words are one, of which each has its smoothed share.  ``score`` is the log10
     of the exact likelihood of the whole text.  ``base_score`` is the smoothed unigram's.
 
-    Counts of all words stay distributed.  Workers hold those of at most local_words;
-    the others meet their documents in a join, in which no word is common.  Null and
+    Counts and emissions of all words stay distributed.  Workers hold those of at most
+    local_words; the others meet their documents in a join, in which no word is common.  Null and
     empty texts have the end only.  Repeated rows come back, and count, as often as they
     occur.  Without training rows every count is zero.
     """
@@ -288,31 +423,39 @@ def score_documents(
     total = counts.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("token") == END, F.col("c")))).first()
     n, v, ends = total[0] or 0, total[1], total[2] or 0
     words = commonest(counts, local_words)
-    symbols = min(symbols, len(words))
+    n_words = v - (1 if ends else 0)
+    tail_symbols = symbols is None and len(words) < n_words
+    symbols = len(words) if symbols is None else min(symbols, len(words))
     own = sum(c for _, c in words[:symbols])
-    others, kinds = n - ends - own, v - symbols - (1 if ends else 0)
-    shares = np.array([c for _, c in words[:symbols]] + [others + 0.5, ends + 0.5]) + 0.5
-    coded = park(_coded(rows, words, symbols), "coded")
-    model = train(coded, shares / shares.sum(), states, rounds)
+    others, kinds = (0, 0) if tail_symbols else (n - ends - own, n_words - symbols)
+    smoothed = np.array([c for _, c in words[:symbols]] + [others + 0.5, ends + 0.5]) + 0.5
+    coded = park(_coded(rows, words, symbols, tail_symbols), "coded")
+    further = None
+    if tail_symbols:  # the words that workers hold are all that occur so often
+        further = counts.where(F.col("token") != END)
+        further = further.where(F.col("c") < words[-1][1]) if words else further
+    model, rest = train(coded.where("not held_out"), [w for w, _ in words[:symbols]] + [b"", END], smoothed,
+                        states, rounds, further)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
-    def likelihood(texts: pa.Array) -> pa.Array:
-        return pa.array(shared.value.score(_arrays(texts)))
+    def likelihood(texts: pa.Array, extra: pa.Array) -> pa.Array:
+        wide, texts = _widened(shared.value, _arrays(texts), extra)
+        return pa.array(wide.score(texts))
 
     # The same sums for the words that workers do not hold; those never counted need no join.
     tail = coded.select("row", F.explode("tail").alias("t")).select("row", "t.token", "t.n").join(
         counts, "token").groupBy("row").agg(
             F.sum("n").alias("tail_known"), F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("tail_log"))
-    found = coded.withColumn("symbol_score", likelihood("symbols")).drop("symbols", "tail").join(
-        tail, "row", "left")
+    found = _with_extra(coded, rest, model).withColumn("symbol_score", likelihood("symbols", "extra")).drop(
+        "symbols", "extra", "tail").join(tail, "row", "left")
     tail_known = F.coalesce("tail_known", F.lit(0))
     unseen = (F.col("n_words") - F.col("local_known") - tail_known) * float(np.log10(0.5))
     tail_log = F.coalesce("tail_log", F.lit(0.0)) + unseen
     base = (F.col("local_log") + tail_log + float(np.log10(ends + 0.5))
             - (F.col("n_words") + 1) * float(np.log10(n + 0.5 * (v + 1))))
-    own_shares = (F.col("other_log") + tail_log
-                  - F.col("n_other") * float(np.log10(others + 0.5 * (kinds + 1))))
+    own_shares = F.lit(0.0) if tail_symbols else (
+        F.col("other_log") + tail_log - F.col("n_other") * float(np.log10(others + 0.5 * (kinds + 1))))
     return found.select(
         "doc_id", "held_out", (F.col("n_words") + 1).alias("n_tokens"),
         (F.col("local_known") + tail_known + (1 if ends else 0)).cast("long").alias("n_known"),

@@ -114,3 +114,26 @@ def test_odd_rows(spark):
         spark.createDataFrame([(i, "a b", 0.0) for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1], docs.schema))
     r = hmm.score_documents(only_held_out, rounds=1).first()
     assert (r.n_known, r.train_tokens) == (0, 0) and math.isclose(r.base_score, 0.0, abs_tol=1e-12)
+
+
+def test_all_training_tokens_and_words_teach(spark):
+    """A habit of the texts' later parts, in words beyond any fixed number, is learned."""
+    lines = []
+    for i in range(60):
+        head = "same opening words " * 140
+        lines.append((i, head + " ".join(f"{'pq'[j // 40 % 2]}{(i * 7 + j * j) % 40}" for j in range(400))))
+    docs = spark.createDataFrame(lines, "doc_id long, text string")
+    found = hmm.score_documents(docs, states=4).collect()
+    held = [r for r in found if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held) + 100 * len(held)
+
+
+def test_emissions_of_words_that_workers_do_not_hold(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "START_ROUNDS", 0)
+    monkeypatch.setattr(hmm, "SETTLED", 1.0)  # as many rounds as asked for
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).coalesce(1)
+    near, far = ({r.doc_id: r.score for r in hmm.score_documents(docs, local_words=n, rounds=2).collect()}
+                 for n in (250_000, 300))
+    assert near.keys() == far.keys()
+    for i in near:
+        assert math.isclose(near[i], far[i], rel_tol=1e-8)
