@@ -39,8 +39,9 @@ _VALUE = np.zeros((len(ENCODINGS), 256), np.int64)
 for _row, _letters in enumerate(ENCODINGS.values()):
     _ALPHABET[_row, list(_letters)] = True
     _VALUE[_row, list(_letters)] = np.arange(len(_letters))
-_TOKEN = _ALPHABET.any(axis=0)
-_TOKEN[ord("=")] = True
+_TOKEN = _ALPHABET.any(axis=0)  # '=' only pads: it ends a token
+_PADDING = re.compile(b"=+(?![A-Za-z0-9+/_-])")
+_PARTS = [re.compile(b"[A-Za-z0-9%s]{%d,}" % (signs, MIN_TOKEN)) for signs in (b"+/", b"_-")]
 _HEX = _ALPHABET[0]
 
 
@@ -160,6 +161,18 @@ def battery(values: np.ndarray, size: int, model: TextModel) -> Battery:
     return Battery(uniformity, run, serial, fisher([uniformity, run, serial]), fisher([like_text, many]))
 
 
+def tokens_of(run: bytes) -> list[tuple[int, int]]:
+    """(start, end) of the tokens of a run of token letters.
+
+    A run that one alphabet holds is one token.  Others mix '+' or '/' with '-' or '_';
+    their tokens are the maximal parts that base64 or base64url holds, which may overlap.
+    """
+    symbols = np.frombuffer(run, np.uint8)
+    if _ALPHABET[:, symbols].all(axis=1).any():
+        return [(0, len(run))]
+    return sorted({m.span() for part in _PARTS for m in part.finditer(run)})
+
+
 def judge(token: bytes, models: list[TextModel]) -> tuple[int, float] | None:
     """(length band, p-value of being text) of a token that passes for random, or None.
 
@@ -214,12 +227,15 @@ def _scan(texts: DataFrame, models: list[TextModel]) -> DataFrame:
         for a, b in zip(*runs(_TOKEN[flat], MIN_TOKEN)):
             doc = int(np.searchsorted(begin, a, "right")) - 1
             a, b = int(a - begin[doc]), int(b - begin[doc])
-            if any(s <= a and b <= e for s, _, e in spans[doc]):
-                continue
-            judged = judge(rows[doc][a:b], models)
-            if judged:
-                score = min(MAX_BIN, int(-math.log10(judged[1]) * BINS_PER_DECADE))
-                tokens[doc].append((a, b, judged[0], score))
+            padded = _PADDING.match(rows[doc], b)
+            for c, d in tokens_of(rows[doc][a:b]):
+                c, d = a + c, a + d
+                if any(s <= c and d <= e for s, _, e in spans[doc]):
+                    continue
+                judged = judge(rows[doc][c:d], models)
+                if judged:
+                    score = min(MAX_BIN, int(-math.log10(judged[1]) * BINS_PER_DECADE))
+                    tokens[doc].append((c, padded.end() if d == b and padded else d, judged[0], score))
         for row, found, seen in zip(rows, spans, tokens):
             if (found or seen) and not row.isascii():
                 points = np.cumsum(np.frombuffer(row, np.uint8) & 0xC0 != 0x80)
@@ -260,8 +276,9 @@ def find_secrets(
     """doc_id and spans (start, kind, end; in code points, in order) for every row.
 
     Kinds number KINDS.  Patterns give assign, access and hex.  The battery adds
-    ``random``: maximal runs of token letters, not inside a pattern's span, for which
-    uniform randomness is not rejected and which ordinary text does not explain.  What
+    ``random``: maximal runs of one encoding's letters, with padding at the end, not
+    inside a pattern's span, for which uniform randomness is not rejected and which
+    ordinary text does not explain.  What
     ordinary text looks like is counted over all documents; the share of false
     discoveries is controlled over all tokens of a length band.  Null and empty texts
     have no spans; repeated rows come back as often as they occur.

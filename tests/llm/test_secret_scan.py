@@ -102,3 +102,23 @@ def test_odd_rows(spark):
     shown = found.where("doc_id = 103").select(scan.spans_text(found.spans)).first()[0]
     assert shown == "access:1000000:1000020"
     assert scan.find_secrets(docs.limit(0)).count() == 0
+
+
+def test_random_parts_of_longer_runs(spark):
+    """Values after a sign of equality, and joined to paths, names and other alphabets' signs."""
+    rng = np.random.default_rng(12)
+    letters = np.frombuffer(scan.ENCODINGS["base62"], np.uint8)
+    keys = [rng.choice(letters, 42).tobytes().decode() for _ in range(5)]
+    prose = "some plain words of a text that goes on for a while without anything to hide. " * 20
+    forms = [f"aws_access={keys[0]}", f"https://a.example/get?sig={keys[1]}&x=1", f"AccountKey={keys[2]}==",
+             f"my-files_of/{keys[3]}/part+one", f"a={keys[4]}=b"]
+    docs = spark.createDataFrame([(i, f"{prose} {forms[i]} end" if i < 5 else prose) for i in range(40)],
+                                 "doc_id long, text string")
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in scan.find_secrets(docs).collect()}
+    for i, (key, form) in enumerate(zip(keys, forms)):
+        start = len(prose) + 1 + form.index(key)
+        inside = [(a, b) for a, k, b in found[i] if k == 3 and a <= start and b >= start + 42]
+        assert inside, (form, found[i])
+        if i != 3:
+            assert inside == [(start, start + 42 + 2 * (i == 2))]
+    assert all(found[i] == [] for i in range(5, 40))
