@@ -174,7 +174,9 @@ def tokens_of(run: bytes) -> list[tuple[int, int]]:
 
 
 def judge(token: bytes, models: list[TextModel]) -> tuple[int, float] | None:
-    """(length band, p-value of being text) of a token that passes for random, or None.
+    """(length band, p-value of being text) of a token, or None if it is not tested.
+
+    The p-value of a token that does not pass for random is 1: it counts as tested.
 
     Padding at the end does not count.  The encoding is the first alphabet that holds
     every symbol; a token that mixes them has none.
@@ -187,7 +189,7 @@ def judge(token: bytes, models: list[TextModel]) -> tuple[int, float] | None:
         return None
     at = int(holds[0])
     result = battery(_VALUE[at, symbols], int(_ALPHABET[at].sum()), models[at])
-    return None if result.random < RANDOM_LEVEL else (len(symbols).bit_length(), result.text)
+    return len(symbols).bit_length(), 1.0 if result.random < RANDOM_LEVEL else result.text
 
 
 def neighbour_counts(texts: DataFrame) -> np.ndarray:

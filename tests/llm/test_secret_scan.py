@@ -122,3 +122,11 @@ def test_random_parts_of_longer_runs(spark):
         if i != 3:
             assert inside == [(start, start + 42 + 2 * (i == 2))]
     assert all(found[i] == [] for i in range(5, 40))
+
+
+def test_rejected_tokens_count_as_tested():
+    """They are in the total that the false-discovery rate refers to, in the last bin."""
+    models = scan.text_models(np.ones((256, 256), np.int64))
+    assert scan.judge(b"ab" * 16, models) == (6, 1.0)
+    assert scan.thresholds({(6, 60): 1, (6, 0): 9}, 0.01) == {6: 60}
+    assert scan.thresholds({(6, 60): 1, (6, 0): 99}, 0.01) == {}
