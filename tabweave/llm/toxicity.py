@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -17,8 +19,11 @@ WINDOW, STRIDE = 32, 16     # words of a window; the next one starts so many on
 HIDDEN = 8                  # units a direction
 BUCKETS = 1 << 13           # rows of the learned character table
 WIDTH = 6                   # numbers in one of its rows
-PREFIXES = (3, 4, 5, 6)     # lengths of the character features; the whole word is one more
-FEATURES = len(PREFIXES) + 1
+PREFIXES = (3, 4, 5, 6)     # lengths of the beginnings that are features; the whole word is one more
+FIXED = len(PREFIXES) + 1
+GRAMS = (3, 5)              # lengths of the parts that are features, at every place of a word
+FEATURES = FIXED + len(GRAMS)
+PIECE, OVERLAP = 16, 4      # longer runs of letters are read in pieces, which share some letters
 SAMPLE_TEXTS = {1: 1500, 0: 3500}   # labelled training texts of each class, at most
 SAMPLE_CHARS = 20_000       # only texts of at most so many letters are sampled
 NET_TEXTS = {1: 1200, 0: 3600}      # of these, the weights are trained on so many
@@ -33,13 +38,57 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    words = []
+    for w in _WORD.findall(text.lower()):
+        if len(w) <= PIECE:
+            words.append(w)
+        else:
+            words += [w[i:i + PIECE] for i in range(0, len(w) - OVERLAP, PIECE - OVERLAP)]
+    return words
+
+
+def features(word: str) -> list[list[int]]:
+    """Hashes of the word's beginnings and of the word, and for each length of its parts.
+
+    A beginning, or a part, of a short word is the word.
+    """
+    parts = [[f"{n}{word[:n]}" for n in PREFIXES] + [f"={word}"]]
+    parts += [[f"~{word[i:i + n]}" for i in range(max(len(word) - n, 0) + 1)] for n in GRAMS]
+    return [[xxhash.xxh64_intdigest(p) >> 1 for p in each] for each in parts]
+
+
+@dataclass
+class Features:
+    """Features of words: ``fixed`` (words, FIXED), and ``parts``, a run for each length of a word."""
 
+    fixed: np.ndarray
+    parts: np.ndarray
+    counts: np.ndarray  # (words, len(GRAMS)), none of them 0
 
-def features(word: str) -> list[int]:
-    """Hashes of the word's beginnings and of the word; a short beginning is the word."""
-    parts = [f"{n}{word[:n]}" for n in PREFIXES] + [f"={word}"]
-    return [xxhash.xxh64_intdigest(p) >> 1 for p in parts]
+    def starts(self) -> np.ndarray:
+        return (np.cumsum(self.counts) - self.counts.reshape(-1)).reshape(self.counts.shape)
+
+    def per_word(self) -> np.ndarray:
+        return FIXED + self.counts.sum(axis=1)
+
+    def take(self, words: np.ndarray) -> Features:
+        counts = self.counts[words]
+        begin = np.cumsum(counts) - counts.reshape(-1)
+        at = np.repeat(self.starts()[words].reshape(-1) - begin, counts.reshape(-1)) + np.arange(counts.sum())
+        return Features(self.fixed[words], self.parts[at], counts)
+
+    def mean(self, table: np.ndarray) -> np.ndarray:
+        """The means of the words' rows in the character table."""
+        total = table[self.fixed % BUCKETS].sum(axis=1)
+        total += np.add.reduceat(table[self.parts % BUCKETS], self.starts()[:, 0])
+        return (total / self.per_word()[:, None]).astype(F32)
+
+    def scatter(self, back: np.ndarray) -> np.ndarray:
+        """The gradient of the character table from that of the means."""
+        each = back / self.per_word()[:, None].astype(F32)
+        rows = np.concatenate([self.fixed.reshape(-1), self.parts]) % BUCKETS
+        values = np.concatenate([np.repeat(each, FIXED, axis=0), np.repeat(each, self.counts.sum(axis=1), axis=0)])
+        return scatter_rows(rows, values, BUCKETS)
 
 
 class Evidence:
@@ -50,16 +99,15 @@ class Evidence:
     small for common words however sure.  At most TABLE_ROWS of the strongest stay.
     """
 
-    def __init__(self, found: list[np.ndarray], labels: np.ndarray):
-        each = np.concatenate([*found, np.zeros(0, np.int64)])
-        toxic = np.repeat(labels, [len(f) for f in found]).astype(np.int64)
-        keys, place = np.unique(each, return_inverse=True)
-        with_one = np.bincount(place, weights=toxic, minlength=len(keys))
-        with_any = np.bincount(place, minlength=len(keys))
+    def __init__(self, keys: np.ndarray, found: list[np.ndarray], labels: np.ndarray):
+        with_one, with_any = np.zeros(len(keys)), np.zeros(len(keys))
+        for places, label in zip(found, labels):  # a text's features, as places in keys, are distinct
+            with_any[places] += 1
+            with_one[places] += label
         many = max(int(labels.sum()), 1), max(int((1 - labels).sum()), 1)
         a, b = with_one + 0.5, with_any - with_one + 0.5
         odds = np.log(a / (many[0] - with_one + 0.5)) - np.log(b / (many[1] - with_any + with_one + 0.5))
-        value = np.sign(odds) * np.maximum(np.abs(odds) - LEAST_EVIDENCE * np.sqrt(1 / a + 1 / b), 0)
+        value = (with_any > 0) * np.sign(odds) * np.maximum(np.abs(odds) - LEAST_EVIDENCE * np.sqrt(1 / a + 1 / b), 0)
         strong = np.flatnonzero(value)
         strong = strong[np.argsort(-np.abs(value[strong]), kind="stable")[:TABLE_ROWS]]
         strong.sort()
@@ -70,6 +118,13 @@ class Evidence:
         at = np.searchsorted(self.keys, hashes)
         return np.where(self.keys[at] == hashes, self.values[at], F32(0))
 
+    def inputs(self, words: Features) -> np.ndarray:
+        """(words, FEATURES) values; of the parts of one length, the strongest."""
+        parts, starts = self.look_up(words.parts), words.starts().reshape(-1)
+        high, low = np.maximum.reduceat(parts, starts), np.minimum.reduceat(parts, starts)
+        strongest = np.where(high >= -low, high, low).reshape(-1, len(GRAMS))
+        return np.concatenate([self.look_up(words.fixed), strongest], axis=1)
+
 
 def windows_of(count: int) -> list[tuple[int, int]]:
     """(start, end) of overlapping windows that cover all words; none without words."""
@@ -96,10 +151,9 @@ class WordNet:
         }
         self.evidence: Evidence | None = None
 
-    def word_inputs(self, hashes: np.ndarray, evidence: Evidence) -> np.ndarray:
-        """(words, FEATURES + WIDTH) from the features' hashes."""
-        letters = self.params["letters"][hashes % BUCKETS].mean(axis=1)
-        return np.concatenate([evidence.look_up(hashes), letters], axis=1)
+    def word_inputs(self, words: Features, evidence: Evidence) -> np.ndarray:
+        """(words, FEATURES + WIDTH) from the words' features."""
+        return np.concatenate([evidence.inputs(words), words.mean(self.params["letters"])], axis=1)
 
     def pooled(self, places: np.ndarray, table: np.ndarray, keep: bool = False):
         """Logits of windows; places (batch, WINDOW) are rows of a (2, words, 3n) table, 0 is none."""
@@ -138,10 +192,17 @@ class WordNet:
         return np.matmul(inputs, self.params["inputs"])
 
 
-def _hashes(words: list[str]) -> np.ndarray:
+def _features(words: list[str]) -> Features:
     """Features of words; the first row, of no word, is all zero."""
-    each = np.fromiter((h for w in words for h in features(w)), np.int64, len(words) * FEATURES)
-    return np.concatenate([np.zeros((1, FEATURES), np.int64), each.reshape(-1, FEATURES)])
+    fixed, parts, counts = [0] * FIXED, [0] * len(GRAMS), [1] * len(GRAMS)
+    for word in words:
+        first, *others = features(word)
+        fixed += first
+        for each in others:
+            parts += each
+            counts.append(len(each))
+    return Features(np.array(fixed, np.int64).reshape(-1, FIXED), np.array(parts, np.int64),
+                    np.array(counts, np.int64).reshape(-1, len(GRAMS)))
 
 
 def _places(sequence: np.ndarray) -> np.ndarray:
@@ -166,8 +227,16 @@ def fit(sample: list[tuple[int, str]], epochs: int = 3, batch: int = 32) -> Word
     known: dict[str, int] = {}
     sequences = [np.array([known.setdefault(w, len(known) + 1) for w in words_of(t)], np.int64)
                  for _, t in sample]
-    hashes = _hashes(list(known))
-    found = [np.unique(hashes[np.unique(s)]) if len(s) else np.zeros(0, np.int64) for s in sequences]
+    words = _features(list(known))
+    keys = np.unique(np.concatenate([words.fixed.reshape(-1), words.parts]))
+    coded = Features(np.searchsorted(keys, words.fixed).astype(np.int32),
+                     np.searchsorted(keys, words.parts).astype(np.int32), words.counts)
+
+    def found_in(sequence: np.ndarray) -> np.ndarray:
+        own = coded.take(np.unique(sequence))
+        return np.unique(np.concatenate([own.fixed.reshape(-1), own.parts]))
+
+    found = [found_in(s) for s in sequences]
     rng = np.random.default_rng(3)
     half = rng.permutation(len(sample)) % 2
     # A fifth of the texts teaches nothing and sets the threshold at the end.
@@ -176,15 +245,15 @@ def fit(sample: list[tuple[int, str]], epochs: int = 3, batch: int = 32) -> Word
 
     def evidence_of(part: np.ndarray) -> Evidence:
         part = part & ~aside
-        return Evidence([found[i] for i in np.flatnonzero(part)], labels[part])
+        return Evidence(keys, [found[i] for i in np.flatnonzero(part)], labels[part])
 
     halves = [evidence_of(half == k) for k in (0, 1)]
-    looked = [e.look_up(hashes) for e in halves]
+    looked = [e.inputs(words) for e in halves]
     net.evidence = evidence_of(np.ones(len(sample), bool))
     windows = [_places(s) for s in sequences]
     # A toxic text in which the other half knows nothing telling would teach noise.
     telling = np.array([labels[i] == 0 or not len(found[i]) or
-                        halves[1 - half[i]].look_up(found[i]).max() > 0.5 for i in range(len(sample))])
+                        halves[1 - half[i]].look_up(keys[found[i]]).max() > 0.5 for i in range(len(sample))])
     mixed = rng.permutation(len(sample))
     mixed = mixed[telling[mixed] & ~aside[mixed]]
     useful = np.array([i for k in (0, 1) for i in mixed[labels[mixed] == k][:NET_TEXTS[k]]
@@ -206,8 +275,8 @@ def fit(sample: list[tuple[int, str]], epochs: int = 3, batch: int = 32) -> Word
             rows, local = np.unique(places * 2 + side[:, None], return_inverse=True)
             rows = np.concatenate([[0], rows])
             local = np.where(places == 0, 0, local.reshape(places.shape) + 1)
-            which = hashes[rows // 2]
-            letters = net.params["letters"][which % BUCKETS].mean(axis=1)
+            which = words.take(rows // 2)
+            letters = which.mean(net.params["letters"])
             evidence = np.where((rows % 2)[:, None] == 1, looked[1][rows // 2], looked[0][rows // 2])
             inputs = np.concatenate([evidence, letters], axis=1)
             logits, cache = net.pooled(local, net.project(inputs), keep=True)
@@ -225,8 +294,7 @@ def fit(sample: list[tuple[int, str]], epochs: int = 3, batch: int = 32) -> Word
                    for k, at in enumerate((local.T, local.T[::-1]))]
             grads["inputs"] = np.stack([inputs.T @ g for g in two])
             back = sum(g @ net.params["inputs"][k].T for k, g in enumerate(two))[:, FEATURES:]
-            grads["letters"] = scatter_rows(
-                (which % BUCKETS).reshape(-1), np.repeat(back / FEATURES, FEATURES, axis=0), BUCKETS)
+            grads["letters"] = which.scatter(back)
             adam.update(grads)
     _set_threshold(net, [sample[i][1] for i in np.flatnonzero(aside)], labels[aside])
     return net
@@ -256,7 +324,7 @@ class Scorer:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.table = self.net.project(self.net.word_inputs(_hashes([]), self.net.evidence))
+        self.table = self.net.project(self.net.word_inputs(_features([]), self.net.evidence))
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, list[list[float]]]:
         """The highest window of each text, 0 without words, and the scores of all its windows."""
@@ -274,8 +342,8 @@ class Scorer:
             places.append(_places(np.array(sequence, np.int64)))
             counts.append(len(places[-1]))
         if fresh:
-            new = self.net.project(self.net.word_inputs(_hashes(fresh)[1:], self.net.evidence))
-            self.table = np.concatenate([self.table, new], axis=1)
+            new = self.net.project(self.net.word_inputs(_features(fresh), self.net.evidence))
+            self.table = np.concatenate([self.table, new[:, 1:]], axis=1)
         every = np.concatenate([*places, np.zeros((0, WINDOW), np.int64)])
         logits = np.concatenate([
             self.net.pooled(every[a:a + BLOCK], self.table)[0] for a in range(0, len(every), BLOCK)

@@ -2,6 +2,7 @@
 
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,26 @@ def test_toxicity_without_labels(spark, toxic_tables):
     nulls = labels.select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("toxic"))
     assert toxicity.rate(docs.limit(5), nulls).count() == 5
     assert toxicity.rate(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_reads_every_letter():
+    """What is toxic late in a word, or in a script without spaces, is found in words never seen."""
+    rng = np.random.default_rng(5)
+
+    def word(n, letters="abcdefghijklmnopqrstuvwxyz"):
+        return "".join(rng.choice(list(letters), n))
+
+    def text(toxic, letters, glue):
+        words = [word(8, letters) for _ in range(30)]
+        if toxic:
+            words[int(rng.integers(30))] += "zqxjk" if letters[0] == "a" else "\u9fa0\u9fa1\u9fa2"
+        return glue.join(words)
+
+    for letters, glue in (("abcdefghijklmnopqrstuvwxyz", " "), ("".join(map(chr, range(0x4e00, 0x4e40))), "")):
+        sample = [(i % 2, text(i % 2, letters, glue)) for i in range(400)]
+        net = toxicity.fit(sample)
+        top = toxicity.Scorer(net).score([text(i % 2, letters, glue) for i in range(100)])[0]
+        assert np.median(top[1::2]) > 0.7 > 0.3 > np.median(top[::2])
+    for run in ("ab" * 500, "x" * 17, "abcdefghijklmnopqrst"):
+        pieces = toxicity.words_of(run)
+        assert pieces[0] + "".join(p[toxicity.OVERLAP:] for p in pieces[1:]) == run
