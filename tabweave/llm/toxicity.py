@@ -239,12 +239,9 @@ def fit(sample: list[tuple[int, str]], epochs: int = 3, batch: int = 32) -> Word
     found = [found_in(s) for s in sequences]
     rng = np.random.default_rng(3)
     half = rng.permutation(len(sample)) % 2
-    # A fifth of the texts teaches nothing and sets the threshold at the end.
-    aside = rng.random(len(sample)) < (0.2 if len(sample) >= 200 else 0.0)
     net = WordNet()
 
     def evidence_of(part: np.ndarray) -> Evidence:
-        part = part & ~aside
         return Evidence(keys, [found[i] for i in np.flatnonzero(part)], labels[part])
 
     halves = [evidence_of(half == k) for k in (0, 1)]
@@ -255,7 +252,7 @@ def fit(sample: list[tuple[int, str]], epochs: int = 3, batch: int = 32) -> Word
     telling = np.array([labels[i] == 0 or not len(found[i]) or
                         halves[1 - half[i]].look_up(keys[found[i]]).max() > 0.5 for i in range(len(sample))])
     mixed = rng.permutation(len(sample))
-    mixed = mixed[telling[mixed] & ~aside[mixed]]
+    mixed = mixed[telling[mixed]]
     useful = np.array([i for k in (0, 1) for i in mixed[labels[mixed] == k][:NET_TEXTS[k]]
                        if len(windows[i])], np.int64)
     epochs = max(epochs, min(30, 6000 // max(len(useful), 1)))
@@ -296,21 +293,22 @@ def fit(sample: list[tuple[int, str]], epochs: int = 3, batch: int = 32) -> Word
             back = sum(g @ net.params["inputs"][k].T for k, g in enumerate(two))[:, FEATURES:]
             grads["letters"] = which.scatter(back)
             adam.update(grads)
-    _set_threshold(net, [sample[i][1] for i in np.flatnonzero(aside)], labels[aside])
     return net
 
 
-def _set_threshold(net: WordNet, texts: list[str], labels: np.ndarray) -> None:
+def _set_threshold(net: WordNet, docs: DataFrame, labels: DataFrame) -> None:
     """Shift the scores so that THRESHOLD lies between toxic and clean texts not learned from.
 
-    The cut is half way between all but the lowest toxic and all but the highest clean
-    scores; where these overlap, it is above the clean ones.
+    ``docs`` (doc_id, text) are scored whole, as all texts are later.  The cut is half way
+    between all but the lowest toxic and all but the highest clean scores; where these
+    overlap, it is above the clean ones.
     """
-    if len(set(labels.tolist())) < 2:
+    scored = docs.join(labels, "doc_id").select("label", score(F.col("text"), net, docs)["score"].alias("p"))
+    found = scored.groupBy("label").agg(F.percentile_approx("p", [0.02, 0.995], 100_000).alias("q")).collect()
+    bounds = {r["label"]: min(max(r.q[0 if r["label"] else 1], 1e-9), 1 - 1e-9) for r in found}
+    if len(bounds) < 2:
         return
-    top = np.clip(Scorer(net).score(texts)[0], 1e-9, 1 - 1e-9)
-    logits = np.log(top) - np.log1p(-top)
-    high, low = np.quantile(logits[labels == 0], 0.995), np.quantile(logits[labels == 1], 0.02)
+    high, low = (np.log(bounds[k]) - np.log1p(-bounds[k]) for k in (0, 1))
     cut = max((high + low) / 2, high)
     net.params["out_bias"] += F32(np.log(THRESHOLD / (1 - THRESHOLD)) - cut)
 
@@ -354,24 +352,30 @@ class Scorer:
         return np.array([max(c, default=0.0) for c in each]), each
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
-                    label_col: str) -> list[tuple[int, str]]:
-    """Labelled texts, at most SAMPLE_TEXTS of each class, the smallest by hash."""
-    marked = labels.select(
+def marked(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(doc_id, label, h) of each labelled document; a hash of the id."""
+    found = labels.select(
         labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label")
     ).where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
-    marked = marked.withColumn("h", F.xxhash64("doc_id"))
-    counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
+    return found.withColumn("h", F.xxhash64("doc_id"))
+
+
+def training_sample(texts: DataFrame, known: DataFrame, counts: dict[int, int]) -> list[tuple[int, str]]:
+    """Labelled texts, at most SAMPLE_TEXTS of each class, the smallest by hash.
+
+    Longer clean texts give an excerpt.  Longer toxic ones give none, because it may not
+    hold what is toxic.
+    """
     share = F.when(F.col("label") == 1, min(1.0, 2 * SAMPLE_TEXTS[1] / counts.get(1, 1))).otherwise(
         min(1.0, 2 * SAMPLE_TEXTS[0] / counts.get(0, 1)))
-    near = marked.where(F.pmod("h", F.lit(1_000_003)) / 1_000_003.0 < share)
+    near = known.where(F.pmod("h", F.lit(1_000_003)) / 1_000_003.0 < share)
     nth = F.row_number().over(Window.partitionBy("label").orderBy("h"))
     chosen = near.withColumn("nth", nth).where(
         F.col("nth") <= F.when(F.col("label") == 1, SAMPLE_TEXTS[1]).otherwise(SAMPLE_TEXTS[0]))
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     place = 1 + F.pmod("h", F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1)
     # The chosen rows are few by the bound above.
-    rows = texts.where(F.length("text") > 0).join(F.broadcast(chosen.drop("nth")), "doc_id").select(
+    rows = texts.where(F.length("text") > 0).join(F.broadcast(chosen.drop("nth")), "doc_id").where(
+        (F.col("label") == 0) | (F.length("text") <= SAMPLE_CHARS)).select(
         "label", F.substr("text", place.cast("int"), F.lit(SAMPLE_CHARS)).alias("excerpt"))
     found = rows.toArrow()
     return list(zip(found["label"].to_pylist(), found["excerpt"].to_pylist()))
@@ -381,9 +385,19 @@ def learn(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label_col: str = "toxic", folds: int = 4, held_out: int = 2,
 ) -> WordNet | None:
-    """A network from labelled rows outside the held-out fold; None if a class is missing."""
-    inside = fold(labels[id_col].cast("long"), folds) != held_out
-    return fit(training_sample(docs, labels.where(inside), id_col, text_col, label_col))
+    """A network from labelled rows outside the held-out fold; None if a class is missing.
+
+    A fifth of these rows teaches nothing and sets the threshold at the end.
+    """
+    known = marked(labels.where(fold(labels[id_col].cast("long"), folds) != held_out), id_col, label_col)
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    aside = F.pmod(F.xxhash64("h"), F.lit(5)) == 0
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    enough = sum(counts.values()) >= 200
+    net = fit(training_sample(texts, known.where(~aside) if enough else known, counts))
+    if net is not None and enough:
+        _set_threshold(net, texts.where(F.length("text") > 0), known.where(aside).select("doc_id", "label"))
+    return net
 
 
 _scorers: dict[bytes, Scorer] = {}

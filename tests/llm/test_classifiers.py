@@ -121,3 +121,23 @@ def test_toxicity_reads_every_letter():
     for run in ("ab" * 500, "x" * 17, "abcdefghijklmnopqrst"):
         pieces = toxicity.words_of(run)
         assert pieces[0] + "".join(p[toxicity.OVERLAP:] for p in pieces[1:]) == run
+
+
+def test_threshold_comes_from_whole_texts_not_learned_from(spark, toxic_tables, monkeypatch):
+    docs, labels = toxic_tables
+    long = docs.select("doc_id", F.when(F.col("doc_id") % 50 == 0, F.concat(
+        F.repeat(F.lit("house tree river "), 2000), "text")).otherwise(F.col("text")).alias("text"))
+    long = long.withColumn("text", F.concat_ws(" ", "text", "doc_id")).cache()  # no two are equal
+    samples, scored = [], []
+    fit, set_threshold = toxicity.fit, toxicity._set_threshold
+    monkeypatch.setattr(toxicity, "fit", lambda sample: samples.append(sample) or fit(sample))
+    monkeypatch.setattr(toxicity, "_set_threshold", lambda net, texts, known: scored.append(
+        texts.join(known, "doc_id").collect()) or set_threshold(net, texts, known))
+    net = toxicity.learn(long, labels)
+    learned, aside = {t for _, t in samples[0]}, scored[0]
+    whole = {r.doc_id: r.text for r in long.collect()}
+    assert all(r.text == whole[r.doc_id] and r.text not in learned for r in aside)
+    assert {r.label for r in aside} == {0, 1} and any(len(r.text) > toxicity.SAMPLE_CHARS for r in aside)
+    assert all(label == 0 or t in whole.values() for label, t in samples[0])
+    top = toxicity.Scorer(net).score([r.text for r in aside if r.label == 0])[0]
+    assert (top > toxicity.THRESHOLD + 1e-6).mean() <= 0.01
