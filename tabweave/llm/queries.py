@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import contamination, hidden_markov, language, lines, piece_merge, secret_scan, simhash, token_store, toxicity, vector_graph
+from tabweave.llm import contamination, digest_index, hidden_markov, language, lines, piece_merge, secret_scan, simhash, token_store, toxicity, vector_graph
 from tabweave.llm.common import drop_at_exit, table
 from tabweave.sources.scratch import fresh_path
 
@@ -155,3 +155,24 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         narrow(spark, folder, "documents", "doc_id", "text"),
         narrow(spark, folder, "labels", "doc_id", "toxic"),
     ).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op11_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = narrow(spark, folder, "documents", "doc_id", "text")
+    path = fresh_path(spark, "digest-index")
+    index = digest_index.open_index(spark, path, docs.count())
+    drop_at_exit(spark, path)
+    found = index.add(docs, "documents")
+    index.close()
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+SQL["op11_exact_dedup"] = r"""
+WITH hashed AS (
+  SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                  'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
+       count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256 FROM hashed
+"""

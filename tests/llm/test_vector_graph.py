@@ -68,7 +68,7 @@ def test_index(spark, monkeypatch, block):
 
 
 def test_table_recall(spark):
-    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").where("vec_id < 3000")
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     ours, truth, recall = graph.audit(df, graph.near_duplicates(df), every=1)
     assert truth > 0 and recall >= 0.9
 
