@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import contamination, digest_index, hidden_markov, language, lines, piece_merge, secret_scan, simhash, token_store, toxicity, vector_graph
+from tabweave.llm import cell_clusters, contamination, digest_index, hidden_markov, language, lines, piece_merge, secret_scan, simhash, token_store, toxicity, vector_graph
 from tabweave.llm.common import drop_at_exit, table
 from tabweave.sources.scratch import fresh_path
 
@@ -176,3 +176,45 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
        count(*) OVER (PARTITION BY text_sha256) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256 FROM hashed
 """
+
+
+@query
+def op13_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return cell_clusters.cluster(narrow(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
+def _clustering_sql(rounds: int) -> str:
+    """Assignments and centroids of all rounds, one after the other, over (r, i, x) components."""
+    steps = """
+WITH numbered AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings),
+long AS MATERIALIZED (
+  SELECT r, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x
+  FROM numbered WHERE len(embedding) = 64),
+v AS MATERIALIZED (
+  SELECT r, i, CAST(floor(1024 * x) AS BIGINT) AS x FROM long WHERE r IN (
+    SELECT r FROM long GROUP BY r HAVING count(*) FILTER (WHERE isfinite(x)) = 64)),
+firsts AS (
+  SELECT r, row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)), r) - 1 AS k
+  FROM numbered WHERE r IN (SELECT r FROM v) ORDER BY k LIMIT 8),
+c0 AS MATERIALIZED (SELECT k, i, x AS c FROM firsts JOIN v USING (r))"""
+    assign = """,
+a{n} AS MATERIALIZED (
+  SELECT r, CAST(min(d * 8 + k) % 8 AS BIGINT) AS k, CAST(min(d * 8 + k) // 8 AS BIGINT) AS d FROM (
+    SELECT r, k, sum((x - c) * (x - c)) AS d FROM v JOIN c{n} USING (i) GROUP BY r, k) GROUP BY r)"""
+    move = """,
+c{m} AS MATERIALIZED (
+  SELECT k, i, coalesce(m, c) AS c FROM c{n} LEFT JOIN (
+    SELECT k, i, CAST((sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*) AS BIGINT) AS m
+    FROM v JOIN a{n} USING (r) GROUP BY k, i) USING (k, i))"""
+    for n in range(rounds):
+        steps += (assign + move).format(n=n, m=n + 1)
+    return steps + assign.format(n=rounds) + """
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance,
+       CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a{n} JOIN numbered USING (r) JOIN (
+  SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY i)) AS h FROM c{n} GROUP BY k) USING (k)
+""".format(n=rounds)
+
+
+SQL["op13_centroid_clustering"] = _clustering_sql(10)

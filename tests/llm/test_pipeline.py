@@ -30,6 +30,8 @@ CONTRACT = {
     "op6": "doc_id held_out lang_pred score", "op7": "doc_id start n_tokens ids_crc32",
     "op8": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op9": "doc_id n_words n_hit n_items items_sha256 contaminated", "op10": "doc_id held_out score predicted",
+    "op11": "doc_id keep_id group_size kept text_sha256",
+    "op13": "vec_id cluster distance cluster_inertia inertia centroid_sha256",
 }
 
 
@@ -37,7 +39,7 @@ CONTRACT = {
 def test_contract_columns_and_rows(spark, op):
     name = next(n for n in entry.queries() if n.split("_")[0] == op)
     frame = entry.queries()[name](spark, FOLDER)
-    table = "embeddings" if op == "op5" else "documents"
+    table = "embeddings" if op in ("op5", "op13") else "documents"
     assert set(CONTRACT[op].split()) <= set(frame.columns)
     assert frame.count() == spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
 
