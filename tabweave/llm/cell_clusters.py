@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.llm.common import binary_column, park
@@ -227,14 +227,16 @@ def _settle(fetched: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 
 def _moves(settled: DataFrame, k: int, dims: int) -> tuple[list[int], list[list[int]]]:
-    """What a round adds to the clusters' sizes and sums, exactly; k * dims rows meet."""
-    wide = "decimal(38,0)"
-    rows = settled.where("row is null").select(
-        "cluster", "n", F.posexplode("sums").alias("d", "s")).groupBy("cluster", "d").agg(
-            F.sum(F.col("n").cast(wide)).alias("n"), F.sum(F.col("s").cast(wide)).alias("s")).collect()
+    """What a round adds to the clusters' sizes and sums, exactly; each task sends k rows."""
+
+    def total(column: Column) -> Column:
+        return F.sum(column.cast("decimal(38,0)"))
+
+    rows = settled.where("row is null").groupBy("cluster").agg(
+        total(F.col("n")).alias("n"), F.array(*[total(F.col("sums")[d]) for d in range(dims)]).alias("s")).collect()
     sizes, sums = [0] * k, [[0] * dims for _ in range(k)]
     for r in rows:
-        sizes[r.cluster], sums[r.cluster][r.d] = int(r.n), int(r.s)
+        sizes[r.cluster], sums[r.cluster] = int(r.n), [int(x) for x in r.s]
     return sizes, sums
 
 
