@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import cell_clusters, contamination, digest_index, hidden_markov, language, lines, piece_merge, secret_scan, simhash, token_store, toxicity, vector_graph
+from tabweave.llm import cell_clusters, contamination, digest_index, hidden_markov, language, lines, piece_merge, secret_scan, simhash, token_alignment, token_store, toxicity, vector_graph
 from tabweave.llm.common import drop_at_exit, table
 from tabweave.sources.scratch import fresh_path
 
@@ -178,6 +178,13 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
 """
 
 
+@query
+def op12_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.align_documents(
+        narrow(spark, folder, "documents", "doc_id", "text"),
+        public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op13_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
     return cell_clusters.cluster(narrow(spark, folder, "embeddings", "vec_id", "embedding"))

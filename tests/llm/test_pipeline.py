@@ -31,6 +31,7 @@ CONTRACT = {
     "op8": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op9": "doc_id n_words n_hit n_items items_sha256 contaminated", "op10": "doc_id held_out score predicted",
     "op11": "doc_id keep_id group_size kept text_sha256",
+    "op12": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
     "op13": "vec_id cluster distance cluster_inertia inertia centroid_sha256",
 }
 
