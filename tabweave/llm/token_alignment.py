@@ -24,7 +24,7 @@ STOP = -1               # stands between the two id tuples of a window's key
 MAX_WINDOWS = 300_000   # windows that a worker remembers, before it forgets all
 MAX_BYTES = 32 << 20    # of their keys and alignments, likewise
 LOCAL_PAIRS = 500_000   # the commonest id pairs whose counts every worker holds
-SLICE = 4 << 20         # bytes of text that a step holds at once
+SLICE = 1 << 20         # bytes of text that a step holds at once
 _LONG_SPACE = re.compile(r"\s{1000}")
 
 
