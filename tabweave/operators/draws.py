@@ -9,6 +9,7 @@ from tabweave.functions.quantiles import Draw, Params
 from tabweave.functions.randomness import Rng
 from tabweave.functions.repair import PERCENTILE_FLOOR, clip
 from tabweave.functions.scores import ScorePolynomial, z_limit
+from tabweave.functions.special import polish
 from tabweave.functions.text import Sql, double
 from tabweave.operators.laws import FAMILIES
 
@@ -23,11 +24,13 @@ def evaluate(
     family: str,
     params: dict[str, float],
     floor: float = PERCENTILE_FLOOR,
+    exact: bool = False,
 ) -> DataFrame:
     """Add ``out``, the family's quantile of the percentile ``u``.
 
     Parameters are numbers.  Families read through a score polynomial clip the
-    percentile to [floor, 1 - floor]; the others take it as it is.
+    percentile to [floor, 1 - floor]; the others take it as it is.  ``exact`` refines
+    what the polynomial gives by the incomplete gamma or beta function.
     """
     f = FAMILIES[family]
     p: Params = {k: double(v) for k, v in params.items()}
@@ -47,6 +50,11 @@ def evaluate(
     limit = z_limit(floor)
     position = curve.variables(clip("__z", -limit, limit), [double(s) for s in shapes])[0]
     score = f"({curve.score(['__t'])})"
+    if exact:
+        rows = rows.selectExpr(*kept, f"{position} as __t", f"{clip('__z', -limit, limit)} as __z")
+        own = [params[x] / 2.0 if x == "df" else params[x] for x in f.table]
+        rows = polish(rows, [(family, "__p", score, "__z", [double(s) for s in own])])
+        return rows.selectExpr(*kept, f"{f.quantile(Draw(score='__p_s'), p)} as {out}")
     return rows.selectExpr(*kept, f"{position} as __t").selectExpr(
         *kept, f"{f.quantile(Draw(score=score), p)} as {out}"
     )
@@ -60,9 +68,10 @@ def draw(
     params: dict[str, float],
     rng: Rng = Rng(),
     tag: str = "draw",
+    exact: bool = False,
 ) -> DataFrame:
     """Add ``out``, an independent draw per row, from the whole range of the uniform."""
-    return evaluate(rows, rng.uniform(key, f"{tag}/{out}"), out, family, params, floor=SMALLEST)
+    return evaluate(rows, rng.uniform(key, f"{tag}/{out}"), out, family, params, SMALLEST, exact)
 
 
 def empirical_quantile(

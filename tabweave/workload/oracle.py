@@ -366,10 +366,33 @@ def clipped(u: str, floor: float) -> str:
     return f"least(greatest({u}, {d(floor)}), {d(1.0 - floor)})"
 
 
+def gamma_sum(k: str, t: str, terms: int = 400) -> str:
+    """P(k, exp t) as a sum of Poisson-like terms."""
+    return f"(SELECT sum(exp(({k} + n) * {t} - exp({t}) - lgamma({k} + n + 1))) FROM range({terms}) r(n))"
+
+
+def beta_sum(a: str, b: str, x: str, terms: int) -> str:
+    """I_x(a, b) as a hypergeometric sum; for x up to about a half."""
+    return (f"(SELECT sum(exp({a} * ln({x}) + {b} * ln(1 - {x}) - lgamma({a} + 1 + n) - lgamma({b})"
+            f" + lgamma({a} + {b} + n) + n * ln({x}))) FROM range({terms}) r(n))")
+
+
+def nearer(gap: str, density: str, slope: str, t: str = "t") -> str:
+    """One step of Halley's method from t."""
+    return f"({t} - ({gap}) / ({density}) / (1 - 0.5 * ({gap}) / ({density}) * ({slope})))"
+
+
+def gamma_step(k: str, u: str) -> str:
+    """t = ln x of the gamma quantile, from a near one."""
+    return nearer("p - u", "w", f"{k} - exp(t)"), (
+        f"{gamma_sum(k, 't')} AS p, exp({k} * t - exp(t) - lgamma({k})) AS w, {u} AS u")
+
+
 def integrated(family: str, u: str) -> str:
-    """Gamma quantiles by integrating the density over ln x and looking u up."""
+    """Gamma quantiles by integrating the density over ln x, looking u up, and one Halley step."""
     k, scale = ("shape", "scale") if family == "gamma" else ("df / 2", "2::DOUBLE")
     steps = 200_000
+    step, parts = gamma_step("k", "u")
     return f"""WITH law AS (SELECT ({k})::DOUBLE AS k, {scale} AS b FROM {value_law(family)}),
       ends AS (SELECT *, (ln(1e-13) + lgamma(k + 1)) / k AS low, ln(k + 12 * sqrt(k) + 40) AS high FROM law),
       grid AS (SELECT k, b, i, low + i * (high - low) / {steps} AS t, (high - low) / {steps} AS h
@@ -377,16 +400,14 @@ def integrated(family: str, u: str) -> str:
       density AS (SELECT *, exp(k * (t - ln(k)) - (exp(t) - k)) AS f FROM grid),
       running AS (SELECT i, t, b, h, f, sum(f) OVER (ORDER BY i) AS s, first_value(f) OVER (ORDER BY i) AS f0,
         k FROM density),
-      mass AS (SELECT i, t, b, f0 / k + h * (s - (f0 + f) / 2) AS m FROM running),
-      cdf AS (SELECT t, b, m / max(m) OVER () AS p, lead(t) OVER (ORDER BY i) AS t2,
+      mass AS (SELECT i, t, b, k, f0 / k + h * (s - (f0 + f) / 2) AS m FROM running),
+      cdf AS (SELECT t, b, k, m / max(m) OVER () AS p, lead(t) OVER (ORDER BY i) AS t2,
         lead(m / total) OVER (ORDER BY i) AS p2
         FROM (SELECT *, max(m) OVER () AS total FROM mass)),
-      ids AS (SELECT o_orderstatus, o_orderpriority, {u} AS u FROM orders)
-      SELECT o_orderstatus, o_orderpriority, count(*) AS n, {rnd('avg(x)', 2)} AS mean,
-        {rnd('stddev_pop(x)', 2)} AS std
-      FROM (SELECT ids.*, b * exp(t + (u - p) / (p2 - p) * (t2 - t)) AS x
+      ids AS (SELECT o_orderkey, {u} AS u FROM orders),
+      near AS MATERIALIZED (SELECT o_orderkey, u, b, k, t + (u - p) / (p2 - p) * (t2 - t) AS t
         FROM ids ASOF JOIN cdf ON ids.u >= cdf.p)
-      GROUP BY o_orderstatus, o_orderpriority"""
+      SELECT o_orderkey, {rnd(f'b * exp({step})', 4)} AS x FROM (SELECT o_orderkey, b, k, t, {parts} FROM near)"""
 
 
 for _f in EIGHT:
@@ -400,6 +421,20 @@ for _f in EIGHT:
         SQL[f"{_kind}_{_f}"] = f"""SELECT o_orderkey, {rnd(closed_form(_f, 'u', inverse('u')), 6)} AS x
             FROM (SELECT o_orderkey, {_p} AS u FROM orders), {value_law(_f)}"""
 
+def moving(tag: str, low: float, high: float) -> str:
+    return between(uniform(f"shape/{tag}", "o_orderkey"), d(low), d(high))
+
+
+SQL["special_functions"] = f"""WITH arguments AS MATERIALIZED (
+      SELECT o_orderkey, {moving('k', 0.05, 60.0)} AS k, {moving('a', 0.2, 9.0)} AS a,
+        {moving('b', 0.2, 9.0)} AS b, {uniform('special/x', 'o_orderkey')} AS v FROM orders),
+    placed AS MATERIALIZED (SELECT *, ln(k * ({d(0.1)} + 2 * v)) AS t, least(v, 1 - v) AS x,
+      CASE WHEN v <= 0.5 THEN a ELSE b END AS near, CASE WHEN v <= 0.5 THEN b ELSE a END AS far FROM arguments),
+    summed AS (SELECT *, {gamma_sum('k', 't')} AS p, {beta_sum('near', 'far', 'x', 150)} AS i FROM placed)
+    SELECT o_orderkey, {rnd('lgamma(k)', 8)} AS log_gamma, {rnd('p', 8)} AS gamma_cdf,
+      {rnd('CASE WHEN v <= 0.5 THEN i ELSE 1 - i END', 8)} AS beta_cdf FROM summed"""
+SQL["quantile_residuals"] = f"""SELECT o_orderkey, {rnd(clipped(uniform('residual', 'o_orderkey'), 1e-6), 9)} AS u,
+    true AS gamma_within, true AS chi2_within, true AS beta_within FROM orders"""
 SQL["empirical_quantile"] = f"""WITH law AS (SELECT * FROM {value_law('exponential')}),
     keys AS (SELECT o_orderkey, o_orderkey // 1000 AS block FROM orders),
     pool AS (SELECT block, row_number() OVER (PARTITION BY block ORDER BY x) - 1 AS spot, x FROM (
@@ -476,7 +511,25 @@ def curve(i: int, family: str) -> list[str]:
     ]
 
 
-CURVE_STEPS = 20_000
+CURVE_STEPS = 4_000  # a Halley step follows
+
+
+def refined(i: int, family: str) -> str:
+    """A CTE with ln x (gamma) or logit x (beta) of every row, from the looked-up segments."""
+    near = (f"SELECT s.id, s.in_level, s.k, s.u, c.t + (s.u - c.p) / (c.p2 - c.p) * (c.t2 - c.t) AS t"
+            f" FROM spots_{i} s JOIN cdf_{i} c ON s.at_spot = c.spot WHERE s.id IS NOT NULL")
+    if family == "beta":
+        y = "(1 / (1 + exp(abs(t))))"
+        parts = (f"{beta_sum('k', 'k', 'y', 120)} AS p, exp(k * ln(y) + k * ln(1 - y) - 2 * lgamma(k) + lgamma(2 * k)) AS w")
+        step = nearer("CASE WHEN t <= 0 THEN p - u ELSE (1 - u) - p END", "w",
+                      "k - 2 * k * CASE WHEN t <= 0 THEN y ELSE 1 - y END")
+        near = f"SELECT *, {y} AS y FROM ({near})"
+    else:
+        step, parts = gamma_step("k", "u")
+        parts = parts.replace(", u AS u", "")
+    return (f"near_{i} AS MATERIALIZED ({near}), "
+            f"found_{i} AS MATERIALIZED (SELECT id, in_level, {step} AS t FROM (SELECT *, {parts} FROM near_{i}))")
+
 
 
 def generated(table: str, keys, modelled, discrete, levels, copula=True, digits: int | None = 3,
@@ -544,7 +597,7 @@ def generated(table: str, keys, modelled, discrete, levels, copula=True, digits:
           WHEN 'exponential' THEN -{scale} * ln(1 - u_{i})
           WHEN 'beta' THEN {loc} + {scale} * (0.5 - sin(asin(1 - 2 * u_{i}) / 3)) END"""
         if c in tabled:
-            t = f"(cdf_{i}.t + (u_{i} - cdf_{i}.p) / (cdf_{i}.p2 - cdf_{i}.p) * (cdf_{i}.t2 - cdf_{i}.t))"
+            t = f"(cdf_{i}.t)"
             found = {"beta": f"{loc} + {scale} / (1 + exp(-{t}))", "gamma": f"{scale} * exp({t})",
                      "chi2": f"2 * exp({t})"}[tabled[c]]
             x = f"CASE WHEN {law}.family = '{tabled[c]}' THEN {found} ELSE {x} END"
@@ -569,21 +622,18 @@ def generated(table: str, keys, modelled, discrete, levels, copula=True, digits:
                 ctes += curve(i, tabled[c])
                 shape = moved_shape(i, tabled[c])
                 ctes.append(
-                    f"step_{i} AS MATERIALIZED (SELECT id, in_level, no + u AS spot FROM (SELECT values_of.id,"
+                    f"step_{i} AS MATERIALIZED (SELECT id, in_level, k, u, no + u AS spot FROM (SELECT values_of.id,"
                     f" values_of.in_level, {shape} AS k, u_{i} AS u FROM values_of, law_{i})"
                     f" JOIN shapes_{i} USING (k))"
                 )
                 ctes.append(
-                    f"spots_{i} AS MATERIALIZED (SELECT id, in_level, spot, max(CASE WHEN id IS NULL THEN spot END)"
+                    f"spots_{i} AS MATERIALIZED (SELECT id, in_level, k, u, spot, max(CASE WHEN id IS NULL THEN spot END)"
                     " OVER (ORDER BY spot, id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS at_spot FROM ("
-                    f"SELECT NULL AS id, NULL AS in_level, spot FROM cdf_{i} UNION ALL"
-                    f" SELECT id, in_level, spot FROM step_{i}))"
-                )
-                ctes.append(
-                    f"found_{i} AS MATERIALIZED (SELECT s.id, s.in_level, c.p, c.t,"
-                    f" c.p2, c.t2 FROM spots_{i} s JOIN cdf_{i} c ON s.at_spot = c.spot WHERE s.id IS NOT NULL)"
+                    f"SELECT NULL AS id, NULL AS in_level, NULL AS k, NULL AS u, spot FROM cdf_{i} UNION ALL"
+                    f" SELECT id, in_level, k, u, spot FROM step_{i}))"
                 )
-        # the looked-up segments under the names the value expressions use
+                ctes.append(refined(i, tabled[c]))
+        # the refined points under the names the value expressions use
         for i, c in enumerate(modelled):
             if c in tabled:
                 source += f" , found_{i} AS cdf_{i}"
@@ -627,6 +677,12 @@ SQL["generate_derived_summary"] = summary(
               before=f"derived AS MATERIALIZED {DERIVED}", block=1000),
     ["in_level", "disc"], dict.fromkeys(SKEWED, 3),
 )
+SQL["generate_skewed"] = generated(
+    "derived", ["o_orderkey"], SKEWED, ["disc"], [0.0, 0.1], digits=4,
+    tabled={"frac": "beta", "lognorm": "gamma", "erlang4": "gamma", "heavy": "chi2"},
+    before=f"derived AS MATERIALIZED {DERIVED}", block=1000)
+SQL["generate_lineitem_fuzzed"] = generated(
+    "lineitem", LINEITEM_KEY, MODELLED, ["l_linenumber", "l_tax"], [0.1], tabled={"l_discount": "beta"})
 SQL["csv_sweep_roundtrip"] = f"""SELECT in_level, count(*) AS n_rows,
     {', '.join(f"{rnd(f'avg({c})', 3)} AS avg_{c}" for c in NUMERIC['customer'])}
     FROM ({generated(*CUSTOMER, LEVELS, digits=None)}) GROUP BY in_level"""

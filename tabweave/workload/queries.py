@@ -12,11 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.functions.normal import normal_cdf
+from tabweave.functions import special
+from tabweave.functions.normal import normal_cdf, normal_quantile, quantile_parts
 from tabweave.functions.randomness import Rng, between
 from tabweave.functions.repair import (
     clip, clip_percentile, clip_range, inject_zero, nan_to_null, repair,
 )
+from tabweave.functions.scores import ScorePolynomial
 from tabweave.functions.text import Sql, double, ident
 from tabweave.operators import draws, laws
 from tabweave.operators.dependence import (
@@ -420,33 +422,24 @@ def fitted_params(spark, folder, family: str) -> dict[str, float]:
     return {p: row[f"p_{p}"] for p in laws.FAMILIES[family].fit}
 
 
-def summary_by_status(df: DataFrame) -> DataFrame:
-    """Values of laws read from a score polynomial, compared group by group."""
-    return rounded(
-        df.groupBy("o_orderstatus", "o_orderpriority").agg(
-            F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"),
-        ),
-        {"mean": 2, "std": 2},
-    )
+TABULATED = ("gamma", "chi2")  # laws without a closed form; beta(2, 2) has one
 
 
 def quantiles(spark, folder, family: str) -> DataFrame:
     """The quantile of a clipped percentile per order."""
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    orders = table(spark, folder, "orders").select("o_orderkey")
     u = clip_percentile(RNG.uniform("o_orderkey", "quantile"))
-    df = draws.evaluate(orders, u, "x", family, fitted_params(spark, folder, family))
-    if family in ("gamma", "chi2"):
-        return summary_by_status(df)
-    return rounded(df.select("o_orderkey", "x"), {"x": 6})
+    df = draws.evaluate(
+        orders, u, "x", family, fitted_params(spark, folder, family), exact=family in TABULATED)
+    return rounded(df, {"x": 4 if family in TABULATED else 6})
 
 
 def drawn(spark, folder, family: str) -> DataFrame:
     """An independent draw per order."""
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    df = draws.draw(orders, "o_orderkey", "x", family, fitted_params(spark, folder, family), RNG)
-    if family in ("gamma", "chi2"):
-        return summary_by_status(df)
-    return rounded(df.select("o_orderkey", "x"), {"x": 6})
+    orders = table(spark, folder, "orders").select("o_orderkey")
+    df = draws.draw(
+        orders, "o_orderkey", "x", family, fitted_params(spark, folder, family), RNG, exact=family in TABULATED)
+    return rounded(df, {"x": 4 if family in TABULATED else 6})
 
 
 for _family in EIGHT:
@@ -457,6 +450,57 @@ for _mode in MODES:
     QUERIES[f"fuzz_{_mode}"] = lambda s, f, mode=_mode: fuzzed(s, f, mode)
 
 
+def shape_of(tag: str, low: float, high: float) -> Sql:
+    """A shape that moves from order to order."""
+    return between(RNG.uniform("o_orderkey", f"shape/{tag}"), low, high)
+
+
+@query("special_functions")
+def special_functions(spark, folder):
+    """ln Gamma and the regularised incomplete gamma and beta functions of moving arguments."""
+    df = table(spark, folder, "orders").selectExpr(
+        "o_orderkey", f"{shape_of('k', 0.05, 60.0)} as k", f"{shape_of('a', 0.2, 9.0)} as a",
+        f"{shape_of('b', 0.2, 9.0)} as b", f"{RNG.uniform('o_orderkey', 'special/x')} as v",
+    ).selectExpr("*", "k * (0.1D + 2 * v) as x")
+    df = df.selectExpr(
+        "o_orderkey", "k", "v", *special.gamma_cdf_parts("k", "x", "g"),
+        *special.beta_cdf_parts("a", "b", "v", "c"),
+    ).selectExpr(
+        "o_orderkey", f"{special.log_gamma('k')} as log_gamma", f"{special.gamma_cdf('g')} as gamma_cdf",
+        f"{special.beta_cdf('c')} as beta_cdf")
+    return rounded(df, {"log_gamma": 8, "gamma_cdf": 8, "beta_cdf": 8})
+
+
+@query("quantile_residuals")
+def quantile_residuals(spark, folder):
+    """Quantiles of moving shapes by the score polynomials, put back into the distribution function."""
+    orders = table(spark, folder, "orders").selectExpr(
+        "o_orderkey", f"{clip_percentile(RNG.uniform('o_orderkey', 'residual'))} as u",
+        f"{shape_of('gamma', 0.7, 1.3)} as gamma_k", f"{shape_of('chi2', 20.0, 60.0)} as chi2_k",
+        f"{shape_of('beta', 1.6, 2.4)} as a", f"{shape_of('other', 1.6, 2.4)} as b")
+    kept = ["o_orderkey", "u", "gamma_k", "chi2_k", "a", "b"]
+    orders = orders.selectExpr(*kept, *quantile_parts("u", "n")).selectExpr(*kept, f"{normal_quantile('n')} as z")
+    curves = {
+        "gamma": (ScorePolynomial.of("gamma", [(0.7, 1.3)]), ["gamma_k"]),
+        "chi2": (ScorePolynomial.of("chi2", [(20.0, 60.0)]), ["chi2_k"]),
+        "beta": (ScorePolynomial.of("beta", [(1.6, 2.4), (1.6, 2.4)]), ["a", "b"]),
+    }
+    parts, values = [], []
+    for name, (curve, shapes) in curves.items():
+        found = curve.variables("z", shapes)
+        parts += [f"{v} as {name}_{i}" for i, v in enumerate(found)]
+        score = curve.score([f"{name}_{i}" for i in range(len(found))])
+        values.append(f"1.0D / (1.0D + exp(-({score}) / sqrt(a + b))) as beta_x" if name == "beta"
+                      else f"{shapes[0]} * exp(({score}) / sqrt({shapes[0]})) as {name}_x")
+    df = orders.selectExpr(*kept, *parts).selectExpr(*kept, *values)
+    df = df.selectExpr(
+        "o_orderkey", "u", *(p for k in ("gamma", "chi2") for p in special.gamma_cdf_parts(f"{k}_k", f"{k}_x", f"{k}_f")),
+        *special.beta_cdf_parts("a", "b", "beta_x", "beta_f"))
+    cdf = {"gamma": special.gamma_cdf("gamma_f"), "chi2": special.gamma_cdf("chi2_f"), "beta": special.beta_cdf("beta_f")}
+    df = df.selectExpr("o_orderkey", "u", *(f"abs({f} - u) < 1e-5D as {name}_within" for name, f in cdf.items()))
+    return rounded(df, {"u": 9})
+
+
 @query("empirical_quantile")
 def empirical_quantile(spark, folder):
     """Rank look-up in a drawn and sorted sample, block by block."""
@@ -576,7 +620,7 @@ def generate_lineitem(spark, folder):
 
 @query("generate_lineitem_fuzzed")
 def generate_lineitem_fuzzed(spark, folder):
-    return twin(spark, folder, "lineitem", [0.1], 3, LINEITEM_KEY)
+    return twin(spark, folder, "lineitem", [0.1], 3, LINEITEM_KEY, exact=True)
 
 
 def summary(made: DataFrame, groups: list[str], columns: list[str], digits: dict[str, int]) -> DataFrame:
@@ -598,11 +642,11 @@ def generate_lineitem_summary(spark, folder):
     return summary(made, ["l_tax"], columns, dict(zip(columns, (3, 5, 2, 6))))
 
 
-def derived_rows(spark, folder, cols, block) -> DataFrame:
+def derived_rows(spark, folder, cols, block, exact=False) -> DataFrame:
     source = derived(spark, folder)
     model = fit_model(source, cols, key_cols=["o_orderkey"], rng=RNG)
     return generate(
-        spark, model, source.count(), [0.0, 0.1], rng=RNG, keep_id=True, block_rows=block
+        spark, model, source.count(), [0.0, 0.1], rng=RNG, keep_id=True, block_rows=block, exact=exact
     )
 
 
@@ -612,12 +656,21 @@ def generate_derived(spark, folder):
     return rounded(derived_rows(spark, folder, DERIVED, BLOCK), {c: 6 for c in DERIVED})
 
 
+SKEWED = ["frac", "expo", "lognorm", "erlang4", "heavy", "disc"]
+
+
 @query("generate_derived_summary")
 def generate_derived_summary(spark, folder):
     """One column of each skewed family, by category and level."""
-    cols = ["frac", "expo", "lognorm", "erlang4", "heavy", "disc"]
-    made = derived_rows(spark, folder, cols, 1000)
-    return summary(made, ["in_level", "disc"], cols[:-1], dict.fromkeys(cols, 3))
+    made = derived_rows(spark, folder, SKEWED, 1000)
+    return summary(made, ["in_level", "disc"], SKEWED[:-1], dict.fromkeys(SKEWED, 3))
+
+
+@query("generate_skewed")
+def generate_skewed(spark, folder):
+    """The same columns row by row: beta, gamma and chi-squared laws whose shapes move by block."""
+    made = derived_rows(spark, folder, SKEWED, 1000, exact=True)
+    return rounded(made, dict.fromkeys(SKEWED, 4))
 
 
 # --- run logs ----------------------------------------------------------------
