@@ -6,6 +6,8 @@ Pass a plain column (not a long expression): the argument is used many times.
 
 from __future__ import annotations
 
+import numpy as np
+
 from tabweave.functions.text import Sql, double
 
 # Hart's rational approximation of the normal tail (Hart 1968,
@@ -98,3 +100,17 @@ def normal_quantile(name: str) -> Sql:
         f"if(abs({q}) <= 0.425D, {centre},"
         f" if({q} < 0.0D, -1.0D, 1.0D) * if({r} <= 5.0D, {middle}, {tail}))"
     )
+
+
+def normal_quantile_array(p: np.ndarray) -> np.ndarray:
+    """The same inverse for an array inside a task; NaN stays NaN."""
+
+    def by(top, bottom, x):
+        return np.polyval(top, x) / np.polyval(bottom, x)
+
+    q = p - 0.5
+    r = np.sqrt(-np.log(np.minimum(p, 1.0 - p)))
+    centre = q * by(CENTRE_NUMERATOR, CENTRE_DENOMINATOR, 0.180625 - q * q)
+    outer = np.where(r <= 5.0, by(MIDDLE_NUMERATOR, MIDDLE_DENOMINATOR, r - 1.6),
+                     by(TAIL_NUMERATOR, TAIL_DENOMINATOR, r - 5.0))
+    return np.where(np.abs(q) <= 0.425, centre, np.sign(q) * outer)

@@ -1,7 +1,9 @@
 """Exact samples, ranks without a global sort, hot values, shared scratch, CSV."""
 
 import os
+from statistics import NormalDist
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +94,40 @@ def test_scores_at_scale_match_the_bounded_ones(spark):
     df.unpersist()
 
 
+@pytest.mark.parametrize("lookup, block", [(0, 300), (0, 10**6), (150, 300), (10**6, 300)])
+def test_indexed_and_dealt_columns_agree(spark, lookup, block):
+    """Columns that tasks look up, and columns whose cells move, with hot values, ties and gaps."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    n = 4000
+    frame = {
+        "few": rng.integers(0, 7, n).astype(float), "zeros": np.where(rng.random(n) < 0.4, 0.0, rng.normal(size=n)),
+        "odd.name": rng.normal(size=n), "gaps": np.where(rng.random(n) < 0.2, np.nan, rng.integers(0, 900, n) / 7),
+        "none": np.full(n, np.nan), "one": np.full(n, 3.0), "ends": np.where(rng.random(n) < 0.1, np.inf, rng.random(n)),
+    }
+    cols = list(frame)
+    rows = [(i, *(float(frame[c][i]) for c in cols)) for i in range(n)]
+    df = spark.createDataFrame(rows, ["k", *cols]).repartition(5).withColumn("twin", F.col("k"))
+    got = normal_scores_at_scale(df, [*cols, "twin"], lookup_values=lookup, block_cells=block).collect()
+    assert len(got) == n
+    at = sorted(range(n), key=lambda r: got[r]["twin"])  # the scores of k tell the rows apart
+    for c in cols:
+        ranks = pd.Series(frame[c]).rank(method="average")
+        want = [None if r != r else NormalDist().inv_cdf((r - 0.5) / ranks.count()) for r in ranks]
+        have = [got[i][c] for i in at]
+        assert [h is None for h in have] == [w is None for w in want]
+        assert [h for h in have if h is not None] == pytest.approx([w for w in want if w is not None], abs=1e-12)
+
+
+def test_indexed_columns_do_not_move(spark):
+    df = spark.range(1000).selectExpr("id % 7 as a", "id % 50 as b", "rand(1) as c")
+    plan = lambda found: found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(normal_scores_at_scale(df, ["a", "b"]))
+    assert plan(normal_scores_at_scale(df, ["a", "b", "c"], lookup_values=100)).count("Exchange") == 3
+    assert normal_scores_at_scale(df.limit(0), ["a", "c"], lookup_values=0).count() == 0
+
+
 def test_scores_by_brute_force(spark):
     pandas = pytest.importorskip("pandas")
     from statistics import NormalDist
