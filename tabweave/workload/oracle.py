@@ -179,6 +179,9 @@ def sample_of(table: str, keys, k: int) -> str:
 SQL["bounded_sample"] = (
     f"SELECT o_orderkey, o_totalprice FROM {sample_of('orders', ['o_orderkey'], 1000)}"
 )
+SQL["bounded_sample_half"] = (
+    f"SELECT {', '.join(LINEITEM_KEY)}, l_quantity FROM "
+    + sample_of("lineitem", LINEITEM_KEY, "(SELECT count(*) // 2 FROM lineitem)"))
 
 # --- laws --------------------------------------------------------------------
 

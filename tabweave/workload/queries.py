@@ -205,6 +205,13 @@ def sampled(spark, folder):
     )
 
 
+@query("bounded_sample_half")
+def sampled_half(spark, folder):
+    """Half of all line items: no task holds the sample."""
+    lines = table(spark, folder, "lineitem")
+    return bounded_sample(lines, lines.count() // 2, LINEITEM_KEY, RNG).select(*LINEITEM_KEY, "l_quantity")
+
+
 # --- laws --------------------------------------------------------------------
 
 FIT_COLUMNS = (

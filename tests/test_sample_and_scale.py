@@ -52,9 +52,22 @@ def test_sample_of_maps_and_of_random_columns(spark):
     assert drawn.count() == 400 and drawn.exceptAll(drawn).isEmpty()
 
 
-def test_sample_raises_its_threshold(spark, monkeypatch):
-    monkeypatch.setattr("math.sqrt", lambda x: -x / 6.3)
-    assert bounded_sample(spark.range(0, 20_000), 1000, ["id"]).count() == 1000
+@pytest.mark.parametrize("few", [1, 40])
+def test_half_the_table_is_found_in_rounds(spark, monkeypatch, few):
+    monkeypatch.setattr("tabweave.operators.sample.SORTED_ROWS", few)
+    df = spark.range(0, 20_000, 1, 5).selectExpr("id", "id % 7 as v")
+    hashes = df.selectExpr("id", f"{Rng().uniform('cast(id as string)', 'sample')} as u").collect()
+    want = {r["id"] for r in sorted(hashes, key=lambda r: r["u"])[:10_000]}
+    half = bounded_sample(df, 10_000, ["id"])
+    assert {r["id"] for r in half.collect()} == want and half.count() == 10_000
+    plan = half._jdf.queryExecution().executedPlan().toString()
+    limit = int(plan.split("TakeOrderedAndProject(limit=")[1].split(",")[0])
+    assert limit <= few and "Exchange" not in plan  # only the last few rows are sorted
+    assert bounded_sample(df, 0, ["id"]).count() == 0 and bounded_sample(df, 19_999, ["id"]).count() == 19_999
+    repeated = df.selectExpr("v")  # seven different rows
+    counts = {r["v"]: r["count"] for r in bounded_sample(repeated, 10_000).groupBy("v").count().collect()}
+    assert sum(counts.values()) == 10_000 and all(c == pytest.approx(1430, abs=150) for c in counts.values())
+
 
 
 def test_sample_of_repeated_rows(spark):
