@@ -153,7 +153,7 @@ FROM folded f LEFT JOIN hit h USING (doc_id) LEFT JOIN items i USING (doc_id)
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.rate(
         narrow(spark, folder, "documents", "doc_id", "text"),
-        narrow(spark, folder, "labels", "doc_id", "toxic"),
+        narrow(spark, folder, "labels", "doc_id", "toxic"), windows=False,
     ).select("doc_id", "held_out", "score", "predicted")
 
 

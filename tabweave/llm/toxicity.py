@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import re
-
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +31,7 @@ CLEAN_WINDOWS = 6           # windows of a clean text that an update reads
 LEAST_EVIDENCE = 1.5        # standard errors that a feature's evidence is reduced by
 TABLE_ROWS = 200_000        # word and character features that keep a value of their own
 MAX_WORDS = 200_000         # words whose inputs a worker remembers at a time
+SMOOTH, CLEAN_COST = 0.5, 4.0       # of the cut between the classes, see _cut
 BLOCK = 4096                # windows that a step of inference holds at once
 SLICE = 4 << 20             # bytes of text that a step holds at once
 THRESHOLD = 0.3
@@ -38,8 +39,11 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str) -> list[str]:
+    found = _WORD.findall(text.lower())
+    if not found or max(map(len, found)) <= PIECE:
+        return found
     words = []
-    for w in _WORD.findall(text.lower()):
+    for w in found:
         if len(w) <= PIECE:
             words.append(w)
         else:
@@ -47,14 +51,10 @@ def words_of(text: str) -> list[str]:
     return words
 
 
-def features(word: str) -> list[list[int]]:
-    """Hashes of the word's beginnings and of the word, and for each length of its parts.
-
-    A beginning, or a part, of a short word is the word.
-    """
-    parts = [[f"{n}{word[:n]}" for n in PREFIXES] + [f"={word}"]]
-    parts += [[f"~{word[i:i + n]}" for i in range(max(len(word) - n, 0) + 1)] for n in GRAMS]
-    return [[xxhash.xxh64_intdigest(p) >> 1 for p in each] for each in parts]
+def _mixed(state: np.ndarray, more: np.ndarray | np.uint64) -> np.ndarray:
+    """A hash state after one more letter or mark."""
+    state = (state ^ (more + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xFF51AFD7ED558CCD)
+    return state ^ (state >> np.uint64(33))
 
 
 @dataclass
@@ -193,25 +193,49 @@ class WordNet:
 
 
 def _features(words: list[str]) -> Features:
-    """Features of words; the first row, of no word, is all zero."""
-    fixed, parts, counts = [0] * FIXED, [0] * len(GRAMS), [1] * len(GRAMS)
-    for word in words:
-        first, *others = features(word)
-        fixed += first
-        for each in others:
-            parts += each
-            counts.append(len(each))
-    return Features(np.array(fixed, np.int64).reshape(-1, FIXED), np.array(parts, np.int64),
-                    np.array(counts, np.int64).reshape(-1, len(GRAMS)))
+    """Features of words: hashes of each word's beginnings and of the word, and of all its parts.
+
+    A beginning, or a part, of a short word is the word.  Hashes run over the letters of all
+    words at once.  The first row, of no word, is all zero.
+    """
+    letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    begin = np.cumsum(sizes) - sizes
+    padded = np.append(letters, np.zeros(PIECE, np.uint64))
+
+    def run(start: np.ndarray, length: np.ndarray, most: int, stops: tuple[int, ...] = ()) -> list[np.ndarray]:
+        """Hash states after each of ``stops`` letters, or all if there are fewer, and after all."""
+        state, kept = np.zeros(len(start), np.uint64), []
+        for t in range(most):
+            if t in stops:
+                kept.append(state)
+            state = np.where(t < length, _mixed(state, padded[start + np.minimum(t, length)]), state)
+        return [*kept, state]
+
+    states = run(begin, sizes, PIECE, PREFIXES)
+    fixed = np.zeros((len(words) + 1, FIXED), np.int64)
+    for k, (mark, state) in enumerate(zip([*PREFIXES, 0], states)):
+        fixed[1:, k] = _mixed(state, np.uint64(mark)) >> np.uint64(1)
+    counts = np.ones((len(words) + 1, len(GRAMS)), np.int64)
+    for k, n in enumerate(GRAMS):
+        counts[1:, k] = np.maximum(sizes - n, 0) + 1
+    ends = np.cumsum(counts.reshape(-1)).reshape(counts.shape)
+    parts = np.zeros(int(ends[-1, -1]), np.int64)
+    for k, n in enumerate(GRAMS):
+        many = counts[1:, k]
+        inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        state = run(np.repeat(begin, many) + inner, np.repeat(np.minimum(sizes, n), many), n)[-1]
+        parts[np.repeat(ends[1:, k] - many, many) + inner] = _mixed(state, np.uint64(99)) >> np.uint64(1)
+    return Features(fixed, parts, counts)
 
 
 def _places(sequence: np.ndarray) -> np.ndarray:
     """Windows over one text's word places."""
     spans = windows_of(len(sequence))
-    out = np.zeros((len(spans), WINDOW), np.int64)
-    for row, (a, b) in zip(out, spans):
-        row[:b - a] = sequence[a:b]
-    return out
+    if not spans:
+        return np.zeros((0, WINDOW), np.int64)
+    padded = np.append(sequence, np.zeros(WINDOW, np.int64))
+    return padded[np.arange(len(spans))[:, None] * STRIDE + np.arange(WINDOW)]
 
 
 def fit(sample: list[tuple[int, str]], epochs: int = 3, batch: int = 32) -> WordNet | None:
@@ -296,21 +320,51 @@ def fit(sample: list[tuple[int, str]], epochs: int = 3, batch: int = 32) -> Word
     return net
 
 
+def _cut(toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The logit that separates two classes of logits with the least smoothed error.
+
+    Every logit counts as a logistic bump of width SMOOTH, so that a handful of texts, or a
+    single odd one, does not place the cut; a clean text above it costs CLEAN_COST times
+    a toxic one below it.
+    """
+    def share_above(logits: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        return (1 / (1 + np.exp(np.clip((cut[:, None] - logits) / SMOOTH, -60, 60)))).mean(axis=1)
+
+    cuts = np.linspace(min(toxic.min(), clean.min()), max(toxic.max(), clean.max()), 801)
+    cost = 1 - share_above(toxic, cuts) + CLEAN_COST * share_above(clean, cuts)
+    best = np.flatnonzero(cost <= cost.min() + 1e-9)
+    return float(cuts[best].mean())
+
+
 def _set_threshold(net: WordNet, docs: DataFrame, labels: DataFrame) -> None:
     """Shift the scores so that THRESHOLD lies between toxic and clean texts not learned from.
 
-    ``docs`` (doc_id, text) are scored whole, as all texts are later.  The cut is half way
-    between all but the lowest toxic and all but the highest clean scores; where these
-    overlap, it is above the clean ones.
+    ``docs`` (doc_id, text) are scored whole, as all texts are later.  Each class sends
+    evenly spaced quantiles of its scores, 400 at most.
     """
-    scored = docs.join(labels, "doc_id").select("label", score(F.col("text"), net, docs)["score"].alias("p"))
-    found = scored.groupBy("label").agg(F.percentile_approx("p", [0.02, 0.995], 100_000).alias("q")).collect()
-    bounds = {r["label"]: min(max(r.q[0 if r["label"] else 1], 1e-9), 1 - 1e-9) for r in found}
-    if len(bounds) < 2:
+    scored = docs.join(labels, "doc_id").select("label", score(F.col("text"), net, docs, False)["score"].alias("p"))
+    steps = [(i + 0.5) / 400 for i in range(400)]
+    found = scored.groupBy("label").agg(F.percentile_approx("p", steps, 100_000).alias("q")).collect()
+    logits = {}
+    for r in found:
+        p = np.clip(np.array(r.q), 1e-9, 1 - 1e-9)
+        logits[r["label"]] = np.log(p) - np.log1p(-p)
+    if len(logits) < 2:
         return
-    high, low = (np.log(bounds[k]) - np.log1p(-bounds[k]) for k in (0, 1))
-    cut = max((high + low) / 2, high)
-    net.params["out_bias"] += F32(np.log(THRESHOLD / (1 - THRESHOLD)) - cut)
+    net.params["out_bias"] += F32(np.log(THRESHOLD / (1 - THRESHOLD)) - _cut(logits[1], logits[0]))
+
+
+class _Known(dict):
+    """Numbers words from 1 as they come and lists the new ones."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self) + 1
+        self.fresh.append(word)
+        return n
 
 
 class Scorer:
@@ -321,35 +375,33 @@ class Scorer:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Known()
         self.table = self.net.project(self.net.word_inputs(_features([]), self.net.evidence))
 
-    def score(self, texts: list[str]) -> tuple[np.ndarray, list[list[float]]]:
-        """The highest window of each text, 0 without words, and the scores of all its windows."""
+    def score(self, texts: list[str], windows: bool = True) -> tuple[np.ndarray, list[list[float]]]:
+        """The highest window of each text, 0 without words, and the scores of all its windows if asked."""
         if len(self.known) > MAX_WORDS:
             self.forget()
-        known, fresh, places, counts = self.known, [], [], []
+        number, places = self.known.__getitem__, []
         for text in texts:
-            sequence = []
-            for w in words_of(text):
-                at = known.get(w)
-                if at is None:
-                    at = known[w] = len(known) + 1
-                    fresh.append(w)
-                sequence.append(at)
-            places.append(_places(np.array(sequence, np.int64)))
-            counts.append(len(places[-1]))
-        if fresh:
-            new = self.net.project(self.net.word_inputs(_features(fresh), self.net.evidence))
+            words = words_of(text)
+            places.append(_places(np.fromiter(map(number, words), np.int64, len(words))))
+        if self.known.fresh:
+            new = self.net.project(self.net.word_inputs(_features(self.known.fresh), self.net.evidence))
             self.table = np.concatenate([self.table, new[:, 1:]], axis=1)
+            self.known.fresh = []
         every = np.concatenate([*places, np.zeros((0, WINDOW), np.int64)])
         logits = np.concatenate([
             self.net.pooled(every[a:a + BLOCK], self.table)[0] for a in range(0, len(every), BLOCK)
         ] + [np.zeros(0, F32)])
         chances = 1 / (1 + np.exp(-logits.astype(np.float64)))
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        each = [chances[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
-        return np.array([max(c, default=0.0) for c in each]), each
+        counts = np.fromiter(map(len, places), np.int64, len(places))
+        bounds = np.cumsum(counts) - counts
+        top = np.zeros(len(texts))
+        if len(every):
+            top[counts > 0] = np.maximum.reduceat(chances, bounds[counts > 0])
+        each = [chances[a:a + n].tolist() for a, n in zip(bounds.tolist(), counts.tolist())] if windows else []
+        return top, each
 
 
 def marked(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
@@ -360,8 +412,8 @@ def marked(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return found.withColumn("h", F.xxhash64("doc_id"))
 
 
-def training_sample(texts: DataFrame, known: DataFrame, counts: dict[int, int]) -> list[tuple[int, str]]:
-    """Labelled texts, at most SAMPLE_TEXTS of each class, the smallest by hash.
+def training_sample(texts: DataFrame, known: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """(label, excerpt): labelled texts, at most SAMPLE_TEXTS of each class, the smallest by hash.
 
     Longer clean texts give an excerpt.  Longer toxic ones give none, because it may not
     hold what is toxic.
@@ -374,11 +426,20 @@ def training_sample(texts: DataFrame, known: DataFrame, counts: dict[int, int])
         F.col("nth") <= F.when(F.col("label") == 1, SAMPLE_TEXTS[1]).otherwise(SAMPLE_TEXTS[0]))
     place = 1 + F.pmod("h", F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1)
     # The chosen rows are few by the bound above.
-    rows = texts.where(F.length("text") > 0).join(F.broadcast(chosen.drop("nth")), "doc_id").where(
+    return texts.where(F.length("text") > 0).join(F.broadcast(chosen.drop("nth")), "doc_id").where(
         (F.col("label") == 0) | (F.length("text") <= SAMPLE_CHARS)).select(
         "label", F.substr("text", place.cast("int"), F.lit(SAMPLE_CHARS)).alias("excerpt"))
-    found = rows.toArrow()
-    return list(zip(found["label"].to_pylist(), found["excerpt"].to_pylist()))
+
+
+def fit_in_a_task(sample: DataFrame) -> WordNet | None:
+    """:func:`fit` on the bounded sample, in one task, so that the driver holds the network only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["net"])
+
+    found = sample.repartition(1).mapInArrow(run, "net binary").collect()
+    return pickle.loads(found[0].net) if found else None
 
 
 def learn(
@@ -394,7 +455,7 @@ def learn(
     aside = F.pmod(F.xxhash64("h"), F.lit(5)) == 0
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     enough = sum(counts.values()) >= 200
-    net = fit(training_sample(texts, known.where(~aside) if enough else known, counts))
+    net = fit_in_a_task(training_sample(texts, known.where(~aside) if enough else known, counts))
     if net is not None and enough:
         _set_threshold(net, texts.where(F.length("text") > 0), known.where(aside).select("doc_id", "label"))
     return net
@@ -403,10 +464,10 @@ def learn(
 _scorers: dict[bytes, Scorer] = {}
 
 
-def score(text: Column, net: WordNet | None, docs: DataFrame) -> Column:
+def score(text: Column, net: WordNet | None, docs: DataFrame, windows: bool = True) -> Column:
     """struct(score, windows): the highest of all overlapping windows of each whole text.
 
-    A null or empty text, or one without a word, scores 0, and so does any text if
+    ``windows=False`` leaves the windows' scores empty.  A null or empty text, or one without a word, scores 0, and so does any text if
     nothing could be learned.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)  # bounded by TABLE_ROWS and BUCKETS
@@ -425,7 +486,8 @@ def score(text: Column, net: WordNet | None, docs: DataFrame) -> Column:
                 stop = int(np.searchsorted(offsets, offsets[start] + SLICE, "right")) - 1
                 stop = min(max(stop, start + 1), len(texts))
                 part = [t.decode() for t in texts[start:stop].to_pylist()]
-                top[start:stop], each[start:stop] = _scorers[key].score(part)
+                top[start:stop], found = _scorers[key].score(part, windows)
+                each[start:stop] = found or each[start:stop]
                 start = stop
         return pa.StructArray.from_arrays(
             [pa.array(top), pa.array(each, pa.list_(pa.float64()))], ["score", "windows"])
@@ -435,18 +497,18 @@ def score(text: Column, net: WordNet | None, docs: DataFrame) -> Column:
 
 def rate(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    label_col: str = "toxic", folds: int = 4, held_out: int = 2,
+    label_col: str = "toxic", folds: int = 4, held_out: int = 2, windows: bool = True,
 ) -> DataFrame:
-    """doc_id, held_out, score, predicted and windows (all window scores) for every row."""
+    """doc_id, held_out, score, predicted and windows (all window scores, if asked) for every row."""
     net = learn(docs, labels, id_col, text_col, label_col, folds, held_out)
     return docs.select(
         docs[id_col].cast("long").alias("doc_id"),
         (fold(docs[id_col].cast("long"), folds) == held_out).alias("held_out"),
-        score(docs[text_col], net, docs).alias("p"),
-    ).select("doc_id", "held_out", "p.score", "p.windows",
+        score(docs[text_col], net, docs, windows).alias("p"),
+    ).select("doc_id", "held_out", "p.score", *(["p.windows"] if windows else []),
              F.when(F.col("p.score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, net: WordNet | None, text_col: str = "text") -> DataFrame:
     """The rows that score below the threshold; all columns stay."""
-    return docs.where(score(F.col(text_col), net, docs)["score"] < THRESHOLD)
+    return docs.where(score(F.col(text_col), net, docs, False)["score"] < THRESHOLD)

@@ -129,8 +129,9 @@ def test_threshold_comes_from_whole_texts_not_learned_from(spark, toxic_tables,
         F.repeat(F.lit("house tree river "), 2000), "text")).otherwise(F.col("text")).alias("text"))
     long = long.withColumn("text", F.concat_ws(" ", "text", "doc_id")).cache()  # no two are equal
     samples, scored = [], []
-    fit, set_threshold = toxicity.fit, toxicity._set_threshold
-    monkeypatch.setattr(toxicity, "fit", lambda sample: samples.append(sample) or fit(sample))
+    fit, set_threshold = toxicity.fit_in_a_task, toxicity._set_threshold
+    monkeypatch.setattr(toxicity, "fit_in_a_task", lambda sample: samples.append(
+        [(r.label, r.excerpt) for r in sample.collect()]) or fit(sample))
     monkeypatch.setattr(toxicity, "_set_threshold", lambda net, texts, known: scored.append(
         texts.join(known, "doc_id").collect()) or set_threshold(net, texts, known))
     net = toxicity.learn(long, labels)
