@@ -54,14 +54,17 @@ class Family:
     ``quantile(draw, params)`` turns a draw into a value, also as SQL.  ``uses``
     names the part of the draw it reads: ``"z"`` (standard normal), ``"u"``
     (percentile) or ``"score"`` (a score polynomial over the parameters in
-    ``table``).
+    ``table``).  A family without a quantile has a ``sampler(uniform, params)``,
+    where ``uniform(name)`` is an independent uniform for each name; its quantiles
+    are read from sorted samples.
     """
 
     name: str
     fit: dict[str, Sql]
-    quantile: Callable[[Q.Draw, Q.Params], Sql]
+    quantile: Callable[[Q.Draw, Q.Params], Sql] | None
     uses: str = "u"
     table: tuple[str, ...] = ()
+    sampler: Callable[[Callable[[str], Sql], Q.Params], Sql] | None = None
 
 
 FAMILIES: dict[str, Family] = {}
@@ -69,16 +72,22 @@ FAMILIES: dict[str, Family] = {}
 
 def register_family(
     name: str,
-    quantile: Callable[[Q.Draw, Q.Params], Sql],
+    quantile: Callable[[Q.Draw, Q.Params], Sql] | None,
     fit: dict[str, Sql],
     uses: str = "u",
+    sampler: Callable[[Callable[[str], Sql], Q.Params], Sql] | None = None,
 ) -> None:
-    """Add a family; its parameters must be among PARAMETERS."""
+    """Add a family; its parameters must be among PARAMETERS.
+
+    Give either ``quantile`` or, for a law that can only be drawn from, ``sampler``.
+    """
+    if (quantile is None) == (sampler is None):
+        raise ValueError("give either a quantile or a sampler")
     if uses not in ("u", "z"):
         raise ValueError("a registered family reads 'u' or 'z'")
     if not set(fit) <= set(PARAMETERS):
         raise ValueError(f"parameters must be among {PARAMETERS}")
-    FAMILIES[name] = Family(name, fit, quantile, uses)
+    FAMILIES[name] = Family(name, fit, quantile, "u" if sampler else uses, sampler=sampler)
 
 
 _SPAN = {"loc": "min", "scale": "max - min"}

@@ -5,7 +5,8 @@
            -> values -> repair, clip, zeros
 
 Each arrow is one projection whose outputs the next one uses several times;
-Catalyst therefore keeps them apart and evaluates none of them twice.
+Catalyst therefore keeps them apart and evaluates none of them twice.  Only a column
+whose family has no quantile function needs more: its block's sorted sample.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ from tabweave.functions.scores import ScorePolynomial, z_limit
 from tabweave.functions.special import polish
 from tabweave.functions.text import Sql, double, ident
 from tabweave.operators.dependence import correlation_factor
+from tabweave.operators.draws import OVERSAMPLE, Keep, read_sorted, sampled
 from tabweave.operators.frequencies import draw_category
 from tabweave.operators.laws import FAMILIES
 from tabweave.operators.uncertainty import (
     BLOCK_ROWS, MODES, FactorOf, fallback_normal, widen,
 )
 from tabweave.plans.model import Model
+from tabweave.sources.scratch import cut_lineage
 
 ROWS_PER_PARTITION = 4_000_000
 LITERAL_COLUMNS = 40  # up to here the copula's weights are literals of the plan
@@ -63,6 +66,11 @@ class _Column:
         uses = FAMILIES[self.family].uses
         return "u" if uses == "score" else uses
 
+    @property
+    def sampled(self) -> bool:
+        """Its quantiles come from a sorted sample."""
+        return self.family is not None and not self.undefined and FAMILIES[self.family].sampler is not None
+
     @property
     def undefined(self) -> bool:
         """A law whose shape could not be fitted: every value gets repaired."""
@@ -110,6 +118,7 @@ def generate(
     keep_id: bool = False,
     keep_level: bool | None = None,
     exact: bool = False,
+    keep: Keep = cut_lineage,
 ) -> DataFrame:
     """n synthetic rows per indeterminacy level, lazily and without a shuffle.
 
@@ -121,6 +130,11 @@ def generate(
     incomplete gamma and beta functions, at some 40 microseconds a value; else their
     relative error is that of the score polynomials.  Columns come back as doubles in
     source order.
+
+    A column whose family has a sampler only (``register_family``) is read from a sample of
+    its block, of any size, which is sorted across the cluster and written by ``keep`` (a
+    ``Workspace``'s, to remove it afterwards).  It is neither repaired nor clipped, and
+    depends on the ids of its block as well; ``ids`` must then give the same rows each time.
     """
     levels = _check_levels(in_levels)
     if (n is None) == (ids is None):
@@ -143,9 +157,13 @@ def generate(
         rows = _rows(spark, n, len(levels), block_rows, parts)
     in_level = _per_level(levels)
     factors = _factors(columns, rng, fuzz, in_level if max(levels) > 0.0 else None)
+    pool = rows.selectExpr("id", "__level", "__block", *factors)
     rows = _draws(rows, factors, columns, model, rng, percentile_floor, copula, exact)
     if exact:
         rows = _polished(rows, columns)
+    for c in columns:
+        if c.sampled:
+            rows = _from_sample(rows, pool, c, rng, block_rows, n, keep)
     keep_level = len(levels) > 1 if keep_level is None else keep_level
     head = (["id"] if keep_id else []) + ([f"{in_level} as in_level"] if keep_level else [])
     return _values(rows, columns, model, rng, head)
@@ -325,9 +343,25 @@ def _polished(rows: DataFrame, columns: list[_Column]) -> DataFrame:
     return polish(rows, items) if items else rows
 
 
+def _from_sample(rows, pool, c: _Column, rng, size: int, n: int | None, keep: Keep) -> DataFrame:
+    """Add the column's value: its percentile of the sorted draws of its level and block."""
+    block = "struct(__level, {} as b) as __block".format
+    draws, p = None, _parameters(c)
+    for i in range(OVERSAMPLE):
+        value = sampled("id", c.family, p, rng, f"{c.name}/pool/{i}")
+        part = pool.selectExpr(block("__block"), f"{value} as __x", "id as __key")
+        draws = part if draws is None else draws.unionByName(part)
+    source = rows.selectExpr(
+        "*", "id as __key", block(f"cast(id as bigint) div {size}L"), f"{c('u')} as __p")
+    count = None if n is None else f"{OVERSAMPLE}L * least({size}L, {n}L - __block.b * {size}L)"
+    return read_sorted(source, draws, c("x"), count, keep).select(*rows.columns, c("x"))
+
+
 def _quantile(c: _Column) -> Sql:
     if c.undefined:
         return "cast(null as double)"
+    if c.sampled:
+        return c("x")
     quantile, p = FAMILIES[c.family or "normal"].quantile, _parameters(c)
     if c.score is None:
         return quantile(Draw(**{c.uses: c(c.uses)}), p)
@@ -350,6 +384,8 @@ def _values(rows, columns, model, rng, head) -> DataFrame:
             c = by_name[name]
             if c.family is None:
                 x = repair(c("x"), c("mu"))
+            elif c.sampled:
+                x = c("x")
             else:
                 x = repair(c("x"), s["mean_nonzero"], s["max"], s["min"])
                 x = clip_range(x, s["min"], s["max"])

@@ -438,8 +438,9 @@ SQL["special_functions"] = f"""WITH arguments AS MATERIALIZED (
       {rnd('CASE WHEN v <= 0.5 THEN i ELSE 1 - i END', 8)} AS beta_cdf FROM summed"""
 SQL["quantile_residuals"] = f"""SELECT o_orderkey, {rnd(clipped(uniform('residual', 'o_orderkey'), 1e-6), 9)} AS u,
     true AS gamma_within, true AS chi2_within, true AS beta_within FROM orders"""
-SQL["empirical_quantile"] = f"""WITH law AS (SELECT * FROM {value_law('exponential')}),
-    keys AS (SELECT o_orderkey, o_orderkey // 1000 AS block FROM orders),
+for _name, _block in (("", "o_orderkey // 1000"), ("_one_block", "0")):
+    SQL[f"empirical_quantile{_name}"] = f"""WITH law AS (SELECT * FROM {value_law('exponential')}),
+    keys AS (SELECT o_orderkey, {_block} AS block FROM orders),
     pool AS (SELECT block, row_number() OVER (PARTITION BY block ORDER BY x) - 1 AS spot, x FROM (
       SELECT block, -scale * ln(1 - {uniform('pool/0/__x', 'o_orderkey')}) AS x FROM keys, law UNION ALL
       SELECT block, -scale * ln(1 - {uniform('pool/1/__x', 'o_orderkey')}) AS x FROM keys, law)),
@@ -686,6 +687,19 @@ SQL["generate_skewed"] = generated(
     before=f"derived AS MATERIALIZED {DERIVED}", block=1000)
 SQL["generate_lineitem_fuzzed"] = generated(
     "lineitem", LINEITEM_KEY, MODELLED, ["l_linenumber", "l_tax"], [0.1], tabled={"l_discount": "beta"})
+SQL["generate_sampled"] = f"""WITH law AS (SELECT avg(o_totalprice) AS loc,
+      stddev_pop(o_totalprice) * sqrt(0.5::DOUBLE) AS scale, count(*) AS n FROM orders),
+    ids AS MATERIALIZED (SELECT range AS id, in_level, {factor('o_totalprice/g', "'0'", 'in_level')} AS g
+      FROM range((SELECT n FROM law)), (VALUES ({d(0.0)}), ({d(0.1)})) levels(in_level)),
+    drawn AS (SELECT in_level, loc * g + greatest(scale * g, 1e-6) * (ln(a) - ln(b)) AS x FROM law, (
+      SELECT in_level, g, {uniform('o_totalprice/pool/0/a', 'id')} AS a,
+        {uniform('o_totalprice/pool/0/b', 'id')} AS b FROM ids UNION ALL
+      SELECT in_level, g, {uniform('o_totalprice/pool/1/a', 'id')} AS a,
+        {uniform('o_totalprice/pool/1/b', 'id')} AS b FROM ids)),
+    pool AS (SELECT in_level, x, row_number() OVER (PARTITION BY in_level ORDER BY x) - 1 AS spot FROM drawn),
+    wanted AS (SELECT id, in_level, floor({between(uniform('o_totalprice/u', 'id'), d(0.001), d(0.999))}
+      * (2 * n - 1))::BIGINT AS spot FROM ids, law)
+    SELECT id, in_level, {rnd('x', 3)} AS o_totalprice FROM wanted JOIN pool USING (in_level, spot)"""
 SQL["csv_sweep_roundtrip"] = f"""SELECT in_level, count(*) AS n_rows,
     {', '.join(f"{rnd(f'avg({c})', 3)} AS avg_{c}" for c in NUMERIC['customer'])}
     FROM ({generated(*CUSTOMER, LEVELS, digits=None)}) GROUP BY in_level"""

@@ -520,6 +520,17 @@ def empirical_quantile(spark, folder):
     return rounded(df, {"x": 6})
 
 
+@query("empirical_quantile_one_block")
+def empirical_quantile_one_block(spark, folder):
+    """The same with the whole table as one block."""
+    orders = table(spark, folder, "orders").select("o_orderkey")
+    df = draws.empirical_quantile(
+        orders, "o_orderkey", "0", RNG.uniform("o_orderkey", "quantile"), "x", "exponential",
+        fitted_params(spark, folder, "exponential"), RNG,
+    )
+    return rounded(df, {"x": 6})
+
+
 @query("category_draw")
 def category_draw(spark, folder):
     """A tax rate per order, from the smoothed shares of the line items' rates."""
@@ -630,6 +641,23 @@ def generate_lineitem_fuzzed(spark, folder):
     return twin(spark, folder, "lineitem", [0.1], 3, LINEITEM_KEY, exact=True)
 
 
+# a law that can be drawn from, whose quantile function is left unsaid
+laws.register_family(
+    "laplace", None, {"loc": "mean", "scale": "std * sqrt(0.5D)"},
+    sampler=lambda uniform, p: f"{p['loc']} + {p['scale']} * (ln({uniform('a')}) - ln({uniform('b')}))",
+)
+
+
+@query("generate_sampled")
+def generate_sampled(spark, folder):
+    """Prices by a family that has a sampler only, read from one sorted sample for each level."""
+    source = table(spark, folder, "orders")
+    n = source.count()
+    model = fit_model(source, ["o_totalprice"], families={"o_totalprice": "laplace"}, rng=RNG)
+    made = generate(spark, model, n, [0.0, 0.1], rng=RNG, keep_id=True, block_rows=n, copula=False)
+    return rounded(made, {"o_totalprice": 3})
+
+
 def summary(made: DataFrame, groups: list[str], columns: list[str], digits: dict[str, int]) -> DataFrame:
     """Counts, means and deviations per group, for laws without a closed form."""
     measures = [F.count("*").alias("n_rows")]

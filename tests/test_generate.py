@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabweave import Rng, fit_model, generate, register_family
+from tabweave.sources.scratch import Workspace
 from tabweave.operators.dependence import correlation_factor
 from tabweave.operators.draws import draw
 from tabweave.operators.laws import FAMILIES
@@ -220,6 +221,38 @@ def test_named_and_registered_families(spark):
         FAMILIES.pop("twice")
 
 
+def test_family_with_a_sampler_only(spark):
+    """Sums of three uniforms, through the fit, the copula and blocks; scratch tables go at the end."""
+    register_family(
+        "three", None, {"loc": "min", "scale": "max - min"},
+        sampler=lambda u, p: f"{p['loc']} + {p['scale']} * ({u('a')} + {u('b')} + {u('c')}) / 3.0D")
+    try:
+        df = spark.range(1, 4001).selectExpr("double(id) / 4 as x", "id * 1.5D as y", "sqrt(id) as v")
+        model = fit_model(df, families={"x": "three", "v": "three"})
+        with Workspace(spark) as work:
+            made = generate(spark, model, 30_000, [0.0, 0.2], keep_id=True, block_rows=7000, keep=work.keep)
+            rows = made.toPandas()
+            other = generate(spark, model, ids=spark.range(30_000), in_levels=[0.0, 0.2], keep_id=True,
+                             block_rows=7000, num_partitions=3, keep=work.keep).toPandas()
+            path = spark._jvm.org.apache.hadoop.fs.Path(work.folder)
+            files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+            assert files.exists(path)
+        assert not files.exists(path)
+        key = ["in_level", "id"]
+        rows, other = (t.sort_values(key).reset_index(drop=True) for t in (rows, other))
+        assert rows.equals(other) and len(rows) == 60_000 and not rows.isna().any().any()
+        plain = rows[rows.in_level == 0.0]
+        assert plain.x.mean() == pytest.approx(500, rel=0.01)
+        assert plain.x.std() == pytest.approx(999.75 / 6, rel=0.02)  # sqrt(3 / 12) / 3 of the range
+        assert plain[["x", "y", "v"]].corr(method="spearman").min().min() > 0.99
+    finally:
+        FAMILIES.pop("three")
+    with pytest.raises(ValueError):
+        register_family("both", lambda d, p: "0D", {"loc": "min"}, sampler=lambda u, p: "0D")
+    with pytest.raises(ValueError):
+        register_family("neither", None, {"loc": "min"})
+
+
 def test_degrees_of_freedom_beyond_an_int(spark):
     """Epochs in milliseconds: chi-squared with 1.7e12 degrees of freedom."""
     df = spark.range(2000).selectExpr("1.7e12 + 1e6 * id as x")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.normal import normal_cdf, normal_quantile, quantile_parts
 from tabweave.functions.scores import ScorePolynomial, curve, z_limit
-from tabweave.operators.draws import draw, empirical_quantile, evaluate
+from tabweave.operators.draws import draw, empirical_quantile, evaluate, read_sorted
 
 import numpy as np
 
@@ -136,3 +136,32 @@ def test_empirical_quantile_by_brute_force(spark):
         pool = sorted([r["a"] for r in inside] + [r["b"] for r in inside])
         for r in inside:
             assert found[r["id"]] == pytest.approx(pool[int(r["p"] * (len(pool) - 1))])
+
+
+def test_sorted_samples_of_any_shape(spark):
+    """One block on almost all rows, ties, a block and percentiles that are null, many partitions."""
+    import numpy as np
+
+    block = "case when id % 50 = 0 then null when id % 10 = 1 then id div 300 else 7 end"
+    rows = spark.range(3000).selectExpr(
+        "id", f"{block} as block", "if(id % 90 = 3, null, pmod(id * 7919, 1000) / 1000.0D) as p")
+    pool = rows.selectExpr("explode(array(0, 1)) as copy", "*").selectExpr(
+        "struct(block as b) as __block", "id as __key",
+        "case when id % 3 = 0 then 5.0D when id % 400 = 1 then null else pmod(id * 31 + copy, 997) * 1.0D end as __x")
+    values, wanted = {}, []
+    for r in pool.collect():
+        values.setdefault(r["__block"]["b"], []).append(np.nan if r["__x"] is None else r["__x"])
+    for r in rows.collect():
+        own = np.sort(values[r["block"]])
+        x = None if r["p"] is None else own[int(np.floor(r["p"] * (len(own) - 1)))]
+        wanted.append((r["id"], None if x is None or np.isnan(x) else float(x)))
+    source = rows.selectExpr("*", "id as __key", "struct(block as b) as __block", "p as __p")
+    for parts, large in ((1, 10**9), (23, 10**9), (23, 100), (400, 1)):
+        found = read_sorted(source, pool, "x", parts=parts, large=large).select("id", "x")
+        assert sorted(map(tuple, found.collect())) == sorted(wanted)
+
+
+def test_sorted_sample_of_no_rows(spark):
+    empty = spark.range(0)
+    found = empirical_quantile(empty, "id", "0", "0.5D", "x", "uniform", {"loc": 0.0, "scale": 1.0})
+    assert found.columns == ["id", "x"] and found.count() == 0
