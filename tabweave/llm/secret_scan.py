@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -209,6 +211,19 @@ def neighbour_counts(texts: DataFrame) -> np.ndarray:
     return out.reshape(256, 256)
 
 
+class Cover:
+    """Tells whether one of some spans (start, kind, end) holds a stretch, by one binary search."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        ordered = sorted(spans)
+        self.starts = [s for s, _, _ in ordered]
+        self.reach = list(accumulate((e for _, _, e in ordered), max))  # the farthest end so far
+
+    def holds(self, start: int, end: int) -> bool:
+        before = bisect_right(self.starts, start)
+        return before > 0 and end <= self.reach[before - 1]
+
+
 FOUND = ("doc_id long, spans array<struct<start:bigint,kind:int,end:bigint>>, "
          "tokens array<struct<start:bigint,end:bigint,band:int,bin:int>>")
 
@@ -225,6 +240,7 @@ def _scan(texts: DataFrame, models: list[TextModel]) -> DataFrame:
         for a, b in zip(*runs(_HEX[flat], LEAST["hex"])):
             doc = int(np.searchsorted(begin, a, "right")) - 1
             spans[doc].append((int(a - begin[doc]), 2, int(b - begin[doc])))
+        covers = list(map(Cover, spans))
         tokens: list[list] = [[] for _ in rows]
         for a, b in zip(*runs(_TOKEN[flat], MIN_TOKEN)):
             doc = int(np.searchsorted(begin, a, "right")) - 1
@@ -232,7 +248,7 @@ def _scan(texts: DataFrame, models: list[TextModel]) -> DataFrame:
             padded = _PADDING.match(rows[doc], b)
             for c, d in tokens_of(rows[doc][a:b]):
                 c, d = a + c, a + d
-                if any(s <= c and d <= e for s, _, e in spans[doc]):
+                if covers[doc].holds(c, d):
                     continue
                 judged = judge(rows[doc][c:d], models)
                 if judged:

@@ -2,6 +2,7 @@
 
 import base64
 import re
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -34,6 +35,30 @@ def test_table(spark):
         assert base(r) == brute(texts[r.doc_id])
 
 
+STRETCH = st.tuples(st.integers(0, 30), st.integers(0, 12))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(STRETCH, max_size=8), st.lists(STRETCH, min_size=1, max_size=8))
+def test_stretches_inside_spans(spans, asked):
+    spans = [(a, k % 3, a + n) for k, (a, n) in enumerate(spans)]
+    cover = scan.Cover(spans)
+    for a, n in asked:
+        assert cover.holds(a, a + n) == any(s <= a and a + n <= e for s, _, e in spans)
+
+
+def test_many_spans_in_one_text(spark):
+    """Work grows with the text, not with the square of its spans: 10 MB of hashes."""
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 256, (160_000, 32), np.uint8)
+    text = "\n".join(bytes(h).hex() for h in hashes)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.monotonic()
+    spans = scan.find_secrets(docs).first().spans
+    assert time.monotonic() - began < 60
+    assert [tuple(s) for s in spans] == [(65 * i, 2, 65 * i + 64) for i in range(len(hashes))]
+
+
 PARTS = st.sampled_from(["password", "Token", "API_KEY", "apikey", "ſecret", "secret", ":", "=", " ", '"', "é",
                          "abcdef0123456789", "AKIA", "ABCD1234EFGH5678", "deadbeef", "x" * 12, "\n", "passwd"])
 
