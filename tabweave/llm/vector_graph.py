@@ -16,6 +16,8 @@ BLOCK = 4096            # vectors that a task indexes at a time; larger shards g
 OVERLAP = 3             # clusters that a vector belongs to
 SAMPLE = 20_000         # vectors that the centres of a split are fitted on, at most
 CHILDREN, LEVELS = 256, 4   # clusters of a split, and splits of splits, at most
+ROOTS = 1 << 29         # number of the first shard; above any vector's length, so that the numbers
+                        # of splits, multiples of it, do not meet, and that the last fits a long
 DEGREE, POOL, RANDOM = 20, 40, 12   # neighbours kept; nearest and random candidates
 ALPHA = 1.2             # how much shorter a detour must be to replace a neighbour
 BEAM = 24               # candidates of the greedy search
@@ -180,19 +182,17 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[
     """All rows with a key of their vector, and one unit vector for each key with copies.
 
     The first table is (vec_id, h1, h2), with null keys for vectors that link with
-    nothing: null, empty or zero, with null or non-finite components, or of another length than
-    most.  The second is (node, h1, h2, first, copies, unit).  Vectors are scaled by
-    their largest component first, so that squares neither overflow nor vanish.
+    nothing: null, empty or zero, or with null or non-finite components.  The second is
+    (node, h1, h2, first, copies, size, unit), where size is the number of components.
+    Vectors are scaled by their largest component first, so that squares neither overflow
+    nor vanish.
     """
     vector = vectors[vector_col].cast("array<double>")
     rows = vectors.select(F.coalesce(vectors[id_col].cast("long"), F.lit(NO_ID)).alias("vec_id"),
                           vector.alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     largest = F.aggregate("vector", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
-    rows = rows.withColumn("size", F.when(finite & (largest > 0), F.size("vector")))
-    usual = rows.where("size is not null").groupBy("size").count().orderBy(
-        F.desc("count"), "size").limit(1).collect()
-    good = F.col("size") == (usual[0]["size"] if usual else -1)
+    good = finite & (largest > 0)
     keyed = park(rows.select(
         "vec_id", F.when(good, F.col("vector")).alias("vector"),
         F.when(good, F.xxhash64("vector")).alias("h1"),
@@ -204,7 +204,8 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     nodes = park(
         distinct.withColumn("vector", scaled).withColumn("norm", norm)
-        .select("h1", "h2", "first", "copies", F.transform("vector", lambda x: x / F.col("norm")).alias("unit"))
+        .select("h1", "h2", "first", "copies", F.size("vector").alias("size"),
+                F.transform("vector", lambda x: x / F.col("norm")).alias("unit"))
         .withColumn("node", F.monotonically_increasing_id()), "nodes")
     return keyed.drop("vector"), nodes
 
@@ -212,11 +213,10 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[
 def overlapping_shards(nodes: DataFrame) -> DataFrame:
     """(node, unit, copies, shard): each vector in its OVERLAP nearest clusters.
 
-    Clusters of more than BLOCK vectors are split again, on centres fitted on a bounded
+    Vectors of each length start as a shard of their own, and lengths never meet.  Clusters of more than BLOCK vectors are split again, on centres fitted on a bounded
     sample of their own; what is still larger after LEVELS splits is searched in blocks.
     """
-    # All in shard 0 at first; not as a literal, which would leave the joins without a key.
-    start = F.when(F.col("copies") > 0, F.lit(0).cast("long"))
+    start = F.col("size").cast("long") + ROOTS
     members = nodes.select("node", "unit", "copies", start.alias("shard"))
     settled = None
     for level in range(LEVELS):
@@ -382,8 +382,8 @@ def near_duplicates(
 
     Links have a cosine at or above the bound, checked in double precision.  Copies of a
     vector are one node of the index and count one by one.  The index is approximate; its
-    recall is ``audit``'s.  Vectors that are null, zero, not finite or of an unusual
-    length link with nothing.  A component's id is its smallest vec_id; a row without an
+    recall is ``audit``'s.  Vectors that are null, zero or not finite link with nothing,
+    and vectors link with those of their length only.  A component's id is its smallest vec_id; a row without an
     id gets a null one if nothing there has an id, and is kept then.  A repeated row
     counts as another vector.  All rows come back.
     """
@@ -413,12 +413,12 @@ def exact_links(vectors: DataFrame, id_col: str, vector_col: str, cosine: float,
     """
     keyed, nodes = distinct_vectors(vectors, id_col, vector_col)
     asked = park(keyed.where((F.col("vec_id") != NO_ID) & (F.pmod("vec_id", F.lit(every)) == 0)).join(
-        nodes.select("h1", "h2", "node", "unit"), ["h1", "h2"]).select("vec_id", "node", "unit"), "asked")
+        nodes.select("h1", "h2", "node", "size", "unit"), ["h1", "h2"]).select("vec_id", "node", "size", "unit"), "asked")
     n = nodes.count()
     parts = max(1, -(-n // BLOCK)), max(1, -(-n // every // BLOCK))
-    rows = nodes.select(F.pmod("node", F.lit(parts[0])).alias("part"), "unit", "copies").withColumn(
+    rows = nodes.select(F.pmod("node", F.lit(parts[0])).alias("part"), "size", "unit", "copies").withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.lit(parts[1] - 1))))
-    asks = asked.select("vec_id", "unit", F.pmod("node", F.lit(parts[1])).cast("int").alias("block")).withColumn(
+    asks = asked.select("vec_id", "size", "unit", F.pmod("node", F.lit(parts[1])).cast("int").alias("block")).withColumn(
         "part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts[0] - 1).cast("long"))))
 
     def count(asks: pa.Table, rows: pa.Table) -> pa.Table:
@@ -427,7 +427,8 @@ def exact_links(vectors: DataFrame, id_col: str, vector_col: str, cosine: float,
         like = _units(_one(asks, "unit")) @ _units(_one(rows, "unit")).T >= cosine
         return pa.table({"vec_id": asks["vec_id"], "n": like @ _one(rows, "copies").to_numpy()})
 
-    met = asks.groupBy("part", "block").cogroup(rows.groupBy("part", "block")).applyInArrow(
+    group = "size", "part", "block"
+    met = asks.groupBy(*group).cogroup(rows.groupBy(*group)).applyInArrow(
         count, "vec_id long, n long")
     return met.groupBy("vec_id").agg((F.sum("n") - 1).alias("exact"))
 

@@ -68,9 +68,35 @@ def test_index(spark, monkeypatch, block):
 
 
 def test_table_recall(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    """The given vectors, none of which are near each other, and jittered copies of them."""
+    plain = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("vec_id", "embedding")
+    jitter = F.expr("""transform(embedding, (x, i) -> x * (0.8D + 0.4D *
+        (pmod(xxhash64(vec_id, copy, i), 1000) / 1000.0D)))""")
+    near = plain.withColumn("copy", F.explode(F.expr("sequence(1, if(vec_id % 100 = 7, 40, 2))")))
+    df = plain.union(near.select(F.expr("vec_id * 100 + copy + 1000000"), jitter))
     ours, truth, recall = graph.audit(df, graph.near_duplicates(df), every=1)
-    assert truth > 0 and recall >= 0.9
+    assert truth > 10_000 and recall >= 0.9
+
+
+@pytest.mark.parametrize("block", [4096, 100])
+def test_lengths_are_groups_of_their_own(spark, monkeypatch, block):
+    monkeypatch.setattr(graph, "BLOCK", block)
+    monkeypatch.setattr(graph, "SHARD", min(700, block // 2))
+    few = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.0])],
+        "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in graph.near_duplicates(few).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 1, 4), (5, 1, 4)]
+    rng = np.random.default_rng(5)
+    parts = [(np.arange(300) * 2 + k, clustered(rng, 300, dims)) for k, dims in ((0, 16), (1, 12))]
+    df = table(spark, *parts[0]).union(table(spark, *parts[1]))
+    found = graph.near_duplicates(df).cache()
+    rows = {r.vec_id: r for r in found.collect()}
+    expected = {i: v for ids, vectors in parts for i, v in brute(ids.tolist(), vectors).items()}
+    assert rows.keys() == expected.keys()
+    assert np.mean([rows[i].component_id == c for i, (_, c) in expected.items()]) >= 0.98
+    ours, truth, recall = graph.audit(df, found, every=1)
+    assert truth == sum(n for n, _ in expected.values()) and recall >= 0.95
 
 
 def test_odd_rows(spark):
