@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from tabweave.functions.text import Sql, double
 from tabweave.operators.profile import named, tall
 
 SMOOTHING = 0.01  # fixed value: added to every category share
+WRITTEN_OUT = 32  # categories up to which a draw is a CASE expression, which is compiled
 
 
 def category_frequencies(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -39,7 +41,7 @@ def smooth(frequencies: DataFrame, epsilon: float = SMOOTHING) -> DataFrame:
 
 
 def cumulate(smoothed: DataFrame) -> DataFrame:
-    """Add ``cum``, the running share by value; at most ten rows per column."""
+    """Add ``cum``, the running share by value; a column has at most ``discrete_max`` rows."""
     order = Window.partitionBy("col_name").orderBy("value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -49,12 +51,32 @@ def cumulate(smoothed: DataFrame) -> DataFrame:
 def draw_category(u: Sql, categories: list[tuple[float, float]]) -> Sql:
     """Pick a value by inverse CDF; ``categories`` is [(value, cumulative share)].
 
-    The last category takes whatever rounding leaves above its running share.
+    The last category takes whatever rounding leaves above its running share.  Beyond
+    WRITTEN_OUT categories the running shares are arrays of the plan, with a guide that
+    tells where each of n equal slices of (0, 1) begins among them: a draw compares with the
+    shares in its slice, which are one or two on average however they are spread.
     """
     if not categories:
         return "cast(null as double)"
     *head, (last, _) = categories
     if not head:
         return double(last)
-    cases = " ".join(f"when {u} < {double(cum)} then {double(v)}" for v, cum in head)
-    return f"case {cases} else {double(last)} end"
+    if len(categories) <= WRITTEN_OUT:
+        cases = " ".join(f"when {u} < {double(cum)} then {double(v)}" for v, cum in head)
+        return f"case {cases} else {double(last)} end"
+    n, shares = len(categories), np.maximum.accumulate([cum for _, cum in head])
+    slices = np.arange(n)
+    # a little wider than the slices, so that rounding of u * n does not matter
+    first = np.searchsorted(shares, (slices - 0.001) / n, "right")
+    inside = np.searchsorted(shares, (slices + 1.001) / n, "right") - first
+    at = f"cast(least(floor(v * {double(n)}), {n - 1}L) as int)"
+    own = f"slice({_array(shares)}, 1 + get({_array(first)}, {at}), get({_array(inside)}, {at}))"
+    index = f"get({_array(first)}, {at}) + size(filter({own}, c -> c <= v))"
+    values = _array(np.array([float(v) for v, _ in categories]))
+    return f"get(transform(array({u}), v -> get({values}, {index})), 0)"
+
+
+def _array(numbers: np.ndarray) -> Sql:
+    """An array literal of ints or doubles."""
+    write = double if numbers.dtype.kind == "f" else str
+    return f"array({', '.join(write(x) for x in numbers.tolist())})"

@@ -447,9 +447,10 @@ for _name, _block in (("", "o_orderkey // 1000"), ("_one_block", "0")):
     wanted AS (SELECT o_orderkey, block, floor({uniform('quantile', 'o_orderkey')}
       * (2 * count(*) OVER (PARTITION BY block) - 1))::BIGINT AS spot FROM keys)
     SELECT o_orderkey, {rnd('x', 6)} AS x FROM wanted JOIN pool USING (block, spot)"""
-SQL["category_draw"] = f"""WITH shares AS MATERIALIZED ({cumulated('lineitem', 'l_tax')}),
-    ids AS (SELECT o_orderkey, {uniform('l_tax/category', 'o_orderkey')} AS u FROM orders)
-    SELECT o_orderkey, coalesce(min(value), (SELECT max(value) FROM shares)) AS l_tax
+for _name, _col in (("category_draw", "l_tax"), ("category_draw_many", "l_suppkey")):
+    SQL[_name] = f"""WITH shares AS MATERIALIZED ({cumulated('lineitem', _col)}),
+    ids AS (SELECT o_orderkey, {uniform(f'{_col}/category', 'o_orderkey')} AS u FROM orders)
+    SELECT o_orderkey, coalesce(min(value), (SELECT max(value) FROM shares))::DOUBLE AS {_col}
     FROM ids LEFT JOIN shares ON u < cum GROUP BY o_orderkey"""
 SQL["zero_injection"] = f"""SELECT o_orderkey, CASE WHEN zero_ratio > 0.01
       AND {uniform('price/zero', 'o_orderkey')} < zero_ratio THEN 0 ELSE o_totalprice END AS price

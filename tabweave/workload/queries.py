@@ -531,17 +531,28 @@ def empirical_quantile_one_block(spark, folder):
     return rounded(df, {"x": 6})
 
 
-@query("category_draw")
-def category_draw(spark, folder):
-    """A tax rate per order, from the smoothed shares of the line items' rates."""
-    shares = cumulate(smooth(category_frequencies(table(spark, folder, "lineitem"), ["l_tax"])))
+def category_per_order(spark, folder, column: str) -> DataFrame:
+    """A value per order, from the smoothed shares of the line items' values."""
+    shares = cumulate(smooth(category_frequencies(table(spark, folder, "lineitem"), [column])))
     found = [(r["value"], r["cum"]) for r in shares.orderBy("value").collect()]
-    u = RNG.uniform("o_orderkey", "l_tax/category")
+    u = RNG.uniform("o_orderkey", f"{column}/category")
     return table(spark, folder, "orders").selectExpr(
-        "o_orderkey", f"{draw_category(u, found)} as l_tax"
+        "o_orderkey", f"{draw_category(u, found)} as {column}"
     )
 
 
+@query("category_draw")
+def category_draw(spark, folder):
+    """A tax rate per order: nine categories, written out."""
+    return category_per_order(spark, folder, "l_tax")
+
+
+@query("category_draw_many")
+def category_draw_many(spark, folder):
+    """A supplier per order: a hundred categories at scale 0.01, read from arrays with a guide."""
+    return category_per_order(spark, folder, "l_suppkey")
+
+
 @query("zero_injection")
 def zero_injection(spark, folder):
     ratio = profile(table(spark, folder, "lineitem"), ["l_discount"]).first()["zero_ratio"]

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabweave import Rng, fit_model, generate, register_family
+from tabweave.operators.frequencies import draw_category
 from tabweave.sources.scratch import Workspace
 from tabweave.operators.dependence import correlation_factor
 from tabweave.operators.draws import draw
@@ -221,6 +222,35 @@ def test_named_and_registered_families(spark):
         FAMILIES.pop("twice")
 
 
+def test_many_categories(spark):
+    """The array form gives what a search among the running shares gives, however they are spread."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for n, power in ((33, 0), (1000, 3), (10_000, 12)):
+        weights = rng.random(n) ** power + 1e-12
+        cum = np.cumsum(weights / weights.sum())
+        points = np.concatenate([[1e-16, 1 - 2.0 ** -53], cum[:-1], np.arange(1, n) / n, rng.random(2000)])
+        rows = spark.createDataFrame([(float(u),) for u in points if 0 < u < 1], "u double")
+        expression = draw_category("u", list(zip((np.arange(n) * 2.0).tolist(), cum.tolist())))
+        found = rows.selectExpr("u", f"{expression} as x").toPandas()
+        assert (found.x == 2.0 * np.searchsorted(cum[:-1], found.u, "right")).all()
+
+
+def test_table_with_many_categories(spark):
+    """A plan of as many operators whatever the categories are, and shares as fitted."""
+    df = spark.range(30_000).selectExpr("double(floor(sqrt(id % 40000))) as x", "id * 0.5D as y")
+    model = fit_model(df, discrete_max=10_000)
+    made = generate(spark, model, 60_000)
+    assert list(model.categories) == ["x"] and len(model.categories["x"]) == 174
+    assert made.select("x").distinct().count() > 165
+    below, mean = 0.0, 0.0
+    for value, cum in model.categories["x"]:  # smoothed shares
+        below, mean = cum, mean + value * (cum - below)
+    assert made.agg(F.avg("x")).first()[0] == pytest.approx(mean, rel=0.01)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_family_with_a_sampler_only(spark):
     """Sums of three uniforms, through the fit, the copula and blocks; scratch tables go at the end."""
     register_family(
