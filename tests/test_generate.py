@@ -238,7 +238,7 @@ def test_many_categories(spark):
 
 
 def test_table_with_many_categories(spark):
-    """A plan of as many operators whatever the categories are, and shares as fitted."""
+    """174 categories from the fit to the rows: the smoothed shares, and no shuffle."""
     df = spark.range(30_000).selectExpr("double(floor(sqrt(id % 40000))) as x", "id * 0.5D as y")
     model = fit_model(df, discrete_max=10_000)
     made = generate(spark, model, 60_000)
