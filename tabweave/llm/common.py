@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,25 @@ def park(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a query go when it has ended.
+
+    Otherwise they go when the JVM collects garbage, and the rounds of an iteration add up.
+    What later rounds read has to be parked.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def binary_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a binary column without nulls, end to end, and n + 1 offsets."""
     column = column.cast(pa.large_binary())

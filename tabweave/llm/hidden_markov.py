@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.llm.common import by_slices, drop_at_exit, fold, identified, park, utf8
+from tabweave.llm.common import by_slices, drop_at_exit, fold, identified, park, shuffles_removed, utf8
 from tabweave.sources.scratch import fresh_path
 
 END = b" "              # no word: words hold no white space
@@ -388,10 +388,11 @@ def train(training: DataFrame, tokens: list[bytes], counts: np.ndarray, states:
     model, done, before = Model(np.full(states, 1 / states), stay, emit / total), 0, -np.inf
     while True:
         found, rest = _expected(training, model, rest)
+        if not np.isfinite(found.likelihood):
+            raise ArithmeticError(f"the log-likelihood of round {done + 1} is {found.likelihood}")
         if not found.start.sum():  # no training rows
             return model, rest
         model = found.model(shares, rest)
-        training.sparkSession._jvm.System.gc()  # lets Spark's cleaner delete the shuffles of past rounds
         done += 1
         if done >= START_ROUNDS + rounds and found.likelihood - before < SETTLED * abs(found.likelihood):
             return model, rest
@@ -434,8 +435,9 @@ def score_documents(
     if tail_symbols:  # the words that workers hold are all that occur so often
         further = counts.where(F.col("token") != END)
         further = further.where(F.col("c") < words[-1][1]) if words else further
-    model, rest = train(coded.where("not held_out"), [w for w, _ in words[:symbols]] + [b"", END], smoothed,
-                        states, rounds, further)
+    with shuffles_removed(docs.sparkSession):
+        model, rest = train(coded.where("not held_out"), [w for w, _ in words[:symbols]] + [b"", END], smoothed,
+                            states, rounds, further)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
