@@ -189,7 +189,11 @@ def with_positives(
         moments = moments.join(F.broadcast(distinct_counts(df, rest)), "col_name", "left")
     else:
         moments = moments.withColumn("unique_count", F.lit(None).cast("bigint"))
-    unique = f"coalesce({counts}, 0L)"
+    return statistics_of(moments, f"coalesce({counts}, 0L)", bias, discrete_max)
+
+
+def statistics_of(moments: DataFrame, unique: Sql, bias: str, discrete_max: int) -> DataFrame:
+    """Profile rows, with moments of the positive values, from rows of MEASURES."""
     skew, kurt, std_pos = "skew_pop", "kurt_pop", "std_pos"
     if bias == "sample":
         skew, kurt = _bias_corrected()

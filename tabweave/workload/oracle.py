@@ -126,6 +126,8 @@ SQL["profile_sample_bias"] = show_profile([statistics("orders", c, True) for c i
 SQL["profile_flags"] = show_profile(
     [statistics("lineitem", c) for c in NUMERIC["lineitem"]], drop=("unique_count",)
 )
+SQL["profile_merged"] = f"""SELECT * EXCLUDE (unique_count), least(unique_count, 11) AS distinct_up_to_11,
+    (SELECT count(*) FROM lineitem) AS n_rows FROM ({SQL["profile_lineitem"]})"""
 SQL["numeric_columns"] = union(
     f"SELECT {i}::INTEGER AS position, '{c}' AS col_name, count({c}) AS non_null FROM lineitem"
     for i, c in enumerate(NUMERIC["lineitem"])
@@ -245,6 +247,7 @@ def show_laws(parts) -> str:
 
 
 SQL["choose_family"] = show_laws(chosen(t, c) for t, cols in NUMERIC.items() for c in cols)
+SQL["choose_family_merged"] = show_laws(chosen(t, c) for t in ("orders", "customer") for c in NUMERIC[t])
 
 _u = {t: uniform(f"derived/{t}", "o_orderkey") for t in "abcdefghqs"}
 

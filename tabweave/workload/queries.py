@@ -27,13 +27,14 @@ from tabweave.operators.dependence import (
 from tabweave.operators.frequencies import category_frequencies, cumulate, draw_category, smooth
 from tabweave.operators.profile import numeric_columns, per_column, profile, tall, with_positives
 from tabweave.operators.sample import bounded_sample
+from tabweave.operators.states import merge_states, moment_states, profile_of_states, store_state, stored_states
 from tabweave.operators.uncertainty import MODES, factor, fallback_normal, widen
 from tabweave.plans import runs
 from tabweave.plans.files import write_levels
 from tabweave.plans.generate import generate
 from tabweave.plans.model import fit_model
 from tabweave.sources.csv import read_csv, read_sweep, write_sweep
-from tabweave.sources.scratch import fresh_path, freeze
+from tabweave.sources.scratch import Workspace, fresh_path, freeze
 
 RNG = Rng(seed=42, portable=True)
 LINEITEM_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -161,6 +162,41 @@ def profile_flags(spark, folder):
     return profiled(table(spark, folder, "lineitem"), distinct="approximate").drop("unique_count")
 
 
+def merged_parts(spark, df: DataFrame, part: Sql, cols: list[str]) -> DataFrame:
+    """The profile of a table that arrived in three parts, from their stored states alone."""
+    with Workspace(spark) as work:
+        for i in range(3):
+            arrived = df.where(f"coalesce(pmod({part}, 3), 0) = {i}")
+            store_state(moment_states(arrived, cols), work.folder, str(i))
+        # a row per column
+        return freeze(profile_of_states(merge_states(stored_states(spark, work.folder))), len(cols))
+
+
+@query("profile_merged")
+def profile_merged(spark, folder):
+    """Lines arrive in parts by line number, so that its values differ from part to part."""
+    lines = table(spark, folder, "lineitem")
+    found = merged_parts(spark, lines, "l_linenumber div 2", numeric_columns(lines))
+    shown = found.select(
+        "col_name", *STATISTICS, *SHAPE_STATISTICS, "is_binary",
+        F.expr("least(unique_count, 11L)").alias("distinct_up_to_11"), "n_rows")
+    return rounded(shown, dict.fromkeys(STATISTICS, 4) | dict.fromkeys(SHAPE_STATISTICS, 6))
+
+
+@query("choose_family_merged")
+def choose_family_merged(spark, folder):
+    """Families chosen from the stored states of orders and customers, without their rows."""
+    found = None
+    for name, part in (("orders", "o_orderkey"), ("customer", "c_nationkey")):
+        df = table(spark, folder, name)
+        stats = merged_parts(spark, df, part, numeric_columns(df))
+        positives = stats.selectExpr(
+            "col_name", "n_pos as n", "avg_pos as mean", "std_pos as std", "min_pos as min", "max_pos as max")
+        part = laws.choose_laws(stats, positives).drop("position")
+        found = part if found is None else found.unionByName(part)
+    return shown_laws(found)
+
+
 @query("positive_moments")
 def positive_moments(spark, folder):
     """Moments of the positive values; c_acctbal has negative ones."""
