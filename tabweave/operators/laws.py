@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.functions import quantiles as Q
+from tabweave.functions.densities import Inversion, LogDensity, invert
 from tabweave.functions.repair import positive
 from tabweave.functions.text import Sql, string
 from tabweave.operators.profile import per_column
@@ -90,6 +91,22 @@ def register_family(
     FAMILIES[name] = Family(name, fit, quantile, "u" if sampler else uses, sampler=sampler)
 
 
+def register_density(
+    name: str, log_density: LogDensity, fit: dict[str, Sql], support: str = "real", tolerance: float = 1e-7,
+) -> Inversion:
+    """Add a family of which only the density is known: values are loc + scale * x.
+
+    ``log_density`` is the logarithm of x's density, up to a constant, over a numpy array;
+    ``fit`` gives ``scale`` and, if the family moves, ``loc``.  The curve is inverted here,
+    once; the result tells its error.  Percentiles are clipped to [1e-6, 1 - 1e-6].
+    """
+    if not {"scale"} <= set(fit) <= {"loc", "scale"}:
+        raise ValueError("the fit of a density gives 'scale' and perhaps 'loc'")
+    curve = invert(log_density, support, tolerance=tolerance)
+    register_family(name, lambda draw, p: f"{p.get('loc', '0.0D')} + {p['scale']} * {curve.value(draw.z)}", fit, "z")
+    return curve
+
+
 _SPAN = {"loc": "min", "scale": "max - min"}
 _WHOLE_MEAN = "greatest(cast(mean as bigint), 1L)"
 

@@ -704,6 +704,14 @@ SQL["generate_sampled"] = f"""WITH law AS (SELECT avg(o_totalprice) AS loc,
     wanted AS (SELECT id, in_level, floor({between(uniform('o_totalprice/u', 'id'), d(0.001), d(0.999))}
       * (2 * n - 1))::BIGINT AS spot FROM ids, law)
     SELECT id, in_level, {rnd('x', 3)} AS o_totalprice FROM wanted JOIN pool USING (in_level, spot)"""
+SQL["generate_density"] = f"""WITH law AS (SELECT avg(o_totalprice) AS loc, count(*) AS n, min(o_totalprice) AS low,
+      max(o_totalprice) AS high, stddev_pop(o_totalprice) * sqrt(3::DOUBLE) / pi() AS scale FROM orders),
+    ids AS (SELECT range AS id, range // {BLOCK} AS block, in_level
+      FROM range((SELECT n FROM law)), (VALUES ({d(0.0)}), ({d(0.1)})) levels(in_level)),
+    drawn AS (SELECT id, in_level, {factor('o_totalprice/g', 'block', 'in_level')} AS g,
+      {between(uniform('o_totalprice/u', 'id'), d(0.001), d(0.999))} AS u FROM ids)
+    SELECT id, in_level, {rnd('least(greatest(loc * g + greatest(scale * g, 1e-6) * ln(u / (1 - u)),'
+                              ' low * 0.9::DOUBLE), high * 1.1::DOUBLE)', 1)} AS o_totalprice FROM drawn, law"""
 SQL["csv_sweep_roundtrip"] = f"""SELECT in_level, count(*) AS n_rows,
     {', '.join(f"{rnd(f'avg({c})', 3)} AS avg_{c}" for c in NUMERIC['customer'])}
     FROM ({generated(*CUSTOMER, LEVELS, digits=None)}) GROUP BY in_level"""

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -755,6 +756,22 @@ def generate_skewed(spark, folder):
     return rounded(made, dict.fromkeys(SKEWED, 4))
 
 
+laws.register_density(
+    "logistic", lambda x: -np.abs(x) - 2.0 * np.log1p(np.exp(-np.abs(x))),
+    {"loc": "mean", "scale": f"std * {double(3.0 ** 0.5 / np.pi)}"},
+)
+
+
+@query("generate_density")
+def generate_density(spark, folder):
+    """Prices by a family known by its density alone, fitted, moved by level, and drawn."""
+    source = table(spark, folder, "orders")
+    model = fit_model(source, ["o_totalprice"], families={"o_totalprice": "logistic"})
+    made = generate(
+        spark, model, source.count(), [0.0, 0.1], rng=RNG, keep_id=True, block_rows=BLOCK, copula=False)
+    return rounded(made, {"o_totalprice": 1})
+
+
 # --- run logs ----------------------------------------------------------------
 
 def timed_runs(spark, folder) -> DataFrame:
