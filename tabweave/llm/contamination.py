@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,9 +102,8 @@ FOUND = ("n_words long, hit_starts array<long>, hit_ends array<long>, items arra
          "char_starts array<long>, char_ends array<long>")
 
 
-def _scan(text: Column, items: list[tuple[str, bytes]], window: int, docs: DataFrame) -> Column:
-    """Occurrences in a column of UTF-8 texts, as a struct of FOUND."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def _scan(text: Column, shared: Broadcast, window: int) -> Column:
+    """Occurrences of broadcast items in a column of UTF-8 texts, as a struct of FOUND."""
     key = uuid.uuid4().hex
     long, longs = pa.int64(), pa.list_(pa.int64())
     kinds = pa.struct([
@@ -128,11 +129,13 @@ def _scan(text: Column, items: list[tuple[str, bytes]], window: int, docs: DataF
 
 def _groups(
     items: DataFrame, item_col: str, item_text_col: str, max_chars: int
-) -> list[list[tuple[str, bytes]]]:
-    """Items in groups of bounded text, each small enough for one automaton.
+) -> tuple[int, Iterator[Broadcast]]:
+    """How many groups of bounded text the items make, and the groups, broadcast one at a time.
 
-    A test set within the bound is one group.  A larger one is dealt by a hash of its
-    items into as many groups as it takes, and each is scanned for in turn.
+    Each is small enough for one automaton.  A test set within the bound is one group.  A
+    larger one is dealt by a hash of its items into as many groups as it takes, and parked
+    by group.  The driver holds one group; the broadcast of a group is released when the
+    next is asked for, so its scan must have been parked by then.  The last one stays.
     """
     known = items.select(
         F.coalesce(items[item_col].cast("string"), F.lit("")).alias("item"),
@@ -140,11 +143,20 @@ def _groups(
     ).where(F.length("text") > 0)
     total = known.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total * 2 // max_chars) if total > max_chars else 1
-    return [
-        [(r.item, bytes(r.text)) for r in
-         known.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == group).collect()]
-        for group in range(n)
-    ]
+    if n > 1:
+        group = F.pmod(F.xxhash64("item", "text"), F.lit(n))
+        known = park(known.withColumn("group", group).repartition("group").sortWithinPartitions("group"), "items")
+    context = items.sparkSession.sparkContext
+
+    def each() -> Iterator[Broadcast]:
+        for group in range(n):
+            part = known.where(F.col("group") == group) if n > 1 else known
+            shared = context.broadcast([(r.item, bytes(r.text)) for r in part.select("item", "text").collect()])
+            yield shared
+            if group < n - 1:
+                shared.destroy()
+
+    return n, each()
 
 
 def scan_documents(
@@ -165,9 +177,9 @@ def scan_documents(
     scanned for group by group and the occurrences are united.
     """
     texts = identified(docs, id_col, text_col).select("doc_id", utf8(F.col("text")).alias("text"))
-    groups = _groups(items, item_col, item_text_col, max_chars)
-    if len(groups) == 1:
-        found = texts.select("doc_id", _scan(F.col("text"), groups[0], window, docs).alias("f"))
+    n, groups = _groups(items, item_col, item_text_col, max_chars)
+    if n == 1:
+        found = texts.select("doc_id", _scan(F.col("text"), next(groups), window).alias("f"))
         found = found.select("doc_id", "f.*")
     else:
         found = _united(texts, groups, window)
@@ -177,11 +189,11 @@ def scan_documents(
     return found.withColumn("n_hit", hit)
 
 
-def _united(texts: DataFrame, groups: list, window: int) -> DataFrame:
+def _united(texts: DataFrame, groups: Iterator[Broadcast], window: int) -> DataFrame:
     """One scan of parked rows for each group of items; the occurrences of a row united."""
     rows = park(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
     scans = [
-        park(rows.select("row", "doc_id", _scan(F.col("text"), group, window, texts).alias("f"))
+        park(rows.select("row", "doc_id", _scan(F.col("text"), group, window).alias("f"))
              .select("row", "doc_id", "f.*"), "scan")
         for group in groups
     ]
@@ -218,9 +230,9 @@ def drop_contaminated(
     window: int = WINDOW, max_chars: int = MAX_CHARS,
 ) -> DataFrame:
     """The rows in whose text no window of any item occurs; all columns stay."""
-    groups = _groups(items, item_col, item_text_col, max_chars)
-    for n, group in enumerate(groups):
-        docs = docs.where(F.size(_scan(utf8(F.col(text_col)), group, window, docs)["items"]) == 0)
-        if n < len(groups) - 1:  # one automaton in memory at a time
+    n, groups = _groups(items, item_col, item_text_col, max_chars)
+    for nth, group in enumerate(groups, 1):
+        docs = docs.where(F.size(_scan(utf8(F.col(text_col)), group, window)["items"]) == 0)
+        if nth < n:  # one automaton in memory at a time
             docs = park(docs, "clean")
     return docs

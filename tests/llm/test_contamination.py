@@ -5,6 +5,7 @@ import re
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from tabweave.llm import contamination
 from tabweave.llm.contamination import Scanner, drop_contaminated, merged, scan_documents, word_spans
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -73,3 +74,18 @@ def test_large_test_sets_are_scanned_in_groups(spark):
     assert sorted(map(str, whole.collect())) == sorted(
         map(str, parts.select(whole.columns).collect()))
     assert drop_contaminated(docs, items, window=3, max_chars=20).count() == 3
+
+
+def test_the_driver_holds_one_group_at_a_time(spark):
+    items = spark.createDataFrame([(i, f"item {i} has words of its own") for i in range(200)],
+                                  "item_id long, text string")
+    n, groups = contamination._groups(items, "item_id", "text", 400)
+    assert n > 20
+    seen, before = [], None
+    for group in groups:
+        assert before is None or not before._jbroadcast.isValid()  # released
+        assert sum(len(text) for _, text in group.value) < 2000
+        seen += [item for item, _ in group.value]
+        before = group
+    assert sorted(seen, key=int) == [str(i) for i in range(200)]
+    assert before.value is not None  # the last scan need not have run yet
