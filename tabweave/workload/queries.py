@@ -35,7 +35,7 @@ from tabweave.plans.files import write_levels
 from tabweave.plans.generate import generate
 from tabweave.plans.model import fit_model
 from tabweave.sources.csv import read_csv, read_sweep, write_sweep
-from tabweave.sources.scratch import Workspace, fresh_path, freeze
+from tabweave.sources.scratch import Workspace, freeze
 
 RNG = Rng(seed=42, portable=True)
 LINEITEM_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -44,6 +44,7 @@ LINEITEM_MODELLED = [
 ]
 SWEEP = (0.0, 0.05, 0.1, 0.2, 0.3)  # fixed values: default indeterminacy levels
 BLOCK = 100                         # rows per block in the fuzz queries
+GROUPS = 1000                       # rows of a summary whose files go before it is returned, at most
 STATISTICS = ("mean", "std", "mean_nonzero", "std_nonzero", "min", "max")
 SHAPE_STATISTICS = ("skewness", "kurtosis", "zero_ratio")
 
@@ -75,51 +76,54 @@ def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
 @query("csv_roundtrip")
 def csv_roundtrip(spark, folder):
     """Write a table as CSV to the shared folder and read it with inferred types."""
-    path = fresh_path(spark, "orders-csv")
-    table(spark, folder, "orders").write.option("header", True).csv(path)
-    back = read_csv(spark, path)
-    types = F.lit(",".join(kind for _, kind in back.dtypes))
-    return rounded(
-        back.groupBy("o_orderstatus").agg(
-            F.count("*").alias("n_rows"),
-            F.max("o_orderkey").cast("bigint").alias("max_key"),
-            F.sum("o_totalprice").alias("total"),
-            F.max(F.year("o_orderdate")).cast("bigint").alias("last_year"),
-        ).withColumn("types", types),
-        {"total": 2},
-    )
+    with Workspace(spark) as work:
+        path = f"{work.folder}/orders-csv"
+        table(spark, folder, "orders").write.option("header", True).csv(path)
+        back = read_csv(spark, path)
+        types = F.lit(",".join(kind for _, kind in back.dtypes))
+        return freeze(rounded(
+            back.groupBy("o_orderstatus").agg(
+                F.count("*").alias("n_rows"),
+                F.max("o_orderkey").cast("bigint").alias("max_key"),
+                F.sum("o_totalprice").alias("total"),
+                F.max(F.year("o_orderdate")).cast("bigint").alias("last_year"),
+            ).withColumn("types", types),
+            {"total": 2},
+        ), GROUPS)
 
 
 @query("csv_sweep_roundtrip")
 def csv_sweep_roundtrip(spark, folder):
     """Generate a sweep, write it partitioned by level, read one level per folder."""
     source = table(spark, folder, "customer")
-    path = fresh_path(spark, "customer-sweep")
-    model = fit_model(source, key_cols=["c_custkey"], rng=RNG)
-    write_sweep(generate(spark, model, source.count(), SWEEP, rng=RNG, block_rows=BLOCK), path)
-    back = read_sweep(
-        spark, path, "c_custkey double, c_nationkey double, c_acctbal double, in_level double"
-    )
-    columns = ("c_custkey", "c_nationkey", "c_acctbal")
-    return rounded(
-        back.groupBy("in_level").agg(
-            F.count("*").alias("n_rows"), *(F.avg(c).alias(f"avg_{c}") for c in columns)
-        ),
-        {f"avg_{c}": 3 for c in columns},
-    )
+    with Workspace(spark) as work:
+        path = f"{work.folder}/customer-sweep"
+        model = fit_model(source, key_cols=["c_custkey"], rng=RNG)
+        write_sweep(generate(spark, model, source.count(), SWEEP, rng=RNG, block_rows=BLOCK), path)
+        back = read_sweep(
+            spark, path, "c_custkey double, c_nationkey double, c_acctbal double, in_level double"
+        )
+        columns = ("c_custkey", "c_nationkey", "c_acctbal")
+        return freeze(rounded(
+            back.groupBy("in_level").agg(
+                F.count("*").alias("n_rows"), *(F.avg(c).alias(f"avg_{c}") for c in columns)
+            ),
+            {f"avg_{c}": 3 for c in columns},
+        ), GROUPS)
 
 
 @query("generate_files")
 def generate_files(spark, folder):
     """Read, fit, generate, write a data set for each level, and log it; rows as read back."""
     source = table(spark, folder, "customer")
-    path = fresh_path(spark, "customer-files")
-    model = fit_model(source, rng=RNG)
-    log = write_levels(spark, model, source.count(), SWEEP, path, rng=RNG)
-    back = spark.read.option("header", True).csv(f"{path}/*.csv").select(
-        F.element_at(F.split(F.input_file_name(), "/"), -2).alias("filename")
-    ).groupBy("filename").agg(F.count("*").alias("n_rows"))
-    return runs.log_levels(log).join(back, "filename").select("in_level", "files", "n_rows", "filename")
+    with Workspace(spark) as work:
+        path = f"{work.folder}/customer-files"
+        model = fit_model(source, rng=RNG)
+        log = write_levels(spark, model, source.count(), SWEEP, path, rng=RNG)
+        back = spark.read.option("header", True).csv(f"{path}/*.csv").select(
+            F.element_at(F.split(F.input_file_name(), "/"), -2).alias("filename")
+        ).groupBy("filename").agg(F.count("*").alias("n_rows"))
+        return freeze(runs.log_levels(log).join(back, "filename").select("in_level", "files", "n_rows", "filename"), GROUPS)
 
 
 @query("row_ids")
