@@ -3,6 +3,7 @@
 import math
 from statistics import NormalDist
 
+import numpy as np
 import pytest
 
 from tabweave.functions import special
@@ -76,3 +77,26 @@ def test_polish_keeps_columns_and_improves_a_rough_score(spark):
     out = special.polish(rows, [("gamma", "g", "z * 1.001D", "z", ["k"])])
     assert out.columns == ["odd name", "z", "k", "g_s"] and ident("odd name") == "`odd name`"
     assert out.first().g_s == pytest.approx(z, abs=2e-3)
+
+
+def test_tails_of_arrays_are_those_of_the_expressions(spark):
+    """Rows with different numbers of terms in one batch, on either side of the middle."""
+    k, f = map(np.ravel, np.meshgrid([0.05, 1.0, 7.5, 40.0, 20_000.0], [0.2, 0.99, 1.02, 1.5]))
+    rows = spark.createDataFrame(zip(k.tolist(), (k * f).tolist()), "k double, x double").coalesce(1).selectExpr(
+        *special.gamma_cdf_parts("k", "x", "c"), *special.beta_cdf_parts("k", "2.5D", "x / (x + 3.0D)", "b"))
+    tails = [*special.gamma_tails("c_k", "c_t", "c_x", "c_w"), *special.beta_tails(*(f"b_{p}" for p in "abxyw"))]
+    got = rows.selectExpr("*", *(f"{t} as t{i}" for i, t in enumerate(tails))).toPandas()
+    column = {c: got[c].to_numpy() for c in got}
+    found = [*special.gamma_tails_array(*(column[f"c_{p}"] for p in "kxw")),
+             *special.beta_tails_array(*(column[f"b_{p}"].astype(float) for p in "abxyw"))]
+    for i, x in enumerate(found):
+        assert x == pytest.approx(column[f"t{i}"], rel=1e-9, abs=1e-14)
+
+
+def test_exact_scores_of_nulls_and_of_no_rows(spark):
+    rows = spark.createDataFrame([(1.0, 0.5), (None, 0.5), (2.0, -0.5)], "k double, z double")
+    out = special.polish(rows, [("gamma", "g", "z", "z", ["k"])])
+    assert [r.g_s is None for r in out.collect()] == [False, True, False]
+    assert out.where("k > 5").collect() == []
+    # the terms are summed over batches, not by an interpreted fold for each row
+    assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString()
