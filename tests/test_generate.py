@@ -15,6 +15,7 @@ from tabweave.operators.dependence import correlation_factor
 from tabweave.operators.draws import draw
 from tabweave.operators.laws import FAMILIES
 from tabweave.sources.scratch import shared_folder
+from tabweave.workload import queries as workload
 
 SF = "/root/testdata/sf0.01"
 
@@ -307,3 +308,19 @@ def test_model_of_a_sampled_table(spark):
     assert part.statistics["o_totalprice"]["max"] == whole.statistics["o_totalprice"]["max"]
     assert part.law_of["o_totalprice"][1]["loc"] == again.law_of["o_totalprice"][1]["loc"]
     assert part.law_of["o_totalprice"][1]["loc"] >= whole.law_of["o_totalprice"][1]["loc"]
+
+
+def test_derived_rows_are_made_once_and_removed(spark, tmp_path, monkeypatch):
+    """Fitting reads what was written, not the hashes again."""
+    seen = []
+    fit = workload.fit_model
+
+    def fitted(source, *args, **options):
+        seen.append(source.inputFiles())
+        return fit(source, *args, **options)
+
+    monkeypatch.setattr(workload, "fit_model", fitted)
+    spark.range(400).selectExpr("id as o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    rows = workload.derived_rows(spark, str(tmp_path), ["expo", "gauss"], 100)
+    assert seen[0] and all("/work-" in f for f in seen[0])
+    assert rows.count() == 800 and not any(os.path.exists(f.removeprefix("file://")) for f in seen[0])
