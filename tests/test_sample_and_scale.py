@@ -11,6 +11,7 @@ from tabweave import (
     Rng, bounded_sample, fit_model, generate, presentation, read_csv, read_sweep, two_phase_summary,
     write_level, write_sweep,
 )
+from tabweave.operators import dependence
 from tabweave.operators.dependence import (
     normal_scores, normal_scores_at_scale, pairwise_correlation,
 )
@@ -212,3 +213,8 @@ def test_presentation(spark):
     assert shown["100,000"] == ("11.00 ± 1.41", "1.50 ± 0.71", "12.50 ± 1.58")
     assert shown["5,000,000"] == ("10.00 ± nan", "N/A (OOM)", "N/A (OOM)")
     assert shown["7"] == ("N/A", "1.00 ± nan", "N/A (OOM)")
+
+
+def test_no_task_deals_or_answers_more_than_half_a_million_cells():
+    """Four workers of an executor hold such a group each, several times over."""
+    assert dependence.DEALT_CELLS <= 500_000 and dependence.ANSWER_CELLS <= 500_000
