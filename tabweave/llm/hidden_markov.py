@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -9,10 +10,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.llm.common import by_slices, drop_at_exit, fold, identified, park, shuffles_removed, utf8
+from tabweave.llm.memory import _Known
 from tabweave.sources.scratch import fresh_path
 
 END = b" "              # no word: words hold no white space
@@ -22,7 +25,12 @@ START_ROUNDS = 10       # from random states, the likelihood hardly rises in so
 ROUNDS = 4              # further rounds, at least; all rounds are over all training documents
 SETTLED = 1e-4          # training ends when a round raises the log-likelihood by less than this share
 GROUP = 1 << 18         # tokens of the texts that a step of the recursions holds at once
+SCALED = 8              # steps between scalings; so many chances multiplied stay far from the smallest double
 SLICE = 8 << 20         # bytes of text that a step holds at once
+BLOCK = 4 << 20         # tokens of the texts of a block, at least, if its task has so many
+RANGE = 1 << 16         # words beyond the commonest whose emissions are one row, about
+LOCAL_RANGE = 1 << 13   # of the commonest words
+PARTS = 2               # of a round over more than 4 BLOCK tokens, one after the other: less scratch at once
 
 
 @dataclass
@@ -31,44 +39,58 @@ class Model:
 
     ``emit`` is (symbols, states).  The last symbol is the end of a text, the one before
     it any word that is no symbol.  Words that workers do not hold have their emissions
-    in a table, which meets the texts in a join.
+    in a table, from which each block of texts gets those of its own words.
     """
 
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray
 
-    def groups(self, texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(places, symbols by step, texts still running by step) of texts of like length."""
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    def groups(self, texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+        """(places, symbols, texts still running by step) of texts of like length, longest first.
+
+        Symbols are end to end by step: the first of all texts, the second of all that have one, ...
+        """
+        lengths = np.array([len(t) for t in texts])
+        order = np.argsort(-lengths, kind="stable")
         at = 0
         while at < len(order):
-            longest = len(texts[order[at]])
-            part = order[at:at + max(1, GROUP // max(longest, 1))]
+            sizes, part = np.cumsum(lengths[order[at:at + GROUP]]), order[at:]
+            part = part[:max(1, int(np.searchsorted(sizes, GROUP, "right")))]
             at += len(part)
-            lengths = np.array([len(texts[i]) for i in part])
-            symbols = np.zeros((longest, len(part)), np.int64)
-            for column, i in enumerate(part):
-                symbols[:len(texts[i]), column] = texts[i]
-            running = np.searchsorted(-lengths, -np.arange(longest), "left")
-            yield np.array(part), symbols, running
-
-    def forward(self, symbols: np.ndarray, running: np.ndarray, keep: bool):
-        """Log-likelihoods by the scaled forward recursion, its scales, and its states if kept."""
-        width, ones = symbols.shape[1], np.ones(len(self.start))
-        states = np.empty((len(symbols), width, len(ones))) if keep else None
-        scales = np.ones((len(symbols), width))
-        now = np.broadcast_to(self.start, (width, len(ones)))
-        for t, n in enumerate(running):
-            ahead = now[:n] @ self.move if t else now[:n]
-            now = self.emit[symbols[t, :n]]
-            now *= ahead
-            scale = now @ ones
-            now *= (1.0 / scale)[:, None]
-            scales[t, :n] = scale
-            if keep:
-                states[t, :n] = now
-        return np.log(scales).sum(axis=0), scales, states
+            own = lengths[part]
+            running = np.searchsorted(-own, -np.arange(own[0]), "left")
+            begins = np.concatenate([[0], np.cumsum(running)[:-1]])
+            symbols = np.empty(int(own.sum()), np.int64)
+            for column, i in enumerate(part.tolist()):
+                symbols[begins[:lengths[i]] + column] = texts[i]
+            yield part, symbols, running.tolist()
+
+    def forward(self, symbols: np.ndarray, running: list[int], keep: bool):
+        """Log-likelihoods by the scaled forward recursion; if kept, its states and the scaled emissions.
+
+        Arrays are (state, token), so that every operation runs along the texts.  States
+        are scaled to add up to 1 in every SCALED-th step and at the end of each text.
+        """
+        chances = np.empty((len(self.start), len(symbols)))
+        for i in range(0, len(symbols), 1 << 14):
+            chances[:, i:i + (1 << 14)] = self.emit.take(symbols[i:i + (1 << 14)], axis=0).T
+        states = np.empty(chances.shape) if keep else None
+        logs, move, begin = np.zeros(running[0]), np.ascontiguousarray(self.move.T), 0
+        for t, (n, after) in enumerate(zip(running, [*running[1:], 0])):
+            here = slice(begin, begin + n)
+            now = np.multiply(move @ now[:, :n] if t else self.start[:, None], chances[:, here],
+                              out=states[:, here] if keep else None)
+            ended = 0 if t % SCALED == SCALED - 1 else after
+            if ended < n:
+                scale = now[:, ended:].sum(axis=0)
+                logs[ended:n] += np.log(scale)
+                scale = 1.0 / scale
+                now[:, ended:] *= scale
+                if keep:
+                    chances[:, begin + ended:begin + n] *= scale
+            begin += n
+        return logs, states, chances
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 of the exact likelihood of each text's symbols."""
@@ -80,25 +102,28 @@ class Model:
     def expect(self, texts: list[np.ndarray]) -> Expected:
         """Expected counts of Baum-Welch over some texts."""
         total = Expected.zero(*self.emit.shape)
+        emit = np.zeros(self.emit.shape[::-1])
         for _, symbols, running in self.groups(texts):
-            likelihood, scales, states = self.forward(symbols, running, True)
-            total.likelihood += float(likelihood.sum())
-            inverse, back = 1.0 / scales, np.ascontiguousarray(self.move.T)
-            later = np.ones(states.shape[1:])
+            logs, states, chances = self.forward(symbols, running, True)
+            total.likelihood += float(logs.sum())
+            later, moves, begin = np.ones((len(self.start), running[0])), np.zeros(self.move.shape), len(symbols)
             for t in range(len(running) - 1, -1, -1):
                 n = running[t]
-                states[t, :n] *= later[:n]  # from here on, the chances of each state given all
+                begin -= n
+                here, then = slice(begin, begin + n), later[:, :n]
                 if t:
-                    coming = self.emit[symbols[t, :n]]
-                    coming *= later[:n]
-                    coming *= inverse[t, :n, None]
-                    total.move += self.move * (states[t - 1, :n].T @ coming)
-                    np.matmul(coming, back, out=later[:n])
-            total.start += states[0].sum(axis=0)
-            live = np.arange(symbols.shape[1]) < running[:, None]
-            which, seen = symbols[live], states[live].T
-            for k, chances in enumerate(np.ascontiguousarray(seen)):
-                total.emit[:, k] += np.bincount(which, chances, len(self.emit))
+                    coming = chances[:, here]
+                    coming *= then
+                    before = begin - running[t - 1]
+                    moves += states[:, before:before + n] @ coming.T
+                states[:, here] *= then  # from here on, the chances of each state given all
+                if t:
+                    np.matmul(self.move, coming, out=then)
+            total.move += self.move * moves
+            total.start += states[:, :running[0]].sum(axis=1)
+            for sums, each in zip(emit, states):
+                sums += np.bincount(symbols, each, len(sums))
+        total.emit += emit.T
         return total
 
 
@@ -141,15 +166,15 @@ class Expected:
 
 @dataclass
 class Tail:
-    """The training words that workers do not hold.
+    """The training words that workers do not hold, dealt into ranges by hash.
 
-    ``rows`` (token, s0, s1, ...) are their expected emissions by state, ``sums`` those of
-    all, ``count`` how many words they are, ``share`` their part of all smoothed counts,
-    which add up to ``whole``.
+    ``rows`` (range, counts) are their expected emissions, (words of the range, states)
+    doubles, which add up over the rows of a range; ``sums`` those of all by state, ``count`` how many words they are, ``share``
+    their part of all smoothed counts, which add up to ``whole``.
     """
 
     rows: DataFrame
-    path: str
+    paths: list[str]
     sums: np.ndarray
     count: int
     share: float
@@ -157,36 +182,31 @@ class Tail:
     even: np.ndarray | None = None
     total: np.ndarray | None = None
 
-    @classmethod
-    def of(cls, rows: DataFrame, states: int, count: int, share: float, whole: float) -> Tail:
-        spark = rows.sparkSession
-        path = fresh_path(spark, "tail-emissions")
-        rows.write.parquet(path)
-        drop_at_exit(spark, path)
-        rows = spark.read.schema(rows.schema).parquet(path)
-        sums = rows.where("token is not null").agg(*[F.sum(f"s{k}") for k in range(states)]).first()
-        return cls(rows, path, np.array([x or 0.0 for x in sums]), count, share, whole)
-
-    def release(self) -> None:
-        spark = self.rows.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-    def emissions(self) -> DataFrame:
-        """(token, e): the chances of each word by state."""
-        names = [F.col(f"s{k}") for k in range(len(self.sums))]
-        if self.even is None:  # before the first round the rows are shares with noise
-            each = [s / float(t) for s, t in zip(names, self.total)]
-        else:
-            own = 2.0 / self.whole * (sum(names[1:], names[0]) + 0.5)  # the chances of states add up to 1
-            each = [(s + own + float(e)) / float(t) for s, e, t in zip(names, self.even, self.total)]
-        return self.rows.where("token is not null").select("token", F.array(*each).alias("e"))
-
-
-def noise(tokens: list[bytes], states: int) -> np.ndarray:
-    """(tokens, states) numbers above 0.2, exponential, from the tokens alone."""
-    hashes = np.array([xxhash.xxh64_intdigest(t) for t in tokens], np.uint64)[:, None]
-    mixed = hashes + np.arange(1, states + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    def chances(self):
+        """A function from expected emissions to the chances of each word by state."""
+        even, total, whole = self.even, self.total, self.whole
+
+        def each(counts: np.ndarray) -> np.ndarray:
+            if even is None:  # before the first round the rows are shares with noise
+                return counts / total
+            # the chances of states add up to 1, so the sum is the word's count
+            return (counts + 2.0 / whole * (counts.sum(axis=1, keepdims=True) + 0.5) + even) / total
+
+        return each
+
+
+def _dropped(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def hashed(tokens: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(t) for t in tokens], np.uint64)
+
+
+def noise(hashes: np.ndarray, states: int) -> np.ndarray:
+    """(tokens, states) numbers above 0.2, exponential, from the tokens' hashes alone."""
+    mixed = hashes[:, None] + np.arange(1, states + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     mixed ^= mixed >> np.uint64(31)
@@ -232,162 +252,299 @@ def commonest(counts: DataFrame, limit: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r.token), r.c) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
-CODED = ("row long, doc_id long, held_out boolean, n_words long, symbols array<int>, local_known long, "
-         "local_log double, other_log double, n_other long, tail array<struct<token:binary,n:bigint>>")
+BLOCKS = ("block long, held_out boolean, doc_ids array<long>, lengths array<int>, words binary, places binary, "
+          "ranges binary, tail array<binary>, counts binary")
 
 
-def _coded(rows: DataFrame, words: list[tuple[bytes, int]], symbols: int, tail_symbols: bool) -> DataFrame:
-    """Texts as symbols, with what the base score needs of local words, and the other words.
+def _blocks(rows: DataFrame, words: list[tuple[bytes, int]], ranges: int, buckets: int) -> DataFrame:
+    """Texts in blocks, a row each: those of one fold that a task meets, BLOCK tokens or the last.
 
-    If those are symbols too, they number on behind the model's own, by text, in the
-    order of its tail.
+    ``words`` numbers the words of all texts end to end, ``lengths`` of each text, by their
+    first occurrence in the block.  ``places`` has for each of these words its place among
+    those that workers hold, or -1; for the others, ``tail`` has the word, ``ranges`` its
+    range and ``counts`` its occurrences.  The table is bucketed by block, so that rounds
+    read it without a shuffle.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(words)  # at most LOCAL_WORDS
-    places: dict[bytes, int] = {}
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(words)  # at most LOCAL_WORDS
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not places:
-            places.update((w, i) for i, (w, _) in enumerate(shared.value))
-            places[END] = -2
-        logs = np.log10(np.array([c for _, c in shared.value] + [0.5]) + 0.5)
-        get, out = places.get, []
-        for text in batch.column(1).to_pylist():
-            found = words_of(text)
-            at = np.fromiter((get(w, -1) for w in found), np.int64, len(found))
-            local = at[at >= 0]
-            other = local[local >= symbols]
-            coded = np.where((at < 0) | (at >= symbols), symbols, at)
-            tail = Counter(w for w, a in zip(found, at.tolist()) if a < 0) if len(local) < len(at) else {}
-            if tail_symbols and tail:
-                nth = {w: symbols + 2 + i for i, w in enumerate(tail)}
-                coded[at < 0] = [nth[found[i]] for i in np.flatnonzero(at < 0).tolist()]
-            out.append((len(found), np.append(coded, symbols + 1).astype(np.int32), len(local),
-                        float(logs[local].sum()), float(logs[other].sum()), int((coded == symbols).sum()),
-                        [{"token": w, "n": n} for w, n in tail.items()]))
-        kinds = [pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.float64(), pa.int64(),
-                 pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))]
-        made = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), batch.column(3), *made],
-            ["row", "doc_id", "held_out", "n_words", "symbols", "local_known", "local_log", "other_log",
-             "n_other", "tail"])
-
-    return rows.select("row", "text", "doc_id", "held_out").mapInArrow(by_slices(step, SLICE), CODED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local = {w: i for i, (w, _) in enumerate(shared.value)}
+        first, made = TaskContext.get().partitionId() << 33, 0
+        open_blocks: dict[bool, tuple[_Known, list, list, int]] = {}
+
+        def closed(held: bool) -> pa.RecordBatch:
+            nonlocal made
+            known, ids, texts, _ = open_blocks.pop(held)
+            vocabulary = list(known)
+            at = np.fromiter((local.get(w, -1) for w in vocabulary), np.int32, len(vocabulary))
+            numbers = np.concatenate(texts)
+            tail = [vocabulary[i] for i in np.flatnonzero(at < 0).tolist()]
+            dealt = np.fromiter((xxhash.xxh64_intdigest(w, 7) % ranges for w in tail), np.int32, len(tail))
+            counts = np.bincount(numbers, minlength=len(at))[at < 0].astype(np.int64)
+            row = [first + made, held, ids, [len(t) for t in texts], numbers.tobytes(), at.tobytes(),
+                   dealt.tobytes(), tail, counts.tobytes()]
+            made += 1
+            kinds = [pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(),
+                     pa.binary(), pa.list_(pa.binary()), pa.binary()]
+            names = ["block", "held_out", "doc_ids", "lengths", "words", "places", "ranges", "tail", "counts"]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
 
+        for batch in batches:
+            for i, text, held in zip(*map(batch.column, range(3))):
+                i, text, held = i.as_py(), text.as_py(), held.as_py()
+                known, ids, texts, n = open_blocks.get(held) or (_Known(), [], [], 0)
+                found = words_of(text)
+                ids.append(i)
+                texts.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
+                open_blocks[held] = known, ids, texts, n + len(found) + 1
+                if n + len(found) + 1 >= BLOCK:
+                    yield closed(held)
+        for held in list(open_blocks):
+            yield closed(held)
+
+    path, name = fresh_path(spark, "blocks"), f"blocks_{uuid.uuid4().hex}"
+    rows.select("doc_id", "text", "held_out").mapInArrow(run, BLOCKS).repartition(buckets, "block").write.bucketBy(
+        buckets, "block").sortBy("block").option("path", path).option("compression", "zstd").saveAsTable(name)
+    drop_at_exit(spark, path)
+    found = spark.table(name)
+    spark.sql(f"drop table {name}")  # the files stay, and so does what reads them
+    shared.destroy()
+    return found
 
-def _arrays(column: pa.Array) -> list[np.ndarray]:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return np.split(flat, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))[:-1])
 
+def _parts(blocks: DataFrame, buckets: int, parts: int) -> list[DataFrame]:
+    """The blocks in parts of whole buckets; a filter on their numbers spares reading the other buckets."""
+    if parts == 1:
+        return [blocks]
+    bucket = F.pmod(F.hash("block"), F.lit(buckets))
+    found = sorted((r.bucket, r.block) for r in blocks.select("block", bucket.alias("bucket")).collect())
+    numbers = [[int(b) for _, b in found[k * len(found) // parts:(k + 1) * len(found) // parts]] for k in range(parts)]
+    return [blocks.where(F.col("block").isin(x)) for x in numbers if x]
 
-def _with_extra(coded: DataFrame, tail: Tail | None, model: Model) -> DataFrame:
-    """Adds extra, the emissions of a text's tail in its order, end to end; null without a tail."""
-    if tail is None:
-        return coded.withColumn("extra", F.lit(None).cast("array<double>"))
-    unseen = F.array(*[F.lit(float(x)) for x in model.emit[-2]])
-    found = coded.select("row", F.posexplode("tail").alias("at", "t")).select("row", "at", "t.token").join(
-        tail.emissions(), "token", "left").groupBy("row").agg(
-            F.sort_array(F.collect_list(F.struct("at", F.coalesce("e", unseen).alias("e")))).alias("each"))
-    return coded.join(found.select("row", F.flatten(F.col("each.e")).alias("extra")), "row", "left")
 
+def _numbered(blocks: DataFrame) -> DataFrame:
+    """(range, block, at, c): what the words of each range are to each block.
 
-def _widened(model: Model, texts: list[np.ndarray], extra: pa.Array) -> tuple[Model, list[np.ndarray]]:
-    """A model that holds the tails of these texts as well, and the texts in its symbols."""
-    size, states = model.emit.shape
-    rows = extra.flatten().to_numpy(zero_copy_only=False).reshape(-1, states)
-    if not len(rows):
-        return model, texts
-    counts = extra.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) // states
-    begins = np.cumsum(counts) - counts
-    texts = [np.where(t >= size, t + b, t) for t, b in zip(texts, begins)]
-    return Model(model.start, model.move, np.vstack([model.emit, rows])), texts
+    ``at`` has the rows of a block's words in their range, -1 for those that training lacks,
+    ``c`` their counts in training.  A row without block has the hashes and counts of a
+    range's words.
+    """
 
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, held, ranges, tail, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                n, tail = np.frombuffer(counts, np.int64), np.array(tail, object)
+                for k, at in _by_range(ranges):
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([k], pa.int32()), pa.array([block], pa.int64()), pa.array([held]),
+                        pa.array([tail[at].tolist()], pa.list_(pa.binary())), pa.array([n[at].tobytes()], pa.binary())],
+                        ["range", "block", "held_out", "tail", "n"])
+
+    def number(rows: pa.Table) -> pa.Table:
+        flat = pa.chunked_array([c.flatten() for c in rows["tail"].chunks], pa.binary()).combine_chunks()
+        code = flat.dictionary_encode()
+        tokens, sizes = code.dictionary.to_pylist(), [len(x) for x in rows["tail"]]
+        which = code.indices.to_numpy(zero_copy_only=False)
+        n = np.concatenate([np.frombuffer(x, np.int64) for x in rows["n"].to_pylist()])
+        taught = np.repeat(~rows["held_out"].to_numpy(zero_copy_only=False), sizes)
+        c = np.bincount(which[taught], n[taught], len(tokens)).astype(np.int64)
+        place = np.where(c > 0, np.cumsum(c > 0) - 1, -1).astype(np.int32)
+        cuts, blocks = np.cumsum(sizes)[:-1], rows["block"].to_pylist()
+        own = hashed([t for t, x in zip(tokens, c.tolist()) if x])
+        return pa.table({
+            "range": pa.array([rows["range"][0].as_py()] * (len(blocks) + 1), pa.int32()),
+            "block": pa.array([*blocks, None], pa.int64()),
+            "at": pa.array([*(x.tobytes() for x in np.split(place[which], cuts)), own.tobytes()], pa.binary()),
+            "c": pa.array([*(x.tobytes() for x in np.split(c[which], cuts)), c[c > 0].tobytes()], pa.binary())})
+
+    return park(blocks.select("block", "held_out", "ranges", "tail", "counts").mapInArrow(
+        dealt, "range int, block long, held_out boolean, tail array<binary>, n binary").groupBy("range").applyInArrow(
+            number, "range int, block long, at binary, c binary"), "numbered")
+
+
+def _by_range(ranges: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    """Each range of a block's further words, and which of these words are in it, in order."""
+    of = np.frombuffer(ranges, np.int32)
+    order = np.argsort(of, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(of) else ():
+        yield int(of[at[0]]), at
+
+
+def _answers(numbered: DataFrame, tail: Tail | None, counted: bool) -> DataFrame:
+    """(block, range, at, c, chances): the emissions of each block's words, and if counted their counts."""
+    asked = numbered.where("block is not null").select(
+        "range", "block", "at", F.col("c") if counted else F.lit(None).cast("binary").alias("c"))
+    if tail is None:
+        asked = asked if counted else asked.where("false")
+        return asked.withColumn("chances", F.lit(None).cast("binary"))
+    each, states = tail.chances(), len(tail.sums)
+
+    def answer(held: pa.Table, asked: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x).reshape(-1, states) for x in held["counts"].to_pylist()]
+        counts = np.zeros((max(map(len, parts), default=0), states))
+        for x in parts:
+            counts[:len(x)] += x
+        e = each(counts)
+        e = np.vstack([e, np.zeros((1, states))])  # where the place is -1, training lacks the word
+        found = [e[np.frombuffer(at, np.int32)].tobytes() for at in asked["at"].to_pylist()]
+        return asked.append_column("chances", pa.array(found, pa.binary())).select(
+            ["block", "range", "at", "c", "chances"])
+
+    held = tail.rows.where("range >= 0").select("range", "counts")
+    return held.groupBy("range").cogroup(asked.groupBy("range")).applyInArrow(
+        answer, "block long, range int, at binary, c binary, chances binary")
 
-def _expected(training: DataFrame, model: Model, tail: Tail | None = None) -> tuple[Expected, Tail | None]:
-    """One round over all training documents; tasks send sums, a row for each symbol they saw.
 
-    Symbols below zero carry the moves, the starts and the likelihood.  Rows of words that
-    workers do not hold have their token and stay in a table.
-    """
-    shared = training.sparkSession.sparkContext.broadcast(model)
-    states = len(model.start)
-    names = [f"s{k}" for k in range(states)]
+@dataclass
+class Block:
+    """Texts of a block in the symbols of a model of its own words, the last of which is the end."""
 
-    def made(keys: pa.Array, tokens: pa.Array, rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([keys, tokens, *map(pa.array, rows.T.copy())], ["symbol", "token", *names])
+    model: Model
+    texts: list[np.ndarray]
+    places: np.ndarray      # of the words in the model that workers hold
+    far: list[tuple[int, np.ndarray, np.ndarray]]  # range, words of the block, their rows in the range
+    c: np.ndarray           # counts in training of the words that workers do not hold, else 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, size = Expected.zero(*model_shape), model_shape[0]
+    @classmethod
+    def of(cls, row: dict, answers: list[dict], model: Model) -> Block:
+        states, symbols = len(model.start), len(model.emit) - 2
+        places = np.frombuffer(row["places"], np.int32)
+        emit = model.emit[np.append(np.where(places < 0, symbols, np.minimum(places, symbols)), symbols + 1)]
+        c, far = np.zeros(len(places), np.int64), []
+        beyond = np.flatnonzero(places < 0)
+        which = dict(_by_range(row["ranges"])) if answers else {}
+        for x in answers:
+            here, at = beyond[which[x["range"]]], np.frombuffer(x["at"], np.int32)
+            if x["c"] is not None:
+                c[here] = np.frombuffer(x["c"], np.int64)
+            if x["chances"] is not None:
+                e = np.frombuffer(x["chances"]).reshape(-1, states)
+                emit[here[at >= 0]] = e[at >= 0]
+                far.append((x["range"], here, at))
+        words, end = np.frombuffer(row["words"], np.int32), len(places)
+        cuts = np.cumsum(row["lengths"])
+        texts = [np.append(t, end) for t in np.split(words, cuts[:-1])]
+        return cls(Model(model.start, model.move, emit), texts, places, far, c)
+
+
+def _message(range: int, at: np.ndarray, rows: np.ndarray) -> dict:
+    return {"range": range, "at": at.astype(np.int32).tobytes(), "counts": rows.tobytes()}
+
+
+SUMS = "range int, counts binary, sums array<double>"
+MESSAGE = pa.schema([("range", pa.int32()), ("at", pa.binary()), ("counts", pa.binary())])
+
+
+def _expected(training: list[DataFrame], model: Model, numbered: DataFrame, tail: Tail | None = None) -> tuple[Expected, Tail | None]:
+    """One round over all training blocks, a part of them at a time, which send the sums of their words to the words' ranges.
+
+    Ranges below zero are of the words that workers hold; the lowest has the moves, the
+    starts and the likelihood.  The others stay in a table.
+    """
+    spark = numbered.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    size, states = model.emit.shape
+    lowest = -2 - size // LOCAL_RANGE
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return MESSAGE.empty_table()
+        block = Block.of(rows.to_pylist()[0], answers.to_pylist(), shared.value)
+        found, sent = block.model.expect(block.texts), []
+        for k, here, at in block.far:
+            sent.append(_message(k, at, found.emit[here]))
+        near = np.append(block.places >= 0, True) if block.far else np.ones(len(block.places) + 1, bool)
+        symbol = np.append(np.where(block.places < 0, size - 2, np.minimum(block.places, size - 2)), size - 1)[near]
+        order = np.argsort(symbol, kind="stable")
+        begins = np.flatnonzero(np.diff(symbol[order], prepend=-1))
+        sums, symbol = np.add.reduceat(found.emit[near][order], begins), symbol[order][begins]
+        of = symbol // LOCAL_RANGE
+        for part in np.split(np.arange(len(of)), np.flatnonzero(np.diff(of)) + 1):
+            sent.append(_message(-1 - int(of[part[0]]), symbol[part] % LOCAL_RANGE, sums[part]))
+        whole = np.vstack([found.move, found.start, np.full(states, found.likelihood / states)])
+        sent.append(_message(lowest, np.arange(len(whole)), whole))
+        return pa.Table.from_pylist(sent, MESSAGE)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            if not batch.num_rows:
+            for k, at, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                at = np.frombuffer(at, np.int32)
+                rows = np.frombuffer(counts).reshape(-1, states)
+                now, most = sums.get(k, np.zeros((0, states))), int(at.max()) + 1
+                if most > len(now):
+                    now = np.vstack([now, np.zeros((most - len(now), states))])
+                now[at] += rows  # a block sends each word once
+                sums[k] = now
+        for k, x in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary()),
+                 pa.array([x.sum(axis=0).tolist()], pa.list_(pa.float64()))], ["range", "counts", "sums"])
+
+    columns = ["block", "lengths", "words", "places", "ranges"]
+    paths, found, sums = [], Expected.zero(size, states), np.zeros(states)
+    for part in training:
+        paths.append(fresh_path(spark, "emissions"))
+        part.select(columns).groupBy("block").cogroup(_answers(numbered, tail, False).groupBy("block")).applyInArrow(
+            run, "range int, at binary, counts binary").repartition("range").mapInArrow(
+                total, SUMS).write.parquet(paths[-1])
+        drop_at_exit(spark, paths[-1])
+        near = spark.read.schema(SUMS).parquet(paths[-1]).select(
+            "range", F.when(F.col("range") < 0, F.col("counts")).alias("counts"), "sums").toArrow()
+        for k, counts, own in zip(*(c.to_pylist() for c in near.columns)):  # LOCAL_WORDS words, a few sums a range
+            if k >= 0:
+                sums += own
                 continue
-            wide, texts = _widened(shared.value, _arrays(batch.column(0)), batch.column(1))
-            found = wide.expect(texts)
-            if len(found.emit) > size:
-                tokens = batch.column(2).flatten().field("token")
-                yield made(pa.nulls(len(tokens), pa.int32()), tokens, found.emit[size:])
-                found.emit = found.emit[:size]
-            total += found
-        seen = np.flatnonzero(total.emit.sum(axis=1))
-        extra = np.vstack([total.move, total.start, np.full(states, total.likelihood / states)])
-        keys = np.concatenate([seen, -1 - np.arange(len(extra))]).astype(np.int32)
-        yield made(pa.array(keys), pa.nulls(len(keys), pa.binary()), np.vstack([total.emit[seen], extra]))
-
-    model_shape = model.emit.shape
-    schema = "symbol int, token binary, " + ", ".join(f"{n} double" for n in names)
-    sums = _with_extra(training, tail, model).select("symbols", "extra", "tail").mapInArrow(run, schema).groupBy(
-        "symbol", "token").agg(*[F.sum(n).alias(n) for n in names])
-    if tail is not None:
-        before, tail = tail, Tail.of(sums, states, tail.count, tail.share, tail.whole)
-        before.release()
-        sums = tail.rows.where("token is null")
-    sums = sums.drop("token").toArrow()  # LOCAL_WORDS + STATES + 4 rows at most
+            x = np.frombuffer(counts).reshape(-1, states)
+            if k == lowest:
+                found.move += x[:states]
+                found.start += x[states]
+                found.likelihood += float(x[-1].sum())
+            else:
+                found.emit[(-1 - k) * LOCAL_RANGE:][:len(x)] += x
     shared.destroy()
-    keys = sums["symbol"].to_numpy()
-    values = np.stack([sums[n].to_numpy() for n in names], axis=1)
-    total = Expected.zero(*model_shape)
-    total.emit[keys[keys >= 0]] = values[keys >= 0]
-    for key, row in zip(keys[keys < 0].tolist(), values[keys < 0]):
-        if key >= -states:
-            total.move[-1 - key] = row
-        elif key == -1 - states:
-            total.start = row
-        else:
-            total.likelihood = float(row.sum())
-    return total, tail
-
-
-def train(training: DataFrame, tokens: list[bytes], counts: np.ndarray, states: int, rounds: int,
-          tail: DataFrame | None = None) -> tuple[Model, Tail | None]:
+    for path in tail.paths if tail else paths:
+        _dropped(spark, path)
+    if tail is None:
+        return found, None
+    return found, Tail(spark.read.schema(SUMS).parquet(*paths), paths, sums, tail.count, tail.share, tail.whole)
+
+
+def train(training: list[DataFrame], numbered: DataFrame, tokens: list[bytes], counts: np.ndarray, states: int, rounds: int,
+          further: tuple[int, int] | None = None) -> tuple[Model, Tail | None]:
     """Baum-Welch over all training documents, from the symbols' shares, until the likelihood settles.
 
-    ``tokens`` and ``counts`` (smoothed) are the model's symbols, ``tail`` the (token, c) of
-    further ones.  At least START_ROUNDS and so many further rounds run.
+    ``tokens`` and ``counts`` (smoothed) are the model's symbols, ``further`` how many
+    numbered words are symbols too, and their occurrences.  At least START_ROUNDS and so
+    many further rounds run.
     """
     whole, rest = float(counts.sum()), None
-    names = [f"s{k}" for k in range(states)]
-    if tail is not None:
-        count, c = tail.agg(F.count("*"), F.sum("c")).first()
+    if further is not None:
+        count, c = further
         share = c + 0.5 * count
         whole += share
 
-        def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def shares_with_noise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                each = (batch.column(1).to_numpy() + 0.5) / whole
-                rows = each[:, None] * noise(batch.column(0).to_pylist(), states)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, rows.T.copy())], ["token", *names])
-
-        rest = Tail.of(tail.select("token", "c").mapInArrow(
-            begin, "token binary, " + ", ".join(f"{n} double" for n in names)), states, count, share / whole, whole)
+                for k, hashes, c in zip(*(x.to_pylist() for x in batch.columns)):
+                    x = (np.frombuffer(c, np.int64)[:, None] + 0.5) / whole * noise(np.frombuffer(hashes, np.uint64), states)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary()),
+                         pa.array([x.sum(axis=0).tolist()], pa.list_(pa.float64()))], ["range", "counts", "sums"])
+
+        begin = numbered.where("block is null").select("range", "at", "c").mapInArrow(shares_with_noise, SUMS)
+        sums = sum((np.array(r.sums) for r in begin.select("sums").toLocalIterator()), np.zeros(states))
+        rest = Tail(begin, [], sums, count, share / whole, whole)
     shares = counts / whole
-    emit = shares[:, None] * noise(tokens, states)
+    emit = shares[:, None] * noise(hashed(tokens), states)
     total = emit.sum(axis=0) + (rest.sums if rest else 0.0)
     if rest:
         rest.total = total
     stay = np.full((states, states), 0.3 / states) + 0.7 * np.eye(states)
     model, done, before = Model(np.full(states, 1 / states), stay, emit / total), 0, -np.inf
     while True:
-        found, rest = _expected(training, model, rest)
+        found, rest = _expected(training, model, numbered, rest)
         if not np.isfinite(found.likelihood):
             raise ArithmeticError(f"the log-likelihood of round {done + 1} is {found.likelihood}")
         if not found.start.sum():  # no training rows
@@ -413,14 +570,17 @@ def score_documents(
     of the exact likelihood of the whole text.  ``base_score`` is the smoothed unigram's.
 
     Counts and emissions of all words stay distributed.  Workers hold those of at most
-    local_words; the others meet their documents in a join, in which no word is common.  Null and
-    empty texts have the end only.  Repeated rows come back, and count, as often as they
-    occur.  Without training rows every count is zero.
+    local_words; the others lie in ranges, and in every round a block of texts gets and
+    sends one row for each range, which holds only the block's words, each once however
+    often it occurs there.  Null and empty texts have the end only.
+    Repeated rows come back, and count, as often as they occur.  Without training rows every
+    count is zero.
     """
+    spark = docs.sparkSession
     rows = identified(docs, id_col, text_col).select(
-        "doc_id", utf8(F.col("text")).alias("text"), (fold(F.col("doc_id"), folds) == held_out).alias("held_out"),
-    ).withColumn("row", F.monotonically_increasing_id())
-    counts = park(token_counts(rows.where("not held_out").select("doc_id", "text")), "token-counts")
+        "doc_id", utf8(F.col("text")).alias("text"), (fold(F.col("doc_id"), folds) == held_out).alias("held_out"))
+    with shuffles_removed(spark):
+        counts = park(token_counts(rows.where("not held_out").select("doc_id", "text")), "token-counts")
     total = counts.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("token") == END, F.col("c")))).first()
     n, v, ends = total[0] or 0, total[1], total[2] or 0
     words = commonest(counts, local_words)
@@ -430,36 +590,43 @@ def score_documents(
     own = sum(c for _, c in words[:symbols])
     others, kinds = (0, 0) if tail_symbols else (n - ends - own, n_words - symbols)
     smoothed = np.array([c for _, c in words[:symbols]] + [others + 0.5, ends + 0.5]) + 0.5
-    coded = park(_coded(rows, words, symbols, tail_symbols), "coded")
-    further = None
-    if tail_symbols:  # the words that workers hold are all that occur so often
-        further = counts.where(F.col("token") != END)
-        further = further.where(F.col("c") < words[-1][1]) if words else further
-    with shuffles_removed(docs.sparkSession):
-        model, rest = train(coded.where("not held_out"), [w for w, _ in words[:symbols]] + [b"", END], smoothed,
-                            states, rounds, further)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.arrow_udf("double")
-    def likelihood(texts: pa.Array, extra: pa.Array) -> pa.Array:
-        wide, texts = _widened(shared.value, _arrays(texts), extra)
-        return pa.array(wide.score(texts))
-
-    # The same sums for the words that workers do not hold; those never counted need no join.
-    tail = coded.select("row", F.explode("tail").alias("t")).select("row", "t.token", "t.n").join(
-        counts, "token").groupBy("row").agg(
-            F.sum("n").alias("tail_known"), F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("tail_log"))
-    found = _with_extra(coded, rest, model).withColumn("symbol_score", likelihood("symbols", "extra")).drop(
-        "symbols", "extra", "tail").join(tail, "row", "left")
-    tail_known = F.coalesce("tail_known", F.lit(0))
-    unseen = (F.col("n_words") - F.col("local_known") - tail_known) * float(np.log10(0.5))
-    tail_log = F.coalesce("tail_log", F.lit(0.0)) + unseen
-    base = (F.col("local_log") + tail_log + float(np.log10(ends + 0.5))
-            - (F.col("n_words") + 1) * float(np.log10(n + 0.5 * (v + 1))))
-    own_shares = F.lit(0.0) if tail_symbols else (
-        F.col("other_log") + tail_log - F.col("n_other") * float(np.log10(others + 0.5 * (kinds + 1))))
-    return found.select(
-        "doc_id", "held_out", (F.col("n_words") + 1).alias("n_tokens"),
-        (F.col("local_known") + tail_known + (1 if ends else 0)).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"),
-        (F.col("symbol_score") + own_shares).alias("score"))
+    # the words that workers do not hold
+    further = (n_words - len(words), n - ends - sum(c for _, c in words)) if tail_symbols else None
+    ranges = max(1, -(-(n_words - len(words)) // RANGE))
+    buckets, parts = 1 + n // (BLOCK // 4), PARTS if n > 4 * BLOCK else 1
+    with shuffles_removed(spark):
+        blocks = _blocks(rows, words, ranges, buckets)
+        numbered = _numbered(blocks)
+        taught = _parts(blocks.where("not held_out"), buckets, parts)
+        model, rest = train(taught, numbered, [w for w, _ in words[:symbols]] + [b"", END],
+                            smoothed, states, rounds, further)
+    shared = spark.sparkContext.broadcast((model, np.array([c for _, c in words], np.int64)))
+
+    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return out.empty_table()
+        model, local = shared.value
+        row = rows.to_pylist()[0]
+        block = Block.of(row, answers.to_pylist(), model)
+        c = np.where(block.places < 0, block.c, np.append(local, 0)[block.places])
+        known, logs = c > 0, np.log10(c + 0.5)
+        other = (block.places < 0) | (block.places >= symbols)
+        at, sizes = np.frombuffer(row["words"], np.int32), np.array(row["lengths"], np.int64)
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        sums = lambda x: np.bincount(text, x[at], len(sizes))
+        base = sums(logs) + np.log10(ends + 0.5) - (sizes + 1) * np.log10(n + 0.5 * (v + 1))
+        found = block.model.score(block.texts)
+        if not tail_symbols:
+            found += sums(np.where(other, logs, 0.0)) - sums(other) * np.log10(others + 0.5 * (kinds + 1))
+        n_known = np.rint(sums(known)).astype(np.int64) + (1 if ends else 0)
+        columns = [pa.array(row["doc_ids"], pa.int64()), pa.array([row["held_out"]] * len(sizes)), pa.array(sizes + 1),
+                   pa.array(n_known), pa.array(np.full(len(sizes), n, np.int64)), pa.array(base), pa.array(found)]
+        return pa.Table.from_arrays(columns, schema=out)
+
+    out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
+                     ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()),
+                     ("score", pa.float64())])
+    return blocks.select("block", "held_out", "doc_ids", "lengths", "words", "places", "ranges").groupBy(
+        "block").cogroup(_answers(numbered, rest, True).groupBy("block")).applyInArrow(
+            score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+                   "base_score double, score double")

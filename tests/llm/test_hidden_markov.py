@@ -137,3 +137,45 @@ def test_emissions_of_words_that_workers_do_not_hold(spark, monkeypatch):
     assert near.keys() == far.keys()
     for i in near:
         assert math.isclose(near[i], far[i], rel_tol=1e-8)
+
+
+def test_rounds_shuffle_words_of_blocks_not_occurrences(spark, monkeypatch):
+    """A block sends a word once a round, whatever it occurs, and scratch of a round goes with it."""
+    monkeypatch.setattr(hmm, "START_ROUNDS", 0)
+    monkeypatch.setattr(hmm, "SETTLED", 1.0)
+    sent, kept, run = [], [], hmm._expected
+
+    def watched(training, model, numbered, tail=None):
+        found = run(training, model, numbered, tail)
+        asked = numbered.where("block is not null").toArrow()
+        sent.append(sum(len(x) // 4 for x in asked["at"].to_pylist()))
+        kept.append(tail.paths)
+        return found
+
+    monkeypatch.setattr(hmm, "_expected", watched)
+    words = [f"w{j}" for j in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(words)) for i in range(100)], "doc_id long, text string").coalesce(1)
+    found = hmm.score_documents(docs, local_words=0, states=2, rounds=3).collect()
+    assert len(found) == 100 and np.isfinite([r.score for r in found]).all()
+    assert sent == [600] * 3  # a block of training and one of held-out texts
+    assert kept[0] == [] and kept[1] != kept[2]
+    files = spark._jvm.org.apache.hadoop.fs.Path(kept[1][0])
+    assert not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files)
+
+
+def test_blocks_and_ranges_change_no_score(spark, monkeypatch):
+    """Many blocks and ranges give what one block gives, with words of one or many blocks or never taught."""
+    monkeypatch.setattr(hmm, "START_ROUNDS", 0)
+    monkeypatch.setattr(hmm, "SETTLED", 1.0)
+    rng = np.random.default_rng(5)
+    lines = [(i, " ".join(f"v{int(x)}" for x in rng.zipf(1.3, 40 + i) % 5000)) for i in range(80)]
+    docs = spark.createDataFrame([*lines, (81, None), (None, "v1 v1"), (81, "")], "doc_id long, text string").coalesce(1)
+    scores = []
+    for block, size, local in ((1 << 22, 1 << 16, 10_000), (200, 16, 20), (1 << 22, 16, 0)):  # one part, two, one
+        monkeypatch.setattr(hmm, "BLOCK", block)
+        monkeypatch.setattr(hmm, "RANGE", size)
+        monkeypatch.setattr(hmm, "LOCAL_RANGE", size)
+        rows = hmm.score_documents(docs, states=3, local_words=local, rounds=3).collect()
+        scores.append(sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.base_score, r.score) for r in rows))
+    for other in scores[1:]:
+        assert len(other) == 83 and np.allclose(other, scores[0], rtol=1e-8)
