@@ -14,6 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabweave.llm import native
 from tabweave.llm.common import by_slices, drop_at_exit, fold, identified, park, shuffles_removed, utf8
 from tabweave.llm.memory import _Known
 from tabweave.sources.scratch import fresh_path
@@ -30,7 +31,6 @@ SLICE = 8 << 20         # bytes of text that a step holds at once
 BLOCK = 4 << 20         # tokens of the texts of a block, at least, if its task has so many
 RANGE = 1 << 16         # words beyond the commonest whose emissions are one row, about
 LOCAL_RANGE = 1 << 13   # of the commonest words
-PARTS = 2               # of a round over more than 4 BLOCK tokens, one after the other: less scratch at once
 
 
 @dataclass
@@ -100,7 +100,7 @@ class Model:
         return out
 
     def expect(self, texts: list[np.ndarray]) -> Expected:
-        """Expected counts of Baum-Welch over some texts."""
+        """Expected counts of Baum-Welch over some texts; rounds have the same from native.py."""
         total = Expected.zero(*self.emit.shape)
         emit = np.zeros(self.emit.shape[::-1])
         for _, symbols, running in self.groups(texts):
@@ -155,22 +155,24 @@ class Expected:
         """
         used = self.emit.sum(axis=0) + (tail.sums if tail else 0.0)
         even = 0.5 * used / used.sum()
-        emit = self.emit + 2.0 * shares[:, None] + even
+        emit = self.emit + 2.0 * shares[:, None]
+        emit += even
         total = emit.sum(axis=0)
         if tail:
             total = total + tail.sums + 2.0 * tail.share + even * tail.count
             tail.even, tail.total = even, total
         move, start = self.move + 0.1, self.start + 0.1
-        return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / total)
+        return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), np.divide(emit, total, out=emit))
 
 
 @dataclass
 class Tail:
     """The training words that workers do not hold, dealt into ranges by hash.
 
-    ``rows`` (range, counts) are their expected emissions, (words of the range, states)
-    doubles, which add up over the rows of a range; ``sums`` those of all by state, ``count`` how many words they are, ``share``
-    their part of all smoothed counts, which add up to ``whole``.
+    ``rows`` are what blocks have sent (ROUND): ``far`` the expected emissions, (words, states)
+    doubles, of a block's words in a range that other blocks have too, ``own`` of those that
+    no other block has, which stay with it.  ``sums`` are those of all by state, ``count`` how
+    many words they are, ``share`` their part of all smoothed counts, which add up to ``whole``.
     """
 
     rows: DataFrame
@@ -181,14 +183,13 @@ class Tail:
     whole: float
     even: np.ndarray | None = None
     total: np.ndarray | None = None
+    first: str | None = None  # the path of rows before the first round
 
     def chances(self):
         """A function from expected emissions to the chances of each word by state."""
         even, total, whole = self.even, self.total, self.whole
 
         def each(counts: np.ndarray) -> np.ndarray:
-            if even is None:  # before the first round the rows are shares with noise
-                return counts / total
             # the chances of states add up to 1, so the sum is the word's count
             return (counts + 2.0 / whole * (counts.sum(axis=1, keepdims=True) + 0.5) + even) / total
 
@@ -248,8 +249,8 @@ def commonest(counts: DataFrame, limit: int) -> list[tuple[bytes, int]]:
         total, least = total + n, at
     if least is None:
         return []
-    rows = words.where(step >= least).select("token", "c").collect()
-    return sorted(((bytes(r.token), r.c) for r in rows), key=lambda x: (-x[1], x[0]))
+    rows = words.where(step >= least).select("token", "c").toArrow()
+    return sorted(zip(rows["token"].to_pylist(), rows["c"].to_pylist()), key=lambda x: (-x[1], x[0]))
 
 
 BLOCKS = ("block long, held_out boolean, doc_ids array<long>, lengths array<int>, words binary, places binary, "
@@ -303,31 +304,29 @@ def _blocks(rows: DataFrame, words: list[tuple[bytes, int]], ranges: int, bucket
         for held in list(open_blocks):
             yield closed(held)
 
-    path, name = fresh_path(spark, "blocks"), f"blocks_{uuid.uuid4().hex}"
-    rows.select("doc_id", "text", "held_out").mapInArrow(run, BLOCKS).repartition(buckets, "block").write.bucketBy(
-        buckets, "block").sortBy("block").option("path", path).option("compression", "zstd").saveAsTable(name)
-    drop_at_exit(spark, path)
-    found = spark.table(name)
-    spark.sql(f"drop table {name}")  # the files stay, and so does what reads them
+    found, _ = _bucketed(rows.select("doc_id", "text", "held_out").mapInArrow(run, BLOCKS).repartition(
+        buckets, "block"), buckets, "blocks", "zstd")
     shared.destroy()
     return found
 
 
-def _parts(blocks: DataFrame, buckets: int, parts: int) -> list[DataFrame]:
-    """The blocks in parts of whole buckets; a filter on their numbers spares reading the other buckets."""
-    if parts == 1:
-        return [blocks]
-    bucket = F.pmod(F.hash("block"), F.lit(buckets))
-    found = sorted((r.bucket, r.block) for r in blocks.select("block", bucket.alias("bucket")).collect())
-    numbers = [[int(b) for _, b in found[k * len(found) // parts:(k + 1) * len(found) // parts]] for k in range(parts)]
-    return [blocks.where(F.col("block").isin(x)) for x in numbers if x]
+def _bucketed(rows: DataFrame, buckets: int, label: str, compression: str) -> tuple[DataFrame, str]:
+    """Rows written to the shared folder in buckets by block, and the path."""
+    spark = rows.sparkSession
+    path, name = fresh_path(spark, label), f"{label}_{uuid.uuid4().hex}"
+    rows.write.bucketBy(buckets, "block").sortBy("block").option("path", path).option(
+        "compression", compression).option("parquet.enable.dictionary", "false").saveAsTable(name)
+    drop_at_exit(spark, path)
+    found = spark.table(name)
+    spark.sql(f"drop table {name}")  # the files stay, and so does what reads them
+    return found, path
 
 
 def _numbered(blocks: DataFrame) -> DataFrame:
-    """(range, block, at, c): what the words of each range are to each block.
+    """(range, block, held_out, at, c): what the words of each range are to each block.
 
     ``at`` has the rows of a block's words in their range, -1 for those that training lacks,
-    ``c`` their counts in training.  A row without block has the hashes and counts of a
+    -2 for those that no other block has, ``c`` their counts in training.  A row without block has the hashes and counts of a
     range's words.
     """
 
@@ -349,18 +348,20 @@ def _numbered(blocks: DataFrame) -> DataFrame:
         n = np.concatenate([np.frombuffer(x, np.int64) for x in rows["n"].to_pylist()])
         taught = np.repeat(~rows["held_out"].to_numpy(zero_copy_only=False), sizes)
         c = np.bincount(which[taught], n[taught], len(tokens)).astype(np.int64)
-        place = np.where(c > 0, np.cumsum(c > 0) - 1, -1).astype(np.int32)
+        common = (c > 0) & (np.bincount(which, minlength=len(tokens)) > 1)  # a block has a word once
+        place = np.where(common, np.cumsum(common) - 1, np.where(c > 0, -2, -1)).astype(np.int32)
         cuts, blocks = np.cumsum(sizes)[:-1], rows["block"].to_pylist()
         own = hashed([t for t, x in zip(tokens, c.tolist()) if x])
         return pa.table({
             "range": pa.array([rows["range"][0].as_py()] * (len(blocks) + 1), pa.int32()),
             "block": pa.array([*blocks, None], pa.int64()),
+            "held_out": pa.array([*rows["held_out"].to_pylist(), None], pa.bool_()),
             "at": pa.array([*(x.tobytes() for x in np.split(place[which], cuts)), own.tobytes()], pa.binary()),
             "c": pa.array([*(x.tobytes() for x in np.split(c[which], cuts)), c[c > 0].tobytes()], pa.binary())})
 
     return park(blocks.select("block", "held_out", "ranges", "tail", "counts").mapInArrow(
         dealt, "range int, block long, held_out boolean, tail array<binary>, n binary").groupBy("range").applyInArrow(
-            number, "range int, block long, at binary, c binary"), "numbered")
+            number, "range int, block long, held_out boolean, at binary, c binary"), "numbered")
 
 
 def _by_range(ranges: bytes) -> Iterator[tuple[int, np.ndarray]]:
@@ -371,29 +372,63 @@ def _by_range(ranges: bytes) -> Iterator[tuple[int, np.ndarray]]:
         yield int(of[at[0]]), at
 
 
-def _answers(numbered: DataFrame, tail: Tail | None, counted: bool) -> DataFrame:
-    """(block, range, at, c, chances): the emissions of each block's words, and if counted their counts."""
-    asked = numbered.where("block is not null").select(
-        "range", "block", "at", F.col("c") if counted else F.lit(None).cast("binary").alias("c"))
+ROUND = "block long, range int, at binary, near binary, far binary, own binary, mask binary"
+
+
+def _begun(training: DataFrame, numbered: DataFrame, buckets: int, whole: float, states: int) -> tuple[DataFrame, str]:
+    """The rows of ROUND before the first: shares with noise of each block's further words, and which are its own."""
+
+    def begin(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return out.empty_table()
+        row = rows.to_pylist()[0]
+        c, at, which = *_joined(row["ranges"], asked.to_pylist()), hashed(row["tail"])
+        own = (c[:, None] + 0.5) / whole * noise(which, states)
+        mask = (at == -2).astype(np.int8)
+        return pa.Table.from_pylist([{"block": row["block"], "own": own.tobytes(), "mask": mask.tobytes()}], out)
+
+    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
+    out = pa.schema([(x.split()[0], kind) for x, kind in zip(ROUND.split(", "), kinds)])
+    asked = numbered.where("block is not null and not held_out").select("block", "range", "at", "c")
+    return _bucketed(training.select("block", "ranges", "tail").groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(
+        begin, ROUND), buckets, "emissions", "uncompressed")
+
+
+def _joined(ranges: bytes, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts in training and places of a block's further words, in order."""
+    n = len(ranges) // 4
+    c, at, which = np.zeros(n, np.int64), np.full(n, -1, np.int32), dict(_by_range(ranges))
+    for x in answers:
+        c[which[x["range"]]], at[which[x["range"]]] = np.frombuffer(x["c"], np.int64), np.frombuffer(x["at"], np.int32)
+    return c, at
+
+
+def _answers(numbered: DataFrame, tail: Tail | None, scored: bool) -> DataFrame:
+    """(block, range, at, c, sums): expected emissions of the words that each block shares with others.
+
+    To be scored, all blocks have answers, with places and counts too, else those of training.
+    """
+    asked = numbered.where("block is not null" if scored else "block is not null and not held_out").select(
+        "range", "block", "at", F.col("c") if scored else F.lit(None).cast("binary").alias("c"))
     if tail is None:
-        asked = asked if counted else asked.where("false")
-        return asked.withColumn("chances", F.lit(None).cast("binary"))
-    each, states = tail.chances(), len(tail.sums)
+        return asked.withColumn("sums", F.lit(None).cast("binary"))
+    states = len(tail.sums)
 
     def answer(held: pa.Table, asked: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x).reshape(-1, states) for x in held["counts"].to_pylist()]
-        counts = np.zeros((max(map(len, parts), default=0), states))
-        for x in parts:
-            counts[:len(x)] += x
-        e = each(counts)
-        e = np.vstack([e, np.zeros((1, states))])  # where the place is -1, training lacks the word
-        found = [e[np.frombuffer(at, np.int32)].tobytes() for at in asked["at"].to_pylist()]
-        return asked.append_column("chances", pa.array(found, pa.binary())).select(
-            ["block", "range", "at", "c", "chances"])
-
-    held = tail.rows.where("range >= 0").select("range", "counts")
+        at = [np.frombuffer(x, np.int32) for x in asked["at"].to_pylist()]
+        at = [x[x >= 0] for x in at]
+        of = dict(zip(asked["block"].to_pylist(), at))
+        sums = np.zeros((max((int(x.max(initial=-1)) for x in at), default=-1) + 1, states))
+        for block, rows in zip(held["block"].to_pylist(), held["far"]):
+            sums[of[block]] += np.frombuffer(rows.as_buffer()).reshape(-1, states)  # a block has a word once
+        found = pa.array([sums[x].tobytes() for x in at], pa.binary())
+        if not scored:
+            asked = asked.set_column(asked.schema.get_field_index("at"), "at", pa.nulls(len(at), pa.binary()))
+        return asked.append_column("sums", found).select(["block", "range", "at", "c", "sums"])
+
+    held = tail.rows.where("far is not null").select("range", "block", "far")
     return held.groupBy("range").cogroup(asked.groupBy("range")).applyInArrow(
-        answer, "block long, range int, at binary, c binary, chances binary")
+        answer, "block long, range int, at binary, c binary, sums binary")
 
 
 @dataclass
@@ -403,115 +438,107 @@ class Block:
     model: Model
     texts: list[np.ndarray]
     places: np.ndarray      # of the words in the model that workers hold
-    far: list[tuple[int, np.ndarray, np.ndarray]]  # range, words of the block, their rows in the range
     c: np.ndarray           # counts in training of the words that workers do not hold, else 0
 
     @classmethod
-    def of(cls, row: dict, answers: list[dict], model: Model) -> Block:
+    def of(cls, row: dict, answers: list[dict], model: Model, chances) -> Block:
+        """``chances`` are those of a tail, none without."""
         states, symbols = len(model.start), len(model.emit) - 2
         places = np.frombuffer(row["places"], np.int32)
         emit = model.emit[np.append(np.where(places < 0, symbols, np.minimum(places, symbols)), symbols + 1)]
-        c, far = np.zeros(len(places), np.int64), []
-        beyond = np.flatnonzero(places < 0)
-        which = dict(_by_range(row["ranges"])) if answers else {}
-        for x in answers:
-            here, at = beyond[which[x["range"]]], np.frombuffer(x["at"], np.int32)
-            if x["c"] is not None:
-                c[here] = np.frombuffer(x["c"], np.int64)
-            if x["chances"] is not None:
-                e = np.frombuffer(x["chances"]).reshape(-1, states)
-                emit[here[at >= 0]] = e[at >= 0]
-                far.append((x["range"], here, at))
+        c, beyond = np.zeros(len(places), np.int64), np.flatnonzero(places < 0)
+        c[beyond], at = _joined(row["ranges"], answers)
+        if chances:
+            which = dict(_by_range(row["ranges"]))
+            for x in answers:
+                here = which[x["range"]]
+                emit[beyond[here[at[here] >= 0]]] = chances(np.frombuffer(x["sums"]).reshape(-1, states))
+            if row["own"] is not None:
+                emit[beyond[at == -2]] = chances(np.frombuffer(row["own"]).reshape(-1, states))
         words, end = np.frombuffer(row["words"], np.int32), len(places)
         cuts = np.cumsum(row["lengths"])
         texts = [np.append(t, end) for t in np.split(words, cuts[:-1])]
-        return cls(Model(model.start, model.move, emit), texts, places, far, c)
+        return cls(Model(model.start, model.move, emit), texts, places, c)
+
 
+SUMS = "range int, counts binary"
 
-def _message(range: int, at: np.ndarray, rows: np.ndarray) -> dict:
-    return {"range": range, "at": at.astype(np.int32).tobytes(), "counts": rows.tobytes()}
 
+@dataclass
+class Training:
+    """The training blocks, and in how many buckets their table is."""
 
-SUMS = "range int, counts binary, sums array<double>"
-MESSAGE = pa.schema([("range", pa.int32()), ("at", pa.binary()), ("counts", pa.binary())])
+    blocks: DataFrame
+    buckets: int
 
 
-def _expected(training: list[DataFrame], model: Model, numbered: DataFrame, tail: Tail | None = None) -> tuple[Expected, Tail | None]:
-    """One round over all training blocks, a part of them at a time, which send the sums of their words to the words' ranges.
+def _expected(training: Training, model: Model, numbered: DataFrame, tail: Tail | None = None) -> tuple[Expected, Tail | None]:
+    """One round over all training blocks, which send the sums of the words that they share to the words' ranges.
 
     Ranges below zero are of the words that workers hold; the lowest has the moves, the
-    starts and the likelihood.  The others stay in a table.
+    starts, the likelihood and the sums of the others, which stay in a table.
     """
     spark = numbered.sparkSession
-    shared = spark.sparkContext.broadcast(model)
     size, states = model.emit.shape
     lowest = -2 - size // LOCAL_RANGE
-
-    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return MESSAGE.empty_table()
-        block = Block.of(rows.to_pylist()[0], answers.to_pylist(), shared.value)
-        found, sent = block.model.expect(block.texts), []
-        for k, here, at in block.far:
-            sent.append(_message(k, at, found.emit[here]))
-        near = np.append(block.places >= 0, True) if block.far else np.ones(len(block.places) + 1, bool)
-        symbol = np.append(np.where(block.places < 0, size - 2, np.minimum(block.places, size - 2)), size - 1)[near]
-        order = np.argsort(symbol, kind="stable")
-        begins = np.flatnonzero(np.diff(symbol[order], prepend=-1))
-        sums, symbol = np.add.reduceat(found.emit[near][order], begins), symbol[order][begins]
-        of = symbol // LOCAL_RANGE
-        for part in np.split(np.arange(len(of)), np.flatnonzero(np.diff(of)) + 1):
-            sent.append(_message(-1 - int(of[part[0]]), symbol[part] % LOCAL_RANGE, sums[part]))
-        whole = np.vstack([found.move, found.start, np.full(states, found.likelihood / states)])
-        sent.append(_message(lowest, np.arange(len(whole)), whole))
-        return pa.Table.from_pylist(sent, MESSAGE)
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"mask": "binary", "own": "binary", "answers": "array<struct<range:int,sums:binary>>"}
+    none = {name: F.lit(None).cast(kind) for name, kind in kinds.items()}
+    blocks = training.blocks.select("block", "words", "lengths", "places", "ranges")
+    if tail:
+        blocks = blocks.join(tail.rows.where("own is not null").select("block", "own", "mask"), "block")
+        del none["own"], none["mask"]
+    if tail and tail.even is not None:
+        answers = _answers(numbered, tail, False).repartition(training.buckets, "block").groupBy("block").agg(
+            F.collect_list(F.struct("range", "sums")).alias("answers"))
+        blocks = blocks.join(answers, "block", "left")
+        del none["answers"]
+    even, total, prior = np.zeros(states), np.ones(states), 0.0  # before the first round, rows are shares with noise
+    if tail:
+        total = tail.total
+        if tail.even is not None:
+            even, prior = tail.even, 2.0 / tail.whole
+    expect = native.Rounds(spark, model, even, total, prior, LOCAL_RANGE, lowest, SCALED)
+    rows, path = _bucketed(blocks.select("block", F.inline(expect(
+        "words", "lengths", "places", "ranges", *(none.get(x, F.col(x)) for x in kinds)))),
+        training.buckets, "emissions", "uncompressed")
+    expect.destroy()
+    for before in [*tail.paths, tail.first] if tail else ():
+        if before:
+            _dropped(spark, before)
+
+    def total_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, at, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                at = np.frombuffer(at, np.int32)
-                rows = np.frombuffer(counts).reshape(-1, states)
+            for k, at, near in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                at = np.frombuffer(at.as_buffer(), np.int32)
                 now, most = sums.get(k, np.zeros((0, states))), int(at.max()) + 1
                 if most > len(now):
                     now = np.vstack([now, np.zeros((most - len(now), states))])
-                now[at] += rows  # a block sends each word once
+                now[at] += np.frombuffer(near.as_buffer()).reshape(-1, states)  # a block sends each word once
                 sums[k] = now
         for k, x in sums.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary()),
-                 pa.array([x.sum(axis=0).tolist()], pa.list_(pa.float64()))], ["range", "counts", "sums"])
-
-    columns = ["block", "lengths", "words", "places", "ranges"]
-    paths, found, sums = [], Expected.zero(size, states), np.zeros(states)
-    for part in training:
-        paths.append(fresh_path(spark, "emissions"))
-        part.select(columns).groupBy("block").cogroup(_answers(numbered, tail, False).groupBy("block")).applyInArrow(
-            run, "range int, at binary, counts binary").repartition("range").mapInArrow(
-                total, SUMS).write.parquet(paths[-1])
-        drop_at_exit(spark, paths[-1])
-        near = spark.read.schema(SUMS).parquet(paths[-1]).select(
-            "range", F.when(F.col("range") < 0, F.col("counts")).alias("counts"), "sums").toArrow()
-        for k, counts, own in zip(*(c.to_pylist() for c in near.columns)):  # LOCAL_WORDS words, a few sums a range
-            if k >= 0:
-                sums += own
-                continue
-            x = np.frombuffer(counts).reshape(-1, states)
-            if k == lowest:
-                found.move += x[:states]
-                found.start += x[states]
-                found.likelihood += float(x[-1].sum())
-            else:
-                found.emit[(-1 - k) * LOCAL_RANGE:][:len(x)] += x
-    shared.destroy()
-    for path in tail.paths if tail else paths:
-        _dropped(spark, path)
+                [pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["range", "counts"])
+
+    found, sums = Expected.zero(size, states), np.zeros(states)
+    near = rows.where("near is not null").select("range", "at", "near").repartition("range").mapInArrow(
+        total_of, SUMS).toArrow()  # LOCAL_WORDS words
+    for k, counts in zip(near["range"].to_pylist(), near["counts"]):
+        x = np.frombuffer(counts.as_buffer()).reshape(-1, states)
+        if k == lowest:
+            found.move += x[:states]
+            found.start += x[states]
+            found.likelihood += float(x[states + 1].sum())
+            sums += x[states + 2]
+        else:
+            found.emit[(-1 - k) * LOCAL_RANGE:][:len(x)] += x
     if tail is None:
+        _dropped(spark, path)
         return found, None
-    return found, Tail(spark.read.schema(SUMS).parquet(*paths), paths, sums, tail.count, tail.share, tail.whole)
+    return found, Tail(rows, [path], sums, tail.count, tail.share, tail.whole)
 
 
-def train(training: list[DataFrame], numbered: DataFrame, tokens: list[bytes], counts: np.ndarray, states: int, rounds: int,
+def train(training: Training, numbered: DataFrame, tokens: list[bytes], counts: np.ndarray, states: int, rounds: int,
           further: tuple[int, int] | None = None) -> tuple[Model, Tail | None]:
     """Baum-Welch over all training documents, from the symbols' shares, until the likelihood settles.
 
@@ -527,15 +554,14 @@ def train(training: list[DataFrame], numbered: DataFrame, tokens: list[bytes], c
 
         def shares_with_noise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for k, hashes, c in zip(*(x.to_pylist() for x in batch.columns)):
+                for hashes, c in zip(*(x.to_pylist() for x in batch.columns)):
                     x = (np.frombuffer(c, np.int64)[:, None] + 0.5) / whole * noise(np.frombuffer(hashes, np.uint64), states)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary()),
-                         pa.array([x.sum(axis=0).tolist()], pa.list_(pa.float64()))], ["range", "counts", "sums"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x.sum(axis=0).tolist()], pa.list_(pa.float64()))], ["sums"])
 
-        begin = numbered.where("block is null").select("range", "at", "c").mapInArrow(shares_with_noise, SUMS)
-        sums = sum((np.array(r.sums) for r in begin.select("sums").toLocalIterator()), np.zeros(states))
-        rest = Tail(begin, [], sums, count, share / whole, whole)
+        begin = numbered.where("block is null").select("at", "c").mapInArrow(shares_with_noise, "sums array<double>")
+        sums = sum((np.array(r.sums) for r in begin.toLocalIterator()), np.zeros(states))
+        rows, first = _begun(training.blocks, numbered, training.buckets, whole, states)
+        rest = Tail(rows, [], sums, count, share / whole, whole, first=first)
     shares = counts / whole
     emit = shares[:, None] * noise(hashed(tokens), states)
     total = emit.sum(axis=0) + (rest.sums if rest else 0.0)
@@ -593,13 +619,14 @@ def score_documents(
     # the words that workers do not hold
     further = (n_words - len(words), n - ends - sum(c for _, c in words)) if tail_symbols else None
     ranges = max(1, -(-(n_words - len(words)) // RANGE))
-    buckets, parts = 1 + n // (BLOCK // 4), PARTS if n > 4 * BLOCK else 1
+    buckets = 1 + n // (BLOCK // 4)
+    rows = rows.coalesce(max(1, -(-n // BLOCK)))  # fewer, larger blocks send less
     with shuffles_removed(spark):
         blocks = _blocks(rows, words, ranges, buckets)
         numbered = _numbered(blocks)
-        taught = _parts(blocks.where("not held_out"), buckets, parts)
-        model, rest = train(taught, numbered, [w for w, _ in words[:symbols]] + [b"", END],
+        model, rest = train(Training(blocks.where("not held_out"), buckets), numbered, [w for w, _ in words[:symbols]] + [b"", END],
                             smoothed, states, rounds, further)
+    chances = rest.chances() if rest else None
     shared = spark.sparkContext.broadcast((model, np.array([c for _, c in words], np.int64)))
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
@@ -607,7 +634,7 @@ def score_documents(
             return out.empty_table()
         model, local = shared.value
         row = rows.to_pylist()[0]
-        block = Block.of(row, answers.to_pylist(), model)
+        block = Block.of(row, answers.to_pylist(), model, chances)
         c = np.where(block.places < 0, block.c, np.append(local, 0)[block.places])
         known, logs = c > 0, np.log10(c + 0.5)
         other = (block.places < 0) | (block.places >= symbols)
@@ -626,7 +653,9 @@ def score_documents(
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
                      ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()),
                      ("score", pa.float64())])
-    return blocks.select("block", "held_out", "doc_ids", "lengths", "words", "places", "ranges").groupBy(
-        "block").cogroup(_answers(numbered, rest, True).groupBy("block")).applyInArrow(
-            score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-                   "base_score double, score double")
+    blocks = blocks.select("block", "held_out", "doc_ids", "lengths", "words", "places", "ranges")
+    if rest:
+        blocks = blocks.join(rest.rows.where("own is not null").select("block", "own"), "block", "left")
+    return blocks.groupBy("block").cogroup(_answers(numbered, rest, True).groupBy("block")).applyInArrow(
+        score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+               "base_score double, score double")

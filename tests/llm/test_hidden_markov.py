@@ -179,3 +179,55 @@ def test_blocks_and_ranges_change_no_score(spark, monkeypatch):
         scores.append(sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.base_score, r.score) for r in rows))
     for other in scores[1:]:
         assert len(other) == 83 and np.allclose(other, scores[0], rtol=1e-8)
+
+
+@pytest.mark.parametrize("states", [3, 8])
+def test_rounds_in_java_equal_numpy(spark, states):
+    """With vectors (8 states) and without, over empty, short and long texts."""
+    from pyspark.sql import functions as F
+
+    from tabweave.llm import native
+
+    rng, size, end = np.random.default_rng(states), 40, 39
+    model = random_model(rng, size, states)
+    texts = [rng.integers(0, 38, n).astype(np.int32) for n in (0, 1, 7, 8, 300, 4094, 4095, 4096, 9001, 0)]
+    expect = native.Rounds(spark, model, np.zeros(states), np.ones(states), 0.0, 16, -9, hmm.SCALED)
+    row = (np.concatenate(texts).tobytes(), [len(t) for t in texts], np.arange(38, dtype=np.int32).tobytes())
+    kinds = ("binary", "binary", "binary", "array<struct<range:int,sums:binary>>")
+    rows = spark.createDataFrame([row], "words binary, lengths array<int>, places binary").select(F.inline(expect(
+        "words", "lengths", "places", *(F.lit(None).cast(kind) for kind in kinds)))).collect()
+    expect.destroy()
+    found = hmm.Expected.zero(size, states)
+    for r in rows:
+        x, at = np.frombuffer(r.near).reshape(-1, states), np.frombuffer(r.at, np.int32)
+        if r.range == -9:
+            found.move, found.start, found.likelihood = x[:states], x[states], x[states + 1].sum()
+        else:
+            found.emit[(-1 - r.range) * 16 + at] = x
+    exact = model.expect([np.append(t, end) for t in texts])
+    for name in ("start", "move", "emit", "likelihood"):
+        assert np.allclose(getattr(found, name), getattr(exact, name), rtol=1e-9)
+
+
+def test_words_of_one_block_are_not_exchanged(spark, monkeypatch):
+    """Only words of several blocks go to ranges, and only training blocks get answers in a round."""
+    monkeypatch.setattr(hmm, "START_ROUNDS", 0)
+    monkeypatch.setattr(hmm, "SETTLED", 1.0)
+    monkeypatch.setattr(hmm, "BLOCK", 50)
+    sent, answered, run = [], [], hmm._expected
+
+    def watched(training, model, numbered, tail=None):
+        found, tail = run(training, model, numbered, tail)
+        rows = tail.rows.select("far", "own").toArrow()
+        sent.append([sum(len(x) // 16 for x in rows[c].to_pylist() if x) for c in ("far", "own")])
+        answered.append(hmm._answers(numbered, tail, False).select("block").distinct().count())
+        return found, tail
+
+    monkeypatch.setattr(hmm, "_expected", watched)
+    taught = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 != 1][:4]
+    other = next(i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1)
+    lines = [(i, " ".join(["both one", *(f"w{i}x{j}" for j in range(60))])) for i in taught] + [(other, "both far")]
+    docs = spark.createDataFrame(lines, "doc_id long, text string").coalesce(1)
+    found = hmm.score_documents(docs, local_words=0, states=2, rounds=2).collect()
+    assert len(found) == 5 and np.isfinite([r.score for r in found]).all()
+    assert sent == [[8, 240]] * 2 and answered == [4] * 2
