@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.llm import native
-from tabweave.llm.common import by_slices, drop_at_exit, fold, identified, park, shuffles_removed, utf8
+from tabweave.llm.common import binary_column, by_slices, drop_at_exit, fold, identified, park, shuffles_removed, utf8
 from tabweave.llm.memory import _Known
 from tabweave.sources.scratch import fresh_path
 
@@ -28,7 +28,7 @@ SETTLED = 1e-4          # training ends when a round raises the log-likelihood b
 GROUP = 1 << 18         # tokens of the texts that a step of the recursions holds at once
 SCALED = 8              # steps between scalings; so many chances multiplied stay far from the smallest double
 SLICE = 8 << 20         # bytes of text that a step holds at once
-BLOCK = 4 << 20         # tokens of the texts of a block, at least, if its task has so many
+BLOCK = 6 << 20         # tokens of the texts of a block, at least, if its task has so many
 RANGE = 1 << 16         # words beyond the commonest whose emissions are one row, about
 LOCAL_RANGE = 1 << 13   # of the commonest words
 
@@ -169,13 +169,14 @@ class Expected:
 class Tail:
     """The training words that workers do not hold, dealt into ranges by hash.
 
-    ``rows`` are what blocks have sent (ROUND): ``far`` the expected emissions, (words, states)
-    doubles, of a block's words in a range that other blocks have too, ``own`` of those that
-    no other block has, which stay with it.  ``sums`` are those of all by state, ``count`` how
+    Expected emissions are (words, states) doubles: in ``rows`` (range, block, far) those of a
+    block's words in a range that other blocks have too, in ``own`` (block, own, mask) of those
+    that no other block has, which stay with it.  ``sums`` are those of all by state, ``count`` how
     many words they are, ``share`` their part of all smoothed counts, which add up to ``whole``.
     """
 
-    rows: DataFrame
+    rows: DataFrame | None
+    own: DataFrame
     paths: list[str]
     sums: np.ndarray
     count: int
@@ -218,16 +219,27 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()  # of bytes: A-Z only, and ASCII white space only
 
 
+def tokenized(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """``words_of`` of many texts end to end, and how many each has."""
+    flat, offsets = binary_column(texts)
+    plain = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(flat))  # any bytes
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+    words, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    some = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at either end gives an empty one
+    sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[some], minlength=len(sizes))
+    return words.filter(pa.array(some)).cast(pa.large_binary()).dictionary_encode(), sizes
+
+
 def token_counts(texts: DataFrame) -> DataFrame:
     """(token, c) of all words and of the ends of (doc_id, text), counted in the tasks first."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts: Counter[bytes] = Counter()
-        for text in batch.column(1).to_pylist():
-            counts.update(words_of(text))
-        counts[END] += batch.num_rows
+        words, _ = tokenized(batch.column(1))
+        tokens = words.dictionary.cast(pa.binary())
+        counts = np.bincount(words.indices.to_numpy(), minlength=len(tokens))
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "c"])
+            [pa.concat_arrays([tokens, pa.array([END], pa.binary())]),
+             pa.array(np.append(counts, batch.num_rows).astype(np.int64))], ["token", "c"])
 
     return texts.mapInArrow(by_slices(step, SLICE), "token binary, c long").groupBy("token").agg(
         F.sum("c").alias("c"))
@@ -267,23 +279,23 @@ def _blocks(rows: DataFrame, words: list[tuple[bytes, int]], ranges: int, bucket
     read it without a shuffle.
     """
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(words)  # at most LOCAL_WORDS
+    shared = spark.sparkContext.broadcast(b" ".join(w for w, _ in words))  # at most LOCAL_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local = {w: i for i, (w, _) in enumerate(shared.value)}
+        local = {w: i for i, w in enumerate(shared.value.split())}
         first, made = TaskContext.get().partitionId() << 33, 0
-        open_blocks: dict[bool, tuple[_Known, list, list, int]] = {}
+        open_blocks: dict[bool, tuple[_Known, list, list, list, int]] = {}
 
         def closed(held: bool) -> pa.RecordBatch:
             nonlocal made
-            known, ids, texts, _ = open_blocks.pop(held)
+            known, ids, lengths, texts, _ = open_blocks.pop(held)
             vocabulary = list(known)
             at = np.fromiter((local.get(w, -1) for w in vocabulary), np.int32, len(vocabulary))
             numbers = np.concatenate(texts)
             tail = [vocabulary[i] for i in np.flatnonzero(at < 0).tolist()]
             dealt = np.fromiter((xxhash.xxh64_intdigest(w, 7) % ranges for w in tail), np.int32, len(tail))
             counts = np.bincount(numbers, minlength=len(at))[at < 0].astype(np.int64)
-            row = [first + made, held, ids, [len(t) for t in texts], numbers.tobytes(), at.tobytes(),
+            row = [first + made, held, ids, lengths, numbers.tobytes(), at.tobytes(),
                    dealt.tobytes(), tail, counts.tobytes()]
             made += 1
             kinds = [pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(),
@@ -291,16 +303,30 @@ def _blocks(rows: DataFrame, words: list[tuple[bytes, int]], ranges: int, bucket
             names = ["block", "held_out", "doc_ids", "lengths", "words", "places", "ranges", "tail", "counts"]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
 
-        for batch in batches:
-            for i, text, held in zip(*map(batch.column, range(3))):
-                i, text, held = i.as_py(), text.as_py(), held.as_py()
-                known, ids, texts, n = open_blocks.get(held) or (_Known(), [], [], 0)
-                found = words_of(text)
-                ids.append(i)
-                texts.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
-                open_blocks[held] = known, ids, texts, n + len(found) + 1
-                if n + len(found) + 1 >= BLOCK:
-                    yield closed(held)
+        def numbered(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for held in (False, True):
+                part = batch.filter(pc.equal(batch.column(2), held))
+                words, sizes = tokenized(part.column(1))
+                ids, at, tokens = part.column(0).to_pylist(), words.indices.to_numpy(), words.dictionary.to_pylist()
+                ends, cuts, begin = np.cumsum(sizes + 1), np.append(0, np.cumsum(sizes)), 0
+                while begin < len(ids):
+                    known, own, lengths, texts, n = open_blocks.get(held) or (_Known(), [], [], [], 0)
+                    enough = int(np.searchsorted(ends, BLOCK - n + (ends[begin - 1] if begin else 0)))
+                    stop = min(enough + 1, len(ids))
+                    here = at[cuts[begin]:cuts[stop]]
+                    number = np.zeros(len(tokens), np.int32)
+                    for i in np.flatnonzero(np.bincount(here)).tolist():
+                        number[i] = known[tokens[i]]
+                    texts.append(number[here])
+                    own += ids[begin:stop]
+                    lengths += sizes[begin:stop].tolist()
+                    open_blocks[held] = known, own, lengths, texts, n + len(here) + stop - begin
+                    begin = stop
+                    if open_blocks[held][-1] >= BLOCK:
+                        yield closed(held)
+
+        for part in by_slices(lambda x: x, SLICE)(batches):
+            yield from numbered(part)
         for held in list(open_blocks):
             yield closed(held)
 
@@ -314,7 +340,8 @@ def _bucketed(rows: DataFrame, buckets: int, label: str, compression: str) -> tu
     """Rows written to the shared folder in buckets by block, and the path."""
     spark = rows.sparkSession
     path, name = fresh_path(spark, label), f"{label}_{uuid.uuid4().hex}"
-    rows.write.bucketBy(buckets, "block").sortBy("block").option("path", path).option(
+    writer = rows.write.partitionBy("kind") if "kind" in rows.columns else rows.write
+    writer.bucketBy(buckets, "block").sortBy("block").option("path", path).option(
         "compression", compression).option("parquet.enable.dictionary", "false").saveAsTable(name)
     drop_at_exit(spark, path)
     found = spark.table(name)
@@ -322,6 +349,16 @@ def _bucketed(rows: DataFrame, buckets: int, label: str, compression: str) -> tu
     return found, path
 
 
+def _own(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """(block, own, mask) of what blocks have sent, in buckets; other kinds have folders of their own."""
+    name = f"own_{uuid.uuid4().hex}"
+    spark.sql(f"create table {name} (block long, own binary, mask binary) using parquet clustered by (block) "
+              f"sorted by (block) into {buckets} buckets location '{path}/kind=own'")
+    found = spark.table(name)
+    spark.sql(f"drop table {name}")
+    return found
+
+
 def _numbered(blocks: DataFrame) -> DataFrame:
     """(range, block, held_out, at, c): what the words of each range are to each block.
 
@@ -372,11 +409,8 @@ def _by_range(ranges: bytes) -> Iterator[tuple[int, np.ndarray]]:
         yield int(of[at[0]]), at
 
 
-ROUND = "block long, range int, at binary, near binary, far binary, own binary, mask binary"
-
-
-def _begun(training: DataFrame, numbered: DataFrame, buckets: int, whole: float, states: int) -> tuple[DataFrame, str]:
-    """The rows of ROUND before the first: shares with noise of each block's further words, and which are its own."""
+def _begun(training: Training, numbered: DataFrame, whole: float, states: int) -> tuple[DataFrame, str]:
+    """(block, own, mask) before the first round: shares with noise of each block's further words, and which are its own."""
 
     def begin(rows: pa.Table, asked: pa.Table) -> pa.Table:
         if not rows.num_rows:
@@ -387,11 +421,11 @@ def _begun(training: DataFrame, numbered: DataFrame, buckets: int, whole: float,
         mask = (at == -2).astype(np.int8)
         return pa.Table.from_pylist([{"block": row["block"], "own": own.tobytes(), "mask": mask.tobytes()}], out)
 
-    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
-    out = pa.schema([(x.split()[0], kind) for x, kind in zip(ROUND.split(", "), kinds)])
+    out = pa.schema([("block", pa.int64()), ("own", pa.binary()), ("mask", pa.binary())])
     asked = numbered.where("block is not null and not held_out").select("block", "range", "at", "c")
-    return _bucketed(training.select("block", "ranges", "tail").groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(
-        begin, ROUND), buckets, "emissions", "uncompressed")
+    blocks = training.blocks.select("block", "ranges", "tail")
+    return _bucketed(blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(
+        begin, "block long, own binary, mask binary"), training.buckets, "emissions", "uncompressed")
 
 
 def _joined(ranges: bytes, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
@@ -426,7 +460,7 @@ def _answers(numbered: DataFrame, tail: Tail | None, scored: bool) -> DataFrame:
             asked = asked.set_column(asked.schema.get_field_index("at"), "at", pa.nulls(len(at), pa.binary()))
         return asked.append_column("sums", found).select(["block", "range", "at", "c", "sums"])
 
-    held = tail.rows.where("far is not null").select("range", "block", "far")
+    held = tail.rows.select("range", "block", "far")
     return held.groupBy("range").cogroup(asked.groupBy("range")).applyInArrow(
         answer, "block long, range int, at binary, c binary, sums binary")
 
@@ -462,6 +496,7 @@ class Block:
 
 
 SUMS = "range int, counts binary"
+SENT = "block long, range int, at binary, near binary, far binary, kind string"
 
 
 @dataclass
@@ -485,12 +520,12 @@ def _expected(training: Training, model: Model, numbered: DataFrame, tail: Tail
     none = {name: F.lit(None).cast(kind) for name, kind in kinds.items()}
     blocks = training.blocks.select("block", "words", "lengths", "places", "ranges")
     if tail:
-        blocks = blocks.join(tail.rows.where("own is not null").select("block", "own", "mask"), "block")
+        blocks = blocks.join(tail.own.hint("shuffle_hash"), "block")  # no sort of the blocks
         del none["own"], none["mask"]
     if tail and tail.even is not None:
         answers = _answers(numbered, tail, False).repartition(training.buckets, "block").groupBy("block").agg(
             F.collect_list(F.struct("range", "sums")).alias("answers"))
-        blocks = blocks.join(answers, "block", "left")
+        blocks = blocks.join(answers.hint("shuffle_hash"), "block", "left")
         del none["answers"]
     even, total, prior = np.zeros(states), np.ones(states), 0.0  # before the first round, rows are shares with noise
     if tail:
@@ -498,9 +533,11 @@ def _expected(training: Training, model: Model, numbered: DataFrame, tail: Tail
         if tail.even is not None:
             even, prior = tail.even, 2.0 / tail.whole
     expect = native.Rounds(spark, model, even, total, prior, LOCAL_RANGE, lowest, SCALED)
-    rows, path = _bucketed(blocks.select("block", F.inline(expect(
-        "words", "lengths", "places", "ranges", *(none.get(x, F.col(x)) for x in kinds)))),
-        training.buckets, "emissions", "uncompressed")
+    sent = blocks.select("block", F.inline(expect(
+        "words", "lengths", "places", "ranges", *(none.get(x, F.col(x)) for x in kinds))))
+    kind = F.when(F.col("own").isNotNull(), "own").when(F.col("far").isNotNull(), "far").otherwise("near")
+    _, path = _bucketed(sent.withColumn("kind", kind), training.buckets, "emissions", "uncompressed")
+    rows = spark.read.schema(SENT).parquet(path)
     expect.destroy()
     for before in [*tail.paths, tail.first] if tail else ():
         if before:
@@ -521,7 +558,7 @@ def _expected(training: Training, model: Model, numbered: DataFrame, tail: Tail
                 [pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["range", "counts"])
 
     found, sums = Expected.zero(size, states), np.zeros(states)
-    near = rows.where("near is not null").select("range", "at", "near").repartition("range").mapInArrow(
+    near = rows.where("kind = 'near'").select("range", "at", "near").repartition("range").mapInArrow(
         total_of, SUMS).toArrow()  # LOCAL_WORDS words
     for k, counts in zip(near["range"].to_pylist(), near["counts"]):
         x = np.frombuffer(counts.as_buffer()).reshape(-1, states)
@@ -532,10 +569,10 @@ def _expected(training: Training, model: Model, numbered: DataFrame, tail: Tail
             sums += x[states + 2]
         else:
             found.emit[(-1 - k) * LOCAL_RANGE:][:len(x)] += x
+    _dropped(spark, f"{path}/kind=near" if tail else path)
     if tail is None:
-        _dropped(spark, path)
         return found, None
-    return found, Tail(rows, [path], sums, tail.count, tail.share, tail.whole)
+    return found, Tail(rows.where("kind = 'far'"), _own(spark, path, training.buckets), [path], sums, tail.count, tail.share, tail.whole)
 
 
 def train(training: Training, numbered: DataFrame, tokens: list[bytes], counts: np.ndarray, states: int, rounds: int,
@@ -560,8 +597,8 @@ def train(training: Training, numbered: DataFrame, tokens: list[bytes], counts:
 
         begin = numbered.where("block is null").select("at", "c").mapInArrow(shares_with_noise, "sums array<double>")
         sums = sum((np.array(r.sums) for r in begin.toLocalIterator()), np.zeros(states))
-        rows, first = _begun(training.blocks, numbered, training.buckets, whole, states)
-        rest = Tail(rows, [], sums, count, share / whole, whole, first=first)
+        own, first = _begun(training, numbered, whole, states)
+        rest = Tail(None, own, [], sums, count, share / whole, whole, first=first)
     shares = counts / whole
     emit = shares[:, None] * noise(hashed(tokens), states)
     total = emit.sum(axis=0) + (rest.sums if rest else 0.0)
@@ -633,14 +670,18 @@ def score_documents(
         if not rows.num_rows:
             return out.empty_table()
         model, local = shared.value
-        row = rows.to_pylist()[0]
+        row = rows.drop_columns(["words"]).to_pylist()[0] | {"words": rows["words"][0].as_buffer()}
         block = Block.of(row, answers.to_pylist(), model, chances)
         c = np.where(block.places < 0, block.c, np.append(local, 0)[block.places])
         known, logs = c > 0, np.log10(c + 0.5)
         other = (block.places < 0) | (block.places >= symbols)
         at, sizes = np.frombuffer(row["words"], np.int32), np.array(row["lengths"], np.int64)
-        text = np.repeat(np.arange(len(sizes)), sizes)
-        sums = lambda x: np.bincount(text, x[at], len(sizes))
+        text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+
+        def sums(x: np.ndarray) -> np.ndarray:
+            parts = [slice(i, i + (1 << 20)) for i in range(0, len(at), 1 << 20)]
+            return sum((np.bincount(text[p], x[at[p]], len(sizes)) for p in parts), np.zeros(len(sizes)))
+
         base = sums(logs) + np.log10(ends + 0.5) - (sizes + 1) * np.log10(n + 0.5 * (v + 1))
         found = block.model.score(block.texts)
         if not tail_symbols:
@@ -655,7 +696,7 @@ def score_documents(
                      ("score", pa.float64())])
     blocks = blocks.select("block", "held_out", "doc_ids", "lengths", "words", "places", "ranges")
     if rest:
-        blocks = blocks.join(rest.rows.where("own is not null").select("block", "own"), "block", "left")
+        blocks = blocks.join(rest.own.select("block", "own").hint("shuffle_hash"), "block", "left")
     return blocks.groupBy("block").cogroup(_answers(numbered, rest, True).groupBy("block")).applyInArrow(
         score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                "base_score double, score double")

@@ -218,8 +218,8 @@ def test_words_of_one_block_are_not_exchanged(spark, monkeypatch):
 
     def watched(training, model, numbered, tail=None):
         found, tail = run(training, model, numbered, tail)
-        rows = tail.rows.select("far", "own").toArrow()
-        sent.append([sum(len(x) // 16 for x in rows[c].to_pylist() if x) for c in ("far", "own")])
+        rows = {"far": tail.rows, "own": tail.own}
+        sent.append([sum(len(r[0]) // 16 for r in rows[c].select(c).collect()) for c in ("far", "own")])
         answered.append(hmm._answers(numbered, tail, False).select("block").distinct().count())
         return found, tail
 
@@ -231,3 +231,16 @@ def test_words_of_one_block_are_not_exchanged(spark, monkeypatch):
     found = hmm.score_documents(docs, local_words=0, states=2, rounds=2).collect()
     assert len(found) == 5 and np.isfinite([r.score for r in found]).all()
     assert sent == [[8, 240]] * 2 and answered == [4] * 2
+
+
+def test_words_of_many_texts_at_once():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    signs = b" \t\n\x0b\x0c\r\x00\x1c\x1d\x1f\x85\xa0\xc3\x89\xc9Aaz.Z"
+    texts = [bytes(signs[i] for i in rng.integers(0, len(signs), n)) for n in rng.integers(0, 30, 500)]
+    words, sizes = hmm.tokenized(pa.array([b"", b"skipped", *texts, b"", b" "], pa.binary()).slice(2))
+    expected = [hmm.words_of(t) for t in [*texts, b"", b" "]]
+    assert sizes.tolist() == [len(w) for w in expected]
+    assert words.to_pylist() == [w for ws in expected for w in ws]
+    assert hmm.tokenized(pa.array([], pa.binary()))[1].tolist() == []
