@@ -28,7 +28,7 @@ SETTLED = 1e-4          # training ends when a round raises the log-likelihood b
 GROUP = 1 << 18         # tokens of the texts that a step of the recursions holds at once
 SCALED = 8              # steps between scalings; so many chances multiplied stay far from the smallest double
 SLICE = 8 << 20         # bytes of text that a step holds at once
-BLOCK = 6 << 20         # tokens of the texts of a block, at least, if its task has so many
+BLOCK = 5 << 20         # tokens of the texts of a block, at least, if its task has so many
 RANGE = 1 << 16         # words beyond the commonest whose emissions are one row, about
 LOCAL_RANGE = 1 << 13   # of the commonest words
 
@@ -329,6 +329,8 @@ def _blocks(rows: DataFrame, words: list[tuple[bytes, int]], ranges: int, bucket
             yield from numbered(part)
         for held in list(open_blocks):
             yield closed(held)
+        local.clear()
+        pa.default_memory_pool().release_unused()  # the worker stays, beside the JVM's rounds
 
     found, _ = _bucketed(rows.select("doc_id", "text", "held_out").mapInArrow(run, BLOCKS).repartition(
         buckets, "block"), buckets, "blocks", "zstd")
